@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontamination, quality_rules
+from scriptorium import prepare
+from scriptorium.llm import decontamination, near_duplicates, quality_rules
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.token_counts import token_counts
 from scriptorium.llm.token_output import token_output
@@ -20,7 +21,7 @@ def tokenizer(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return near_duplicates.similarity_classes(table(spark, sf_dir, "documents"), near_duplicates.Jaccard(width=4, percent=85))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in all documents."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -49,8 +55,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_output, op5_best_fit_packing, op7_decontamination, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_token_output, op5_best_fit_packing, op6_ngram_jaccard_join, op7_decontamination, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op10_quality_rules": quality_rules.SQL}
