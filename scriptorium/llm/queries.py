@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium import prepare
-from scriptorium.llm import decontamination, near_duplicates, quality_rules
+from scriptorium.llm import decontamination, licenses, masked_lm, near_duplicates, quality_lm, quality_rules, toxicity
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.token_counts import token_counts
 from scriptorium.llm.token_output import token_output
@@ -24,11 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of the trusted ones, and the verdict by their languages' quantiles."""
+    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as Simple-8b files and read back: doc_id, start, n_tokens, ids_crc32."""
     return token_output(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents under a network trained on them."""
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
@@ -44,6 +59,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents by canonical digests."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
@@ -55,8 +75,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_output, op5_best_fit_packing, op6_ngram_jaccard_join, op7_decontamination, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_output, op3_toxicity, op4_lm_scoring, op5_best_fit_packing, op6_ngram_jaccard_join, op7_decontamination, op8_license_scans, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op8_license_scans": licenses.SQL, "op10_quality_rules": quality_rules.SQL}
