@@ -129,6 +129,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(ids_or_none).cast("long").alias("n_items"), F.sha2(F.array_join(ids_or_none, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs without any word inside a benchmark window, with all their columns.
+
+    Texts are known by a 64-bit hash here, so that rows without or with repeated ids are judged by
+    their own text.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
+    return docs.join(bad, key == F.col("bad_key"), "left_anti")
+
+
 _SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rk, doc_id, {_SQL_WORDS} AS w FROM documents),
