@@ -1,15 +1,423 @@
-"""All queries of the engine and the SQL that they are checked against."""
+"""All queries of the engine over the driver's tables, and the SQL that they are checked against.
+
+The tables have no annotations; these stand in for them, made from documents by integer arithmetic so that
+any engine makes the same: each document is one annotator's row of a chunk of 16 documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium import prepare
+from scriptorium.functions import scoring, text
+from scriptorium.operators import chunking, consensus, dataset, evaluation, matching, parsing, reports
+from scriptorium.schemas import SOC_TYPES
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MODELS = ["m0", "m1", "m2", "m3"]
+PER_CHUNK = 16
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL where there is one."""
 
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in annotation rows."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    w = F.col("w")
+    return d.withColumn("w", text.words(F.col("text"))).select(
+        i.alias("row_id"), F.concat(F.lit("m"), (i % 4).cast("string")).alias("model_label"), F.col("source").alias("source_file"),
+        F.concat(F.lit("c"), F.floor(i / PER_CHUNK).cast("string")).alias("chunk_id"), F.lit("").alias("chunk_label"), (F.floor(i / PER_CHUNK) % 5).cast("int").alias("chunk_index"),
+        F.array_join(F.slice(w, 1, 40), " ").alias("passage"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), (i * 7 % 12 + 1).cast("int")).alias("soc_type"),
+        F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int")).alias("confidence"),
+        F.array_join(F.slice(w, 1, 5), " ").alias("explanation"), F.array_join(F.slice(w, 6, 4), ", ").alias("evidence"),
+    )
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+')"
+_TYPES = "[" + ", ".join(f"'{t}'" for t in SOC_TYPES) + "]"
+_NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+_ANN = rf"""ann AS (
+  SELECT doc_id AS row_id, 'm' || (doc_id % 4) AS model_label, source AS source_file, 'c' || (doc_id // {PER_CHUNK}) AS chunk_id, '' AS chunk_label,
+         CAST((doc_id // {PER_CHUNK}) % 5 AS INTEGER) AS chunk_index, array_to_string(w[1:40], ' ') AS passage, {_TYPES}[doc_id * 7 % 12 + 1] AS soc_type,
+         ['high', 'medium', 'low'][doc_id % 3 + 1] AS confidence, array_to_string(w[1:5], ' ') AS explanation, array_to_string(w[6:9], ', ') AS evidence,
+         3 - doc_id % 3 AS rank
+  FROM (SELECT *, {_WORDS} AS w FROM documents)),
+tok AS (SELECT *, list_distinct(list_filter(string_split({_NORM.format("passage")}, ' '), lambda x: x <> '')) AS tokens FROM ann)"""
+_CLUSTER = rf"""{_ANN},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS k FROM tok),
+scan AS (
+  SELECT chunk_id, k, [{{'id': row_id, 'g': 0, 't': tokens}}] AS state, 0 AS top FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT chunk_id, k, list_append(state, {{'id': row_id, 'g': g, 't': tokens}}), greatest(top, g) FROM (
+    SELECT s.chunk_id, o.k, s.state, s.top, o.row_id, o.tokens,
+           coalesce(list_min(list_transform(list_filter(s.state, lambda m: len(m.t) > 0 AND len(o.tokens) > 0 AND len(list_intersect(m.t, o.tokens)) / least(len(m.t), len(o.tokens)) >= 0.35), lambda m: m.g)), s.top + 1) AS g
+    FROM scan s JOIN ordered o ON o.chunk_id = s.chunk_id AND o.k = s.k + 1)),
+last AS (SELECT chunk_id, arg_max(state, k) AS state, max(top) + 1 AS n FROM scan GROUP BY chunk_id),
+base AS (SELECT chunk_id, state, CAST(sum(n) OVER (ORDER BY chunk_id) - n AS BIGINT) AS before FROM last),
+gid AS (SELECT u.m.id AS row_id, before + u.m.g AS group_id FROM base, unnest(state) AS u(m)),
+clu AS (SELECT ann.*, CAST(group_id AS BIGINT) AS group_id FROM ann JOIN gid USING (row_id))"""
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.number_groups(matching.cluster(annotations(spark, sf_dir)))
+
+
+# Text operators
+
+
+@query(rf"SELECT doc_id, {_NORM.format('text')} AS norm, CAST(len(list_distinct(list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> ''))) AS INTEGER) AS n_tokens FROM documents")
+def normalised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = text.normalise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", norm.alias("norm"), F.size(text.token_set(norm)).alias("n_tokens"))
+
+
+@query(r"SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, s[1] AS first_sentence, s[len(s)] AS last_sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.get("s", F.lit(0)).alias("first_sentence"), F.element_at("s", -1).alias("last_sentence"))
+
+
+@query(rf"SELECT doc_id, CAST(i // 300 AS INTEGER) AS pos, array_to_string(w[i + 1:i + 300], ' ') AS passage FROM (SELECT doc_id, {_WORDS} AS w FROM documents) AS d, unnest(range(0, greatest(0, len(w) - 300), 300)) AS t(i)")
+def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.window_texts(F.col("text"))).alias("pos", "passage"))
+
+
+@query(rf"SELECT doc_id, CAST(len({_WORDS}) AS INTEGER) AS n_words, left(text, 80) || CASE WHEN length(text) > 80 THEN '…' ELSE '' END AS shown FROM documents WHERE len({_WORDS}) >= 1000")
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size(text.words(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), text.preview(F.col("text"), 80).alias("shown")).where("n_words >= 1000")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents")
+def boilerplate_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped in marker lines and unwrapped again."""
+    wrapped = F.concat(F.lit("title\n*** START OF THIS PROJECT GUTENBERG EBOOK X ***\n"), "text", F.lit("\n***END OF THE PROJECT GUTENBERG EBOOK X\nend"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_boilerplate(wrapped).alias("body"))
+
+
+@query(r"""SELECT doc_id, printf('%s_%03d', lower(regexp_replace(regexp_replace(stem, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), doc_id) AS chunk_id,
+       regexp_replace(regexp_replace(label, '[^\p{L}\p{N}_\-]', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
+       printf('pg%05d_%s.txt', doc_id, regexp_replace(regexp_replace(lower(label), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s-]+', '_', 'g')) AS book
+FROM (SELECT doc_id, source || ' of ' || lang AS stem, source || ': ' || lang || '!' AS label FROM documents)""")
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" of "), "lang", F.lit(".txt")).alias("file"), F.concat("source", F.lit(": "), "lang", F.lit("!")).alias("label"))
+    return d.select("doc_id", text.chunk_id(F.col("file"), F.col("doc_id")).alias("chunk_id"), text.safe_name(F.col("label")).alias("safe"), text.book_name(F.col("doc_id"), F.col("label")).alias("book"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.format_string("conv %d.txt", "conv_id").alias("source_file"), F.col("turn").cast("int").alias("chunk_index"), F.col("role").alias("chunk_label"), F.col("text").alias("chunk_text"))
+
+
+@query("""SELECT source_file, chunk_index, coalesce(right(lag(text) OVER w, 100), '') AS context_before, coalesce(left(lead(text) OVER w, 100), '') AS context_after
+FROM (SELECT printf('conv %d.txt', conv_id) AS source_file, CAST(turn AS INTEGER) AS chunk_index, text FROM conversations) WINDOW w AS (PARTITION BY source_file ORDER BY chunk_index)""")
+def neighbour_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.with_contexts(_turns(spark, sf_dir), 100).select("source_file", "chunk_index", "context_before", "context_after")
+
+
+@query(r"""SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY turn) - 1 AS INTEGER) AS chunk_index, role AS chunk_label, body AS chunk_text
+FROM (SELECT printf('conv %d.txt', conv_id) AS source_file, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM conversations) WHERE body <> ''""")
+def markup_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as chunk markup and read again."""
+    return chunking.from_markup(chunking.to_markup(_turns(spark, sf_dir))).select("source_file", "chunk_index", "chunk_label", "chunk_text")
+
+
+@query()
+def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a heading before every line, split at headings."""
+    d = table(spark, sf_dir, "documents").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), F.concat(F.lit("CHAPTER I\n"), F.replace("text", F.lit("\n"), F.lit("\nChapter 2\n"))).alias("text"))
+    return chunking.chunk_documents(d, 2000, 200)
+
+
+@query()
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), "text")
+    return chunking.chunk_documents(d, 1000, 100)
+
+
+# Matching and consensus
+
+
+@query(rf"WITH {_ANN}, f AS (SELECT chunk_id AS k, row_id, len(tokens) AS n, unnest(tokens) AS t FROM tok) SELECT a.row_id AS a, b.row_id AS b, count(*) / least(a.n, b.n) AS overlap FROM f a JOIN f b ON a.k = b.k AND a.t = b.t AND a.row_id < b.row_id GROUP BY a.row_id, b.row_id, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.35")
+def overlapping_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.overlapping_pairs(annotations(spark, sf_dir), "chunk_id")
+
+
+@query(rf"WITH RECURSIVE {_CLUSTER} SELECT row_id, chunk_id, group_id FROM clu")
+def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark, sf_dir).select("row_id", "chunk_id", "group_id")
+
+
+_GROUPS = f"""{_CLUSTER}, grp AS (
+  SELECT group_id, chunk_id, min(source_file) AS source_file, list(DISTINCT model_label ORDER BY model_label) AS models, count(DISTINCT model_label) AS n_models,
+         arg_max(passage, (length(passage), -row_id)) AS representative,
+         CASE WHEN count(DISTINCT model_label) = 1 THEN 'single' WHEN count(DISTINCT soc_type) = 1 THEN 'full' ELSE 'partial' END AS agreement
+  FROM clu GROUP BY group_id, chunk_id)"""
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, chunk_id, source_file, array_to_string(models, ', ') AS models, CAST(n_models AS INTEGER) AS n_models, representative, agreement FROM grp")
+def group_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.groups_table(clustered(spark, sf_dir)).withColumn("models", F.array_join(F.array_sort("models"), ", "))
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS n_groups, count(*) FILTER (WHERE n_models > 1) AS n_multi, count(*) FILTER (WHERE agreement = 'full') AS n_full, count(*) FILTER (WHERE agreement = 'partial') AS n_partial FROM grp")
+def group_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, CAST(n_models AS INTEGER) AS n_models FROM grp WHERE n_models >= 2 AND (list_contains(models, 'm0') OR list_contains(models, 'm2')) AND source_file IN (SELECT source_file FROM ann WHERE confidence = 'high')")
+def visible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = annotations(spark, sf_dir).where("confidence = 'high'")
+    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir)), 2, ["m0", "m2"], view).select("group_id", "n_models")
+
+
+def _track_sql(t: consensus.Track) -> str:
+    floor = {"high": 3, "medium": 2, "low": 1}[t.min_confidence]
+    order = {
+        "majority": "votes DESC, mean DESC, first, rank DESC, length(passage) DESC, row_id",
+        "longest": "length(passage) DESC, row_id",
+        "all": "row_id",
+    }[t.resolve_type]
+    one = "" if t.resolve_type == "all" else "WHERE k = 1"
+    full = "AND types = 1" if t.agreement == "full" else ""
+    return f"""WITH RECURSIVE {_CLUSTER}, q AS (SELECT * FROM clu WHERE rank >= {floor}),
+st AS (SELECT group_id, count(DISTINCT model_label) AS n_models, string_agg(DISTINCT model_label, ', ' ORDER BY model_label) AS models_agreed, count(DISTINCT soc_type) AS types FROM q GROUP BY group_id),
+v AS (SELECT q.*, CAST(n_models AS INTEGER) AS n_models, models_agreed, CASE WHEN types = 1 THEN 'full' ELSE 'partial' END AS agreement,
+             count(*) OVER t AS votes, avg(rank) OVER t AS mean, min(row_id) OVER t AS first
+      FROM q JOIN st USING (group_id) WHERE n_models >= {t.min_models} {full} WINDOW t AS (PARTITION BY group_id, soc_type)),
+o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {order}) AS k FROM v)
+SELECT group_id, row_id, source_file, chunk_id, chunk_label, chunk_index, passage, soc_type, explanation, evidence, confidence, n_models, models_agreed, agreement FROM o {one}"""
+
+
+def _add_track(t: consensus.Track) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return consensus.apply_track(clustered(spark, sf_dir), t)
+
+    run.__name__ = f"consensus_{t.name}"
+    query(_track_sql(t))(run)
+
+
+for _track in (*consensus.TRACKS, consensus.Track("longest", min_models=1, min_confidence="low", resolve_type="longest")):
+    _add_track(_track)
+
+
+# Training data
+
+_RECORDS = f"""{_CLUSTER},
+v AS (SELECT *, count(*) OVER t AS votes, avg(rank) OVER t AS mean, min(row_id) OVER t AS first FROM clu WINDOW t AS (PARTITION BY group_id, soc_type)),
+tp AS (SELECT group_id, arg_max(soc_type, (votes, mean, -first)) AS top FROM v GROUP BY group_id),
+ex AS (SELECT group_id, array_to_string(list(explanation ORDER BY f)[1:2], ' ') AS told FROM (
+         SELECT clu.group_id, explanation, min(row_id) AS f FROM clu JOIN tp USING (group_id) WHERE soc_type = top AND explanation <> '' GROUP BY clu.group_id, explanation) GROUP BY group_id),
+g AS (SELECT group_id, count(DISTINCT model_label) AS n_models, arg_max(passage, (length(passage), -row_id)) AS passage,
+             arg_max({{'s': source_file, 'c': chunk_id, 'f': confidence, 'e': evidence, 'x': explanation}}, (rank, length(passage), -row_id)) AS b FROM clu GROUP BY group_id),
+cnt AS (SELECT soc_type AS top, count(*) AS rows_of FROM clu GROUP BY soc_type),
+rec AS (SELECT group_id, b.s AS source_file, b.c AS chunk_id, passage, n_models >= 3 AS is_soc, n_models < 3 AS hard_negative,
+               CASE WHEN top IN ('soliloquy', 'space_montage') OR rows_of < 5 THEN 'other_soc' ELSE top END AS soc_type, b.f AS confidence, b.e AS evidence,
+               coalesce(nullif(told, ''), b.x, '') AS explanation
+        FROM g JOIN tp USING (group_id) JOIN cnt USING (top) LEFT JOIN ex USING (group_id) WHERE n_models >= 3 OR n_models = 1)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.group_records(clustered(spark, sf_dir), min_models=3, rare_below=5)
+
+
+@query(f"WITH RECURSIVE {_RECORDS} SELECT * FROM rec")
+def dataset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_RECORDS} SELECT is_soc, hard_negative, soc_type, count(*) AS n FROM rec GROUP BY ALL")
+def dataset_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).groupBy("is_soc", "hard_negative", "soc_type").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT conv_id, u AS passage, regexp_extract(t, '(?s)^\s*(.*?)\s*$', 1) AS think FROM (
+  SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS u, coalesce(arg_min(text, turn) FILTER (WHERE role = 'assistant'), '') AS t FROM conversations GROUP BY conv_id)""")
+def chat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First user message and think block of chats, whose first answers are put into think blocks."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.when(F.col("role") == "assistant", F.concat(F.lit("<think>"), "text", F.lit("</think>{}"))).otherwise(F.col("text")).alias("content"))))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    return chats.select("conv_id", dataset.role_text(F.col("messages"), "user").alias("passage"), F.coalesce(text.think_block(dataset.role_text(F.col("messages"), "assistant")), F.lit("")).alias("think"))
+
+
+@query(f"WITH {_ANN}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS k FROM ann WHERE chunk_id NOT IN (SELECT 'c' || (doc_id // {PER_CHUNK}) FROM labels WHERE toxic = 1)) SELECT chunk_id, row_id, passage FROM r WHERE k = 1 AND passage <> ''")
+def clean_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positives = table(spark, sf_dir, "labels").where("toxic = 1").select(F.concat(F.lit("c"), F.floor(F.col("doc_id") / PER_CHUNK).cast("string")).alias("chunk_id"))
+    return dataset.clean_negatives(annotations(spark, sf_dir), positives).select("chunk_id", "row_id", "passage")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT chunk_id, model_label FROM (SELECT DISTINCT 'c' || (doc_id // 16) AS chunk_id FROM documents), (VALUES ('m0'), ('m1'), ('m2'), ('m3')) AS m(model_label) EXCEPT SELECT 'c' || (doc_id // 16), 'm' || (doc_id % 4) FROM labels")
+def annotation_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with every model, without what is done."""
+    from scriptorium.operators.annotate import pending, work_list
+
+    done = table(spark, sf_dir, "labels").select(F.concat(F.lit("c"), F.floor(F.col("doc_id") / PER_CHUNK).cast("string")).alias("chunk_id"), F.concat(F.lit("m"), (F.col("doc_id") % 4).cast("string")).alias("model_label"))
+    work = work_list(annotations(spark, sf_dir).select("chunk_id").distinct(), MODELS)
+    return pending(work, done).select("chunk_id", "model_label")
+
+
+_KEY = "doc_id * 2654435761 % 1000003"
+
+
+@query(f"""SELECT doc_id, is_soc, CASE WHEN k <= greatest(1, floor(n * 0.1)) THEN 'test' WHEN k <= 2 * greatest(1, floor(n * 0.1)) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT doc_id, toxic = 1 AS is_soc, row_number() OVER (PARTITION BY toxic ORDER BY {_KEY}) AS k, count(*) OVER (PARTITION BY toxic) AS n FROM labels)""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("is_soc"))
+    return dataset.split(rows, F.expr(_KEY)).select("doc_id", "is_soc", "split")
+
+
+# Reports
+
+
+@query(f"WITH {_ANN} SELECT model_label, count(*) AS n FROM ann GROUP BY 1")
+def rows_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.per_model(annotations(spark, sf_dir))
+
+
+_PIVOT = ", ".join(f"count(*) FILTER (WHERE model_label = '{m}') AS {m}" for m in MODELS)
+
+
+@query(f"WITH {_ANN} SELECT soc_type, {_PIVOT} FROM ann GROUP BY 1")
+def types_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.pivot_counts(annotations(spark, sf_dir), "soc_type", MODELS)
+
+
+@query(f"WITH {_ANN} SELECT chunk_id, {_PIVOT} FROM ann GROUP BY 1")
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.pivot_counts(annotations(spark, sf_dir), "chunk_id", MODELS)
+
+
+@query(f"WITH {_ANN} SELECT l.confidence, {_PIVOT} FROM (VALUES ('high'), ('medium'), ('low')) AS l(confidence) LEFT JOIN ann ON ann.confidence = l.confidence GROUP BY 1")
+def confidence_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.confidence_by_model(annotations(spark, sf_dir), MODELS)
+
+
+@query(f"WITH {_ANN} SELECT count(*) AS n_rows, count(DISTINCT model_label) AS n_models, count(DISTINCT source_file) AS n_files, count(DISTINCT chunk_id) AS n_chunks FROM ann")
+def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.key_figures(annotations(spark, sf_dir))
+
+
+@query(f"WITH {_ANN} SELECT model_label, 'type' AS kind, soc_type AS value, count(*) AS n FROM ann GROUP BY ALL UNION ALL SELECT model_label, 'confidence', confidence, count(*) FROM ann GROUP BY ALL")
+def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.export_summary(annotations(spark, sf_dir))
+
+
+@query(f"WITH {_ANN} SELECT model_label, count(*) AS total, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium, count(*) FILTER (WHERE confidence = 'low') AS low FROM ann GROUP BY 1")
+def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.confidence_table(annotations(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + _CLUSTER + ", f AS (SELECT *, row_number() OVER (PARTITION BY group_id, model_label ORDER BY row_id) AS k FROM clu), l AS (SELECT group_id, model_label, 'soc_type' AS field, soc_type AS value FROM f WHERE k = 1 UNION ALL SELECT group_id, model_label, 'explanation', coalesce(nullif(explanation, ''), '—') FROM f WHERE k = 1) SELECT group_id, field, " + ", ".join(f"max(value) FILTER (WHERE model_label = '{m}') AS {m}" for m in MODELS) + " FROM l GROUP BY group_id, field")
+def field_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.field_table(clustered(spark, sf_dir), ["soc_type", "explanation"], MODELS)
+
+
+_PAIRS = "p AS (SELECT CASE WHEN quality = 1 THEN 'soc' ELSE 'none' END AS y_true, CASE WHEN n_chars > 1000 THEN 'soc' ELSE 'none' END AS y_pred FROM labels JOIN documents USING (doc_id))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select(F.when(F.col("quality") == 1, "soc").otherwise("none").alias("y_true"), F.when(F.col("n_chars") > 1000, "soc").otherwise("none").alias("y_pred"))
+
+
+@query(f"WITH {_PAIRS}, l AS (SELECT y_true AS y FROM p UNION SELECT y_pred FROM p) SELECT a.y AS y_true, b.y AS y_pred, count(p.y_true) AS n FROM l a CROSS JOIN l b LEFT JOIN p ON p.y_true = a.y AND p.y_pred = b.y GROUP BY 1, 2")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confusion(_pairs(spark, sf_dir))
+
+
+_METRICS = f"""{_PAIRS}, l AS (SELECT y_true AS label FROM p UNION SELECT y_pred FROM p),
+c AS (SELECT label, (SELECT count(*) FROM p WHERE y_true = label) AS support, (SELECT count(*) FROM p WHERE y_pred = label) AS predicted, (SELECT count(*) FROM p WHERE y_true = label AND y_pred = label) AS tp FROM l),
+m AS (SELECT label, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall, support FROM c),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM m)"""
+
+
+@query(f"WITH {_METRICS} SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM f")
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.class_metrics(_pairs(spark, sf_dir)).select("label", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), F.col("support").cast("long").alias("support"))
+
+
+@query(f"WITH {_METRICS} SELECT (SELECT count(*) FROM p) AS n, round((SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) FROM p), 9) AS accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM f")
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.summary(_pairs(spark, sf_dir)).select("n", *(F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
+
+
+@query(f"WITH {_METRICS} SELECT (SELECT count(*) FROM p) AS n, round((SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) FROM p), 9) AS observed, round((SELECT sum(support * predicted) FROM c) / ((SELECT count(*) FROM p) * (SELECT count(*) FROM p)), 9) AS expected")
+def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.kappa(_pairs(spark, sf_dir)).select("n", F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"))
+
+
+# Scores and parsing
+
+
+_HITS = lambda words: " + ".join("CAST(contains(lower(trace), '{}') AS INTEGER)".format(w.replace("'", "''")) for w in words)
+_TRACE = r"""d AS (SELECT doc_id, text AS passage, doc_id % 2 = 0 AS is_soc, 'It could appear ' || source || ' ' || [""" + ", ".join(f"'{t}'" for t in SOC_TYPES) + r"""][doc_id % 12 + 1] || ' but falls short: "' || array_to_string(w[1:3], ' ') || '"' AS trace FROM (SELECT *, """ + _WORDS + r""" AS w FROM documents))"""
+
+
+@query(f"""WITH {_TRACE}, s AS (SELECT doc_id, is_soc, {_HITS(scoring.SPECIFIC_WORDS)} AS n, {_HITS(scoring.SCEPTICAL_PHRASES)} AS k FROM d)
+SELECT doc_id, CASE WHEN n >= 2 THEN 1.0 WHEN n = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS specificity, least(1.0, k * CASE WHEN is_soc THEN 0.4 ELSE 0.5 END)::DOUBLE AS skepticism FROM s""")
+def trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _traces(spark, sf_dir)
+    return t.select("doc_id", scoring.specificity(F.col("trace")).alias("specificity"), scoring.skepticism(F.col("trace"), F.col("is_soc")).alias("skepticism"))
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, SOC_TYPES)), (F.col("doc_id") % 12 + 1).cast("int"))
+    quote = F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ")
+    trace = F.concat(F.lit("It could appear "), "source", F.lit(" "), kind, F.lit(' but falls short: "'), quote, F.lit('"'))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), trace.alias("trace"))
+
+
+@query()
+def trace_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate scores and rewards of made-up traces, judged values missing."""
+    t, none = _traces(spark, sf_dir), F.lit(None).cast("double")
+    args = (F.col("trace"), F.col("passage"), F.col("is_soc"))
+    return t.select("doc_id", F.round(scoring.candidate_score(*args), 9).alias("score"), F.round(scoring.reward(*args, none, none), 9).alias("reward"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scored candidate of each item, the first on ties."""
+    best = F.max_by(F.struct("event_id", "value"), F.struct("value", -F.col("event_id")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.value")
+
+
+@query(rf"SELECT doc_id, array_to_string({_WORDS}[1:5], ' ') AS passage, 'other_soc' AS soc_type, TRUE AS is_soc, 'a, b' AS secondary_devices FROM documents")
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a think block, one instance and text after it, parsed leniently."""
+    passage = F.array_join(F.slice(text.words(F.col("text")), 1, 5), " ")
+    body = F.to_json(F.struct(F.array(F.struct(passage.alias("passage"), F.lit("false").alias("is_soc"), F.lit("a, b").alias("secondary_devices"))).alias("soc_instances")))
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<think>a {b}</think>\n"), body, F.lit(" tail")).alias("raw"))
+    return parsing.parse_answers(answers).select("doc_id", "passage", "soc_type", "is_soc", F.array_join("secondary_devices", ", ").alias("secondary_devices"))
