@@ -137,7 +137,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataF
     """
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
-    return docs.join(bad, key == F.col("bad_key"), "left_anti")
+    return docs.join(bad, key == bad["bad_key"], "left_anti")
 
 
 _SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -229,5 +229,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack
     Rows of one doc_id go together: they stay if one of them is kept. Rows without doc_id stay.
     """
     kept = classify(docs, labels, quantile, slack).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -221,7 +221,8 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) ->
             yield pa.RecordBatch.from_arrays([column_of(b, "toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(units, pa.string()).take(pa.array(place)))], names=["toxic", "units"])
 
     marks = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.join(marks, F.col("doc_id").cast("long") == F.col("l_id")).select(text_column(docs).alias("text"), "toxic").dropDuplicates(["text"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("l_id"), text_column(docs).alias("text"))
+    known = texts.join(marks, "l_id").select("text", "toxic").dropDuplicates(["text"])
     bags, toxic = [], []
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("text"), "text").limit(most_rows)
