@@ -1,11 +1,11 @@
 """Jaccard join of word-shingle sets by parity sketches, and the components of its links.
 
-A set's sketch has as many 64-bit words as its size band asks for. A shingle's hash picks a word and a
-bit there, which it flips; so one shingle more or less changes one bit, and the Hamming distance of two
-sketches never exceeds the size of the sets' symmetric difference. That difference is at most d for
-two sets of a band that link. With more than d words, some word of both sketches must agree
-(pigeonhole): equal words at equal places give the candidates, Hamming distance thins them, and the
-shingle sets themselves decide.
+A set's sketch has as many places as its size band asks for. A shingle's hash picks a place; there it is
+XORed into a 64-bit word, and it flips one of 16 parity bits. So one shingle more or less changes one word
+and one bit, and neither the number of words that differ nor the bits' Hamming distance ever exceeds the
+size of the sets' symmetric difference. That difference is at most d for two sets of a band that
+link. With more than d places, the words of some place must agree (pigeonhole): equal words at equal
+places give the candidates, the Hamming distance thins them, and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -55,12 +55,12 @@ class Jaccard:
 
 @lru_cache
 def bands(rule: Jaccard) -> tuple[tuple[int, int, int, int], ...]:
-    """(least size, most size, words, spare words) of each band.
+    """(least size, most size, places, spare places) of each band.
 
     Sets below the first band link with equal sets only. A band's sizes differ by 1.3 or 100 / percent
-    at most, so linked sets are in one band or in neighbours. Spare words beyond the d + 1 that the
-    pigeonhole needs let sets with few empty words leave those out: if all words that agree are empty
-    ones, both sets have more empty words than are spare.
+    at most, so linked sets are in one band or in neighbours. Spare places beyond the d + 1 that the
+    pigeonhole needs let sets with few empty places leave those out: if all places that agree are empty
+    ones, both sets have more empty places than are spare.
     """
     out, low = [], -(-rule.percent // (100 - rule.percent))
     while low < 1 << 40:
@@ -78,23 +78,30 @@ def band_of(rule: Jaccard, n: int) -> int:
     return int(np.searchsorted(lows, n, "right")) - 1
 
 
-def sketch(shingles: np.ndarray, words: int) -> np.ndarray:
-    """Parity words of a set of 64-bit shingle hashes."""
-    out = np.zeros(words, np.uint64)
-    np.bitwise_xor.at(out, _places(shingles, words), np.uint64(1) << (shingles & np.uint64(63)))
-    return out
+def _places(shingles: np.ndarray, places: int) -> np.ndarray:
+    """The place of each shingle; ascending, as the hashes are."""
+    return (((shingles >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
 
 
-def _places(shingles: np.ndarray, words: int) -> np.ndarray:
-    return (((shingles >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)).astype(np.int64)
+def parity(shingles: np.ndarray, places: int) -> np.ndarray:
+    """The parity bits of a sorted set of 64-bit shingle hashes."""
+    at = _places(shingles, places)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    out = np.zeros(places, np.uint16)
+    out[at[starts]] = np.bitwise_xor.reduceat(np.uint16(1) << (shingles & np.uint64(15)).astype(np.uint16), starts)
+    return out
 
 
-def sketch_keys(words: np.ndarray, filled: np.ndarray, band: int, spare: int) -> np.ndarray:
-    """Join keys of a sketch: place and value of each word, with the band in the low 8 bits."""
-    use = np.flatnonzero(filled)
-    if len(words) - len(use) > spare:
-        use = np.arange(len(words))
-    keys = mix(words[use] ^ mix(use.astype(np.uint64) + np.uint64(1 + band * (1 << 40))))
+def sketch_keys(shingles: np.ndarray, band: int, places: int, spare: int) -> np.ndarray:
+    """Join keys of a set: place and word of each place, with the band in the low 8 bits."""
+    at = _places(shingles, places)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    use, words = at[starts], np.bitwise_xor.reduceat(mix(shingles), starts)
+    if places - len(use) > spare:  # too many empty places to leave them out
+        full = np.zeros(places, np.uint64)
+        full[use] = words
+        use, words = np.arange(places), full
+    keys = mix(words ^ mix(use.astype(np.uint64) + np.uint64(1 + band * (1 << 40))))
     return ((keys & ~np.uint64(255)) | np.uint64(band)).view(np.int64)
 
 
@@ -140,7 +147,7 @@ def _set_id(shingles: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, rule: Jaccard) -> DataFrame:
-    """One row for each row of docs: id of its shingle set, size, band, sketch of that band and of the next one if a link can reach there."""
+    """One row for each row of docs: id of its shingle set, size, band, parity bits for that band and for the next one if a link can reach there."""
     table = bands(rule)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,45 +158,38 @@ def sketched(docs: DataFrame, rule: Jaccard) -> DataFrame:
                 n.append(len(s))
                 ids.append(_set_id(s) if len(s) else None)
                 band.append(k)
-                own.append(_stored(s, table[k]) if k >= 0 else None)
-                reach = 100 * len(s) >= rule.percent * table[k + 1][0]
-                above.append(_stored(s, table[k + 1]) if len(s) and reach else None)
+                own.append(parity(s, table[k][2]).tobytes() if k >= 0 else None)
+                above.append(parity(s, table[k + 1][2]).tobytes() if _reaches(rule, k, len(s)) else None)
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "text_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(own, pa.binary()), pa.array(above, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_id", "band", "own", "above"])
 
     text = text_column(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, _SETS)
 
 
-def _stored(shingles: np.ndarray, band: tuple[int, int, int, int]) -> bytes:
-    """The sketch's words, then a bit for each word that some shingle fell in."""
-    filled = np.zeros(band[2], bool)
-    filled[_places(shingles, band[2])] = True
-    return sketch(shingles, band[2]).tobytes() + np.packbits(filled).tobytes()
-
-
-def _loaded(data: bytes, band: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    words = np.frombuffer(data, np.uint64, band[2])
-    return words, np.unpackbits(np.frombuffer(data, np.uint8, offset=8 * band[2]), count=band[2]).astype(bool)
+def _reaches(rule: Jaccard, band: int, n: int) -> bool:
+    """Whether a set of n shingles can link with one of the next band."""
+    return n > 0 and 100 * n >= rule.percent * bands(rule)[band + 1][0]
 
 
-def _keyed(sets: DataFrame, rule: Jaccard) -> DataFrame:
-    """(key, set_id) for all words of all sketches; a batch's repeated sets count once."""
+def _keyed(docs: DataFrame, rule: Jaccard) -> DataFrame:
+    """(key, set_id) for all places of all texts' sketches; a batch's repeated sets count once."""
     table = bands(rule)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = column_of(b, "set_id").to_numpy(zero_copy_only=False)
-            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in np.unique(ids, return_index=True)[1].tolist():
-                k = b.column(1)[i].as_py()
-                for band, data in ((k, b.column(2)[i].as_py()), (k + 1, b.column(3)[i].as_py())):
-                    if data is not None and band >= 0:
-                        got = sketch_keys(*_loaded(data, table[band]), band, table[band][3])
-                        keys.append(got)
-                        owners.append(np.full(len(got), ids[i]))
+        for b in slices(batches, 8_000_000):
+            keys, owners, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+            for s in shingle_sets(text_array(b), rule.width):
+                if not len(s) or (own := _set_id(s)) in met:
+                    continue
+                met.add(own)
+                k = band_of(rule, len(s))
+                for band in ([k] if k >= 0 else []) + ([k + 1] if _reaches(rule, k, len(s)) else []):
+                    got = sketch_keys(s, band, *table[band][2:])
+                    keys.append(got)
+                    owners.append(np.full(len(got), own))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "set_id"])
 
-    return sets.where(F.col("own").isNotNull() | F.col("above").isNotNull()).select("set_id", "band", "own", "above").mapInArrow(run, "key long, set_id long")
+    return docs.select(text_column(docs).alias("text")).mapInArrow(run, "key long, set_id long")
 
 
 def _grouped(df: DataFrame, work: Callable[[pa.Table], pa.Table | None], schema: str, key: str = "key") -> DataFrame:
@@ -231,8 +231,33 @@ def _shared(t: pa.Table) -> pa.Table | None:
     return pa.table({"key": key[keep], "set_id": ids[keep], "low": first[keep], "high": last[keep]})
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, rule: Jaccard) -> DataFrame:
-    """The pairs (a, b) whose shingle sets link."""
+def _near(pairs: DataFrame, sketches: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs (a, b) whose parity bits differ no more than those of linked sets can."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (100 - rule.percent) * (column_of(b, "n1").to_numpy() + column_of(b, "n2").to_numpy()) // (100 + rule.percent)
+            x, y, ok = column_of(b, "x"), column_of(b, "y"), np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                p, q = x[i].as_buffer(), y[i].as_buffer()
+                ok[i] = p is not None and q is not None and np.bitwise_count(np.frombuffer(p, np.uint16) ^ np.frombuffer(q, np.uint16)).sum() <= most[i]
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    one = sketches.select(*(F.col(c).alias(d) for c, d in (("set_id", "a"), ("n_shingles", "n1"), ("band", "band1"), ("own", "own1"), ("above", "above1"))))
+    two = sketches.select(*(F.col(c).alias(d) for c, d in (("set_id", "b"), ("n_shingles", "n2"), ("band", "band2"), ("own", "own2"), ("above", "above2"))))
+    high = F.greatest("band1", "band2")
+    both = pairs.join(one, "a").join(two, "b").where(F.abs(F.col("band1") - F.col("band2")) < 2)
+    sides = both.select("a", "b", "n1", "n2", F.when(F.col("band1") == high, F.col("own1")).otherwise(F.col("above1")).alias("x"), F.when(F.col("band2") == high, F.col("own2")).otherwise(F.col("above2")).alias("y"))
+    return sides.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(run, "a long, b long")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs (a, b) whose shingle sets link; the sets are taken again from one text each."""
+
+    def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 8_000_000):
+            got = shingle_sets(text_array(b), rule.width)
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) if len(s) else None for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["set_id", "shingles"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,31 +265,35 @@ def _verified(pairs: DataFrame, bodies: DataFrame, rule: Jaccard) -> DataFrame:
             ok = [rule.links(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(b.num_rows)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    some = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+    keys = sets.join(broadcast_if(some, MOST_BROADCAST), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_key").alias("text_key")).select("text_key")
+    text = text_column(docs)
+    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(broadcast_if(keys, MOST_BROADCAST), "text_key", "left_semi").dropDuplicates(["text_key"])
+    bodies = written(texts.select("text").mapInArrow(shingled, "set_id long, shingles binary"), "shingles").dropDuplicates(["set_id"])
     one = bodies.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     two = bodies.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b): root is the component's least node.
 
-    Alternating large and small stars: every node's neighbours are hung below its least one, until no
-    edge changes. The edges of each step are written to the shared folder.
+    Alternating large and small stars: every node's neighbours are hung below its least one, until
+    every component is one star. The edges of each step are written to the shared folder.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    sign = None
     for k in count():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), f"star{k}")
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (got["n"], got["s"]) == sign:
+        # done when every node hangs once, and below a node that hangs nowhere
+        sides = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("s"))
+        ends = sides.groupBy("s.node").agg(F.sum("s.below").alias("below"), F.max("s.above").alias("above"))
+        if ends.where("below > 1 OR below = 1 AND above = 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        sign = (got["n"], got["s"])
     raise AssertionError
 
 
@@ -276,30 +305,21 @@ def similarity_classes(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     so copies are never paired. Sets are known by 64-bit hashes of their 64-bit shingle hashes.
 
     The sets that share a key are compared with its least and greatest set first. Others of the key
-    are compared only if they are still in different components, and only if the sketches' Hamming
-    distance allows it. So a group of n near copies costs about n comparisons, and no link between
-    components is lost.
+    are compared only while they are in different components, and only if the sketches' Hamming
+    distance allows it: each with its nearest one first, then with all. So a group of n near copies
+    costs about n comparisons, and no link between components is lost.
     """
     table = bands(rule)
     sets = written(sketched(docs, rule), "sketches")
-    shared = written(_grouped(_keyed(sets, rule), _shared, "key long, set_id long, low long, high long"), "shared-keys")
+    shared = written(_grouped(_keyed(docs, rule), _shared, "key long, set_id long, low long, high long"), "shared-keys")
     some = shared.select("set_id").distinct()
-    keys = sets.join(broadcast_if(some, MOST_BROADCAST), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_key").alias("text_key")).select("text_key")
-    text = text_column(docs)
-
-    def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 8_000_000):
-            got = shingle_sets(text_array(b), rule.width)
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) if len(s) else None for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["set_id", "shingles"])
-
-    wanted = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(broadcast_if(keys, MOST_BROADCAST), "text_key", "left_semi").dropDuplicates(["text_key"])
-    bodies = written(wanted.select("text").mapInArrow(shingled, "set_id long, shingles binary").dropDuplicates(["set_id"]), "shingles")
+    sketches = written(sets.join(broadcast_if(some, MOST_BROADCAST), "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "n_shingles", "band", "own", "above"), "some-sketches")
 
     def pair(x: str, y: str) -> DataFrame:
         return shared.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    stars = written(pair("low", "set_id").union(pair("high", "set_id")).distinct(), "star-pairs")
-    links = written(_verified(stars, bodies, rule), "star-links")
+    stars = written(_near(pair("low", "set_id").union(pair("high", "set_id")).distinct(), sketches, rule), "star-pairs")
+    links = _linked(stars, docs, sets, rule)
     root = components(links)
 
     def across(t: pa.Table) -> pa.Table | None:
@@ -312,7 +332,7 @@ def similarity_classes(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
             if len(set(roots[s:e].tolist())) < 2:
                 continue
             band = table[int(key[s]) & 255]
-            words = np.stack([np.frombuffer(data[i].as_buffer(), np.uint64, band[2]) for i in range(s, e)])
+            words = np.stack([np.frombuffer(data[i].as_buffer(), np.uint16, band[2]) for i in range(s, e)])
             for i in range(e - s - 1):
                 far = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1)
                 most = (100 - rule.percent) * (sizes[s + i + 1 : e] + sizes[s + i]) // (100 + rule.percent)
@@ -324,11 +344,9 @@ def similarity_classes(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     rest = shared.where("set_id <> low AND set_id <> high").select("key", "set_id").join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     open_keys = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     rest = rest.join(open_keys, "key", "left_semi")
-    one = sets.join(broadcast_if(some, MOST_BROADCAST), "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "n_shingles", "band", "own", "above")
-    with_sketch = rest.join(one, "set_id").select("key", "set_id", "root", "n_shingles", F.when(F.col("band") == F.col("key").bitwiseAND(255), F.col("own")).otherwise(F.col("above")).alias("sketch"))
-    more = _grouped(with_sketch, across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(written(_verified(written(more, "more-pairs"), bodies, rule), "more-links"))
-    root = components(links)
+    with_sketch = rest.join(sketches, "set_id").select("key", "set_id", "root", "n_shingles", F.when(F.col("band") == F.col("key").bitwiseAND(255), F.col("own")).otherwise(F.col("above")).alias("sketch"))
+    more = written(_grouped(with_sketch, across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "more-pairs")
+    root = components(links.union(_linked(more, docs, sets, rule)))
 
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("low_id")).join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = classes.groupBy("root").agg(F.min("low_id").alias("component_id"))
@@ -342,7 +360,7 @@ def keep_one(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:  # noqa:
     Rows of one doc_id are taken for one document; rows without doc_id are kept.
     """
     kept = similarity_classes(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
