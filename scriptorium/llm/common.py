@@ -85,7 +85,7 @@ def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(column)).fill_null("")
 
 
-def distinct_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Split texts at every space: each word's place among the distinct words, those, words per text."""
     import pyarrow.compute as pc
 
@@ -94,7 +94,7 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         lists = lists.combine_chunks()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, counts
 
 
 def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ blocks, each starting at a word of its own, so that blocks can be decoded apart
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -144,8 +145,11 @@ def pack_file(doc_ids: np.ndarray, has_id: np.ndarray, lengths: np.ndarray, piec
     return b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), np.asarray(has_id, "u1").tobytes(), np.asarray(lengths, "<i8").tobytes(), np.asarray(blocks, "<u4").tobytes(), table.astype("<u4").tobytes(), *words, *escapes])
 
 
-def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, has_id, lengths and all ids of a file."""
+def unpack_file(data: bytes, together: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, has_id, lengths and ids of a file's documents, about `together` ids at a time.
+
+    The block table's running sums give every run of documents its words and escapes at once.
+    """
     if data[:8] != MAGIC:
         raise ValueError("not a Simple-8b token file")
     d, _, b, w, e = struct.unpack_from("<5q", data, 8)
@@ -157,7 +161,15 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         at += out.nbytes
         return out
 
-    doc_ids, has_id, lengths, _ = take("<i8", d), take("u1", d), take("<i8", d), take("<u4", d)
+    doc_ids, has_id, lengths, blocks = take("<i8", d), take("u1", d), take("<i8", d), take("<u4", d)
     table = take("<u4", 3 * b).reshape(b, 3).astype(np.int64)
     words, escapes = take("<u8", w), take("<u8", e)
-    return doc_ids, has_id.astype(bool), lengths, decode_blocks(words, table[:, 1], table[:, 0], escapes, table[:, 2])
+    block_at = np.append(0, np.cumsum(blocks, dtype=np.int64))
+    word_at, escape_at = np.append(0, np.cumsum(table[:, 1])), np.append(0, np.cumsum(table[:, 2]))
+    id_at, i = np.append(0, np.cumsum(lengths)), 0
+    while i < d:
+        j = max(i + 1, int(np.searchsorted(id_at, id_at[i] + together, "right")) - 1)
+        p, q = block_at[i], block_at[j]
+        own = table[p:q]
+        yield doc_ids[i:j], has_id[i:j].astype(bool), lengths[i:j], decode_blocks(words[word_at[p] : word_at[q]], own[:, 1], own[:, 0], escapes[escape_at[p] : escape_at[q]], own[:, 2])
+        i = j

@@ -88,7 +88,7 @@ class PieceCounter:
         usual = np.flatnonzero(~rare)
         if len(usual):
             place, words, sizes = distinct_words(pc.replace_substring(texts.take(pa.array(usual)), "\n", " \n"))
-            out[usual] = per_text(self._counts(words)[place], sizes)
+            out[usual] = per_text(self._counts(words.to_pylist())[place], sizes)
         for i in np.flatnonzero(rare):
             tokens = Counter(pre_tokens(texts[int(i)].as_py()))
             out[i] = self._counts(list(tokens)) @ np.fromiter(tokens.values(), np.int64, len(tokens)) if tokens else 0

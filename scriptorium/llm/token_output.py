@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_file: str, end_id: int
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
-        for b in slices(batches, 8_000_000):
+        for b in slices(batches, 4_000_000):
             ids, lengths = with_end(*encoder.encode(text_array(b)), end_id)
             doc_id = column_of(b, "doc_id")
             part = np.searchsorted(bounds, doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.float64), "right").astype(np.int32)
@@ -80,6 +80,9 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_file: str, end_id: int
 
 def read_tokens(spark: SparkSession, out_dir: str, files: DataFrame, with_ids: bool = False) -> DataFrame:
     """Documents of the files: (doc_id, start, n_tokens, ids_crc32[, ids]), start over all files in order."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    if files.isEmpty():
+        return spark.createDataFrame([], schema)
     base = files.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("at_part"), (F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("base"))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").schema("path string, modificationTime timestamp, length long, content binary").load(out_dir)
     joined = content.select("content", F.regexp_extract("path", r"part-(\d+)\.s8b$", 1).cast("int").alias("at_part")).join(F.broadcast(base), "at_part").select("content", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
@@ -87,18 +90,19 @@ def read_tokens(spark: SparkSession, out_dir: str, files: DataFrame, with_ids: b
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content, first in zip(column_of(b, "content"), column_of(b, "base").to_pylist(), strict=True):
-                doc_ids, has, lengths, ids = unpack_file(content.as_py())
-                ids = ids.astype("<u4")
-                ends = np.cumsum(lengths)
-                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                cols = [pa.array(doc_ids, mask=~has), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+                for doc_ids, has, lengths, ids in unpack_file(memoryview(content.as_buffer())):
+                    ids = ids.astype("<u4")
+                    ends = np.cumsum(lengths)
+                    crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                    cols = [pa.array(doc_ids, mask=~has), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
+                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    if with_ids:
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    first += int(lengths.sum())
+
+    return joined.mapInArrow(decode, schema)
 
 
 def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2, out_dir: str | None = None) -> DataFrame:

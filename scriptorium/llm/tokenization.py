@@ -13,11 +13,12 @@ import pyarrow.compute as pc
 from scriptorium.llm.common import distinct_words, per_text, ragged
 
 
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_ANY_CASE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c not in "×÷")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_LETTERS_MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\\[-`{-~]*$"
+_LOWER = re.compile("[a-zß-öø-ÿ]+")
 #: Byte-level BPE writes bytes that are no printable Latin-1 characters as characters from U+0100 on, in order.
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-_CLOSING = frozenset(".,;:!?")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -32,49 +33,37 @@ class WordEncoder:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer removes white space.
 
     Space and line feed are never part of such a token, so a text's ids are the ids of the words
-    between them, each as the library gives it. Words are kept in a bounded table: when it holds
-    `most_words` words or `most_chars` characters it starts anew.
+    between them, each as the library gives it. Letters of ASCII and Latin-1 with marks after them are
+    two pre-tokens, so their ids are those of the letters in lower case and of the marks. What has been
+    encoded is kept in a bounded table: when it holds `most` strings or `most_chars` characters it starts anew.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000, most_chars: int = 16_000_000) -> None:
+    def __init__(self, path: str, most: int = 300_000, most_chars: int = 6_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most_words, self.most_chars = most_words, most_chars
+        self.most, self.most_chars = most, most_chars
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.base: dict[str, list[int]] = {}
         self.chars = 0
         self.pool = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def _bases(self, words: list[str]) -> None:
-        """Encode words that are not in the table of bases.
+    def _learn(self, words: list[str]) -> None:
+        """Add strings to the table.
 
-        Lower-case letters of ASCII and Latin-1 go to the library's BPE model at once: for them its
-        normalizer and pre-tokenizer change nothing but to write UTF-8 bytes as characters.
+        Letters in lower case go to the library's BPE model at once: its normalizer and pre-tokenizer
+        only write their UTF-8 bytes as characters.
         """
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for w in words:
-            if _LETTERS.fullmatch(w):
-                self.base[w] = [x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]
-            else:
-                rest.append(w)
-        self.base.update(zip(rest, (x.ids for x in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        """Letters before one closing mark, and ASCII words in any case, share the ids of their base."""
-        cut = []
-        for w in words:
-            head, tail = (w[:-1], w[-1]) if w[-1:] in _CLOSING and w[:-1].isalpha() else (w, "")
-            cut.append((head.lower() if _ANY_CASE.fullmatch(head) else head, tail))
-        new = dict.fromkeys(x for pair in cut for x in pair)
-        self._bases([x for x in new if x not in self.base])
-        got = [self.base[head] + self.base[tail] for head, tail in cut]
+        tokenize, match = self.tokenizer.model.tokenize, _LOWER.fullmatch
+        got = [[x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))] if match(w) else None for w in words]
+        rest = [i for i, ids in enumerate(got) if ids is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            got[i] = x.ids
         length = np.fromiter(map(len, got), np.int64, len(got))
         known = len(self.at)
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
@@ -83,15 +72,27 @@ class WordEncoder:
         self.at.update(zip(words, range(known, known + len(words)), strict=True))
         self.chars += sum(map(len, words))
 
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """The table's rows of strings."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [w for w in names if w not in self.at]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as one array, and the number of ids of each text."""
-        if len(self.at) > self.most_words or self.chars > self.most_chars:
+        if len(self.at) > self.most or self.chars > self.most_chars:
             self._reset()
         place, words, counts = distinct_words(pc.replace_substring(texts, "\n", " "))
-        new = [w for w in words if w not in self.at]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        length = self.length[at]
-        ids = self.pool[ragged(self.start[at][place], length[place])]
+        plain = pc.match_substring_regex(words, _LETTERS_MARKS)
+        heads = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, characters=_MARKS)), words)
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=_LETTERS), "")
+        both = np.stack([self._rows(heads), self._rows(tails)], axis=1)
+        length = self.length[both]
+        pool = self.pool[ragged(self.start[both].ravel(), length.ravel())]
+        length = length.sum(axis=1)
+        start = np.cumsum(length) - length
+        ids = pool[ragged(start[place], length[place])]
         return ids, per_text(length[place], counts)
