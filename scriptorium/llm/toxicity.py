@@ -131,7 +131,7 @@ def fit_svm(positive: list[str], negative: list[str], landmarks: list[str], regu
     return _fold(landmarks, project @ w, float(b))
 
 
-def learn(bags: list[list[str]], toxic: list[int], rounds: int = 4, n_landmarks: int = 320, most: int = 2000) -> StringSvm:
+def learn(bags: list[list[str]], toxic: list[int], rounds: int = 3, n_landmarks: int = 320, most: int = 2000) -> StringSvm:
     """Learn which units make a document toxic, from documents' units and labels.
 
     It begins with the units that most toxic documents have and no clean one. Each round takes the
@@ -209,7 +209,7 @@ def document_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.concatenate(owners), np.concatenate(places), list(distinct)
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> tuple[list[list[str]], list[int]]:
+def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = 2000) -> tuple[list[list[str]], list[int]]:
     """Distinct units and labels of at most `most_rows` documents of either label: those first by a hash of their text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +221,17 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) ->
             yield pa.RecordBatch.from_arrays([column_of(b, "toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(units, pa.string()).take(pa.array(place)))], names=["toxic", "units"])
 
     marks = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("l_id"), text_column(docs).alias("text"))
-    known = texts.join(marks, "l_id").select("text", "toxic").dropDuplicates(["text"])
+    key = F.xxhash64(text_column(docs))
+    known = docs.select(F.col("doc_id").cast("long").alias("l_id"), key.alias("l_key")).join(marks, "l_id").groupBy("l_key").agg(F.max("toxic").alias("toxic"))
+    # the sample is chosen by hashes alone; its texts, `most_rows` of either label at most, are then picked where they lie
+    sample = known.where("toxic = 0").orderBy("l_key").limit(most_rows).union(known.where("toxic = 1").orderBy("l_key").limit(most_rows))
+    picked = docs.select(key.alias("l_key"), text_column(docs).alias("text")).join(F.broadcast(sample), "l_key").dropDuplicates(["l_key"])
     bags, toxic = [], []
-    for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("text"), "text").limit(most_rows)
-        for r in part.mapInArrow(run, "toxic int, units array<string>").toLocalIterator():
-            bags.append(list(r["units"]))
-            toxic.append(r["toxic"])
-    return bags, toxic
+    for r in picked.select("text", "toxic").mapInArrow(run, "toxic int, units array<string>").toLocalIterator():
+        bags.append(sorted(r["units"]))
+        toxic.append(r["toxic"])
+    order = sorted(range(len(bags)), key=lambda i: (toxic[i], bags[i]))
+    return [bags[i] for i in order], [toxic[i] for i in order]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -237,7 +239,7 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, threshold: float = 0.7) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, unit), one for each row of docs.
 
     The machine learns from at most `most_rows` labelled documents of either label that are not held
