@@ -136,7 +136,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataF
     their own text.
     """
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct()
+    bad = broadcast_if(written(contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_key")).distinct(), "contaminated"), MOST_BROADCAST)
     return docs.join(bad, key == bad["bad_key"], "left_anti")
 
 

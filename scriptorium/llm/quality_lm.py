@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import slices, text_array, text_column, texts_of, written
+from scriptorium.llm.common import broadcast_if, slices, text_array, text_column, texts_of, written
 
 ORDER = 4
 _PAD = 10  # a line feed: texts begin after three and end with one
 _DENSE = 1 << 26
+#: Ids in larger numbers are joined by a shuffle, not by a broadcast.
+MOST_BROADCAST = 2_000_000
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack:
     they have no perplexity to judge by. Without trusted documents all are kept.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = broadcast_if(written(good, "trusted"), MOST_BROADCAST)
     model = train(docs.join(good, "doc_id", "left_semi"))
     scored = written(perplexities(docs, model), "perplexities")
     trusted = scored.join(good, "doc_id", "left_semi").where("n_chars > 1")
@@ -228,6 +231,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack
 
     Rows of one doc_id go together: they stay if one of them is kept. Rows without doc_id stay.
     """
-    kept = classify(docs, labels, quantile, slack).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = broadcast_if(written(classify(docs, labels, quantile, slack).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept"), MOST_BROADCAST)
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
