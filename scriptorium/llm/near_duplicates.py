@@ -322,31 +322,43 @@ def similarity_classes(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     links = _linked(stars, docs, sets, rule)
     root = components(links)
 
-    def across(t: pa.Table) -> pa.Table | None:
-        """Pairs of a key's sets that are in different components and near enough by their sketches."""
+    def across(t: pa.Table, best: bool) -> pa.Table:
+        """Pairs of a key's sets that are in different components and near enough by their sketches; of each set's only the nearest, if best."""
         key, ids, roots, sizes = (t[c].to_numpy() for c in ("key", "set_id", "root", "n_shingles"))
         data = t["sketch"]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs = [np.zeros((0, 2), np.int64)]
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if len(set(roots[s:e].tolist())) < 2:
                 continue
             band = table[int(key[s]) & 255]
             words = np.stack([np.frombuffer(data[i].as_buffer(), np.uint16, band[2]) for i in range(s, e)])
-            for i in range(e - s - 1):
-                far = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1)
-                most = (100 - rule.percent) * (sizes[s + i + 1 : e] + sizes[s + i]) // (100 + rule.percent)
-                got = s + i + 1 + np.flatnonzero((far <= most) & (roots[s + i + 1 : e] != roots[s + i]))
-                a.append(np.minimum(ids[got], ids[s + i]))
-                b.append(np.maximum(ids[got], ids[s + i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    rest = shared.where("set_id <> low AND set_id <> high").select("key", "set_id").join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    open_keys = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    rest = rest.join(open_keys, "key", "left_semi")
-    with_sketch = rest.join(sketches, "set_id").select("key", "set_id", "root", "n_shingles", F.when(F.col("band") == F.col("key").bitwiseAND(255), F.col("own")).otherwise(F.col("above")).alias("sketch"))
-    more = written(_grouped(with_sketch, across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "more-pairs")
-    root = components(links.union(_linked(more, docs, sets, rule)))
+            for i in range(e - s):
+                j = np.arange(0 if best else i + 1, e - s)
+                far = np.bitwise_count(words[j] ^ words[i]).sum(axis=1)
+                most = (100 - rule.percent) * (sizes[s + j] + sizes[s + i]) // (100 + rule.percent)
+                ok = np.flatnonzero((far <= most) & (roots[s + j] != roots[s + i]))
+                if best and len(ok):
+                    ok = ok[[np.argmin(far[ok])]]
+                other = ids[s + j[ok]]
+                pairs.append(np.stack([np.minimum(other, ids[s + i]), np.maximum(other, ids[s + i])], axis=1))
+        got = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
+
+    def unsettled(root: DataFrame) -> DataFrame:
+        """Sets beside the pivots of keys that more than one component shares, with their sketches for the key's band."""
+        rest = shared.where("set_id <> low AND set_id <> high").select("key", "set_id").join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        keys = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        return rest.join(keys, "key", "left_semi").join(sketches, "set_id").select("key", "set_id", "root", "n_shingles", F.when(F.col("band") == F.col("key").bitwiseAND(255), F.col("own")).otherwise(F.col("above")).alias("sketch"))
+
+    # first each set's nearest neighbour, which settles most; then whatever is left between components
+    done = stars
+    for step, best in (("nearest", True), ("rest", False)):
+        found = _grouped(unsettled(root), lambda t, best=best: across(t, best), "a long, b long").distinct()
+        more = written(found.join(done, ["a", "b"], "left_anti"), f"{step}-pairs")
+        links = links.union(_linked(more, docs, sets, rule))
+        root = components(links)
+        done = done.union(more)
 
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("low_id")).join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = classes.groupBy("root").agg(F.min("low_id").alias("component_id"))
@@ -359,7 +371,7 @@ def keep_one(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:  # noqa:
 
     Rows of one doc_id are taken for one document; rows without doc_id are kept.
     """
-    kept = similarity_classes(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = broadcast_if(written(similarity_classes(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept"), MOST_BROADCAST)
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
