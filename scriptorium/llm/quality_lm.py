@@ -207,26 +207,28 @@ def perplexities(docs: DataFrame, model: KneserNey, shard_bytes: int = 24_000_00
     return packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, "doc_id long, lang string, n_chars long, log_prob double, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.05) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.25) -> DataFrame:
     """Rows (doc_id, lang, n_chars, perplexity, threshold, kept), one for each row of docs.
 
-    Trusted are documents with quality 1 in labels (doc_id, quality). A document is kept if its
-    perplexity is at most `slack` times the `quantile` of trusted documents' perplexities in its language;
-    languages without trusted documents take the quantile over all. Texts without characters are kept:
-    they have no perplexity to judge by. Without trusted documents all are kept.
+    Trusted are documents with quality 1 in labels (doc_id, quality). Four in five of them, by a hash of
+    their ids, train the model; the fifth sets the limits, as a model finds its own training text too
+    usual. A document is kept if its perplexity is at most `slack` times the `quantile` of those
+    documents' perplexities in its language; languages without any take the quantile over all.
+    Texts without characters are kept: they have no perplexity to judge by. Without trusted
+    documents all are kept.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = broadcast_if(written(good, "trusted"), MOST_BROADCAST)
-    model = train(docs.join(good, "doc_id", "left_semi"))
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    good = written(good.withColumn("trains", F.pmod(F.xxhash64("doc_id"), F.lit(5)) > 0), "trusted")
+    model = train(docs.join(broadcast_if(good.where("trains").select("doc_id"), MOST_BROADCAST), "doc_id", "left_semi"))
     scored = written(perplexities(docs, model), "perplexities")
-    trusted = scored.join(good, "doc_id", "left_semi").where("n_chars > 1")
+    trusted = scored.join(good.where("NOT trains").select("doc_id"), "doc_id", "left_semi").where("n_chars > 1")
     over_all = trusted.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q")).first()["q"]
     limits = trusted.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
     out = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("q", F.lit(over_all).cast("double"), F.lit(float("inf"))) * slack)
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", ((F.col("perplexity") <= F.col("threshold")) | (F.col("n_chars") <= 1)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, slack: float = 1.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.25) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns.
 
     Rows of one doc_id go together: they stay if one of them is kept. Rows without doc_id stay.
