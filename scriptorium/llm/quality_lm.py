@@ -213,7 +213,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     Trusted are documents with quality 1 in labels (doc_id, quality). Four in five of them, by a hash of
     their ids, train the model; the fifth sets the limits, as a model finds its own training text too
     usual. A document is kept if its perplexity is at most `slack` times the `quantile` of those
-    documents' perplexities in its language; languages without any take the quantile over all.
+    documents' perplexities in its language, and more for short texts, whose mean spreads as
+    one over the root of their length; languages without any take the quantile over all.
     Texts without characters are kept: they have no perplexity to judge by. Without trusted
     documents all are kept.
     """
@@ -224,7 +225,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     trusted = scored.join(good.where("NOT trains").select("doc_id"), "doc_id", "left_semi").where("n_chars > 1")
     over_all = trusted.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q")).first()["q"]
     limits = trusted.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
-    out = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("q", F.lit(over_all).cast("double"), F.lit(float("inf"))) * slack)
+    out = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("q", F.lit(over_all).cast("double"), F.lit(float("inf"))) * slack * F.exp(1.5 / F.sqrt("n_chars")))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", ((F.col("perplexity") <= F.col("threshold")) | (F.col("n_chars") <= 1)).alias("kept"))
 
 
