@@ -1,13 +1,16 @@
 """Masked pseudo-likelihood: a window network predicts every token from both sides.
 
-Tokens are word classes: the most frequent words of the whole corpus have one each, other words share
-classes by their ends. The network sees two classes on each side, one hidden layer, and a softmax over
-all classes. Tasks train copies of it on their own texts, and the copies' weighted means, taken in
+A token's probability is that of its class, given the classes beside it, times the word's share of its class.
+The most frequent words of the whole corpus are a class each, other words share classes by their ends; shares
+come from the counts of all words, so the vocabulary is as large as the corpus makes it. The network sees two
+classes on each side, has one hidden layer, and two softmax layers: over groups of classes, and over the
+classes of a group. Tasks train copies of it on their own texts, and the copies' weighted means, taken in
 steps, are the next round's start. A document's score is the sum of its tokens' log-probabilities.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import column_of, slices, text_array, text_column, written
+from scriptorium.llm.common import column_of, per_text, slices, text_array, text_column, written
 
 SIDES = (-2, -1, 1, 2)
 
@@ -53,16 +56,35 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
 
 
-def windows(texts: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's class, the classes beside it (the number of classes stands for a text's edge), tokens per text."""
-    place, words, counts = _split(texts)
-    edge = classes.size
+@dataclass(frozen=True)
+class Shares:
+    """Counts of the words: `words` has the frequent ones with their `log_n`, `rest` (word, n) all others.
+
+    `log_all` is for each class the logarithm of its tokens and one more, which stands for all unseen words;
+    it is 0 for a class of one word, whose share is 1.
+    """
+
+    words: pa.Array
+    log_n: np.ndarray
+    log_all: np.ndarray
+    rest: DataFrame
+
+
+def beside(own: np.ndarray, counts: np.ndarray, edge: int) -> np.ndarray:
+    """The classes beside each token of texts of `counts` tokens; `edge` stands for a text's edge."""
     gap = 2
-    own = classes.of(words)[place] if len(words) else np.zeros(0, np.int64)
     padded = np.full(len(own) + gap * (len(counts) + 1), edge, np.int64)
     at = np.arange(len(own)) + gap * (np.repeat(np.arange(len(counts)), counts) + 1)
     padded[at] = own
-    return own, np.stack([padded[at + s] for s in SIDES], axis=1) if len(own) else np.zeros((0, len(SIDES)), np.int64), counts
+    return np.stack([padded[at + s] for s in SIDES], axis=1)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """The rows' probabilities, in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
 
 
 class Network:
@@ -70,11 +92,13 @@ class Network:
 
     def __init__(self, classes: int, hidden: int, flat: np.ndarray | None = None) -> None:
         self.classes, self.hidden = classes, hidden
-        shapes = [(len(SIDES), classes + 1, hidden), (hidden,), (hidden, classes), (classes,)]
+        self.width = math.isqrt(classes - 1) + 1
+        groups = -(-classes // self.width)
+        shapes = [(len(SIDES), classes + 1, hidden), (hidden,), (hidden, classes), (classes,), (hidden, groups), (groups,)]
         sizes = [int(np.prod(s)) for s in shapes]
         self.flat = np.zeros(sum(sizes), np.float32) if flat is None else flat.astype(np.float32)
         cuts = np.cumsum([0, *sizes])
-        self.side, self.bias, self.out, self.base = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], shapes, strict=True))
+        self.side, self.bias, self.out, self.base, self.group_out, self.group_base = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], shapes, strict=True))
 
     @classmethod
     def fresh(cls, frequency: np.ndarray, hidden: int, seed: int = 7) -> Network:
@@ -83,39 +107,56 @@ class Network:
         rng = np.random.default_rng(seed)
         net.side[:] = rng.normal(0, 0.1, net.side.shape)
         net.out[:] = rng.normal(0, 0.1, net.out.shape)
+        net.group_out[:] = rng.normal(0, 0.1, net.group_out.shape)
         net.base[:] = np.log((frequency + 1) / (frequency.sum() + len(frequency)))
+        net.group_base[:] = np.log(np.add.reduceat(np.exp(net.base), np.arange(0, len(frequency), net.width)))
         return net
 
     def _hidden(self, beside: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.side[i][beside[:, i]] for i in range(len(SIDES))) + self.bias)
 
+    def _by_group(self, own: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """For each group of the tokens: its columns, its tokens, their places in it."""
+        group = (own // self.width).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=len(self.group_base)))
+        for g in np.flatnonzero(np.diff(ends, prepend=0)):
+            i = order[ends[g - 1] if g else 0 : ends[g]]
+            yield slice(g * self.width, min((g + 1) * self.width, self.classes)), i, own[i] - g * self.width
+
     def log_probability(self, own: np.ndarray, beside: np.ndarray) -> np.ndarray:
         """The log-probability of each token's class given the classes beside it."""
         out = np.empty(len(own), np.float32)
         for s in range(0, len(own), 8192):
-            logits = self._hidden(beside[s : s + 8192]) @ self.out + self.base
-            y = own[s : s + 8192]
-            hit = logits[np.arange(len(y)), y]
-            logits -= (top := logits.max(axis=1, keepdims=True))
-            out[s : s + 8192] = hit - top[:, 0] - np.log(np.exp(logits, out=logits).sum(axis=1))
+            y, h = own[s : s + 8192], self._hidden(beside[s : s + 8192])
+            part = np.log(_softmax(h @ self.group_out + self.group_base)[np.arange(len(y)), y // self.width])
+            for columns, i, place in self._by_group(y):
+                part[i] += np.log(_softmax(h[i] @ self.out[:, columns] + self.base[columns])[np.arange(len(i)), place])
+            out[s : s + 8192] = part
         return out
 
     def gradient(self, own: np.ndarray, beside: np.ndarray) -> np.ndarray:
         """The gradient of the mean negative log-probability, laid out as the weights."""
+        g, n = Network(self.classes, self.hidden), len(own)
         h = self._hidden(beside)
-        p = h @ self.out + self.base
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(own)), own] -= 1
-        p /= len(own)
-        g = Network(self.classes, self.hidden)
-        g.out[:] = h.T @ p
-        g.base[:] = p.sum(axis=0)
-        back = (p @ self.out.T) * (1 - h * h)
+        p = _softmax(h @ self.group_out + self.group_base)
+        p[np.arange(n), own // self.width] -= 1
+        p /= n
+        g.group_out[:] = h.T @ p
+        g.group_base[:] = p.sum(axis=0)
+        back = p @ self.group_out.T
+        for columns, i, place in self._by_group(own):
+            near, weights = h[i], self.out[:, columns]
+            p = _softmax(near @ weights + self.base[columns])
+            p[np.arange(len(i)), place] -= 1
+            p /= n
+            g.out[:, columns] = near.T @ p
+            g.base[columns] = p.sum(axis=0)
+            back[i] += p @ weights.T
+        back *= 1 - h * h
         g.bias[:] = back.sum(axis=0)
         for i in range(len(SIDES)):
-            order = np.argsort(beside[:, i], kind="stable")
+            order = np.argsort(beside[:, i].astype(np.uint16), kind="stable")
             kinds, starts = np.unique(beside[order, i], return_index=True)
             g.side[i][kinds] = np.add.reduceat(back[order], starts)
         return g.flat
@@ -148,69 +189,125 @@ def _mean(spark: SparkSession, copies: DataFrame) -> np.ndarray | None:
     return np.frombuffer(row["flat"], np.float32) if row else None
 
 
-def train(docs: DataFrame, words: int = 192, shared: int = 64, hidden: int = 24, rounds: int = 2, one_in: int = 8) -> tuple[Classes, np.ndarray] | None:
-    """Classes and weights learnt from all texts of docs; None if they have no word.
+def vocabulary(docs: DataFrame, words: int = 192, shared: int = 64, table: int = 262_144) -> tuple[Classes, np.ndarray, Shares] | None:
+    """Classes, their tokens, and the shares of all words in them; None if docs have no word.
 
-    Classes come from the counts of all words. In each round a task passes over its texts once and learns from
-    every `one_in`-th token of each text, another one each round; a text of fewer tokens gives its first.
+    The `table` most frequent words go to every task, a fixed number; the others stay in a written table.
     """
-    spark = docs.sparkSession
     counts = written(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    if not top:
+    top = counts.orderBy(F.desc("n"), "word").limit(table).toArrow()
+    if not top.num_rows:
         return None
-    classes = Classes({r["word"]: i for i, r in enumerate(top)}, shared)
-    total = counts.agg(F.sum("n").alias("n")).first()["n"]
-    frequency = np.r_[[float(r["n"]) for r in top], np.full(shared, max(0.0, total - sum(r["n"] for r in top)) / shared)]
+    frequent = pa.concat_arrays(top["word"].cast(pa.string()).chunks)
+    n = top["n"].to_numpy().astype(np.float64)
+    singles = frequent[:words].to_pylist()
+    classes = Classes({w: i for i, w in enumerate(singles)}, shared)
+    by_end = np.zeros(shared)
+    for r in counts.groupBy(F.pmod(F.crc32(F.encode(F.right("word", F.lit(2)), "UTF-8")), F.lit(shared)).alias("end")).agg(F.sum("n").alias("n")).collect():
+        by_end[r["end"]] = r["n"]
+    for w, k in zip(singles, n, strict=False):
+        by_end[zlib.crc32(w[-2:].encode()) % shared] -= k
+    log_all = np.r_[np.zeros(len(singles)), np.log(by_end + 1)]
+    last = {"word": frequent[-1].as_py(), "n": int(n[-1])}
+    rest = counts.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > F.lit(last["word"]))))
+    return classes, np.r_[n[: len(singles)], by_end], Shares(frequent, np.log(n), log_all, rest)
+
+
+def encode(docs: DataFrame, classes: Classes, shares: Shares) -> DataFrame:
+    """Rows (row, doc_id, classes, share, tail), written, one for each row of docs.
+
+    classes holds the tokens' classes as 16-bit numbers; share is the sum of the logarithms of the tokens' shares of
+    their classes, in which words outside the table count as seen once; tail lists these, as often as they occur.
+    """
+    frequent, log_frequent, log_all = shares.words, shares.log_n, shares.log_all
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 8_000_000):
+            place, words, counts = _split(text_array(b))
+            own, at = classes.of(words), pc.index_in(pa.array(words, pa.string()), value_set=frequent)
+            outside = at.is_null().to_numpy(zero_copy_only=False)
+            log_n = log_frequent[at.fill_null(0).to_numpy(zero_copy_only=False)]
+            log_n[outside] = 0
+            own, share = own[place], np.where(own < len(classes.words), 0, log_n - log_all[own])[place]
+            tail = np.flatnonzero(outside[place])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text(outside[place].astype(np.int64), counts))), pa.int32()), pa.array(words, pa.string()).take(pa.array(place[tail])))
+            bounds = pa.py_buffer(np.append(0, np.cumsum(2 * counts)).astype(np.int32))
+            blob = pa.Array.from_buffers(pa.binary(), len(counts), [None, bounds, pa.py_buffer(own.astype(np.uint16))])
+            yield pa.RecordBatch.from_arrays([column_of(b, "row"), column_of(b, "doc_id"), blob, pa.array(per_text(share, counts), pa.float64()), lists], names=["row", "doc_id", "classes", "share", "tail"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    return written(rows.mapInArrow(run, "row long, doc_id long, classes binary, share double, tail array<string>"), "encoded")
+
+
+def _own(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a batch's tokens, tokens per text."""
+    blob = column_of(b, "classes")
+    ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
+    data = blob.buffers()[2]
+    own = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint16) if data is not None else np.zeros(0, np.uint16)
+    return own.astype(np.int64), np.diff(ends).astype(np.int64) // 2
+
+
+def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: int = 2, one_in: int = 8) -> np.ndarray:
+    """Weights learnt from all texts of encoded.
+
+    In each round a task passes over its texts once and learns from every `one_in`-th token of each text, another
+    one each round; a text of fewer tokens gives its first.
+    """
+    spark = encoded.sparkSession
     flat = Network.fresh(frequency, hidden).flat
-    texts = docs.select(text_column(docs).alias("text"), F.spark_partition_id().alias("part"))
+    rows = encoded.select("classes", F.spark_partition_id().alias("part"))
     for k in range(rounds):
 
         def learn(batches: Iterable[pa.RecordBatch], k: int = k, flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            net = Network(classes.size, hidden, flat.copy())
+            net = Network(len(frequency), hidden, flat.copy())
             speed = np.full(len(net.flat), 1e-6, np.float32)
             seen, part = 0, 0
-            for b in slices(batches, 4_000_000):
+            for b in slices(batches, 1_000_000, "classes"):
                 part = column_of(b, "part")[0].as_py()
-                own, beside, n = windows(text_array(b), classes)
+                own, n = _own(b)
+                near = beside(own, n, len(frequency))
                 inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 use = np.flatnonzero((inside % one_in == k % one_in) | (inside == 0))
                 for s in range(0, len(use), 2048):
                     i = use[s : s + 2048]
-                    g = net.gradient(own[i], beside[i])
+                    g = net.gradient(own[i], near[i])
                     speed += g * g
                     net.flat -= np.float32(0.1) * g / np.sqrt(speed)
                 seen += len(use)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], names=["part", "weight", "flat"])
 
-        flat = _mean(spark, texts.mapInArrow(learn, "part long, weight double, flat binary"))
-    return classes, flat
+        flat = _mean(spark, rows.mapInArrow(learn, "part long, weight double, flat binary"))
+    return flat
 
 
-def scores(docs: DataFrame, classes: Classes, flat: np.ndarray, hidden: int = 24) -> DataFrame:
-    """Rows (doc_id, n_tokens, log_prob, mean_log_prob), one for each row of docs.
+def scores(encoded: DataFrame, shares: Shares, flat: np.ndarray, hidden: int = 24) -> DataFrame:
+    """Rows (doc_id, n_tokens, log_prob, mean_log_prob), one for each row of encoded.
 
     log_prob is the sum of the tokens' conditional log-probabilities. Null and empty texts have no token,
-    log_prob 0 and no mean.
+    log_prob 0 and no mean. The words outside the table meet their counts in a join on words.
     """
+    size = len(shares.log_all)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(classes.size, hidden, flat)
-        for b in slices(batches, 8_000_000):
-            own, beside, n = windows(text_array(b), classes)
-            total = np.append(0, np.cumsum(net.log_probability(own, beside), dtype=np.float64))
-            ends = np.cumsum(n)
-            log_p = total[ends] - total[ends - n]
-            yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(n), pa.array(log_p), pa.array(log_p / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+        net = Network(size, hidden, flat)
+        for b in slices(batches, 2_000_000, "classes"):
+            own, n = _own(b)
+            log_p = per_text(net.log_probability(own, beside(own, n, size)).astype(np.float64), n)
+            yield pa.RecordBatch.from_arrays([column_of(b, "row"), column_of(b, "doc_id"), pa.array(n), pa.array(log_p + column_of(b, "share").to_numpy())], names=["row", "doc_id", "n_tokens", "log_p"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    by_class = encoded.select("row", "doc_id", "classes", "share").mapInArrow(run, "row long, doc_id long, n_tokens long, log_p double")
+    tail = encoded.select("row", F.explode("tail").alias("word")).join(shares.rest, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    total = F.col("log_p") + F.coalesce("more", F.lit(0.0))
+    return by_class.join(tail, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on docs and score them (see train and scores)."""
-    got = train(docs)
+    got = vocabulary(docs)
     if got is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_prob"), F.lit(None).cast("double").alias("mean_log_prob"))
-    return scores(docs, *got)
+    classes, frequency, shares = got
+    encoded = encode(docs, classes, shares)
+    return scores(encoded, shares, train(encoded, frequency))

@@ -118,3 +118,20 @@ def test_pseudo_likelihood(spark):
     assert got[1].mean_log_prob is None
     assert got[100].mean_log_prob > got[300].mean_log_prob + 1
     assert masked_lm.pseudo_likelihood(empty(spark)).count() == 0
+
+
+def test_words_have_their_shares(spark):
+    """Two words of one class in the same context: the rarer one has the lower score, as its count says, in the table or outside."""
+    docs = frame(spark, [*((i, "red green blue " * 30 + "zzhing") for i in range(20)), (300, "red green blue " * 30 + "qqhing")])
+    for table in (3, 1000):
+        classes, frequency, shares = masked_lm.vocabulary(docs, words=3, table=table)
+        encoded = masked_lm.encode(docs, classes, shares)
+        got = {r.doc_id: r.log_prob for r in masked_lm.scores(encoded, shares, masked_lm.Network.fresh(frequency, 24).flat).collect()}
+        assert got[0] - got[300] == pytest.approx(np.log(20), abs=1e-4)
+        unseen = masked_lm.encode(frame(spark, [(1, "qqhing"), (2, "xxxing")]), classes, shares)
+        got = {r.doc_id: r.log_prob for r in masked_lm.scores(unseen, shares, masked_lm.Network.fresh(frequency, 24).flat).collect()}
+        assert got[1] == pytest.approx(got[2], abs=1e-5)
+    flat = masked_lm.train(encoded, frequency)
+    net = masked_lm.Network(len(frequency), 24, flat)
+    near = np.zeros((len(frequency), 4), np.int64)
+    assert np.exp(net.log_probability(np.arange(len(frequency)), near)).sum() == pytest.approx(1, abs=1e-4)
