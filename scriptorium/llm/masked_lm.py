@@ -248,11 +248,10 @@ def _own(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return own.astype(np.int64), np.diff(ends).astype(np.int64) // 2
 
 
-def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: int = 2, one_in: int = 8) -> np.ndarray:
+def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: int = 2) -> np.ndarray:
     """Weights learnt from all texts of encoded.
 
-    In each round a task passes over its texts once and learns from every `one_in`-th token of each text, another
-    one each round; a text of fewer tokens gives its first.
+    In each round a task passes over its texts once and learns from all their tokens, in a mixed order.
     """
     spark = encoded.sparkSession
     flat = Network.fresh(frequency, hidden).flat
@@ -262,13 +261,12 @@ def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: i
         def learn(batches: Iterable[pa.RecordBatch], k: int = k, flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
             net = Network(len(frequency), hidden, flat.copy())
             speed = np.full(len(net.flat), 1e-6, np.float32)
-            seen, part = 0, 0
+            seen, part, rng = 0, 0, np.random.default_rng(k)
             for b in slices(batches, 1_000_000, "classes"):
                 part = column_of(b, "part")[0].as_py()
                 own, n = _own(b)
                 near = beside(own, n, len(frequency))
-                inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                use = np.flatnonzero((inside % one_in == k % one_in) | (inside == 0))
+                use = rng.permutation(len(own))
                 for s in range(0, len(use), 2048):
                     i = use[s : s + 2048]
                     g = net.gradient(own[i], near[i])

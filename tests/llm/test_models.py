@@ -135,3 +135,20 @@ def test_words_have_their_shares(spark):
     net = masked_lm.Network(len(frequency), 24, flat)
     near = np.zeros((len(frequency), 4), np.int64)
     assert np.exp(net.log_probability(np.arange(len(frequency)), near)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_every_token_is_trained_on(spark, monkeypatch):
+    """Words that stand only at the third to eighth place of each eight are targets, too, in each round."""
+    docs = frame(spark, [(i, "one two three four five six seven eight " * 20) for i in range(20)])
+    classes, frequency, shares = masked_lm.vocabulary(docs)
+    encoded = masked_lm.encode(docs, classes, shares)
+    fresh = masked_lm.Network.fresh(frequency, 24).flat
+    own = np.array([classes.words[w] for w in "one two three four five six seven eight".split()])
+    near = np.array([[own[(i + s) % 8] for s in masked_lm.SIDES] for i in range(8)])
+    learnt = masked_lm.Network(len(frequency), 24, masked_lm.train(encoded, frequency)).log_probability(own, near)
+    assert (learnt > masked_lm.Network(len(frequency), 24, fresh).log_probability(own, near)).all()
+    weights = []
+    mean = masked_lm._mean
+    monkeypatch.setattr(masked_lm, "_mean", lambda spark, copies: (weights.append(copies.agg({"weight": "sum"}).first()[0]), mean(spark, copies))[1])
+    masked_lm.train(encoded, frequency)
+    assert weights == [3200, 3200]
