@@ -47,14 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in annotation rows."""
+def annotations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The stand-in annotation rows; passages are the first 40 words of the texts, or all."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     w = F.col("w")
     return d.withColumn("w", text.words(F.col("text"))).select(
         i.alias("row_id"), F.concat(F.lit("m"), (i % 4).cast("string")).alias("model_label"), F.col("source").alias("source_file"),
         F.concat(F.lit("c"), F.floor(i / PER_CHUNK).cast("string")).alias("chunk_id"), F.lit("").alias("chunk_label"), (F.floor(i / PER_CHUNK) % 5).cast("int").alias("chunk_index"),
-        F.array_join(F.slice(w, 1, 40), " ").alias("passage"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), (i * 7 % 12 + 1).cast("int")).alias("soc_type"),
+        F.array_join(w if whole else F.slice(w, 1, 40), " ").alias("passage"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), (i * 7 % 12 + 1).cast("int")).alias("soc_type"),
         F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int")).alias("confidence"),
         F.array_join(F.slice(w, 1, 5), " ").alias("explanation"), F.array_join(F.slice(w, 6, 4), ", ").alias("evidence"),
     )
@@ -85,8 +85,8 @@ gid AS (SELECT u.m.id AS row_id, before + u.m.g AS group_id FROM base, unnest(st
 clu AS (SELECT ann.*, CAST(group_id AS BIGINT) AS group_id FROM ann JOIN gid USING (row_id))"""
 
 
-def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.number_groups(matching.cluster(annotations(spark, sf_dir)))
+def clustered(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return matching.number_groups(matching.cluster(annotations(spark, sf_dir, whole)))
 
 
 # Text operators
@@ -166,13 +166,13 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"WITH {_ANN}, f AS (SELECT chunk_id AS k, row_id, len(tokens) AS n, unnest(tokens) AS t FROM tok) SELECT a.row_id AS a, b.row_id AS b, count(*) / least(a.n, b.n) AS overlap FROM f a JOIN f b ON a.k = b.k AND a.t = b.t AND a.row_id < b.row_id GROUP BY a.row_id, b.row_id, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.35")
-def overlapping_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.overlapping_pairs(annotations(spark, sf_dir), "chunk_id")
+def overlapping_passages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return matching.overlapping_pairs(annotations(spark, sf_dir, whole), "chunk_id")
 
 
 @query(rf"WITH RECURSIVE {_CLUSTER} SELECT row_id, chunk_id, group_id FROM clu")
-def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(spark, sf_dir).select("row_id", "chunk_id", "group_id")
+def passage_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return clustered(spark, sf_dir, whole).select("row_id", "chunk_id", "group_id")
 
 
 _GROUPS = f"""{_CLUSTER}, grp AS (
@@ -183,19 +183,19 @@ _GROUPS = f"""{_CLUSTER}, grp AS (
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, chunk_id, source_file, array_to_string(models, ', ') AS models, CAST(n_models AS INTEGER) AS n_models, representative, agreement FROM grp")
-def group_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.groups_table(clustered(spark, sf_dir)).withColumn("models", F.array_join(F.array_sort("models"), ", "))
+def group_overview(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return matching.groups_table(clustered(spark, sf_dir, whole)).withColumn("models", F.array_join(F.array_sort("models"), ", "))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS n_groups, count(*) FILTER (WHERE n_models > 1) AS n_multi, count(*) FILTER (WHERE agreement = 'full') AS n_full, count(*) FILTER (WHERE agreement = 'partial') AS n_partial FROM grp")
-def group_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir)))
+def group_figures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir, whole)))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, CAST(n_models AS INTEGER) AS n_models FROM grp WHERE n_models >= 2 AND (list_contains(models, 'm0') OR list_contains(models, 'm2')) AND source_file IN (SELECT source_file FROM ann WHERE confidence = 'high')")
-def visible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = annotations(spark, sf_dir).where("confidence = 'high'")
-    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir)), 2, ["m0", "m2"], view).select("group_id", "n_models")
+def visible_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    view = annotations(spark, sf_dir, whole).where("confidence = 'high'")
+    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir, whole)), 2, ["m0", "m2"], view).select("group_id", "n_models")
 
 
 def _track_sql(t: consensus.Track) -> str:
@@ -217,8 +217,8 @@ SELECT group_id, row_id, source_file, chunk_id, chunk_label, chunk_index, passag
 
 
 def _add_track(t: consensus.Track) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return consensus.apply_track(clustered(spark, sf_dir), t)
+    def run(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+        return consensus.apply_track(clustered(spark, sf_dir, whole), t)
 
     run.__name__ = f"consensus_{t.name}"
     query(_track_sql(t))(run)
@@ -244,18 +244,18 @@ rec AS (SELECT group_id, b.s AS source_file, b.c AS chunk_id, passage, n_models
         FROM g JOIN tp USING (group_id) JOIN cnt USING (top) LEFT JOIN ex USING (group_id) WHERE n_models >= 3 OR n_models = 1)"""
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.group_records(clustered(spark, sf_dir), min_models=3, rare_below=5)
+def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dataset.group_records(clustered(spark, sf_dir, whole), min_models=3, rare_below=5)
 
 
 @query(f"WITH RECURSIVE {_RECORDS} SELECT * FROM rec")
-def dataset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir)
+def dataset_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole)
 
 
 @query(f"WITH RECURSIVE {_RECORDS} SELECT is_soc, hard_negative, soc_type, count(*) AS n FROM rec GROUP BY ALL")
-def dataset_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).groupBy("is_soc", "hard_negative", "soc_type").agg(F.count("*").alias("n"))
+def dataset_figures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole).groupBy("is_soc", "hard_negative", "soc_type").agg(F.count("*").alias("n"))
 
 
 @query(r"""SELECT conv_id, u AS passage, regexp_extract(t, '(?s)^\s*(.*?)\s*$', 1) AS think FROM (
@@ -268,9 +268,9 @@ def chat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_ANN}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS k FROM ann WHERE chunk_id NOT IN (SELECT 'c' || (doc_id // {PER_CHUNK}) FROM labels WHERE toxic = 1)) SELECT chunk_id, row_id, passage FROM r WHERE k = 1 AND passage <> ''")
-def clean_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_negatives(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     positives = table(spark, sf_dir, "labels").where("toxic = 1").select(F.concat(F.lit("c"), F.floor(F.col("doc_id") / PER_CHUNK).cast("string")).alias("chunk_id"))
-    return dataset.clean_negatives(annotations(spark, sf_dir), positives).select("chunk_id", "row_id", "passage")
+    return dataset.clean_negatives(annotations(spark, sf_dir, whole), positives).select("chunk_id", "row_id", "passage")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -340,8 +340,8 @@ def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + _CLUSTER + ", f AS (SELECT *, row_number() OVER (PARTITION BY group_id, model_label ORDER BY row_id) AS k FROM clu), l AS (SELECT group_id, model_label, 'soc_type' AS field, soc_type AS value FROM f WHERE k = 1 UNION ALL SELECT group_id, model_label, 'explanation', coalesce(nullif(explanation, ''), '—') FROM f WHERE k = 1) SELECT group_id, field, " + ", ".join(f"max(value) FILTER (WHERE model_label = '{m}') AS {m}" for m in MODELS) + " FROM l GROUP BY group_id, field")
-def field_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.field_table(clustered(spark, sf_dir), ["soc_type", "explanation"], MODELS)
+def field_comparison(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return reports.field_table(clustered(spark, sf_dir, whole), ["soc_type", "explanation"], MODELS)
 
 
 _PAIRS = "p AS (SELECT CASE WHEN quality = 1 THEN 'soc' ELSE 'none' END AS y_true, CASE WHEN n_chars > 1000 THEN 'soc' ELSE 'none' END AS y_pred FROM labels JOIN documents USING (doc_id))"
@@ -387,14 +387,15 @@ _TRACE = r"""d AS (SELECT doc_id, text AS passage, doc_id % 2 = 0 AS is_soc, 'It
 
 @query(f"""WITH {_TRACE}, s AS (SELECT doc_id, is_soc, {_HITS(scoring.SPECIFIC_WORDS)} AS n, {_HITS(scoring.SCEPTICAL_PHRASES)} AS k FROM d)
 SELECT doc_id, CASE WHEN n >= 2 THEN 1.0 WHEN n = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS specificity, least(1.0, k * CASE WHEN is_soc THEN 0.4 ELSE 0.5 END)::DOUBLE AS skepticism FROM s""")
-def trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _traces(spark, sf_dir)
+def trace_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    t = _traces(spark, sf_dir, whole)
     return t.select("doc_id", scoring.specificity(F.col("trace")).alias("specificity"), scoring.skepticism(F.col("trace"), F.col("is_soc")).alias("skepticism"))
 
 
-def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _traces(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, SOC_TYPES)), (F.col("doc_id") % 12 + 1).cast("int"))
-    quote = F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ")
+    words = text.words(F.col("text"))
+    quote = F.array_join(words if whole else F.slice(words, 1, 3), " ")
     trace = F.concat(F.lit("It could appear "), "source", F.lit(" "), kind, F.lit(' but falls short: "'), quote, F.lit('"'))
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), trace.alias("trace"))
 
@@ -415,9 +416,35 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"SELECT doc_id, array_to_string({_WORDS}[1:5], ' ') AS passage, 'other_soc' AS soc_type, TRUE AS is_soc, 'a, b' AS secondary_devices FROM documents")
-def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Answers with a think block, one instance and text after it, parsed leniently."""
-    passage = F.array_join(F.slice(text.words(F.col("text")), 1, 5), " ")
+    words = text.words(F.col("text"))
+    passage = F.array_join(words if whole else F.slice(words, 1, 5), " ")
     body = F.to_json(F.struct(F.array(F.struct(passage.alias("passage"), F.lit("false").alias("is_soc"), F.lit("a, b").alias("secondary_devices"))).alias("soc_instances")))
     answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<think>a {b}</think>\n"), body, F.lit(" tail")).alias("raw"))
     return parsing.parse_answers(answers).select("doc_id", "passage", "soc_type", "is_soc", F.array_join("secondary_devices", ", ").alias("secondary_devices"))
+
+
+# The same over whole texts; the SQL of the queries above keeps to the texts' first words
+
+_CUTS = (("array_to_string(w[1:40], ' ')", "array_to_string(w, ' ')"), ("array_to_string(w[1:3], ' ')", "array_to_string(w, ' ')"), (f"array_to_string({_WORDS}[1:5], ' ')", f"array_to_string({_WORDS}, ' ')"))
+WHOLE = (
+    "overlapping_passages", "passage_groups", "group_overview", "group_figures", "visible_groups", "consensus_conservative", "consensus_moderate", "consensus_liberal",
+    "consensus_longest", "dataset_records", "dataset_figures", "clean_negatives", "field_comparison", "parsed_answers", "trace_scores",
+)
+
+
+def _add_whole(name: str) -> None:
+    f, sql = _QUERIES[name], _SQL[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, whole=True)
+
+    for cut, whole in _CUTS:
+        sql = sql.replace(cut, whole)
+    run.__name__ = f"{name}_whole"
+    query(sql)(run)
+
+
+for _name in WHOLE:
+    _add_whole(_name)

@@ -189,3 +189,20 @@ def test_books_and_config(spark):
     assert readers.load_tracks({"tracks": {"t": {"min_models": 1}}})["t"].min_models == 1
     with pytest.raises(ValueError, match="unknown"):
         readers.choose_models(["a"], ["b"])
+
+
+def test_whole_texts(spark, tmp_path):
+    """Texts that differ, or agree, only after their 40th word, by brute force on all words."""
+    from scriptorium.plans import registry
+
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    same = " ".join(f"s{i}" for i in range(400))
+    texts = [f"{own(0)} {same}", f"{own(1)} {same}", own(2) + " " + " ".join(f"a{i}" for i in range(400)), own(2) + " " + " ".join(f"b{i}" for i in range(400)), '{"a": "b" ' * 30]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    sets = [set(t.lower().split()) for t in texts]
+    expected = {(a, b) for b in range(4) for a in range(b) if len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.35}
+    assert {(r.a, r.b) for r in q("overlapping_passages_whole")} == expected == {(0, 1)}
+    group = {r.row_id: r.group_id for r in q("passage_groups_whole")}
+    assert group[0] == group[1] and len({group[i] for i in (0, 2, 3)}) == 3
+    assert {r.doc_id: r.passage for r in q("parsed_answers_whole")} == {i: " ".join(t.split()) for i, t in enumerate(texts)}
