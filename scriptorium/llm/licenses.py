@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.license_digests import DIGESTS
+
 # Short licences and usual notices, as their publishers word them.
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _AUTHOR = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -23,7 +25,11 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
 )
-_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+# What stands before the texts of KNOWN where they are files of their own.
+_TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD")}
+# Only notices: the word with a sign, a year or a place for one. "copyright notice and ..." starts many a wrapped line.
+_COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t:]*(\(c\)|©|\d{4}|[\[<{](y|d))|\(c\)[ \t]*\d{4}|©)[^\n]*$"
+_SQL_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 _SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("as-is", "as is"), ("&", " and "))
 _OTHER = r"[^\p{L}\p{N}]+"
 
@@ -44,7 +50,9 @@ def digest(text: F.Column) -> F.Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, license) of the known texts."""
-    return spark.createDataFrame(KNOWN, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").dropDuplicates(["digest"])
+    rows = [*KNOWN, *((name, f"{title}\n{rights}\n{text}") for name, text in KNOWN[:3] for title in ("", *_TITLES[name]) for rights in ("", "All rights reserved."))]
+    texts = spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
+    return texts.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string")).dropDuplicates(["digest"])
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -66,9 +74,9 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _sql() -> str:
-    """DuckDB SQL of license_scan; canonical texts are compared instead of their digests."""
+    """DuckDB SQL of license_scan with the texts of KNOWN only; canonical texts are compared instead of their digests."""
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g')"
+        out = f"regexp_replace(lower({x}), '{_SQL_COPYRIGHT}', '', 'g')"
         for a, b in _SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
         return f"trim(regexp_replace({out}, '{_OTHER}', ' ', 'g'))"

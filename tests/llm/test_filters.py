@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,28 @@ def test_licenses(spark):
     assert not got[42].licensed
     assert licenses.license_scan(docs).count() == len(ODD) + 3
     assert licenses.license_scan(empty(spark)).count() == 0
+
+
+def test_published_licenses(spark):
+    """Licences as their usual files have them: title, notice, wrapped lines that start with 'copyright'."""
+    mit, isc = (next(t for n, t in licenses.KNOWN if n == name) for name in ("MIT", "ISC"))
+    terms = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    )
+    texts = {
+        1: ("MIT", f"MIT License\n\nCopyright (c) 2020 Someone\n\n{mit}"),
+        2: ("ISC", "ISC License\n\nCopyright 2020, Someone\n\n" + isc.replace("above copyright notice", "above\ncopyright notice")),
+        3: ("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{terms}"),
+        4: (None, f"Some License\n\n{mit}"),
+    }
+    published = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for k, (file, name) in enumerate(published.items(), 10):
+        if (path := Path("/usr/share/common-licenses") / file).exists():
+            texts[k] = (name, path.read_text())
+    got = {r.doc_id: r.text_license for r in licenses.license_scan(frame(spark, [(k, t) for k, (_, t) in texts.items()])).collect()}
+    assert got == {k: name for k, (name, _) in texts.items()}
