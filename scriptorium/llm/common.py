@@ -18,7 +18,7 @@ _made: list[tuple[SparkSession, str]] = []
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared spark.checkpoint.dir.
 
-    Where that setting is absent (tests in local mode) a temporary folder of the driver is used,
+    Where that setting is absent, in local mode only (tests), a temporary folder of the driver is used,
     and it also becomes the context's checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +26,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
             spark.sparkContext.setCheckpointDir(base)
@@ -36,14 +38,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clean_up() -> None:
     """Remove the written tables of this process; results that were not yet read need them."""
     while _made:
         spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may have ended before the interpreter
             return
 
@@ -52,7 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and lost executors cost nothing."""
     path = work_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove tables that `written` made and that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df.stored_at)
+        _made.remove((df.sparkSession, df.stored_at))
 
 
 def slices(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -67,6 +81,34 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, column: st
             end = max(start + 1, int(np.searchsorted(size, base + chars, "right")))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+
+def gathered(batches: Iterable[pa.RecordBatch], chars: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Join record batches to ones with about `chars` bytes of `column`; larger ones are cut."""
+    held, size = [], 0
+    for b in slices(batches, chars, column):
+        n = int(_lengths(b, column).sum())
+        if held and size + n > chars:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def as_bytes(batch: pa.RecordBatch) -> bytes:
+    """A record batch as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(value: pa.Scalar) -> pa.RecordBatch:
+    """The record batch of as_bytes."""
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
 
 
 def _lengths(batch: pa.RecordBatch, column: str) -> np.ndarray:

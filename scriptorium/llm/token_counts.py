@@ -1,10 +1,11 @@
-"""Token counts without ids: pieces are counted once per distinct pre-token and summed by frequency."""
+"""Token counts without ids: pieces are counted once per distinct pre-token, joined to frequencies, and summed."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import column_of, distinct_words, per_text, slices, text_array, text_column
+from scriptorium.llm.common import as_bytes, column_of, distinct_words, from_bytes, gathered, per_text, text_array, text_column, written
 
 _SPACE = "▁"
 _RUNS = re.compile(f"\n{_SPACE}*[^{_SPACE}\n]*|{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+")
@@ -29,25 +30,19 @@ def pre_tokens(text: str) -> list[str]:
     return [x[1:] if x[0] == _SPACE and len(x) > 1 and x[1] != _SPACE else x if x[0] == "\n" else "\r" + x for x in found]
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
+@cache
 def piece_counter(model_file: str) -> PieceCounter:
-    """The worker process's counter for a model; tasks that follow each other share its table."""
-    if model_file not in _counters:
-        _counters[model_file] = PieceCounter(model_file)
-    return _counters[model_file]
+    """The worker process's counter for a model."""
+    return PieceCounter(model_file)
 
 
 class PieceCounter:
-    """Numbers of pieces of pre-tokens, each distinct one counted once while the bounded table holds it."""
+    """Numbers of pieces of pre-tokens."""
 
-    def __init__(self, model_file: str, most: int = 700_000, most_chars: int = 16_000_000) -> None:
+    def __init__(self, model_file: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.most, self.most_chars, self.chars = most, most_chars, 0
-        self.known: dict[str, int] = {}
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.opens = np.array([p.startswith(_SPACE) for p in pieces])
         for piece in pieces:
@@ -69,46 +64,82 @@ class PieceCounter:
             n[i] = len(self.model.encode(t)) - 1 if t[0] == "\n" else len(self.model.encode("\n" + t[1:])) - 2
         return n
 
-    def _counts(self, tokens: list[str]) -> np.ndarray:
-        new = [t for t in tokens if t not in self.known]
-        if new:
-            self.known.update(zip(new, self.count(new).tolist(), strict=True))
-            self.chars += sum(map(len, new))
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-
-    def totals(self, texts: pa.Array) -> np.ndarray:
-        """The number of pieces of each text: its pre-tokens' frequencies joined to the counts, and summed."""
-        if len(self.known) > self.most or self.chars > self.most_chars:
-            self.known, self.chars = {}, 0
-        out = np.zeros(len(texts), np.int64)
-        rare = pc.match_substring_regex(texts, "^[ \n]| $")
-        for x in ("  ", " \n", "\n ", _SPACE):
-            rare = pc.or_(rare, pc.match_substring(texts, x))
-        rare = rare.to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0)
-        usual = np.flatnonzero(~rare)
-        if len(usual):
-            place, words, sizes = distinct_words(pc.replace_substring(texts.take(pa.array(usual)), "\n", " \n"))
-            out[usual] = per_text(self._counts(words.to_pylist())[place], sizes)
-        for i in np.flatnonzero(rare):
-            tokens = Counter(pre_tokens(texts[int(i)].as_py()))
-            out[i] = self._counts(list(tokens)) @ np.fromiter(tokens.values(), np.int64, len(tokens)) if tokens else 0
-        return out
-
-
-def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def frequencies(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of the texts; and for each text and its distinct ones: the text, the place among them, how often."""
+    rare = pc.match_substring_regex(texts, "^[ \n]| $")
+    for x in ("  ", " \n", "\n ", _SPACE):
+        rare = pc.or_(rare, pc.match_substring(texts, x))
+    rare = rare.to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0)
+    usual = np.flatnonzero(~rare)
+    place, words, sizes = distinct_words(pc.replace_substring(texts.take(pa.array(usual)), "\n", " \n"))
+    pairs, n = np.unique(np.repeat(usual, sizes) * (1 << 32) + place, return_counts=True)
+    owner, place = pairs >> 32, pairs & 0xFFFFFFFF
+    if rare.any():
+        owners, tokens, often = [], [], []
+        for i in np.flatnonzero(rare).tolist():
+            found = Counter(pre_tokens(texts[i].as_py()))
+            owners += [i] * len(found)
+            tokens += found.keys()
+            often += found.values()
+        coded = pa.chunked_array([words, pa.array(tokens, pa.string())]).combine_chunks().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        place = np.concatenate([at[place], at[len(at) - len(tokens) :]])
+        owner, n = np.concatenate([owner, np.array(owners, np.int64)]), np.concatenate([n, np.array(often, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        owner, place, n = owner[order], place[order], n[order]
+    return words, owner, place, n
+
+
+_OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+
+
+def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one for each row of docs.
 
     Null and empty texts have no bytes and no tokens. Null and repeated ids give rows of their own.
-    Other columns are not read. There is no shuffle: each worker keeps a bounded table of the
-    pre-tokens it has met, so that a pre-token is encoded once in a worker, not once in a text.
+    Other columns are not read. Blocks of about `block_chars` bytes of text hold their documents' pre-token
+    frequencies, compressed. A block names each of its pre-tokens once; all blocks' names meet, sorted,
+    so that each distinct pre-token is encoded once in the whole run, and the counts return to the blocks.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = piece_counter(model_file)
-        for b in slices(batches, 16_000_000):
-            n = counter.totals(text_array(b))
-            yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "n_bytes"), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+    def block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(gathered(batches, block_chars)):
+            words, owner, place, n = frequencies(text_array(b))
+            ends = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (place, n)]
+            rows = pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "n_bytes"), *lists], names=["doc_id", "n_bytes", "place", "n"])
+            names = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            number = (column_of(b, "part")[0].as_py() << 32) + k
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([as_bytes(rows)], pa.binary()), names], names=["block", "rows", "names"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, last, last_n = piece_counter(model_file), None, 0
+        for b in batches:
+            coded = column_of(b, "name").dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            new = [x for x in names if x != last]
+            n = counter.count(new)
+            if len(new) < len(names):  # the last batch's last name goes on; sorted, it is the first here
+                n = np.append(last_n, n)
+            if len(names):
+                last, last_n = names[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([column_of(b, "block"), column_of(b, "place"), pa.array(n[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32))], names=["block", "place", "n"])
+
+    def total(key: tuple, blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        pieces = np.zeros(counts.num_rows, np.int64)
+        pieces[counts["place"].to_numpy()] = counts["n"].to_numpy()
+        out = []
+        for value in blocks["rows"]:
+            rows = from_bytes(value)
+            sizes = pc.list_value_length(column_of(rows, "n")).to_numpy(zero_copy_only=False)
+            n = per_text(pieces[column_of(rows, "place").flatten().to_numpy()] * column_of(rows, "n").flatten().to_numpy(), sizes)
+            out.append(pa.table({"doc_id": column_of(rows, "doc_id"), "n_bytes": column_of(rows, "n_bytes"), "n_tokens": n, "over_limit": n > limit}))
+        return pa.concat_tables(out)
 
     text = text_column(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.spark_partition_id().cast("long").alias("part"))
+    blocks = written(rows.mapInArrow(block, "block long, rows binary, names array<string>"), "token-frequencies")
+    named = blocks.select("block", F.posexplode("names").alias("place", "name"))
+    counts = named.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(count, "block long, place int, n int")
+    return blocks.select("block", "rows").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(total, _OUT)
