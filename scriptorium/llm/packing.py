@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import column_of, slices, text_array, text_column, written
+from scriptorium.llm.common import broadcast_if, column_of, slices, text_array, text_column, written
 from scriptorium.llm.tokenization import word_encoder
 from scriptorium.llm.token_output import with_end
 
+MOST_BROADCAST = 400_000
+
 
 class _Lengths:
     """The lengths that still have unpacked pieces, with search for the largest at most x."""
@@ -84,7 +86,7 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, .
             pattern += [k] * n
             taken[k] += n
             gap -= n * k
-        if gap and len(pattern) > 1:
+        if gap:
             small = pattern[-1]
             taken[small] -= 1
             a, b = lengths.best_pair(gap + small, taken)
@@ -129,15 +131,19 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capacity
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rows_per_rank: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_rank: int = 10_000) -> DataFrame:
     """Give each piece a sequence_id and its offset there; pieces has a column `length` of 1 to capacity.
 
     `pieces` must be stored data, as it is read twice. Ranks within a length are counted in shares of
     about `rows_per_rank` pieces, so that a length that a third of all pieces have is dealt over many
-    tasks. All other columns are kept as they are; an empty table gives an empty one.
+    tasks. All other columns are kept as they are; an empty table gives an empty one. A length outside
+    1 to capacity is an error.
     """
     spark = pieces.sparkSession
     keys = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    ends = pieces.agg(F.min("length").alias("low"), F.max("length").alias("high")).first()
+    if ends["low"] is not None and (ends["low"] < 1 or ends["high"] > capacity):
+        raise ValueError(f"lengths are from {ends['low']} to {ends['high']}, not from 1 to {capacity}")
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in counted:
@@ -152,21 +158,23 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows_per_rank: int = 100_000)
         base += times
     # one row for each length of a pattern; their number depends on the capacity, not on the input
     schema = "p_length long, rank_from long, rank_to long, first_sequence long, per_sequence long, first_offset long"
-    # intervals of a length follow each other without gaps: grouped, they are found by their end
-    plan = spark.createDataFrame(rows, schema).groupBy("p_length").agg(F.array_sort(F.collect_list(F.struct("rank_from", "rank_to", "first_sequence", "per_sequence", "first_offset"))).alias("p_plan"))
-    shares = max(1, int(counts.sum()) // rows_per_rank + 1)
-    salted = pieces.withColumn("p_share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys if c in ("doc_id", "piece", "ids_crc32")]), F.lit(shares)).cast("int"))
+    plan = spark.createDataFrame(rows, schema)
+    # a length's intervals follow each other without gaps; each one is also listed under the blocks of ranks that it meets
+    block = max(1, int(counts.sum()) // max(1, len(rows)))
+    plan = plan.withColumn("p_block", F.explode(F.sequence(F.floor(F.col("rank_from") / block), F.floor((F.col("rank_to") - 1) / block))))
+    shares = F.lit((counts // rows_per_rank + 1).tolist())[F.col("length").cast("int")]
+    salted = pieces.withColumn("p_share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys if c in ("doc_id", "piece", "ids_crc32")]), shares).cast("int"))
     before = salted.groupBy("length", "p_share").agg(F.count("*").alias("n")).select(F.col("length").alias("b_length"), F.col("p_share").alias("b_share"), (F.sum("n").over(W.partitionBy("length").orderBy("p_share")) - F.col("n")).alias("p_base"))
     order = [F.col(f"`{c}`") for c in ("doc_id", "piece", "ids_crc32") if c in keys]
     ranked = salted.withColumn("p_rank", F.row_number().over(W.partitionBy("length", "p_share").orderBy(*order)) - 1)
     placed = ranked.join(before, (F.col("length") == F.col("b_length")) & (F.col("p_share") == F.col("b_share"))).withColumn("p_rank", F.col("p_rank") + F.col("p_base"))
-    found = placed.join(F.broadcast(plan), F.col("length") == F.col("p_length")).withColumn("p_at", F.expr("filter(p_plan, p -> p.rank_from <= p_rank AND p_rank < p.rank_to)[0]"))
-    at = F.col("p_at")
-    local = F.col("p_rank") - at["rank_from"]
+    here = (F.col("length") == F.col("p_length")) & (F.floor(F.col("p_rank") / block) == F.col("p_block")) & (F.col("rank_from") <= F.col("p_rank")) & (F.col("p_rank") < F.col("rank_to"))
+    found = placed.join(broadcast_if(plan, MOST_BROADCAST), here)
+    local = F.col("p_rank") - F.col("rank_from")
     return found.select(
         *[F.col(f"`{c}`") for c in keys],
-        (at["first_sequence"] + F.floor(local / at["per_sequence"])).cast("long").alias("sequence_id"),
-        (at["first_offset"] + (local % at["per_sequence"]) * F.col("length")).cast("long").alias("offset"),
+        (F.col("first_sequence") + F.floor(local / F.col("per_sequence"))).cast("long").alias("sequence_id"),
+        (F.col("first_offset") + (local % F.col("per_sequence")) * F.col("length")).cast("long").alias("offset"),
     )
 
 

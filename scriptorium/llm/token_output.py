@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scriptorium.llm.common import column_of, slices, text_array, text_column, work_dir, written
+from scriptorium.llm.common import broadcast_if, column_of, slices, text_array, text_column, work_dir, written
 from scriptorium.llm.simple8b import encode_documents, pack_file, unpack_file
 from scriptorium.llm.tokenization import word_encoder
 
+MOST_BROADCAST = 400_000
 _ENCODED = "part int, doc_id long, n_tokens long, piece binary"
 _FILES = "part int, file string, n_documents long, n_tokens long, n_bytes long"
 
@@ -75,7 +76,18 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_file: str, end_id: int
         store.move(draft, f"{path}/{name}")
         return pa.table({"part": pa.array([part], pa.int32()), "file": [name], "n_documents": pa.array([len(pieces)], pa.int64()), "n_tokens": pa.array([int(lengths.sum())], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
 
-    return written(rows.mapInArrow(encode, _ENCODED).groupBy("part").applyInArrow(write, _FILES), "token-files")
+    # as many tasks as files: a task's bytes do not grow with the input
+    return written(rows.mapInArrow(encode, _ENCODED).repartition(parts, "part").groupBy("part").applyInArrow(write, _FILES), "token-files")
+
+
+def _starts(files: DataFrame, together: int = 4096) -> DataFrame:
+    """(at_part, base): the tokens before each file, added up within runs of `together` files and over the runs."""
+    parts = files.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("at_part"), "n_tokens").withColumn("run", F.floor(F.col("at_part") / together))
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    # a row for each run of files goes through one task, not one for each file
+    runs = parts.groupBy("run").agg(F.sum("n_tokens").alias("n")).select(F.col("run").alias("of_run"), F.coalesce(F.sum("n").over(before.orderBy("run")), F.lit(0)).alias("before"))
+    inside = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before.partitionBy("run").orderBy("at_part")), F.lit(0)))
+    return inside.join(broadcast_if(runs, MOST_BROADCAST), F.col("run") == F.col("of_run")).select("at_part", (F.col("base") + F.col("before")).alias("base"))
 
 
 def read_tokens(spark: SparkSession, out_dir: str, files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -83,9 +95,9 @@ def read_tokens(spark: SparkSession, out_dir: str, files: DataFrame, with_ids: b
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     if files.isEmpty():
         return spark.createDataFrame([], schema)
-    base = files.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("at_part"), (F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("base"))
+    base = _starts(files)
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").schema("path string, modificationTime timestamp, length long, content binary").load(out_dir)
-    joined = content.select("content", F.regexp_extract("path", r"part-(\d+)\.s8b$", 1).cast("int").alias("at_part")).join(F.broadcast(base), "at_part").select("content", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+    joined = content.select("content", F.regexp_extract("path", r"part-(\d+)\.s8b$", 1).cast("int").alias("at_part")).join(broadcast_if(base, MOST_BROADCAST), "at_part").select("content", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,8 +13,8 @@ from hypothesis import strategies as st
 from scriptorium.llm import queries as q
 from scriptorium.llm.packing import pack, pack_documents, plan_sequences, sequences, token_pieces
 from scriptorium.llm.simple8b import decode_blocks, encode_blocks, encode_documents, pack_file, unpack_file
-from scriptorium.llm.token_counts import PieceCounter, token_counts
-from scriptorium.llm.token_output import read_tokens, token_output, write_tokens
+from scriptorium.llm.token_counts import PieceCounter, frequencies, token_counts
+from scriptorium.llm.token_output import _starts, read_tokens, token_output, write_tokens
 from scriptorium.llm.tokenization import WordEncoder
 from tests.llm.helpers import ODD, empty, frame
 
@@ -60,7 +60,9 @@ def test_encoders_equal_libraries(texts):
     assert n.tolist() == [len(x) for x in want]
     if texts:
         model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-        assert PieceCounter(PIECES).totals(pa.array(texts, pa.string())).tolist() == [len(model.encode(t)) for t in texts]
+        words, owner, place, n = frequencies(pa.array(texts, pa.string()))
+        pieces = PieceCounter(PIECES).count(words.to_pylist())
+        assert np.bincount(owner, pieces[place] * n, len(texts)).tolist() == [len(model.encode(t)) for t in texts]
 
 
 def test_token_output(spark):
@@ -131,6 +133,28 @@ def test_plan_uses_each_piece_once(lengths):
 def test_replaces_smallest_by_two():
     counts = np.bincount([6, 3, 2, 2], minlength=11)
     assert plan_sequences(counts, 10)[0][0] == (6, 2, 2)
+    assert plan_sequences(np.bincount([6, 5, 5], minlength=11), 10) == [((5, 5), 1), ((6,), 1)]
+
+
+def test_packing_takes_lengths_within_capacity(spark):
+    with pytest.raises(ValueError, match="from 3 to 11"):
+        pack(spark.createDataFrame([(1, 11), (2, 3)], "doc_id long, length long"), 10)
+
+
+def test_ranks_over_shares(spark):
+    """One length of most pieces, ranked in many shares: each sequence is full and each piece has its place."""
+    pieces = spark.createDataFrame([(i, 3) for i in range(500)] + [(1000 + i, 4) for i in range(100)], "doc_id long, length long").persist()
+    got = pack(pieces, 10, rows_per_rank=7).collect()
+    assert len(got) == len({(r.sequence_id, r.offset) for r in got}) == 600
+    filled = np.bincount([r.sequence_id for r in got], [r.length for r in got])
+    assert filled.max() == 10
+    assert (filled == 10).sum() == 100
+
+
+def test_starts_of_files(spark):
+    files = spark.createDataFrame([(k, f"part-{k:06d}.s8b", 10 + k) for k in range(10)], "part int, file string, n_tokens long")
+    want = [(k, sum(10 + j for j in range(k))) for k in range(10)]
+    assert sorted(tuple(r) for r in _starts(files, 3).collect()) == sorted(tuple(r) for r in _starts(files).collect()) == want
 
 
 def test_token_counts(spark):
@@ -140,9 +164,43 @@ def test_token_counts(spark):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(frame(spark), PIECES).collect())
     want = sorted((i or -1, len(t.encode()), n := len(model.encode(t)), n > 4096) for (i, _), t in zip(ODD, TEXTS, strict=True))
     assert got == want
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(frame(spark), PIECES, block_chars=100).collect()) == want
     assert token_counts(empty(spark), PIECES).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_token_output", "op5_best_fit_packing", "op9_token_counts"])
-def test_queries(spark, sf_dir, name):
-    assert q.queries()[name](spark, sf_dir).count() >= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+def whole_table(spark, sf_dir):
+    """Documents with the library's ids of their whole texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    return {r.doc_id: (r.text or "", ids) for r, ids in zip(docs, library([r.text or "" for r in docs]), strict=True)}
+
+
+def test_token_output_of_the_whole_table(spark, sf_dir):
+    want, start = [], 0
+    for i, (_, ids) in sorted(whole_table(spark, sf_dir).items()):
+        want.append((i, start, len(ids) + 1, crc([*ids, 2])))
+        start += len(ids) + 1
+    assert sorted(tuple(r) for r in q.op2_token_output(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_packing_of_the_whole_table(spark, sf_dir):
+    want = []
+    for i, (_, ids) in whole_table(spark, sf_dir).items():
+        ids = [*ids, 1]
+        want += [(i, k, s, len(ids[s : s + 4096]), crc(ids[s : s + 4096])) for k, s in enumerate(range(0, len(ids), 4096))]
+    got = q.op5_best_fit_packing(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins: dict[int, list] = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        ends = np.cumsum([n for _, n in sorted(b)])
+        assert [o for o, _ in sorted(b)] == [0, *ends[:-1]]
+        assert ends[-1] <= 4096
+
+
+def test_token_counts_of_the_whole_table(spark, sf_dir):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = sorted((i, len(t.encode()), n := len(model.encode(t)), n > 4096) for i, (t, _) in whole_table(spark, sf_dir).items())
+    assert sorted(tuple(r) for r in q.op9_token_counts(spark, sf_dir).collect()) == want
