@@ -1,4 +1,4 @@
-"""Quality rules as a short-circuit cascade: the rule that rejects most per second comes first."""
+"""Quality rules as a short-circuit cascade: next comes the rule that rejects most per second of what is left."""
 
 from __future__ import annotations
 
@@ -102,28 +102,51 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text_column(docs).alias("text"))
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> tuple[Rule, ...]:
-    """Rules in descending order of texts rejected per second, both measured on `sample_rows` rows.
+def order_rules(seconds: np.ndarray, rejects: np.ndarray) -> list[int]:
+    """The order of rules from their cost and verdict on each text of a sample (texts x rules).
 
-    The sample decides on the order only. A rule that rejects nothing there is ranked by its cost
-    alone, behind all others. An empty table leaves the order as given.
+    Next is always the rule with most rejections per second among the texts that the rules before it leave.
+    Rules that reject none of these follow by their cost alone, the cheapest first; ties keep the given order.
+    """
+    left, out = np.ones(len(seconds), bool), []
+    while len(out) < seconds.shape[1]:
+        rest = [i for i in range(seconds.shape[1]) if i not in out]
+        cost = {i: float(seconds[left, i].sum() if left.any() else seconds[:, i].sum()) for i in rest}
+        gain = {i: int(rejects[left, i].sum()) for i in rest}
+        best = min(rest, key=lambda i: (-gain[i] / (cost[i] + 1e-9), cost[i], i))
+        out.append(best)
+        left &= ~rejects[:, best]
+    return out
+
+
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, before: tuple[Rule, ...] = ()) -> tuple[Rule, ...]:
+    """Rules in the order that order_rules gives for about `sample_rows` rows from all partitions of docs.
+
+    Rows that a rule of `before` rejects don't reach the cascade and are not measured. The sample decides
+    on the order only. An empty sample leaves the order as given.
     """
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seconds, rejected, seen = [0.0] * len(rules), [0] * len(rules), 0
         for b in slices(batches):
-            texts = _bytes_of(b)
-            seen += len(texts)
-            for i, rule in enumerate(rules):
-                began = time.process_time()
-                rejected[i] += sum(map(rule.rejects, texts))
-                seconds[i] += time.process_time() - began
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(seconds), pa.array(rejected, pa.int64())], names=["rule", "seconds", "rejected"])
-
-    got = _texts(docs).limit(sample_rows).mapInArrow(measure, "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r")).collect()
-    rate = {r["rule"]: (-r["r"] / (r["s"] + 1e-9), r["s"]) for r in got}
-    return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (*rate.get(i, (0, 0)), i)))
+            seconds, rejects = [], []
+            for text in _bytes_of(b):
+                if any(r.rejects(text) for r in before):
+                    continue
+                took, no = [], []
+                for rule in rules:
+                    began = time.thread_time()
+                    no.append(bool(rule.rejects(text)))
+                    took.append(time.thread_time() - began)
+                seconds.append(took)
+                rejects.append(no)
+            yield pa.RecordBatch.from_arrays([pa.array(seconds, pa.list_(pa.float64())), pa.array(rejects, pa.list_(pa.bool_()))], names=["seconds", "rejects"])
+
+    n = docs.count()
+    sample = _texts(docs.sample(min(1.0, sample_rows / n), 7) if n > sample_rows else docs)
+    got = sample.mapInArrow(measure, "seconds array<double>, rejects array<boolean>").collect()  # some numbers for each row of the sample
+    if not got:
+        return rules
+    return tuple(rules[i] for i in order_rules(np.array([r["seconds"] for r in got]), np.array([r["rejects"] for r in got], bool)))
 
 
 def run_cascade(texts: list[bytes], rules: Iterable[Rule]) -> np.ndarray:
@@ -144,7 +167,7 @@ def quality_stats(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     base_failed texts (under 50 words, or over half of the words in repeated three-word windows) do not
     enter the cascade. Null texts are empty and fail. One row for each row of docs, whatever its id.
     """
-    planned = plan_cascade(docs, rules, sample_rows)
+    planned = plan_cascade(docs, rules, sample_rows, BASE_RULES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
