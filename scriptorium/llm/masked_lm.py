@@ -80,10 +80,10 @@ def beside(own: np.ndarray, counts: np.ndarray, edge: int) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    """The rows' probabilities, in place."""
-    logits -= logits.max(axis=1, keepdims=True)
+    """The columns' probabilities, in place: a column for each token, as short rows are slow to add up."""
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= logits.sum(axis=0)
     return logits
 
 
@@ -113,52 +113,60 @@ class Network:
         return net
 
     def _hidden(self, beside: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.side[i][beside[:, i]] for i in range(len(SIDES))) + self.bias)
-
-    def _by_group(self, own: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """For each group of the tokens: its columns, its tokens, their places in it."""
-        group = (own // self.width).astype(np.uint16)
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=len(self.group_base)))
-        for g in np.flatnonzero(np.diff(ends, prepend=0)):
-            i = order[ends[g - 1] if g else 0 : ends[g]]
-            yield slice(g * self.width, min((g + 1) * self.width, self.classes)), i, own[i] - g * self.width
+        x = self.side[0].take(beside[:, 0], axis=0)
+        for i in range(1, len(SIDES)):
+            x += self.side[i].take(beside[:, i], axis=0)
+        x += self.bias
+        return np.tanh(x, out=x)
+
+    def _groups(self, group: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """For each group of tokens that are sorted by their group: its classes and its tokens."""
+        ends = np.searchsorted(group, np.arange(len(self.group_base) + 1)).tolist()
+        for g, (first, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if end > first:
+                yield slice(g * self.width, min((g + 1) * self.width, self.classes)), slice(first, end)
 
     def log_probability(self, own: np.ndarray, beside: np.ndarray) -> np.ndarray:
         """The log-probability of each token's class given the classes beside it."""
         out = np.empty(len(own), np.float32)
         for s in range(0, len(own), 8192):
-            y, h = own[s : s + 8192], self._hidden(beside[s : s + 8192])
-            part = np.log(_softmax(h @ self.group_out + self.group_base)[np.arange(len(y)), y // self.width])
-            for columns, i, place in self._by_group(y):
-                part[i] += np.log(_softmax(h[i] @ self.out[:, columns] + self.base[columns])[np.arange(len(i)), place])
-            out[s : s + 8192] = part
+            order = np.argsort((own[s : s + 8192] // self.width).astype(np.uint16), kind="stable")
+            y, h = own[s + order], self._hidden(beside[s + order])
+            group, at = y // self.width, np.arange(len(y))
+            p = _softmax(self.group_out.T @ h.T + self.group_base[:, None])[group, at]
+            for classes, i in self._groups(group):
+                p[i] *= _softmax(self.out[:, classes].T @ h[i].T + self.base[classes, None])[y[i] - classes.start, at[: i.stop - i.start]]
+            out[s + order] = np.log(np.maximum(p, np.float32(1e-37)))
         return out
 
     def gradient(self, own: np.ndarray, beside: np.ndarray) -> np.ndarray:
         """The gradient of the mean negative log-probability, laid out as the weights."""
         g, n = Network(self.classes, self.hidden), len(own)
+        order = np.argsort((own // self.width).astype(np.uint16), kind="stable")
+        own, beside = own[order], beside[order]
         h = self._hidden(beside)
-        p = _softmax(h @ self.group_out + self.group_base)
-        p[np.arange(n), own // self.width] -= 1
+        group, at = own // self.width, np.arange(n)
+        p = _softmax(self.group_out.T @ h.T + self.group_base[:, None])
+        p[group, at] -= 1
         p /= n
-        g.group_out[:] = h.T @ p
-        g.group_base[:] = p.sum(axis=0)
-        back = p @ self.group_out.T
-        for columns, i, place in self._by_group(own):
-            near, weights = h[i], self.out[:, columns]
-            p = _softmax(near @ weights + self.base[columns])
-            p[np.arange(len(i)), place] -= 1
+        g.group_out[:] = (p @ h).T
+        g.group_base[:] = p.sum(axis=1)
+        back = p.T @ self.group_out.T
+        for classes, i in self._groups(group):
+            near, weights = h[i], self.out[:, classes]
+            p = _softmax(weights.T @ near.T + self.base[classes, None])
+            p[own[i] - classes.start, at[: i.stop - i.start]] -= 1
             p /= n
-            g.out[:, columns] = near.T @ p
-            g.base[columns] = p.sum(axis=0)
-            back[i] += p @ weights.T
+            g.out[:, classes] = (p @ near).T
+            g.base[classes] = p.sum(axis=1)
+            back[i] += p.T @ weights.T
         back *= 1 - h * h
         g.bias[:] = back.sum(axis=0)
         for i in range(len(SIDES)):
             order = np.argsort(beside[:, i].astype(np.uint16), kind="stable")
-            kinds, starts = np.unique(beside[order, i], return_index=True)
-            g.side[i][kinds] = np.add.reduceat(back[order], starts)
+            kinds = beside[order, i]
+            starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
+            g.side[i][kinds[starts]] = np.add.reduceat(back.take(order, axis=0), starts, axis=0)
         return g.flat
 
 
@@ -267,8 +275,8 @@ def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: i
                 own, n = _own(b)
                 near = beside(own, n, len(frequency))
                 use = rng.permutation(len(own))
-                for s in range(0, len(use), 2048):
-                    i = use[s : s + 2048]
+                for s in range(0, len(use), 4096):
+                    i = use[s : s + 4096]
                     g = net.gradient(own[i], near[i])
                     speed += g * g
                     net.flat -= np.float32(0.1) * g / np.sqrt(speed)
