@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import chunk_id, strip
+from scriptorium.functions.text import chunk_id, file_stem, strip
 
 # Line patterns of headings, and the narrators whose names head one novel's sections.
 HEADINGS = (
@@ -23,7 +23,7 @@ HEADINGS = (
     r"^\s*\[.+\]\s*$",
 )
 NARRATORS = ("Darl", "Cora", "Jewel", "Dewey Dell", "Tull", "Anse", "Peabody", "Vardaman", "Cash", "Samson", "Addie", "Whitfield", "Armstid", "Moseley", "MacGowan")
-# Chunk sizes and overlaps in tokens by model family.
+# Chunk sizes and overlaps in tokens by model family (see token_chunks).
 PRESETS = {
     "qwen3-8b": (9_000, 600),
     "qwen3-14b": (11_000, 800),
@@ -40,23 +40,21 @@ Piece = tuple[str, str]
 
 
 def pack_sentences(text: str, size: int, overlap: int) -> list[Piece]:
-    """(label, text) of chunks of whole sentences.
+    """(label, text) of chunks of whole sentences, which stand as they are, blank ones too; an empty text is one empty chunk.
 
     Sentences fill a chunk while their lengths, without the spaces between, stay within `size`; a longer
-    one is a chunk of its own. The next chunk repeats the last sentences that are within `overlap`
-    together, and counts them with their spaces.
+    one is a chunk of its own. The next chunk repeats the last sentences as long as one more, beside those
+    that are taken already and the spaces between them, stays within `overlap`; they count with their spaces.
     """
     out, held, used = [], [], 0
-    for s in filter(None, map(str.strip, _SENTENCE.split(text))):
+    for s in _SENTENCE.split(text):
         if held and used + len(s) > size:
             out.append(" ".join(held))
-            tail, room = [], overlap
-            for old in reversed(held):
-                if len(old) > room:
-                    break
-                tail.insert(0, old)
-                room -= len(old)
-            held, used = tail, len(" ".join(tail))
+            keep, used = len(held), 0
+            while keep and used + len(held[keep - 1]) <= overlap:
+                keep -= 1
+                used = len(" ".join(held[keep:]))
+            held = held[keep:]
         held.append(s)
         used += len(s)
     if held:
@@ -100,6 +98,11 @@ def split_headings(text: str, size: int, overlap: int) -> tuple[list[Piece], boo
     return _sections(text, marks, size, overlap, "{label} ({j}/{n})"), True
 
 
+def split_sentences(text: str, size: int, overlap: int) -> tuple[list[Piece], bool]:
+    """Packed sentences alone, without contexts."""
+    return pack_sentences(text, size, overlap), False
+
+
 def split_narrators(text: str, size: int, overlap: int) -> tuple[list[Piece], bool]:
     """Sections headed by a narrator's name alone on a line, labelled with the narrator's running number."""
     names = "|".join(re.escape(n) for n in sorted(NARRATORS, key=len, reverse=True))
@@ -130,14 +133,16 @@ def chunk_documents(docs: DataFrame, size: int = 20_000, overlap: int = 1_000, s
     """Chunks of documents (source_file, text), with their identifiers and neighbours' contexts.
 
     Each document is split by itself, so the work follows the texts without a shuffle; contexts come
-    from the neighbours in the same pass. overlap 0 gives empty contexts.
+    from the neighbours in the same pass. overlap 0 gives empty contexts. A null text has no chunk.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for name, text in zip(f["source_file"], f["text"], strict=True):
-                pieces, contexts = (splitter or splitter_for(name or ""))(text or "", size, overlap)
+                if text is None:
+                    continue
+                pieces, contexts = (splitter or splitter_for(name or ""))(text, size, overlap)
                 texts = [t for _, t in pieces]
                 for i, (label, t) in enumerate(pieces):
                     before = texts[i - 1][-overlap:] if contexts and overlap and i else ""
@@ -186,3 +191,63 @@ def from_markup(files: DataFrame, overlap: int = 1_000) -> DataFrame:
 def is_markup(text: F.Column) -> F.Column:
     """Whether a chunk tag opens within the first 2000 characters."""
     return F.rlike(F.left(text, F.lit(2000)), F.lit(r'<chunk-\d+(\s+label="[^"]*")?\s*>'))
+
+
+_TOKEN = re.compile(r"\s*\S+\s*")
+
+
+def _packed(parts: list[str], size: int, count: Callable[[str], int]) -> list[str]:
+    """Neighbouring parts joined while they hold `size` tokens together."""
+    out: list[str] = []
+    used = 0
+    for p in parts:
+        n = count(p)
+        if out and used + n <= size:
+            out[-1] += p
+            used += n
+        else:
+            out.append(p)
+            used = n
+    return out
+
+
+def _recursive(text: str, size: int, count: Callable[[str], int], levels: tuple[str, ...] = (r"(?<=\n\n)", r"(?<=\n)", r"(?<=[.!?])(?=\s)", r"(?<=\s)")) -> list[str]:
+    """Paragraphs, lines, sentences, words: each level cuts what is too long for the one before, and joins what is short."""
+    if count(text) <= size or not levels:
+        return [text]
+    parts = [x for p in re.split(levels[0], text) if p for x in _recursive(p, size, count, levels[1:])]
+    return _packed(parts, size, count)
+
+
+def token_chunks(docs: DataFrame, strategy: str = "sentence", size: int = 20_000, overlap: int = 1_000, make_counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """Chunks of documents (source_file, text) of `size` tokens at most, with identifiers of the raw file stem and neighbours' contexts.
+
+    `sentence` packs whole sentences, `recursive` cuts paragraphs, lines, sentences and words as needed, `token`
+    cuts after every `size` tokens. make_counter() runs once in each task and gives a function that counts the
+    tokens of a text; words between white space count without one. A single longer word or sentence is a chunk of
+    its own. Chunks joined give the text. Null texts have no chunk. overlap is in characters, as contexts are.
+    """
+    if strategy not in ("sentence", "recursive", "token"):
+        raise ValueError(f"unknown strategy: {strategy}")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = make_counter() if make_counter else lambda t: len(t.split())
+        for f in frames:
+            rows = []
+            for name, text in zip(f["source_file"], f["text"], strict=True):
+                if not text:
+                    continue
+                if strategy == "recursive":
+                    pieces = _recursive(text, size, count)
+                else:
+                    pieces = _packed(re.split(r"(?<=[.!?])(?=\s+[A-Z])", text) if strategy == "sentence" else _TOKEN.findall(text) or [text], size, count)
+                rows += [(name, f"Chunk {i + 1}", t, i) for i, t in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["source_file", "chunk_label", "chunk_text", "chunk_index"])
+
+    out = docs.select("source_file", "text").mapInPandas(run, "source_file string, chunk_label string, chunk_text string, chunk_index int")
+    return with_contexts(out.withColumn("chunk_id", F.format_string("%s_%03d", file_stem(F.col("source_file")), "chunk_index")), overlap)
+
+
+def chunk_listing(chunks: DataFrame, models: int = 1) -> DataFrame:
+    """What a run would ask for: (chunk_id, chunk_label, n_chars, n_calls), a call for each model."""
+    return chunks.select("chunk_id", "chunk_label", F.length("chunk_text").alias("n_chars"), F.lit(models).alias("n_calls"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import comma_list, confidence_rank, strip, window_texts
+from scriptorium.functions.text import comma_list, confidence_rank, strip, think_block, window_texts, without_think
+from scriptorium.operators.ordering import order_buckets
 from scriptorium.schemas import DEPRECATED_TYPES
 
 # How many models each standard data set asks for.
@@ -39,8 +40,8 @@ def group_records(clustered: DataFrame, min_models: int, rare_below: int = 0) ->
     positive = F.col("n_models") >= min_models
     hard = (F.col("n_models") == 1) & F.lit(all_models >= 2 and min_models > 1)
     kind = F.when(F.col("top_type").isin(*DEPRECATED_TYPES) | (F.coalesce("type_rows", F.lit(0)) < rare_below), "other_soc").otherwise(F.col("top_type"))
-    # there are as many types as the vocabulary has
-    return groups.where(positive | hard).join(F.broadcast(counts), "top_type", "left").select(
+    # types outside the vocabulary are kept, so their number has no bound, and the join is left to the sizes met
+    return groups.where(positive | hard).join(counts, "top_type", "left").select(
         "group_id", F.col("b.source_file").alias("source_file"), F.col("b.chunk_id").alias("chunk_id"), F.col("longest").alias("passage"),
         positive.alias("is_soc"), (~positive).alias("hard_negative"), kind.alias("soc_type"), F.col("b.confidence").alias("confidence"),
         *[F.col(f"b.{c}").alias(c) for c in ("evidence", "secondary_devices", "affective_register", "narrator_position", "character_pov", "notes") if c in rows.columns],
@@ -80,16 +81,14 @@ def window_negatives(docs: DataFrame, per_file: int, size: int = 300, seed: int
     return each.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_file).drop("k")
 
 
-def split(records: DataFrame, key: Column, test: float = 0.1, val: float = 0.1, shares: int = 64) -> DataFrame:
+def split(records: DataFrame, key: Column, test: float = 0.1, val: float = 0.1, per_share: int = 100_000) -> DataFrame:
     """A column `split` (train, val, test): of each class of is_soc the given shares, one row at least while there are any.
 
-    Rows are ranked by `key` in shares that range over it, so that a class of most rows is not one task's.
+    Rows are ranked by `key` in ranges of about `per_share` rows each, whatever the keys' spread, so that a
+    class of most rows is not one task's. Rows of one key are ranked together.
     """
     ranked = records.withColumn("s_key", key)
-    lo, hi = ranked.agg(F.min("s_key"), F.max("s_key")).first()
-    lo, hi = lo or 0, hi or 0
-    share = F.floor((F.col("s_key") - F.lit(lo)) * shares / F.lit(hi - lo + 1))
-    dealt = ranked.withColumn("s_share", share.cast("int"))
+    dealt = ranked.withColumn("s_share", order_buckets(ranked, F.col("s_key"), per_share))
     sizes = dealt.groupBy("is_soc", "s_share").agg(F.count("*").alias("n"))
     whole = W.partitionBy("is_soc")
     base = sizes.select("is_soc", "s_share", F.sum("n").over(whole).alias("s_total"), (F.sum("n").over(whole.orderBy("s_share")) - F.col("n")).alias("s_base"))
@@ -97,7 +96,8 @@ def split(records: DataFrame, key: Column, test: float = 0.1, val: float = 0.1,
     n = F.col("s_total")
     n_test, n_val = F.greatest(F.lit(1), F.floor(n * test)), F.greatest(F.lit(1), F.floor(n * val))
     name = F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train")
-    return dealt.join(base, ["is_soc", "s_share"]).withColumn("split", name).drop("s_key", "s_share", "s_total", "s_base")
+    # a row for each class and range
+    return dealt.join(F.broadcast(base), ["is_soc", "s_share"]).withColumn("split", name).drop("s_key", "s_share", "s_total", "s_base")
 
 
 def to_chat(records: DataFrame, system: str) -> DataFrame:
@@ -110,3 +110,34 @@ def to_chat(records: DataFrame, system: str) -> DataFrame:
 def role_text(messages: Column, role: str) -> Column:
     """The content of the first message of a role; null if there is none."""
     return F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"]
+
+
+def prompt_messages(messages: Column) -> Column:
+    """The system and user messages, without the answer."""
+    return F.slice(messages, 1, 2)
+
+
+def from_chat(chats: DataFrame) -> DataFrame:
+    """Chats (messages, ...) as raw records: passage, is_soc, soc_type, think_content, assistant_json beside the other columns.
+
+    An answer with instances is positive, and its first one gives the type; an answer that is no JSON is negative.
+    """
+    answer = F.coalesce(role_text(F.col("messages"), "assistant"), F.lit(""))
+    rest = strip(without_think(answer))
+    found = F.from_json(rest, "instances array<struct<soc_type: string>>")["instances"]
+    return chats.select(
+        *[c for c in chats.columns if c != "messages"], F.coalesce(role_text(F.col("messages"), "user"), F.lit("")).alias("passage"), (F.coalesce(F.size(found), F.lit(-1)) > 0).alias("is_soc"),
+        F.coalesce(F.get(found, F.lit(0))["soc_type"], F.lit("")).alias("soc_type"), F.coalesce(think_block(answer), F.lit("")).alias("think_content"), rest.alias("assistant_json"),
+    )
+
+
+def type_distribution(records: DataFrame) -> DataFrame:
+    """(soc_type, n) of all instances in the positive records' answers; an instance without a type is unknown."""
+    found = F.from_json("assistant_json", "instances array<struct<soc_type: string>>")["instances"]
+    each = records.where("is_soc").select(F.explode(found).alias("i"))
+    return each.groupBy(F.coalesce("i.soc_type", F.lit("unknown")).alias("soc_type")).agg(F.count("*").alias("n"))
+
+
+def record_figures(records: DataFrame) -> DataFrame:
+    """One row: positives, hard negatives, clean negatives."""
+    return records.agg(F.count_if("is_soc").alias("n_positive"), F.count_if("hard_negative").alias("n_hard"), F.count_if(~F.col("is_soc") & ~F.col("hard_negative")).alias("n_clean"))

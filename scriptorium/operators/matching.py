@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions.text import normalise, token_set
+from scriptorium.operators.ordering import running_total
 
 THRESHOLD = 0.35
+MOST_CELLS = 50_000_000
 
 
 def assign_groups(tokens: list[list[str]], threshold: float = THRESHOLD) -> list[int]:
     """Group numbers of a chunk's passages in their order.
 
-    A passage joins the first group that has a member it overlaps enough, else it opens one. Only
-    passages that share a token are compared, found by an index from tokens to earlier passages.
+    A passage joins the first group that has a member it overlaps enough, else it opens one. Common tokens are
+    counted through a table of passages and tokens, or an index from tokens to passages where that would be large.
     """
-    where: dict[str, list[int]] = {}
-    sizes, groups, made = [], [], 0
-    for i, own in enumerate(tokens):
-        common: dict[int, int] = {}
-        for t in own:
-            for j in where.get(t, ()):
-                common[j] = common.get(j, 0) + 1
-        near = [groups[j] for j, n in common.items() if n / min(sizes[j], len(own)) >= threshold]
-        groups.append(min(near, default=made))
-        made = max(made, groups[-1] + 1)
-        sizes.append(len(own))
-        for t in own:
+    number: dict[str, int] = {}
+    own = [np.fromiter((number.setdefault(t, len(number)) for t in x), np.int64, len(x)) for x in tokens]
+    sizes = np.array([len(x) for x in own])
+    groups, made = np.zeros(len(own), np.int64), 0
+    common = _by_table(own, len(number)) if len(own) * len(number) <= MOST_CELLS else _by_index(own)
+    for i, n in enumerate(common):
+        least = np.minimum(sizes[:i], sizes[i])
+        near = (n > 0) & (n >= threshold * least)
+        near[near] = n[near] / least[near] >= threshold
+        groups[i] = groups[:i][near].min() if near.any() else made
+        made = max(made, int(groups[i]) + 1)
+    return groups.tolist()
+
+
+def _by_table(own: list[np.ndarray], n_tokens: int) -> Iterator[np.ndarray]:
+    """For each passage how many tokens it has in common with each one before it."""
+    table = np.zeros((len(own), n_tokens), np.uint8)
+    for i, x in enumerate(own):
+        yield table[:i, x].sum(axis=1, dtype=np.int64)
+        table[i, x] = 1
+
+
+def _by_index(own: list[np.ndarray]) -> Iterator[np.ndarray]:
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(own):
+        met = [j for t in x.tolist() for j in where.get(t, ())]
+        yield np.bincount(np.array(met, np.int64), minlength=i)
+        for t in x.tolist():
             where.setdefault(t, []).append(i)
-    return groups
 
 
 def cluster(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -39,22 +60,23 @@ def cluster(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows of one chunk are compared in the order of row_id; rows without chunk_id are in no group and
     go. The order decides the groups, so a chunk is one task's work; chunks are bounded by what a text
-    chunk's annotators report.
+    chunk's annotators report. All columns go through the one shuffle, so rows of equal row_id stay apart.
     """
-    prepared = annotations.where(F.col("chunk_id").isNotNull()).select("row_id", "chunk_id", token_set(normalise(F.col("passage"))).alias("tokens"))
+    prepared = annotations.where(F.col("chunk_id").isNotNull()).withColumn("_tokens", token_set(normalise(F.col("passage"))))
 
-    def scan(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values("row_id", kind="stable")
-        return pd.DataFrame({"row_id": chunk["row_id"], "chunk_group": assign_groups([list(t) for t in chunk["tokens"]], threshold)})
+    def scan(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.take(pa.compute.sort_indices(chunk, [("row_id", "ascending")]))
+        groups = assign_groups(chunk["_tokens"].to_pylist(), threshold)
+        return chunk.drop_columns(["_tokens"]).append_column("chunk_group", pa.array(groups, pa.int32()))
 
-    groups = prepared.groupBy("chunk_id").applyInPandas(scan, "row_id long, chunk_group int")
-    return annotations.join(groups, "row_id")
+    schema = T.StructType([*annotations.schema.fields, T.StructField("chunk_group", T.IntegerType())])
+    return prepared.groupBy("chunk_id").applyInArrow(scan, schema)
 
 
 def number_groups(clustered: DataFrame) -> DataFrame:
     """A column group_id over all chunks: chunks ascending, groups in the order of their first rows."""
     per_chunk = clustered.groupBy("chunk_id").agg((F.max("chunk_group") + 1).alias("n"))
-    before = per_chunk.select("chunk_id", (F.sum("n").over(W.orderBy("chunk_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"))
+    before = running_total(per_chunk, "chunk_id", "n").select("chunk_id", "before")
     return clustered.join(before, "chunk_id").withColumn("group_id", (F.col("before") + F.col("chunk_group")).cast("long")).drop("before", "chunk_group")
 
 
