@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,15 +19,22 @@ def _hits(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (F.contains(lower, F.lit(p)).cast("int") for p in phrases))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, as inside a lambda it would be for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def grounding(trace: Column, passage: Column) -> Column:
     """1 if a quotation of three or more words stands in the passage, 0.5 if any four words of the trace do, else 0."""
-    lower = F.lower(passage)
     quotes = F.regexp_extract_all(trace, F.lit(_QUOTED), F.lit(1))
-    quoted = F.exists(quotes, lambda q: (F.size(words(q)) >= 3) & F.contains(lower, F.trim(F.lower(q))))
-    w = words(trace)
-    n = F.size(w)
-    runs = F.when(n > 3, F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.regexp_replace(F.lower(F.array_join(F.slice(w, i, 4), " ")), r"(?U)[^\p{L}\p{N}_\s]", "")))
-    return F.when(quoted, 1.0).when(F.coalesce(F.exists(runs, lambda r: F.contains(lower, r)), F.lit(False)), 0.5).otherwise(0.0)
+    plain = lambda w, i: F.regexp_replace(F.lower(F.array_join(F.slice(w, i, 4), " ")), r"(?U)[^\p{L}\p{N}_\s]", "")
+
+    def in_passage(lower: Column) -> Column:
+        quoted = F.exists(quotes, lambda q: (F.size(words(q)) >= 3) & F.contains(lower, F.trim(F.lower(q))))
+        run = _let(words(trace), lambda w: F.exists(F.when(F.size(w) > 3, F.sequence(F.lit(1), F.size(w) - 3)), lambda i: F.contains(lower, plain(w, i))))
+        return F.when(quoted, 1.0).when(F.coalesce(run, F.lit(False)), 0.5).otherwise(0.0)
+
+    return _let(F.lower(passage), in_passage)
 
 
 def specificity(trace: Column) -> Column:

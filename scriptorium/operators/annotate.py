@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import user_prompt
+from scriptorium.operators.parsing import parse_judgements
 
 #: make_client() runs once in each task; the client takes (model_label, prompt) and returns the raw answer.
 Client = Callable[[str, str], str]
@@ -27,25 +28,75 @@ def pending(work: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def annotate(work: DataFrame, make_client: Callable[[], Client], attempts: int = 3, pause: float = 5.0, threads: int = 1) -> DataFrame:
-    """work with a column `raw`: the client's answers; empty after so many failed attempts, each pause twice the last."""
+    """work with columns `raw` and `error`: the client's answers; after so many failed attempts, whatever the client raised, raw is empty and error says why.
+
+    Each pause is twice the last one.
+    """
     asked = work.withColumn("prompt", user_prompt(*map(F.col, ("source_file", "chunk_id", "chunk_label", "chunk_index", "chunk_text", "context_before", "context_after"))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema) + ", raw string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema) + ", raw string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
 
-        def call(model: str, prompt: str) -> str:
+        def call(model: str, prompt: str) -> tuple[str, str | None]:
             for k in range(attempts):
                 try:
-                    return client(model, prompt)
-                except (OSError, TimeoutError):
-                    if k + 1 < attempts:
-                        time.sleep(pause * 2**k)
-            return ""
+                    return client(model, prompt), None
+                except Exception as e:  # noqa: BLE001  clients have errors of their own
+                    if k + 1 == attempts:
+                        return "", f"{type(e).__name__}: {e}"
+                    time.sleep(pause * 2**k)
+            return "", "no attempt"
 
         with ThreadPoolExecutor(threads) as pool:
             for f in frames:
-                f["raw"] = list(pool.map(call, f["model_label"], f["prompt"]))
+                got = list(pool.map(call, f["model_label"], f["prompt"]))
+                f["raw"], f["error"] = [x for x, _ in got], [e for _, e in got]
                 yield f.drop(columns="prompt")
 
     return asked.mapInPandas(run, schema)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What run_pending has done: (model_label, chunk_id, raw); empty where there is nothing yet."""
+    schema = "model_label string, chunk_id string, raw string"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def run_pending(work: DataFrame, path: str, make_client: Callable[[], Client], batches: int = 16, force: bool = False, **how: float) -> DataFrame:
+    """Answer what the ledger at `path` lacks, and return the ledger.
+
+    Work is done in `batches` jobs by a hash of chunk and model, each one appended when it ends, so a run that
+    stops loses one batch at most, and the next run takes up there. Failed calls are not written and stay pending;
+    a chunk without instances is done. `force` asks everything again, and readers see the latest answer as well as older ones.
+    """
+    spark = work.sparkSession
+    left = work if force else pending(work, read_ledger(spark, path))
+    share = F.pmod(F.xxhash64("model_label", "chunk_id"), F.lit(batches))
+    for k in range(batches):
+        answers = annotate(left.where(share == k), make_client, **how).where("error IS NULL")
+        answers.select("model_label", "chunk_id", "raw").write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def judge(traces: DataFrame, prompt: Column, make_client: Callable[[], Client], model: str, threads: int = 8) -> DataFrame:
+    """traces with the judge's scores: calls run side by side in each task, and a failed one scores as a neutral answer."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.schema) + ", raw string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+
+        def call(text: str) -> str:
+            try:
+                return client(model, text)
+            except Exception:  # noqa: BLE001  the score is neutral then
+                return ""
+
+        with ThreadPoolExecutor(threads) as pool:
+            for f in frames:
+                f["raw"] = list(pool.map(call, f["j_prompt"]))
+                yield f.drop(columns="j_prompt")
+
+    return parse_judgements(traces.withColumn("j_prompt", prompt).mapInPandas(run, schema)).drop("raw")

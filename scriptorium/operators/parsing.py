@@ -63,9 +63,28 @@ def strict_instances(raw: str | None) -> list[dict]:
     return out
 
 
-def parse_answers(answers: DataFrame, strict: bool = False) -> DataFrame:
-    """answers with a column `raw`: one row for each instance, its fields beside the other columns and its place `pos`."""
-    read = strict_instances if strict else lenient_instances
+def required_instances(raw: str | None) -> list[dict]:
+    """Instances of an answer from the first { to the last }; an instance without is_soc or passage is an error."""
+    found = re.search(r"\{.*\}", _THINK.sub("", raw or ""), re.DOTALL)
+    try:
+        got = json.loads(found.group(0)) if found else {}
+    except ValueError:
+        got = {}
+    out = []
+    for x in got.get("instances", []):
+        if missing := [k for k in ("is_soc", "passage") if k not in x]:
+            raise ValueError(f"an instance lacks {', '.join(missing)}")
+        row = {k: str(x.get(k, {"soc_type": "", "narrator_position": ""}.get(k, d))) for k, d in _TEXTS.items()}
+        out.append(row | {"is_soc": bool(x["is_soc"]), "secondary_devices": _items(x.get("secondary_devices")), "evidence": _items(x.get("evidence"))})
+    return out
+
+
+def parse_answers(answers: DataFrame, strict: bool = False, required: bool = False) -> DataFrame:
+    """answers with a column `raw`: one row for each instance, its fields beside the other columns and its place `pos`.
+
+    `required` ends the job at an instance without its required fields.
+    """
+    read = required_instances if required else strict_instances if strict else lenient_instances
 
     @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in INSTANCE.split(', '))}>>")
     def parse(raw: pd.Series) -> pd.Series:

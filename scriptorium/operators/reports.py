@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ordering import order_buckets
+
 LEVELS = ("high", "medium", "low")
 
 
@@ -54,3 +56,70 @@ def field_table(rows: DataFrame, fields: list[str], models: list[str]) -> DataFr
     shown = {f: F.coalesce(F.nullif(F.col(f).cast("string"), F.lit("")), F.lit("—")) for f in fields}
     long = first.select("group_id", "model_label", *(c.alias(f) for f, c in shown.items())).unpivot(["group_id", "model_label"], fields, "field", "value")
     return long.groupBy("group_id", "field").pivot("model_label", models).agg(F.first("value"))
+
+
+def per_file(rows: DataFrame) -> DataFrame:
+    """(source_file, n) by name."""
+    return rows.groupBy("source_file").agg(F.count("*").alias("n")).orderBy("source_file")
+
+
+def consensus_summary(rows: DataFrame) -> DataFrame:
+    """One row: consensus rows, and how many of them agree fully or partially."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("agreement") == "full").alias("n_full"), F.count_if(F.col("agreement") == "partial").alias("n_partial"))
+
+
+def work_figures(chunks: DataFrame, done: DataFrame, models: list[str]) -> DataFrame:
+    """(model_label, n_pending, n_done): how many of the chunks each model's ledger has."""
+    had = done.select("model_label", "chunk_id").distinct().join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("model_label").agg(F.count("*").alias("n_done"))
+    total = chunks.agg(F.count_distinct("chunk_id").alias("n")).first()["n"]
+    labels = chunks.sparkSession.createDataFrame([(m,) for m in models], "model_label string")
+    n_done = F.coalesce("n_done", F.lit(0))
+    return labels.join(had, "model_label", "left").select("model_label", (F.lit(total) - n_done).alias("n_pending"), n_done.alias("n_done"))
+
+
+def chosen_rows(rows: DataFrame, files: list[str], models: list[str], chunk: str | None = None) -> DataFrame:
+    """The dashboard's view: rows of the chosen files and models, of one chunk if it is given."""
+    out = rows.where(F.col("source_file").isin(files) & F.col("model_label").isin(models))
+    return out if chunk is None else out.where(F.col("chunk_id") == chunk)
+
+
+def agreeing_groups(groups: DataFrame, agreement: str | None) -> DataFrame:
+    """Groups of one kind of agreement; all of them without a choice."""
+    return groups if agreement is None else groups.where(F.col("agreement") == agreement)
+
+
+def sorted_groups(groups: DataFrame) -> DataFrame:
+    """Groups of many models first, then by chunk and number; `place` counts them in that order from 0.
+
+    Places come from the sizes of the classes (n_models) and from running numbers within them.
+    """
+    dealt = groups.withColumn("g_share", order_buckets(groups, F.col("chunk_id")))
+    by = W.orderBy(F.desc("n_models"), "g_share")
+    sizes = dealt.groupBy("n_models", "g_share").agg(F.count("*").alias("n")).select("n_models", "g_share", (F.sum("n").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("g_base"))
+    at = F.row_number().over(W.partitionBy("n_models", "g_share").orderBy("chunk_id", "group_id")) - 1
+    # a row for each number of models and range of chunks
+    return dealt.join(F.broadcast(sizes), ["n_models", "g_share"]).withColumn("place", at + F.col("g_base")).drop("g_share", "g_base")
+
+
+def menu(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column, sorted, without null."""
+    return rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def markdown(instances: Column, think: Column) -> Column:
+    """An answer for reading: the trace, then each instance's fields under its type and confidence."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+
+    def lines(x: Column, i: Column) -> Column:
+        return F.concat_ws(
+            "\n",
+            F.concat(F.lit("## Instance "), (i + 1).cast("string"), F.lit(" — `"), x["soc_type"], F.lit("` ("), x["confidence"], F.lit(")")), F.concat(F.lit("> "), x["passage"]), F.lit(""),
+            F.concat(F.lit("**Explanation:** "), x["explanation"]), F.concat(F.lit("**Evidence:** "), F.array_join(x["evidence"], ", ")),
+            F.concat(F.lit("**Narrator position:** "), x["narrator_position"], F.lit("  |  **Character:** "), F.coalesce(F.nullif(x["character_pov"], F.lit("")), F.lit("—"))),
+            F.when(F.size(x["secondary_devices"]) > 0, F.concat(F.lit("**Secondary devices:** "), F.array_join(x["secondary_devices"], ", "))),
+            F.when(some(x["notes"]), F.concat(F.lit("**Notes:** "), x["notes"])), F.lit(""),
+        )
+
+    found = F.array_join(F.transform(instances, lines), "\n")
+    body = F.when(F.coalesce(F.size(instances), F.lit(0)) > 0, found).otherwise(F.lit("*No stream-of-consciousness instances found.*"))
+    return F.concat_ws("\n", F.when(some(think), F.concat(F.lit("## Reasoning trace\n\n"), think, F.lit("\n"))), body)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import file_stem, strip_boilerplate, words
+from scriptorium.functions.text import book_name, file_stem, strip_boilerplate, words
 from scriptorium.operators.chunking import from_markup, is_markup
 from scriptorium.operators.consensus import TRACKS, Track, parse_track
+from scriptorium.operators.ordering import running_total
 from scriptorium.schemas import RESULT
 
 EXTENSIONS = ("txt", "doc", "docx", "pdf")
@@ -48,21 +52,23 @@ def pdf_text(data: bytes) -> str | None:
     return "\n\n".join(p for p in pages if p.strip())
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_file, text) of a folder's documents; those that cannot be read are left out.
+def read_documents(spark: SparkSession, folder: str, failed: bool = False) -> DataFrame:
+    """(source_file, text) of a folder's documents; with `failed`, those that cannot be read, too: their text is null and `error` says why.
 
     Plain text is UTF-8, or Latin-1 where it is no valid UTF-8, and stays in the JVM.
     """
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "content")
     files = files.withColumn("ext", F.lower(F.regexp_extract("source_file", r"\.([^.]*)$", 1))).where(F.col("ext").isin(*EXTENSIONS))
-    plain = files.where("ext = 'txt'").select("source_file", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"))
+    plain = files.where("ext = 'txt'").select("source_file", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"), F.lit(None).cast("string").alias("error"))
 
     @F.pandas_udf("string")
     def extract(ext: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series([(pdf_text if e == "pdf" else docx_text)(bytes(c)) for e, c in zip(ext, content, strict=True)])
 
-    office = files.where("ext <> 'txt'").select("source_file", extract("ext", "content").alias("text"))
-    return plain.unionByName(office.where("text IS NOT NULL"))
+    why = F.when(F.col("text").isNull(), F.concat(F.lit("not readable as "), "ext"))
+    office = files.where("ext <> 'txt'").select("source_file", "ext", extract("ext", "content").alias("text")).select("source_file", "text", why.alias("error"))
+    out = plain.unionByName(office)
+    return out if failed else out.where("text IS NOT NULL").drop("error")
 
 
 def read_chunks(spark: SparkSession, folder: str, overlap: int = 1_000) -> DataFrame:
@@ -82,20 +88,90 @@ def read_results(spark: SparkSession, folder: str, schema: str = RESULT) -> Data
     rows = rows.withColumn("model_label", F.coalesce("model_label", "stem"))
     # places are counted within files, and files' sizes summed, so that no task orders all rows
     sizes = rows.groupBy("stem").agg((F.max("pos") + 1).alias("n"))
-    before = sizes.select("stem", (F.sum("n").over(W.orderBy("stem").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "stem").withColumn("row_id", F.col("before") + F.col("pos")).drop("stem", "pos", "before")
+    before = running_total(sizes, "stem", "n").select("stem", "before")
+    return rows.join(before, "stem").withColumn("row_id", F.col("before") + F.col("pos")).drop("stem", "pos", "before")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a given schema; blank lines are left out."""
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str, numbered: bool = False) -> DataFrame:
+    """JSON lines with a given schema; blank lines are left out. `numbered` adds row_id: the line's place, over all files by name.
+
+    Lines are numbered within the blocks that tasks read, and only the blocks' sizes are summed.
+    """
+    if not numbered:
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).where(F.trim("value") != "")
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("block", F.concat("file", F.format_string("#%020d", "start")))
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    named = running_total(blocks, "block", "n").select("block", "first", "before")
+    each = lines.select("block", "at", F.from_json("value", f"struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.split(', '))}>").alias("r"))
+    return each.join(named, "block").select("r.*", (F.col("at") - F.col("first") + F.col("before")).alias("row_id"))
 
 
 def zip_files(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
-    """Rows of two files at the same place; the longer one's rest goes."""
+    """Rows of two files at the same place (see read_jsonl's `numbered`); the longer one's rest goes."""
     return left.join(right, key)
 
 
+def read_env(path: str) -> dict[str, str]:
+    """The settings of a .env file: NAME=value lines, `export` and quotes allowed; comments and other lines are left out."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if m := re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line):
+                value = m.group(2)
+                out[m.group(1)] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else re.sub(r"\s+#.*$", "", value)
+    return out
+
+
+def load_settings(path: str, env: dict[str, str] | None = None) -> dict:
+    """A configuration file on the driver, YAML or JSON, with ${NAME} replaced in all its texts; YAML needs its optional reader."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        got = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError(f"{path} needs a YAML reader, which is not installed; JSON does without") from e
+        got = yaml.safe_load(text)
+
+    def filled(x):  # noqa: ANN001, ANN202
+        if isinstance(x, dict):
+            return {k: filled(v) for k, v in x.items()}
+        return [filled(v) for v in x] if isinstance(x, list) else interpolate(x, env) if isinstance(x, str) else x
+
+    return filled(got or {})
+
+
+@dataclass(frozen=True)
+class ModelProfile:
+    """An annotating model: where it answers, under which name, and how it samples."""
+
+    label: str
+    model_name: str
+    base_url: str
+    api_key: str = ""
+    temperature: float = 0.3
+    max_tokens: int = 4096
+
+
+def load_profiles(settings: dict, env: dict[str, str] | None = None) -> list[ModelProfile]:
+    """The profiles that a configuration lists under `models`; without any, a single one from the environment.
+
+    A profile without a usable key is an error.
+    """
+    env = dict(os.environ) if env is None else env
+    names = {f.name for f in fields(ModelProfile)}
+    out = [ModelProfile(**{k: v for k, v in m.items() if k in names}) for m in settings.get("models") or []]
+    if not out:
+        name = env.get("MODEL_NAME", "")
+        out = [ModelProfile(env.get("MODEL_LABEL") or name or "default", name, env.get("API_BASE_URL", ""), env.get("API_KEY", ""))]
+    if bad := [p.label for p in out if not usable_key(p.api_key)]:
+        raise ValueError(f"no usable key for: {', '.join(bad)}")
+    return out
+
+
 def interpolate(value: str, env: dict[str, str] | None = None) -> str:
     """Replace ${NAME} by the environment's value; names that are not set stay."""
     env = os.environ if env is None else env
@@ -147,6 +223,18 @@ def catalog(spark: SparkSession, entries: list[tuple]) -> DataFrame:
     return each.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("pos"))).where("k = 1").drop("k", "pos")
 
 
+def missing_books(books: DataFrame, existing: DataFrame) -> DataFrame:
+    """Books whose text file (book_name of id and title) is not among the existing files (column source_file)."""
+    named = books.withColumn("source_file", book_name(F.col("id"), F.concat_ws(" ", "author", "title")))
+    return named.join(existing.select("source_file").distinct(), "source_file", "left_anti")
+
+
+def repeated_books(*catalogs: DataFrame) -> DataFrame:
+    """(id, n, n_catalogs): ids that one catalogue lists twice or several list."""
+    each = [c.select("id", F.lit(k).alias("k")) for k, c in enumerate(catalogs)]
+    return reduce(DataFrame.unionByName, each).groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("k").alias("n_catalogs")).where("n > 1")
+
+
 def pick_books(books: DataFrame, author: str | None = None, ids: list[int] | None = None) -> DataFrame:
     """Books of an author (part of the name, any case), or of given ids; ids that are not catalogued are added by number."""
     if ids:

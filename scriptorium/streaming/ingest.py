@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.chunking import chunk_documents
+from scriptorium.operators.parsing import flatten_results, parse_answers
 
 
 def document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -22,3 +23,9 @@ def chunk_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, si
     """
     chunks = chunk_documents(document_stream(spark, folder), size, overlap)
     return chunks.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+
+def result_stream(spark: SparkSession, ledger: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Parse each answer that the ledger (model_label, chunk_id, raw) has got since the last run, and append its instances to a Parquet table."""
+    answers = spark.readStream.schema("model_label string, chunk_id string, raw string").parquet(ledger)
+    return flatten_results(parse_answers(answers)).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
