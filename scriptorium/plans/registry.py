@@ -1,7 +1,8 @@
 """All queries of the engine over the driver's tables, and the SQL that they are checked against.
 
 The tables have no annotations; these stand in for them, made from documents by integer arithmetic so that
-any engine makes the same: each document is one annotator's row of a chunk of 16 documents.
+any engine makes the same: chunks are 16 documents, each document is a passage that one annotator reports, and
+every eighth one a passage that four report.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import prepare
 from scriptorium.functions import scoring, text
-from scriptorium.operators import chunking, consensus, dataset, evaluation, matching, parsing, reports
+from scriptorium.operators import chunking, consensus, dataset, evaluation, matching, parsing, reports, traces
 from scriptorium.schemas import SOC_TYPES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,16 +48,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def annotations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The stand-in annotation rows; passages are the first 40 words of the texts, or all."""
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    w = F.col("w")
-    return d.withColumn("w", text.words(F.col("text"))).select(
-        i.alias("row_id"), F.concat(F.lit("m"), (i % 4).cast("string")).alias("model_label"), F.col("source").alias("source_file"),
-        F.concat(F.lit("c"), F.floor(i / PER_CHUNK).cast("string")).alias("chunk_id"), F.lit("").alias("chunk_label"), (F.floor(i / PER_CHUNK) % 5).cast("int").alias("chunk_index"),
-        F.array_join(w if whole else F.slice(w, 1, 40), " ").alias("passage"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), (i * 7 % 12 + 1).cast("int")).alias("soc_type"),
-        F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int")).alias("confidence"),
-        F.array_join(F.slice(w, 1, 5), " ").alias("explanation"), F.array_join(F.slice(w, 6, 4), ", ").alias("evidence"),
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in annotation rows; passages are the whole texts."""
+    d, i, k, w = table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("k"), F.col("w")
+    each = d.withColumn("w", text.words(F.col("text"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.when(i % 8 == 0, 3).otherwise(0))))
+    chunk = F.floor(i / PER_CHUNK)
+    return each.select(
+        (i * 4 + k).alias("row_id"), F.concat(F.lit("m"), ((i + k) % 4).cast("string")).alias("model_label"), F.col("source").alias("source_file"),
+        F.concat(F.lit("c"), chunk.cast("string")).alias("chunk_id"), F.lit("").alias("chunk_label"), (chunk % 5).cast("int").alias("chunk_index"),
+        F.concat(F.array_join(w, " "), F.when(k == 3, " indeed").otherwise("")).alias("passage"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), ((chunk * 7 + F.when(i % 16 == 8, F.floor(k / 3)).otherwise(0)) % 12 + 1).cast("int")).alias("soc_type"),
+        F.when(i % 7 == 0, "low").when((i + k) % 5 == 0, "medium").otherwise("high").alias("confidence"),
+        F.concat(F.size("w").cast("string"), F.lit(" words: "), F.left(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lit(8))).alias("explanation"),
+        F.concat_ws(", ", "lang", F.size("w").cast("string"), F.element_at("w", -1)).alias("evidence"),
     )
 
 
@@ -64,11 +67,13 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+')"
 _TYPES = "[" + ", ".join(f"'{t}'" for t in SOC_TYPES) + "]"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _ANN = rf"""ann AS (
-  SELECT doc_id AS row_id, 'm' || (doc_id % 4) AS model_label, source AS source_file, 'c' || (doc_id // {PER_CHUNK}) AS chunk_id, '' AS chunk_label,
-         CAST((doc_id // {PER_CHUNK}) % 5 AS INTEGER) AS chunk_index, array_to_string(w[1:40], ' ') AS passage, {_TYPES}[doc_id * 7 % 12 + 1] AS soc_type,
-         ['high', 'medium', 'low'][doc_id % 3 + 1] AS confidence, array_to_string(w[1:5], ' ') AS explanation, array_to_string(w[6:9], ', ') AS evidence,
-         3 - doc_id % 3 AS rank
-  FROM (SELECT *, {_WORDS} AS w FROM documents)),
+  SELECT doc_id * 4 + k AS row_id, 'm' || ((doc_id + k) % 4) AS model_label, source AS source_file, 'c' || (doc_id // {PER_CHUNK}) AS chunk_id, '' AS chunk_label,
+         CAST((doc_id // {PER_CHUNK}) % 5 AS INTEGER) AS chunk_index, array_to_string(w, ' ') || CASE WHEN k = 3 THEN ' indeed' ELSE '' END AS passage,
+         {_TYPES}[((doc_id // {PER_CHUNK}) * 7 + CASE WHEN doc_id % 16 = 8 THEN k // 3 ELSE 0 END) % 12 + 1] AS soc_type,
+         CASE WHEN doc_id % 7 = 0 THEN 'low' WHEN (doc_id + k) % 5 = 0 THEN 'medium' ELSE 'high' END AS confidence,
+         len(w) || ' words: ' || left(md5(coalesce(text, '')), 8) AS explanation, concat_ws(', ', lang, len(w), w[-1]) AS evidence,
+         CASE WHEN doc_id % 7 = 0 THEN 1 WHEN (doc_id + k) % 5 = 0 THEN 2 ELSE 3 END AS rank
+  FROM (SELECT *, {_WORDS} AS w FROM documents), unnest(range(0, CASE WHEN doc_id % 8 = 0 THEN 4 ELSE 1 END)) AS u(k)),
 tok AS (SELECT *, list_distinct(list_filter(string_split({_NORM.format("passage")}, ' '), lambda x: x <> '')) AS tokens FROM ann)"""
 _CLUSTER = rf"""{_ANN},
 ordered AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS k FROM tok),
@@ -85,8 +90,8 @@ gid AS (SELECT u.m.id AS row_id, before + u.m.g AS group_id FROM base, unnest(st
 clu AS (SELECT ann.*, CAST(group_id AS BIGINT) AS group_id FROM ann JOIN gid USING (row_id))"""
 
 
-def clustered(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return matching.number_groups(matching.cluster(annotations(spark, sf_dir, whole)))
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.number_groups(matching.cluster(annotations(spark, sf_dir)))
 
 
 # Text operators
@@ -156,23 +161,53 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(d, 2000, 200)
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (
+  SELECT printf('doc %d.txt', doc_id) AS source_file, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, list_transform(s, lambda x: length(x)) AS n FROM d),
+t AS (SELECT *, list_transform(range(0, len(n) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE list_sum(n[1:i]) END) AS up FROM l),
+-- k: last sentence taken; a: the open chunk's first; used: its length as counted; b: first sentence of a chunk that was closed before k
+walk AS (
+  SELECT source_file, 1 AS k, 1 AS a, CAST(n[1] AS BIGINT) AS used, CAST(NULL AS BIGINT) AS b FROM t
+  UNION ALL
+  SELECT w.source_file, w.k + 1, CASE WHEN full_up THEN first ELSE w.a END,
+         CASE WHEN full_up THEN CASE WHEN first > w.k THEN 0 ELSE up[w.k + 1] - up[first] + w.k - first END ELSE used END + t.n[w.k + 1], CASE WHEN full_up THEN w.a END
+  FROM (SELECT *, used + (SELECT n[x.k + 1] FROM t WHERE t.source_file = x.source_file) > 1000 AS full_up FROM walk x) w JOIN t USING (source_file),
+       LATERAL (SELECT w.k + 1 - len(list_filter(range(w.a, w.k + 1), lambda j: up[w.k + 1] - up[j] + greatest(0, w.k - j - 1) <= 100)) AS first)
+  WHERE w.k < len(t.s)),
+done AS (
+  SELECT source_file, b AS a, k - 1 AS e FROM walk WHERE b IS NOT NULL
+  UNION ALL SELECT source_file, a, k FROM walk JOIN t USING (source_file) WHERE k = len(s)),
+c AS (SELECT source_file, array_to_string(s[a:e], ' ') AS chunk_text, CAST(row_number() OVER (PARTITION BY source_file ORDER BY e) - 1 AS INTEGER) AS chunk_index FROM done JOIN t USING (source_file))
+SELECT source_file, printf('%s_%03d', replace(replace(source_file, '.txt', ''), ' ', '-'), chunk_index) AS chunk_id, 'Chunk ' || (chunk_index + 1) AS chunk_label, chunk_text, chunk_index FROM c""")
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), "text")
-    return chunking.chunk_documents(d, 1000, 100)
+    return chunking.chunk_documents(d, 1000, 100, chunking.split_sentences).drop("context_before", "context_after")
+
+
+@query("SELECT 'c' || conv_id || '_' || turn AS chunk_id, role AS chunk_label, CAST(length(text) AS INTEGER) AS n_chars, CAST(4 AS INTEGER) AS n_calls FROM conversations")
+def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("chunk_id"), F.col("role").alias("chunk_label"), F.col("text").alias("chunk_text"))
+    return chunking.chunk_listing(c, len(MODELS))
+
+
+@query()
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of 100 words, cut at paragraphs, lines and sentences where that is possible."""
+    d = table(spark, sf_dir, "documents").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), "text")
+    return chunking.token_chunks(d, "recursive", 100, 50)
 
 
 # Matching and consensus
 
 
 @query(rf"WITH {_ANN}, f AS (SELECT chunk_id AS k, row_id, len(tokens) AS n, unnest(tokens) AS t FROM tok) SELECT a.row_id AS a, b.row_id AS b, count(*) / least(a.n, b.n) AS overlap FROM f a JOIN f b ON a.k = b.k AND a.t = b.t AND a.row_id < b.row_id GROUP BY a.row_id, b.row_id, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.35")
-def overlapping_passages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return matching.overlapping_pairs(annotations(spark, sf_dir, whole), "chunk_id")
+def overlapping_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.overlapping_pairs(annotations(spark, sf_dir), "chunk_id")
 
 
 @query(rf"WITH RECURSIVE {_CLUSTER} SELECT row_id, chunk_id, group_id FROM clu")
-def passage_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return clustered(spark, sf_dir, whole).select("row_id", "chunk_id", "group_id")
+def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark, sf_dir).select("row_id", "chunk_id", "group_id")
 
 
 _GROUPS = f"""{_CLUSTER}, grp AS (
@@ -183,19 +218,29 @@ _GROUPS = f"""{_CLUSTER}, grp AS (
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, chunk_id, source_file, array_to_string(models, ', ') AS models, CAST(n_models AS INTEGER) AS n_models, representative, agreement FROM grp")
-def group_overview(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return matching.groups_table(clustered(spark, sf_dir, whole)).withColumn("models", F.array_join(F.array_sort("models"), ", "))
+def group_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.groups_table(clustered(spark, sf_dir)).withColumn("models", F.array_join(F.array_sort("models"), ", "))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS n_groups, count(*) FILTER (WHERE n_models > 1) AS n_multi, count(*) FILTER (WHERE agreement = 'full') AS n_full, count(*) FILTER (WHERE agreement = 'partial') AS n_partial FROM grp")
-def group_figures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir, whole)))
+def group_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir)))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, CAST(n_models AS INTEGER) AS n_models FROM grp WHERE n_models >= 2 AND (list_contains(models, 'm0') OR list_contains(models, 'm2')) AND source_file IN (SELECT source_file FROM ann WHERE confidence = 'high')")
-def visible_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    view = annotations(spark, sf_dir, whole).where("confidence = 'high'")
-    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir, whole)), 2, ["m0", "m2"], view).select("group_id", "n_models")
+def visible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = annotations(spark, sf_dir).where("confidence = 'high'")
+    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir)), 2, ["m0", "m2"], view).select("group_id", "n_models")
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, CAST(n_models AS INTEGER) AS n_models, row_number() OVER (ORDER BY n_models DESC, chunk_id, group_id) - 1 AS place FROM grp")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sorted_groups(matching.groups_table(clustered(spark, sf_dir))).select("group_id", "n_models", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, chunk_id FROM grp WHERE agreement = 'partial'")
+def partial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.agreeing_groups(matching.groups_table(clustered(spark, sf_dir)), "partial").select("group_id", "chunk_id")
 
 
 def _track_sql(t: consensus.Track) -> str:
@@ -217,8 +262,8 @@ SELECT group_id, row_id, source_file, chunk_id, chunk_label, chunk_index, passag
 
 
 def _add_track(t: consensus.Track) -> None:
-    def run(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-        return consensus.apply_track(clustered(spark, sf_dir, whole), t)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return consensus.apply_track(clustered(spark, sf_dir), t)
 
     run.__name__ = f"consensus_{t.name}"
     query(_track_sql(t))(run)
@@ -228,6 +273,11 @@ for _track in (*consensus.TRACKS, consensus.Track("longest", min_models=1, min_c
     _add_track(_track)
 
 
+@query(f"WITH o AS ({_SQL['consensus_moderate'].replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)}) SELECT count(*) AS n, count(*) FILTER (WHERE agreement = 'full') AS n_full, count(*) FILTER (WHERE agreement = 'partial') AS n_partial FROM o")
+def consensus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.consensus_summary(consensus.apply_track(clustered(spark, sf_dir), consensus.TRACKS[1]))
+
+
 # Training data
 
 _RECORDS = f"""{_CLUSTER},
@@ -244,18 +294,70 @@ rec AS (SELECT group_id, b.s AS source_file, b.c AS chunk_id, passage, n_models
         FROM g JOIN tp USING (group_id) JOIN cnt USING (top) LEFT JOIN ex USING (group_id) WHERE n_models >= 3 OR n_models = 1)"""
 
 
-def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dataset.group_records(clustered(spark, sf_dir, whole), min_models=3, rare_below=5)
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.group_records(clustered(spark, sf_dir), min_models=3, rare_below=5)
 
 
 @query(f"WITH RECURSIVE {_RECORDS} SELECT * FROM rec")
-def dataset_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole)
+def dataset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir)
 
 
 @query(f"WITH RECURSIVE {_RECORDS} SELECT is_soc, hard_negative, soc_type, count(*) AS n FROM rec GROUP BY ALL")
-def dataset_figures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole).groupBy("is_soc", "hard_negative", "soc_type").agg(F.count("*").alias("n"))
+def dataset_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).groupBy("is_soc", "hard_negative", "soc_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {_RECORDS} SELECT soc_type, count(*) AS n FROM rec WHERE is_soc GROUP BY 1")
+def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the positive records, read back from their answers."""
+    return dataset.type_distribution(dataset.training_records(records(spark, sf_dir).withColumns({c: F.lit("") for c in ("secondary_devices", "affective_register", "narrator_position", "character_pov", "notes")})))
+
+
+@query(f"WITH RECURSIVE {_RECORDS} SELECT count(*) FILTER (WHERE is_soc) AS n_positive, count(*) FILTER (WHERE hard_negative) AS n_hard, count(*) FILTER (WHERE NOT is_soc AND NOT hard_negative) AS n_clean FROM rec")
+def record_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.record_figures(records(spark, sf_dir))
+
+
+@query(r"""SELECT conv_id, CAST(least(2, n) AS INTEGER) AS n_prompt, coalesce(u, '') AS passage, a IS NOT NULL AND conv_id % 2 = 0 AS is_soc, CASE WHEN a IS NOT NULL AND conv_id % 2 = 0 THEN 'imagery' ELSE '' END AS soc_type,
+       coalesce(regexp_extract(a, '(?s)^\s*(.*?)\s*$', 1), '') AS think_content, CASE WHEN a IS NULL THEN '' WHEN conv_id % 2 = 0 THEN '{"instances": [{"soc_type": "imagery"}]}' ELSE '{"instances": []}' END AS assistant_json
+FROM (SELECT conv_id, count(*) AS n, arg_min(text, turn) FILTER (WHERE role = 'user') AS u, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)""")
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats whose answers hold the texts as think blocks and an instance or none, as raw records."""
+    body = F.when(F.col("conv_id") % 2 == 0, '{"instances": [{"soc_type": "imagery"}]}').otherwise('{"instances": []}')
+    content = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), body)).otherwise(F.col("text"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    return dataset.from_chat(chats.withColumn("n_prompt", F.size(dataset.prompt_messages(F.col("messages")))))
+
+
+@query("SELECT doc_id, 'test_' || replace(coalesce(source, 'unk'), '/', '_') || '_' || left(md5(coalesce(text, '')), 10) AS passage_id FROM documents")
+def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", traces.passage_id("test", F.col("source"), F.col("text")).alias("passage_id"))
+
+
+@query("SELECT doc_id AS row_id, toxic = 0 AS is_soc FROM labels ORDER BY is_soc, row_id LIMIT 50")
+def negatives_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 records, negatives before positives: the limit is the operator's."""
+    return traces.negatives_first(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), (F.col("toxic") == 0).alias("is_soc")), 50)
+
+
+@query()
+def best_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidates for each document, the last one blank, and the best by score."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), F.lit("old").alias("think_content"), traces.passage_id("test", F.col("source"), F.col("text")).alias("passage_id"))
+
+    def model() -> traces.Model:
+        return lambda prompt, n: [f"It could appear imagery but falls short: {prompt}", f'"{prompt}" would need a soliloquy', " "][:n]
+
+    found = traces.candidates(d, model, F.array_join(F.slice(text.words(F.col("passage")), 1, 6), " "), 3)
+    return traces.with_best(d, found).select("doc_id", "think_content", F.round("trace_score", 9).alias("trace_score"))
+
+
+@query()
+def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three windows at most of each document; the sample is the operator's."""
+    return dataset.window_negatives(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), "text"), 3)
 
 
 @query(r"""SELECT conv_id, u AS passage, regexp_extract(t, '(?s)^\s*(.*?)\s*$', 1) AS think FROM (
@@ -268,9 +370,9 @@ def chat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_ANN}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS k FROM ann WHERE chunk_id NOT IN (SELECT 'c' || (doc_id // {PER_CHUNK}) FROM labels WHERE toxic = 1)) SELECT chunk_id, row_id, passage FROM r WHERE k = 1 AND passage <> ''")
-def clean_negatives(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def clean_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     positives = table(spark, sf_dir, "labels").where("toxic = 1").select(F.concat(F.lit("c"), F.floor(F.col("doc_id") / PER_CHUNK).cast("string")).alias("chunk_id"))
-    return dataset.clean_negatives(annotations(spark, sf_dir, whole), positives).select("chunk_id", "row_id", "passage")
+    return dataset.clean_negatives(annotations(spark, sf_dir), positives).select("chunk_id", "row_id", "passage")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -329,6 +431,27 @@ def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.key_figures(annotations(spark, sf_dir))
 
 
+@query(f"WITH {_ANN} SELECT source_file, count(*) AS n FROM ann GROUP BY 1")
+def rows_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.per_file(annotations(spark, sf_dir))
+
+
+@query(f"WITH {_ANN} SELECT row_id FROM ann WHERE source_file IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') AND model_label IN ('m0', 'm2') AND chunk_id = 'c1'")
+def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.chosen_rows(annotations(spark, sf_dir), [f"src{k}" for k in range(8)], ["m0", "m2"], "c1").select("row_id")
+
+
+@query(f"WITH {_ANN} SELECT DISTINCT chunk_id FROM ann")
+def chunk_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.menu(annotations(spark, sf_dir), "chunk_id")
+
+
+@query("WITH c AS (SELECT DISTINCT 'c' || (doc_id // 16) AS chunk_id FROM documents), d AS (SELECT DISTINCT 'c' || (doc_id // 16) AS chunk_id, 'm' || (doc_id % 4) AS model_label FROM labels) SELECT m.model_label, (SELECT count(*) FROM c) - count(d.chunk_id) AS n_pending, count(d.chunk_id) AS n_done FROM (VALUES ('m0'), ('m1'), ('m2'), ('m3')) AS m(model_label) LEFT JOIN (SELECT d.* FROM d JOIN c USING (chunk_id)) AS d ON d.model_label = m.model_label GROUP BY 1")
+def work_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "labels").select(F.concat(F.lit("c"), F.floor(F.col("doc_id") / PER_CHUNK).cast("string")).alias("chunk_id"), F.concat(F.lit("m"), (F.col("doc_id") % 4).cast("string")).alias("model_label"))
+    return reports.work_figures(annotations(spark, sf_dir).select("chunk_id"), done, MODELS)
+
+
 @query(f"WITH {_ANN} SELECT model_label, 'type' AS kind, soc_type AS value, count(*) AS n FROM ann GROUP BY ALL UNION ALL SELECT model_label, 'confidence', confidence, count(*) FROM ann GROUP BY ALL")
 def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.export_summary(annotations(spark, sf_dir))
@@ -340,8 +463,8 @@ def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + _CLUSTER + ", f AS (SELECT *, row_number() OVER (PARTITION BY group_id, model_label ORDER BY row_id) AS k FROM clu), l AS (SELECT group_id, model_label, 'soc_type' AS field, soc_type AS value FROM f WHERE k = 1 UNION ALL SELECT group_id, model_label, 'explanation', coalesce(nullif(explanation, ''), '—') FROM f WHERE k = 1) SELECT group_id, field, " + ", ".join(f"max(value) FILTER (WHERE model_label = '{m}') AS {m}" for m in MODELS) + " FROM l GROUP BY group_id, field")
-def field_comparison(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return reports.field_table(clustered(spark, sf_dir, whole), ["soc_type", "explanation"], MODELS)
+def field_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.field_table(clustered(spark, sf_dir), ["soc_type", "explanation"], MODELS)
 
 
 _PAIRS = "p AS (SELECT CASE WHEN quality = 1 THEN 'soc' ELSE 'none' END AS y_true, CASE WHEN n_chars > 1000 THEN 'soc' ELSE 'none' END AS y_pred FROM labels JOIN documents USING (doc_id))"
@@ -373,6 +496,24 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.summary(_pairs(spark, sf_dir)).select("n", *(F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
 
 
+@query(f"""WITH {_METRICS} SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), CAST(sum(support) AS BIGINT) FROM f""")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.report(_pairs(spark, sf_dir)).select("label", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), F.col("support").cast("long").alias("support"))
+
+
+@query("""SELECT coalesce(text, '') AS passage, quality = 1 AS true_is_soc, n_chars > 1000 AS pred_is_soc, CASE WHEN quality <> 1 THEN 'none' WHEN doc_id % 3 = 0 THEN 'other_soc' ELSE 'hybrid' END AS true_type,
+       CASE WHEN n_chars > 1000 THEN 'imagery' ELSE 'none' END AS pred_type, left(coalesce(text, ''), 500) AS raw_output
+FROM labels JOIN documents USING (doc_id)""")
+def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of whole texts with an instance behind those of over 1000 characters."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("body", F.translate(F.coalesce("text", F.lit("")), "{}", "()"))
+    told = F.when(F.col("doc_id") % 3 == 0, "no json").otherwise('{"instances": [{"soc_type": "hybrid"}]}')
+    rows = d.select("text", F.col("text").alias("passage"), (F.col("quality") == 1).alias("is_soc"), told.alias("assistant_json"), F.concat("body", F.when(F.col("n_chars") > 1000, '<think>{"instances": 1}</think> {"instances": [{"soc_type": "imagery"}]} end').otherwise("{broken}")).alias("raw_output"))
+    return evaluation.answer_pairs(rows).withColumn("raw_output", F.left("passage", F.lit(500)))
+
+
 @query(f"WITH {_METRICS} SELECT (SELECT count(*) FROM p) AS n, round((SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) FROM p), 9) AS observed, round((SELECT sum(support * predicted) FROM c) / ((SELECT count(*) FROM p) * (SELECT count(*) FROM p)), 9) AS expected")
 def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.kappa(_pairs(spark, sf_dir)).select("n", F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"))
@@ -382,20 +523,20 @@ def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HITS = lambda words: " + ".join("CAST(contains(lower(trace), '{}') AS INTEGER)".format(w.replace("'", "''")) for w in words)
-_TRACE = r"""d AS (SELECT doc_id, text AS passage, doc_id % 2 = 0 AS is_soc, 'It could appear ' || source || ' ' || [""" + ", ".join(f"'{t}'" for t in SOC_TYPES) + r"""][doc_id % 12 + 1] || ' but falls short: "' || array_to_string(w[1:3], ' ') || '"' AS trace FROM (SELECT *, """ + _WORDS + r""" AS w FROM documents))"""
+_TRACE = r"""d AS (SELECT doc_id, text AS passage, doc_id % 2 = 0 AS is_soc, 'It could appear ' || source || ' ' || [""" + ", ".join(f"'{t}'" for t in SOC_TYPES) + r"""][doc_id % 12 + 1] || ' but falls short: "' || array_to_string(w, ' ') || '"' AS trace FROM (SELECT *, """ + _WORDS + r""" AS w FROM documents))"""
 
 
 @query(f"""WITH {_TRACE}, s AS (SELECT doc_id, is_soc, {_HITS(scoring.SPECIFIC_WORDS)} AS n, {_HITS(scoring.SCEPTICAL_PHRASES)} AS k FROM d)
 SELECT doc_id, CASE WHEN n >= 2 THEN 1.0 WHEN n = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS specificity, least(1.0, k * CASE WHEN is_soc THEN 0.4 ELSE 0.5 END)::DOUBLE AS skepticism FROM s""")
-def trace_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    t = _traces(spark, sf_dir, whole)
+def trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _traces(spark, sf_dir)
     return t.select("doc_id", scoring.specificity(F.col("trace")).alias("specificity"), scoring.skepticism(F.col("trace"), F.col("is_soc")).alias("skepticism"))
 
 
-def _traces(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, SOC_TYPES)), (F.col("doc_id") % 12 + 1).cast("int"))
     words = text.words(F.col("text"))
-    quote = F.array_join(words if whole else F.slice(words, 1, 3), " ")
+    quote = F.array_join(words, " ")
     trace = F.concat(F.lit("It could appear "), "source", F.lit(" "), kind, F.lit(' but falls short: "'), quote, F.lit('"'))
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), trace.alias("trace"))
 
@@ -415,36 +556,11 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.value")
 
 
-@query(rf"SELECT doc_id, array_to_string({_WORDS}[1:5], ' ') AS passage, 'other_soc' AS soc_type, TRUE AS is_soc, 'a, b' AS secondary_devices FROM documents")
-def parsed_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query(rf"SELECT doc_id, array_to_string({_WORDS}, ' ') AS passage, 'other_soc' AS soc_type, TRUE AS is_soc, 'a, b' AS secondary_devices FROM documents")
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with a think block, one instance and text after it, parsed leniently."""
     words = text.words(F.col("text"))
-    passage = F.array_join(words if whole else F.slice(words, 1, 5), " ")
+    passage = F.array_join(words, " ")
     body = F.to_json(F.struct(F.array(F.struct(passage.alias("passage"), F.lit("false").alias("is_soc"), F.lit("a, b").alias("secondary_devices"))).alias("soc_instances")))
     answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<think>a {b}</think>\n"), body, F.lit(" tail")).alias("raw"))
     return parsing.parse_answers(answers).select("doc_id", "passage", "soc_type", "is_soc", F.array_join("secondary_devices", ", ").alias("secondary_devices"))
-
-
-# The same over whole texts; the SQL of the queries above keeps to the texts' first words
-
-_CUTS = (("array_to_string(w[1:40], ' ')", "array_to_string(w, ' ')"), ("array_to_string(w[1:3], ' ')", "array_to_string(w, ' ')"), (f"array_to_string({_WORDS}[1:5], ' ')", f"array_to_string({_WORDS}, ' ')"))
-WHOLE = (
-    "overlapping_passages", "passage_groups", "group_overview", "group_figures", "visible_groups", "consensus_conservative", "consensus_moderate", "consensus_liberal",
-    "consensus_longest", "dataset_records", "dataset_figures", "clean_negatives", "field_comparison", "parsed_answers", "trace_scores",
-)
-
-
-def _add_whole(name: str) -> None:
-    f, sql = _QUERIES[name], _SQL[name]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, whole=True)
-
-    for cut, whole in _CUTS:
-        sql = sql.replace(cut, whole)
-    run.__name__ = f"{name}_whole"
-    query(sql)(run)
-
-
-for _name in WHOLE:
-    _add_whole(_name)

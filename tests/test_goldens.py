@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import scoring, text
-from scriptorium.operators import annotate, chunking, consensus, dataset, evaluation, matching, parsing
+from scriptorium.operators import annotate, chunking, consensus, dataset, evaluation, matching, ordering, parsing, reports, traces
 from scriptorium.sources import readers, sinks
 from scriptorium.streaming import ingest
 
@@ -84,6 +89,71 @@ def test_sentence_packing():
     assert all(len(x) == 10 for x in s)
     got = chunking.pack_sentences(" ".join(s), 20, 10)
     assert got == [("Chunk 1", f"{s[0]} {s[1]}"), ("Chunk 2", f"{s[1]} {s[2]}"), ("Chunk 3", f"{s[2]} {s[3]}")]
+    # of three sentences with their spaces two are within 30 beside a third: 21 + 10 is too much
+    six = [f"S{i} abcdef." for i in range(6)]
+    assert [t for _, t in chunking.pack_sentences(" ".join(six), 45, 30)] == [" ".join(six[0:4]), " ".join(six[2:6])]
+    assert chunking.pack_sentences("  Aa bb. Cc dd.  \n", 100, 10) == [("Chunk 1", "  Aa bb. Cc dd.  \n")]
+    assert chunking.pack_sentences("", 10, 1) == [("Chunk 1", "")]
+
+
+def test_sentence_packing_by_brute_force():
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice(["A", "b", ".", "! ", " ", "\n", "C"]) * r.randrange(1, 4) for _ in range(r.randrange(0, 80)))
+        size, overlap = r.randrange(1, 40), r.randrange(0, 40)
+        sentences = re.split(r"(?<=[.!?])\s+(?=[A-Z])", text)
+        want, first, used = [], 0, 0
+        for i, s in enumerate(sentences):
+            if i > first and used + len(s) > size:
+                want.append(" ".join(sentences[first:i]))
+                new = i
+                while new > first and len(" ".join(sentences[new:i])) + len(sentences[new - 1]) <= overlap:
+                    new -= 1
+                first, used = new, len(" ".join(sentences[new:i]))
+            used += len(s)
+        want.append(" ".join(sentences[first:]))
+        assert [t for _, t in chunking.pack_sentences(text, size, overlap)] == want
+
+
+def test_groups_by_table_and_index():
+    r = random.Random(5)
+    tokens = [[f"t{k}" for k in r.sample(range(30), r.randrange(0, 12))] for _ in range(60)]
+    groups: list[list[set]] = []
+    want = []
+    for x in map(set, tokens):
+        g = next((k for k, members in enumerate(groups) if any(x and m and len(x & m) / min(len(x), len(m)) >= 0.35 for m in members)), len(groups))
+        groups[g:] = groups[g:] or [[]]
+        groups[g].append(x)
+        want.append(g)
+    assert matching.assign_groups(tokens) == want
+    matching.MOST_CELLS, most = 0, matching.MOST_CELLS
+    try:
+        assert matching.assign_groups(tokens) == want
+    finally:
+        matching.MOST_CELLS = most
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    rows = golden_rows(spark).withColumn("row_id", F.lit(0).cast("long"))
+    assert matching.cluster(rows).count() == 5
+    empty = matching.number_groups(matching.cluster(rows.where("false")))
+    assert empty.count() == 0
+
+
+def test_order_buckets(spark):
+    df = spark.range(1000).select(F.format_string("k%04d", F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 5 + 1).alias("n"))
+    got = {r.k: r.before for r in ordering.running_total(df, "k", "n", per_bucket=60).collect()}
+    total = 0
+    for r in sorted(df.collect()):
+        assert got[r.k] == total
+        total += r.n
+    assert df.withColumn("b", ordering.order_buckets(df, F.col("k"), 60)).select("b").distinct().count() > 8
+    # one outlier and many equal keys
+    skew = spark.range(3000).select(F.when(F.col("id") == 0, 10**12).otherwise(F.col("id") % 1500).alias("key"), F.lit(True).alias("is_soc"))
+    by = {r["split"]: r["count"] for r in dataset.split(skew, F.col("key"), per_share=200).groupBy("split").count().collect()}
+    assert by == {"train": 2400, "val": 300, "test": 300}
+    shares = skew.withColumn("b", ordering.order_buckets(skew, F.col("key"), 200)).groupBy("b").count().collect()
+    assert max(r["count"] for r in shares) < 1000
 
 
 def test_narrators():
@@ -133,6 +203,194 @@ def test_split(spark, n, sizes):
     assert tuple(by.get(k, 0) for k in ("train", "val", "test")) == sizes
 
 
+def test_kappa_and_report(spark):
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "y_true string, y_pred string")
+    got = evaluation.kappa(pairs).first()
+    assert (got.n, got.observed, got.expected) == (4, 0.5, pytest.approx((2 * 1 + 1 * 3) / 16))
+    assert got.kappa == pytest.approx((0.5 - 5 / 16) / (1 - 5 / 16))
+    assert evaluation.kappa(pairs.where("false")).first().n == 0
+    table = {r.label: (r.precision, r.recall, r.support) for r in evaluation.report(pairs).collect()}
+    assert table["macro avg"] == (pytest.approx(4 / 9), pytest.approx(0.5), 4)
+    assert table["weighted avg"] == (pytest.approx((2 * 1 + 1 / 3) / 4), pytest.approx(0.5), 4)
+
+
+def test_answers_against_records(spark, tmp_path):
+    told = '{"instances": [{"soc_type": "hybrid"}]}'
+    data = [("p", True, told, 'x {"instances": [{"passage": "q"}]} y'), ("q", False, "{}", "no"), ("r", True, "broken", "{broken}"), ("s", None, told, "<think>{</think>" + told)]
+    pairs = evaluation.answer_pairs(spark.createDataFrame(data, "passage string, is_soc boolean, assistant_json string, raw_output string"))
+    got = {r.passage: (r.true_is_soc, r.pred_is_soc, r.true_type, r.pred_type) for r in pairs.collect()}
+    assert got == {"p": (True, True, "hybrid", "other_soc"), "q": (False, False, "none", "none"), "r": (True, False, "other_soc", "none"), "s": (False, True, "none", "hybrid")}
+    document = json.loads(sinks.write_evaluation(pairs, str(tmp_path / "e")))
+    assert document["n_examples"] == 4
+    assert document["binary_detection"]["confusion_matrix"] == {"labels": ["none", "soc"], "matrix": [[1, 1], [1, 1]]}
+    assert document["type_classification"]["report"]["hybrid"]["support"] == 1
+    assert spark.read.json(str(tmp_path / "e/per_example")).count() == 4
+
+
+def test_traces(spark):
+    records = spark.createDataFrame([(0, "the old man ran home", True, "imagery", "old", '{"instances": []}', "a/b"), (1, "x", False, "", "kept", None, None)], "row_id long, passage string, is_soc boolean, soc_type string, think_content string, assistant_json string, chunk_id string")
+    named = records.withColumn("passage_id", traces.passage_id("train", F.col("chunk_id"), F.col("passage")))
+    assert [r.passage_id for r in named.orderBy("row_id").collect()] == ["train_a_b_" + hashlib.md5(b"the old man ran home").hexdigest()[:10], "train_unk_" + hashlib.md5(b"x").hexdigest()[:10]]
+    assert [r.row_id for r in traces.negatives_first(named).collect()] == [1, 0]
+    assert [r.row_id for r in traces.negatives_first(named, 1).collect()] == [1]
+
+    def model():
+        return lambda prompt, n: [" vague "] * (n - 1) + [f'"{prompt}" is imagery'] if " " in prompt else ["  "] * n
+
+    found = traces.candidates(named, model, F.col("passage"), 3)
+    best = traces.with_best(named, found).orderBy("row_id").collect()
+    assert [(r.think_content, r.trace_score is None) for r in best] == [('"the old man ran home" is imagery', False), ("kept", True)]
+
+    def no_model():
+        raise AssertionError
+
+    again = traces.candidates(named, no_model, F.col("passage"), 3, found.persist())
+    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in found.collect())
+    chats = traces.to_rebuilt(traces.with_best(named, found), "sys").collect()
+    assert {c.messages[2].content for c in chats} == {'<think>\n"the old man ran home" is imagery\n</think>\n{"instances": []}', '<think>\nkept\n</think>\n{"instances": []}'}
+    back = dataset.from_chat(traces.to_rebuilt(traces.with_best(named, found), "sys")).collect()
+    assert {(r.passage, r.think_content, r.is_soc) for r in back} == {("the old man ran home", '"the old man ran home" is imagery', False), ("x", "kept", False)}
+
+
+def test_ledger(spark, tmp_path):
+    chunks = spark.createDataFrame([("f", f"c{i}", "", "text", i, "", "") for i in range(6)], "source_file string, chunk_id string, chunk_label string, chunk_text string, chunk_index int, context_before string, context_after string")
+    work, path = annotate.work_list(chunks, ["m1", "m2"]), str(tmp_path / "ledger")
+
+    class Odd(Exception):
+        pass
+
+    def failing():
+        def client(model, prompt):
+            if model == "m2":
+                raise Odd("down")
+            return '{"instances": []}'
+
+        return client
+
+    done = annotate.run_pending(work, path, failing, batches=3, attempts=2, pause=0.0)
+    assert done.count() == 6
+    figures = {r.model_label: (r.n_pending, r.n_done) for r in reports.work_figures(chunks, done, ["m1", "m2"]).collect()}
+    assert figures == {"m1": (0, 6), "m2": (6, 0)}
+    done = annotate.run_pending(work, path, lambda: lambda model, prompt: '{"instances": [{"passage": "p", "is_soc": true}]}', batches=3)
+    assert sorted((r.model_label, r.chunk_id) for r in done.collect()) == sorted((m, f"c{i}") for m in ("m1", "m2") for i in range(6))
+    ingest.result_stream(spark, path, str(tmp_path / "rows"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 6
+    ingest.result_stream(spark, path, str(tmp_path / "rows"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 6
+
+
+def test_judge(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "trace string")
+
+    def client():
+        def call(model, text):
+            if text == "b":
+                raise RuntimeError("down")
+            return '{"grounding": 1, "rationale": "x"}'
+
+        return call
+
+    got = {r.trace: (r.grounding, r.skepticism, r.rationale) for r in annotate.judge(df, F.col("trace"), client, "m").collect()}
+    assert got == {"a": (1.0, 0.5, "x"), "b": (0.5, 0.5, "")}
+
+
+def test_required_fields(spark):
+    assert parsing.required_instances('t {"instances": [{"is_soc": false, "passage": "p"}]}')[0]["is_soc"] is False
+    assert parsing.required_instances("nothing") == []
+    with pytest.raises(ValueError, match="passage"):
+        parsing.required_instances('{"instances": [{"is_soc": true}]}')
+
+
+def test_numbered_lines(spark, tmp_path):
+    n = 3000
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"x": {i}}}\n' + "\n" * (i % 3) for i in range(n)))
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"y": {i}}}\n' for i in range(n - 7)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        left = readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x long", numbered=True)
+        right = readers.read_jsonl(spark, str(tmp_path / "b.jsonl"), "y long", numbered=True)
+        got = readers.zip_files(left, right).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == n - 7
+    assert all(r.x == r.y == r.row_id for r in got)
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / ".env").write_text("# c\nexport A='x y'\nB=1 # one\nbad line\n")
+    env = readers.read_env(str(tmp_path / ".env"))
+    assert env == {"A": "x y", "B": "1"}
+    (tmp_path / "m.yaml").write_text("models:\n  - label: a\n    model_name: n\n    base_url: u\n    api_key: ${A}\ntracks:\n  t:\n    min_models: 3\n")
+    (tmp_path / "m.json").write_text('{"models": [{"label": "a", "model_name": "n", "base_url": "u", "api_key": "${NO}"}]}')
+    settings = readers.load_settings(str(tmp_path / "m.yaml"), env)
+    assert readers.load_profiles(settings, env)[0].api_key == "x y"
+    assert readers.load_tracks(settings)["t"].min_models == 3
+    with pytest.raises(ValueError, match="key"):
+        readers.load_profiles(readers.load_settings(str(tmp_path / "m.json"), env), env)
+    assert readers.load_profiles({}, {"MODEL_NAME": "n", "API_KEY": "k"})[0].label == "n"
+
+
+def test_arrays_and_splits(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "m/1" if i % 3 else "m2", None if i == 4 else f'p"{i}') for i in range(7)], "row_id long, model_label string, passage string")
+    paths = sinks.write_results(rows, str(tmp_path / "r"))
+    got = {d.name: json.loads(next(d.glob("part*")).read_text()) for d in (tmp_path / "r/json").iterdir() if d.is_dir()}
+    assert paths["json"].endswith("json")
+    assert [x["row_id"] for x in got["model=m2"]] == [0, 3, 6]
+    assert [x["passage"] for x in got["model=m_1"]] == ['p"1', 'p"2', None, 'p"5']
+    sinks.write_consensus(rows.where("false"), str(tmp_path / "c"), "t")
+    assert next((tmp_path / "c/consensus_t.json").glob("part*")).read_text() == "[]\n"
+    assert next((tmp_path / "c/consensus_t.csv").glob("part*")).read_text() == '"row_id","model_label","passage"\n'
+    chats = spark.createDataFrame([("train", "a"), ("val", "b"), ("test", "c")], "split string, passage string").withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("passage").alias("content"))))
+    sinks.write_splits(chats, str(tmp_path / "s"))
+    assert {r["split"] for r in spark.read.json(str(tmp_path / "s")).collect()} == {"train", "val", "test", "test_raw"}
+    assert spark.read.json(str(tmp_path / "s/split=test_raw")).first().passage == "c"
+    assert sinks.csv_text(rows.where("row_id = 1"), ["row_id", "passage", "none"]) == 'row_id,passage\n1,"p""1"\n'
+    with pytest.raises(ValueError, match="more than 2"):
+        sinks.csv_text(rows, ["row_id"], 2)
+    files = spark.createDataFrame([("a b.txt", 1, "y"), ("a b.txt", 0, "x")], "source_file string, chunk_index int, chunk_text string")
+    sinks.write_chunk_arrays(files, str(tmp_path / "k"))
+    assert [x["chunk_text"] for x in json.loads(next((tmp_path / "k").glob("file=a_b_txt/part*")).read_text())] == ["x", "y"]
+
+
+def test_unreadable_documents(spark, tmp_path):
+    (tmp_path / "c.docx").write_bytes(b"no zip")
+    got = readers.read_documents(spark, str(tmp_path), failed=True).collect()
+    assert [(r.source_file, r.text, r.error) for r in got] == [("c.docx", None, "not readable as docx")]
+
+
+def test_token_chunks(spark):
+    text = "One two three. Four five\nsix seven.\n\n" + " ".join(f"w{i}" for i in range(25)) + "  end"
+    docs = spark.createDataFrame([("A b.txt", text), ("n.txt", None)], "source_file string, text string")
+    for strategy in ("sentence", "recursive", "token"):
+        got = chunking.token_chunks(docs, strategy, 7, 3).orderBy("chunk_index").collect()
+        assert "".join(r.chunk_text for r in got) == text
+        assert strategy == "sentence" or all(len(r.chunk_text.split()) <= 7 for r in got)
+        assert got[0].chunk_id == "A b_000"
+        assert got[1].context_before == got[0].chunk_text[-3:]
+    by_chars = chunking.token_chunks(docs, "token", 10, 0, lambda: len).collect()
+    assert all(len(r.chunk_text) <= 10 for r in by_chars)
+    with pytest.raises(ValueError, match="unknown"):
+        chunking.token_chunks(docs, "semantic")
+
+
+def test_views(spark):
+    groups = spark.createDataFrame([(0, "c2", 1), (1, "c1", 3), (2, "c1", 1), (3, "c3", 3)], "group_id long, chunk_id string, n_models int")
+    assert [r.group_id for r in reports.sorted_groups(groups).orderBy("place").collect()] == [1, 3, 2, 0]
+    instance = [("p", "imagery", ["a"], "minimal", "", "why", ["e1", "e2"], "high", "")]
+    df = spark.createDataFrame([(instance, "thought"), ([], "")], "i array<struct<passage string, soc_type string, secondary_devices array<string>, narrator_position string, character_pov string, explanation string, evidence array<string>, confidence string, notes string>>, t string")
+    first, second = (r[0] for r in df.select(reports.markdown(F.col("i"), F.col("t"))).collect())
+    assert first.startswith("## Reasoning trace\n\nthought\n\n## Instance 1 — `imagery` (high)\n> p\n\n**Explanation:** why\n**Evidence:** e1, e2\n")
+    assert "**Character:** —" in first
+    assert second == "*No stream-of-consciousness instances found.*"
+
+
+def test_catalogues(spark):
+    a, b = (spark.createDataFrame(x, "id int, author string, title string") for x in ([(1, "A", "T"), (1, "A", "T"), (2, "B", "U")], [(2, "B", "U"), (3, "C", "V")]))
+    assert sorted(tuple(r) for r in readers.repeated_books(a, b).collect()) == [(1, 2, 1), (2, 2, 2)]
+    there = spark.createDataFrame([("pg00003_c_v.txt",)], "source_file string")
+    assert [r.id for r in readers.missing_books(b, there).collect()] == [2]
+
+
 def test_training_records(spark):
     clustered = matching.number_groups(matching.cluster(golden_rows(spark))).withColumns({c: F.lit("e, f") for c in ("explanation", "evidence", "secondary_devices", "affective_register", "narrator_position", "character_pov", "notes")})
     got = dataset.training_records(dataset.group_records(clustered, 2)).collect()
@@ -156,7 +414,7 @@ def test_sources_and_sinks(spark, tmp_path):
     got = readers.read_results(spark, str(tmp_path / "r")).orderBy("row_id").collect()
     assert [(r.row_id, r.model_label, r.passage) for r in got] == [(0, "m1", "p"), (1, "x", "q"), (2, "m2", "r")]
     paths = sinks.write_results(readers.read_results(spark, str(tmp_path / "r")), str(tmp_path / "out"))
-    assert spark.read.json(paths["json"]).count() == 3
+    assert spark.read.json(paths["json"], multiLine=True).count() == 3
     assert spark.read.option("header", True).csv(paths["csv"]).count() == 3
 
 
@@ -201,8 +459,12 @@ def test_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     q = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
     sets = [set(t.lower().split()) for t in texts]
-    expected = {(a, b) for b in range(4) for a in range(b) if len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.35}
-    assert {(r.a, r.b) for r in q("overlapping_passages_whole")} == expected == {(0, 1)}
-    group = {r.row_id: r.group_id for r in q("passage_groups_whole")}
-    assert group[0] == group[1] and len({group[i] for i in (0, 2, 3)}) == 3
-    assert {r.doc_id: r.passage for r in q("parsed_answers_whole")} == {i: " ".join(t.split()) for i, t in enumerate(texts)}
+    # document 0 is reported by four annotators, as rows 0 to 3; the others are rows 4, 8, 12, 16
+    row = {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 8: 2, 12: 3, 16: 4}
+    expected = {(a, b) for b in row for a in row if a < b and len(sets[row[a]] & sets[row[b]]) / min(len(sets[row[a]]), len(sets[row[b]])) >= 0.35}
+    assert {(r.a, r.b) for r in q("overlapping_passages")} == expected
+    assert {x for p in expected for x in p} == {0, 1, 2, 3, 4}
+    group = {r.row_id: r.group_id for r in q("passage_groups")}
+    assert len({group[i] for i in (0, 1, 2, 3, 4)}) == 1
+    assert len({group[i] for i in (0, 8, 12)}) == 3
+    assert {r.doc_id: r.passage for r in q("parsed_answers")} == {i: " ".join(t.split()) for i, t in enumerate(texts)}
