@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import broadcast_if
 from scriptorium.llm.license_digests import DIGESTS
 
 # Short licences and usual notices, as their publishers word them.
@@ -30,7 +31,14 @@ _TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "
 # Only notices: the word with a sign, a year or a place for one. "copyright notice and ..." starts many a wrapped line.
 _COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t:]*(\(c\)|©|\d{4}|[\[<{](y|d))|\(c\)[ \t]*\d{4}|©)[^\n]*$"
 _SQL_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
-_SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("as-is", "as is"), ("&", " and "))
+# Spellings that count as the same, the second one standing for both.
+_SPELLINGS = (
+    ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("as-is", "as is"), ("&", " and "), ("analyse", "analyze"), ("artefact", "artifact"),
+    ("authoris", "authoriz"), ("catalogue", "catalog"), ("centre", "center"), ("favour", "favor"), ("initialis", "initializ"), ("judgement", "judgment"), ("labour", "labor"), ("maximis", "maximiz"),
+    ("offence", "offense"), ("optimis", "optimiz"), ("organis", "organiz"), ("per cent", "percent"), ("recognis", "recogniz"), ("utilis", "utiliz"), ("whilst", "while"),
+)
+#: A table of known digests of more rows than this is joined by a shuffle, not by a broadcast.
+MOST_BROADCAST = 400_000
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -55,20 +63,28 @@ def known_digests(spark: SparkSession) -> DataFrame:
     return texts.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string")).dropDuplicates(["digest"])
 
 
+def folder_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(digest, license) of a folder's text files, each named by its licence: Name.txt, or Name--any.txt for other wordings of it."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:--[^/]*)?(?:\.txt)?$", 1).alias("license"), digest(F.col("value")).alias("digest"))
+    return files.where("digest IS NOT NULL").select("digest", F.url_decode("license").alias("license"))
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, text_license, n_notices, licenses, licensed), one for each row of docs.
 
     The digest of the entire text, and of each of its lines as a text of its own, is looked up among the
     known ones. text_license names the licence that the whole text is; n_notices counts lines that are a known
-    text; licenses joins all names found, sorted. Null and empty texts have none. The known texts are
-    a fixed table, so the look-up never shuffles the documents.
+    text; licenses joins all names found, sorted. Null and empty texts have none. `known` (digest, license) may
+    be a table of one's own, such as known_digests joined with folder_digests; of several names of a digest
+    the first in order counts. The documents are shuffled by digest only where it is too large for a broadcast.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
+    known = broadcast_if(known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license")), MOST_BROADCAST)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     each = numbered.select("row", "doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
     # the entire text is line 0 and stays in any case, other lines only where they are known
-    found = each.select("row", "doc_id", "line", digest(F.col("unit")).alias("digest")).join(F.broadcast(known), "digest", "left").where("line = 0 OR license IS NOT NULL")
+    found = each.select("row", "doc_id", "line", digest(F.col("unit")).alias("digest")).join(known, "digest", "left").where("line = 0 OR license IS NOT NULL")
     names = found.groupBy("row", "doc_id").agg(F.max(F.when(F.col("line") == 0, F.col("license"))).alias("text_license"), F.count_if((F.col("line") > 0) & F.col("license").isNotNull()).alias("n_notices"), F.array_sort(F.collect_set("license")).alias("names"))
     return names.select("doc_id", "text_license", "n_notices", F.array_join("names", ",").alias("licenses"), (F.size("names") > 0).alias("licensed"))
 
