@@ -1,8 +1,10 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
-The kernel compares short strings, here the words of sentences: it counts the common subsequences of
-four characters, each occurrence weighted by its span, so that an insult keeps most of its weight when
-characters are left out or put in between. A document is as toxic as its most toxic unit.
+The kernel compares short strings, the words of sentences: it counts the common subsequences of four
+characters, each occurrence weighted by its span, so that an insult keeps most of its weight when
+characters are left out or put in between. A word with marks inside also stands without them, and letters
+set apart stand as one word. The machine learns from labelled texts which of their units are toxic, and from changed
+forms of these: with a character put in, left out, or gaps. A document is as toxic as its most toxic unit.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import column_of, slices, text_array, text_column
+from scriptorium.llm.common import column_of, ragged, slices, text_array, text_column
 
 DECAY = 0.6
 SPAN = 6
 LONGEST = 24
-_EDGES = re.compile(r"^\W+|\W+$")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = re.compile(r"[\W_]+")
 
 
 @lru_cache
@@ -36,12 +39,26 @@ def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units_of_word(word: str) -> list[str]:
-    """The strings that stand for a word: lower case, without marks at its ends; long ones in overlapping parts."""
+    """The strings that stand for a word: lower case, without marks at its ends, and without those inside; long ones in overlapping parts."""
     w = _EDGES.sub("", word.lower()) or word.lower()
-    if len(w) <= LONGEST:
-        return [f"^{w}$"] if w else []
-    half = LONGEST // 2
-    return [f"^{w}$"[i : i + LONGEST] for i in range(0, len(w) + 2 - half, half)]
+    out = []
+    for x in dict.fromkeys((w, _MARKS.sub("", w))):
+        if 0 < len(x) <= LONGEST:
+            out.append(f"^{x}$")
+        elif x:
+            half = LONGEST // 2
+            out += [f"^{x}$"[i : i + LONGEST] for i in range(0, len(x) + 2 - half, half)]
+    return out
+
+
+def changed_forms(unit: str) -> list[str]:
+    """A unit with a character put in, doubled, or left out, and with gaps between its letters; none for short units."""
+    w = unit.strip("^$")
+    h = len(w) // 2
+    if len(w) < 5 or len(w) >= LONGEST:
+        return []
+    forms = [w[:h] + "x" + w[h:], w[:2] + "q" + w[2:], w[:h] + w[h] + w[h:], w[:h] + w[h + 1 :], w[:1] + w[2:]]
+    return [f"^{x}$" for x in forms] + [f"^{'.'.join(w)}$"[:LONGEST]]
 
 
 def features(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -99,6 +116,22 @@ class StringSvm:
                 out[own[s : s + 8192]] += np.where(self.keys[r] == k, self.weights[r], 0.0) @ weight
         return out
 
+    def calibrated(self, toxic: np.ndarray, forms: np.ndarray, clean: np.ndarray, steps: int = 100) -> StringSvm:
+        """The scale and middle of the logistic curve that is likeliest for the decisions of documents of either label and of changed forms.
+
+        Targets are smoothed (Platt); the changed forms weigh as much as the toxic documents together.
+        """
+        f, n = np.r_[toxic, forms, clean], len(toxic) + len(forms)
+        target = np.r_[np.full(n, (n + 1) / (n + 2)), np.full(len(clean), 1 / (len(clean) + 2))]
+        weight = np.r_[np.ones(len(toxic)), np.full(len(forms), len(toxic) / max(1, len(forms))), np.ones(len(clean))] / len(f)
+        x, w = np.stack([f, np.ones(len(f))], axis=1), np.zeros(2)
+        for _ in range(steps):  # Newton's method, damped by a small ridge
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (p - target)))
+            w -= step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        scale = max(float(w[0]), 1e-3)
+        return StringSvm(self.keys, self.weights, self.bias, scale, float(-w[1] / scale))
+
     def probability(self, decisions: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.scale * (decisions - self.middle), -30, 30)))
 
@@ -112,32 +145,34 @@ def _fold(landmarks: list[str], alpha: np.ndarray, bias: float) -> StringSvm:
     return StringSvm(names, np.bincount(inverse, np.concatenate(values), len(names)), bias, 1.0, 0.0)
 
 
-def fit_svm(positive: list[str], negative: list[str], landmarks: list[str], regularization: float = 1e-4, steps: int = 300) -> StringSvm:
-    """Squared-hinge support vector machine on the Nyström features of the landmarks."""
+def fit_svm(strings: list[str], target: np.ndarray, cost: np.ndarray, landmarks: list[str], regularization: float = 1e-4, steps: int = 300) -> StringSvm:
+    """Squared-hinge support vector machine on the Nyström features of the landmarks; targets are 1 and -1, cost is each string's."""
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     use = values > 1e-6 * values.max()
     project = vectors[:, use] / np.sqrt(values[use])
-    x = kernel(positive + negative, landmarks).astype(np.float64) @ project
-    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    cost = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
-    w, b = np.zeros(x.shape[1]), 0.0
-    speed_w, speed_b = w.copy(), 0.0
-    for t in range(steps):  # accelerated descent; the features' norms are near 1
-        slack = np.maximum(0, 1 - y * (x @ speed_w + speed_b)) * cost * y
-        new_w, new_b = speed_w + 0.4 * (2 * (slack @ x) - regularization * speed_w), speed_b + 0.8 * slack.sum()
-        k = t / (t + 3)
-        speed_w, speed_b = new_w + k * (new_w - w), new_b + k * (new_b - b)
-        w, b = new_w, new_b
-    return _fold(landmarks, project @ w, float(b))
-
-
-def learn(bags: list[list[str]], toxic: list[int], rounds: int = 3, n_landmarks: int = 320, most: int = 2000) -> StringSvm:
+    x = np.c_[kernel(strings, landmarks) @ project.astype(np.float32), np.ones(len(strings), np.float32)]
+    pull = np.r_[np.full(x.shape[1] - 1, regularization), 0.0]
+    rate = 1 / (2 * np.linalg.eigvalsh((x * cost[:, None].astype(np.float32)).T @ x)[-1] + regularization)
+    y, c = target.astype(np.float32), (cost * target).astype(np.float32)
+    w = speed = np.zeros(x.shape[1])
+    for t in range(steps):  # accelerated descent
+        slack = np.maximum(0, 1 - y * (x @ speed.astype(np.float32))) * c
+        new = speed + rate * (2 * (slack @ x) - pull * speed)
+        speed = new + t / (t + 3) * (new - w)
+        w = new
+    return _fold(landmarks, project @ w[:-1], float(w[-1]))
+
+
+def learn(bags: list[list[str]], toxic: list[int], rounds: int = 3, rank: int = 320, start: int = 2000) -> StringSvm:
     """Learn which units make a document toxic, from documents' units and labels.
 
-    It begins with the units that most toxic documents have and no clean one. Each round takes the
-    highest unit of every toxic document as positive, and adds the clean units that come highest to the
-    negatives. Landmarks are positives and the highest negatives in equal numbers, as what tells an
-    insult from a clean word that resembles it must be seen by the kernel.
+    It begins with, of each toxic document, the unit that no clean one has and most toxic ones have. Each round
+    takes the highest unit of every toxic document, and any beyond the margin, with their changed forms as
+    positive. Of the clean units all take part: the machine is solved over a working set, `start` units by a hash
+    and all that came within the margin, as a unit beyond the margin has no loss. Landmarks, `rank` of them, which is
+    the rank of the Nyström features, are positives and the highest negatives in equal numbers, as what tells an
+    insult from a clean word that resembles it must be seen by the kernel. Scores are calibrated on the documents'
+    highest units and the positives' changed forms.
     """
     label = np.array(toxic, bool)
     names = list(dict.fromkeys(u for bag in bags for u in bag))
@@ -148,37 +183,36 @@ def learn(bags: list[list[str]], toxic: list[int], rounds: int = 3, n_landmarks:
     of_toxic = np.repeat(label[full], sizes)
     dirty = np.bincount(flat[of_toxic], minlength=len(names))
     clean = np.bincount(flat[~of_toxic], minlength=len(names))
-    if not dirty.any() or not clean.any():
+    if not ((clean == 0) & (dirty > 0)).any() or not clean.any():
         return StringSvm(np.zeros(1, np.int64), np.zeros(1), 0.0, 1.0, 5.0)
     starts = np.cumsum(sizes) - sizes
-    known_clean, only_dirty = np.flatnonzero(clean), np.flatnonzero((clean == 0) & (dirty > 0))
+    known_clean = np.flatnonzero(clean)
     hashes = np.array([zlib.crc32(u.encode()) for u in names])
-    usual = known_clean[np.argsort(hashes[known_clean], kind="stable")][:most]
-    positive = only_dirty[np.argsort(-dirty[only_dirty], kind="stable")][:300]
-    hard = usual
+    working = known_clean[np.argsort(hashes[known_clean], kind="stable")][:start]
+    hard = working
+    value = np.where(clean == 0, dirty.astype(float), -np.inf)
     for k in range(rounds + 1):
-        marks = np.r_[positive[: n_landmarks // 2], hard[: n_landmarks // 2]]
-        negative = np.unique(np.r_[usual, hard])
-        svm = fit_svm([names[i] for i in positive], [names[i] for i in negative], [names[i] for i in dict.fromkeys(marks.tolist())], steps=1200 if k == rounds else 300)
+        own = np.where(clean[flat] == 0, value[flat], -np.inf)
+        top = np.repeat(np.maximum.reduceat(own, starts), sizes)
+        positive = np.unique(flat[of_toxic & np.isfinite(own) & ((own == top) | ((own >= 1) & (k > 0)))])
+        positive = positive[np.argsort(-dirty[positive], kind="stable")]
+        forms = [x for i in positive for x in changed_forms(names[i]) if x not in number]
+        marks = dict.fromkeys(np.r_[positive[: rank // 2], hard[: rank // 2]].tolist())
+        cost = np.r_[np.full(len(positive), 0.5 / len(positive)), np.full(len(forms), 0.25 / max(1, len(forms))), np.full(len(working), 0.5 / start)]
+        target = np.where(np.arange(len(cost)) < len(positive) + len(forms), 1.0, -1.0)
+        svm = fit_svm([*(names[i] for i in positive), *forms, *(names[i] for i in working)], target, cost, [names[i] for i in marks], steps=1200 if k == rounds else 300)
         value = svm.decide(names)
-        if k < rounds:
-            own = np.where(clean[flat] == 0, value[flat], -np.inf)
-            top = np.repeat(np.maximum.reduceat(own, starts), sizes)
-            chosen = flat[of_toxic & np.isfinite(own) & ((own == top) | (own >= 1))]
-            positive = np.unique(chosen)
-            positive = positive[np.argsort(-dirty[positive], kind="stable")][:most] if len(positive) else only_dirty[:most]
-            hard = known_clean[np.argsort(-value[known_clean], kind="stable")][:most]
+        hard = known_clean[np.argsort(-value[known_clean], kind="stable")]
+        working = np.union1d(working, known_clean[value[known_clean] > -1])
     top = np.maximum.reduceat(value[flat], starts)
-    # the middle lies nearer to the highest clean documents, as insults with changed characters score lower than plain ones
-    low, high = np.quantile(top[~label[full]], 0.998), np.quantile(top[label[full]], 0.02)
-    return StringSvm(svm.keys, svm.weights, svm.bias, 8.0 / max(0.25, high - low), float(low + 0.3 * (high - low) if high > low else high))
+    return svm.calibrated(top[label[full]], svm.decide(forms), top[~label[full]])
 
 
 def document_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """For all units of all texts: text, place among the distinct units; and these.
 
-    Units are the texts' words. A run of three or more words of one character is one unit more, as
-    letters set apart by spaces read as one word.
+    Units are the texts' words. A run of three or more words of one character, marks aside, is one unit
+    more, as letters set apart by spaces read as one word.
     """
     lists = pc.utf8_split_whitespace(texts)
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -188,22 +222,21 @@ def document_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     coded = flat.dictionary_encode()
     place = coded.indices.to_numpy(zero_copy_only=False)
     distinct: dict[str, int] = {}
-    per_word, at = [], []
+    per_word, at, letters = [], [], []
     for w in coded.dictionary.to_pylist():
         got = [distinct.setdefault(u, len(distinct)) for u in units_of_word(w)]
         per_word.append(len(got))
         at += got
+        letters.append(x if len(w) < 5 and len(x := _MARKS.sub("", w.lower())) == 1 else "")
     n, at = np.array(per_word, np.int64), np.array(at, np.int64)
-    from scriptorium.llm.common import ragged
-
     starts = np.cumsum(n) - n
     owners, places = [np.repeat(owner, n[place])], [at[ragged(starts[place], n[place])]]
-    single = np.flatnonzero(pc.utf8_length(flat).to_numpy(zero_copy_only=False) == 1)
+    single = np.flatnonzero(np.array([x != "" for x in letters], bool)[place])
     if len(single):
         cuts = np.flatnonzero((np.diff(single) != 1) | (np.diff(owner[single]) != 0)) + 1
         for run in np.split(single, cuts):
             if len(run) > 2:
-                for u in units_of_word("".join(flat.take(pa.array(run)).to_pylist())):
+                for u in units_of_word("".join([letters[i] for i in place[run]])):
                     owners.append(owner[run[:1]])
                     places.append(np.array([distinct.setdefault(u, len(distinct))]))
     return np.concatenate(owners), np.concatenate(places), list(distinct)
