@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
 
-Counts of trusted text are tables sharded by n-gram. Texts to score stay in compressed blocks; each block asks
-for every distinct n-gram it has once, joins turn counts into probabilities, and the answers return to the
-blocks. So neither a model nor a document's n-grams are ever rows of one task. Trusted text is dealt to folds, and
+Counts of trusted text are tables sharded by n-gram. The documents to score are dealt to shards; each shard
+asks for every distinct n-gram it has once, joins turn counts into probabilities, and the answers return to the
+shard's texts. So neither a model nor a document's n-grams are ever rows of one task. Trusted text is dealt to folds, and
 the tables hold a model without each fold beside the one of all: a trusted document is judged by what others say.
 """
 
@@ -172,34 +172,39 @@ def train(trusted: DataFrame, fold: F.Column | None = None, folds: int = 0) -> K
 _SCORED = "doc_id long, lang string, m int, n_chars long, log_prob double, perplexity double"
 
 
-def perplexities(docs: DataFrame, model: KneserNey, which: F.Column | None = None, block_bytes: int = 16_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, model: KneserNey, which: F.Column | None = None, shard_bytes: int = 24_000_000) -> DataFrame:
     """Rows (doc_id, lang, m, n_chars, log_prob, perplexity), one for each row of docs (doc_id, lang, text).
 
     `which` is the number m of the model that scores a row, the one of all text if it is null.
     n_chars counts a text's characters and its end; log_prob sums the logarithms of their
-    probabilities; perplexity is per character. Null texts are empty. Texts move between machines
-    once, compressed, in blocks of about `block_bytes`, as many tasks as there are blocks.
+    probabilities; perplexity is per character. Null texts are empty. The rows of each model are dealt to shards of
+    about `shard_bytes`, a task each. Texts move to their shards twice, compressed: to ask for n-grams, and to be scored.
     """
-    models = model.folds + 1
     number = F.lit(model.folds) if which is None else F.coalesce(which, F.lit(model.folds))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_column(docs).alias("text"), number.cast("int").alias("m"), F.spark_partition_id().cast("long").alias("part"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_column(docs).alias("text"), number.cast("int").alias("m"))
+    sizes = {r["m"]: r["n"] for r in rows.groupBy("m").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # a row for each model
+    shards = np.array([sizes.get(m, 0) // shard_bytes + 1 for m in range(model.folds + 1)])
+    first, tasks = np.cumsum(shards) - shards, int(shards.sum())
+    dealt = rows.withColumn("shard", (_by_model(first.tolist()) + F.pmod(F.xxhash64("doc_id", F.octet_length("text")), _by_model(shards.tolist()))).cast("int"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(gathered(batches, block_bytes)):
-            first = (column_of(b, "part")[0].as_py() << 32) + k * models
-            for m, part in _split(b, "m"):
-                seen = np.zeros(0, np.int64)
-                for piece in slices([part], 4_000_000):
-                    grams = Grams.of(texts_of(piece))
-                    seen = np.union1d(seen, grams.gram(grams.distinct()[0]))
-                yield pa.RecordBatch.from_arrays([pa.array([first + m], pa.int64()), pa.array([m], pa.int32()), pa.array([as_bytes(part.select(["doc_id", "lang", "m", "text"]))], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.array(seen))], names=["block", "m", "rows", "grams"])
-
-    def score(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        for b in gathered(batches, 16_000_000):
+            for k, part in _split(b, "shard"):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), column_of(part, "m").slice(0, 1), pa.array([as_bytes(part.select(["doc_id", "lang", "m", "text"]))], pa.binary())], names=["shard", "m", "rows"])
+
+    def ask(key: tuple, parts: pa.Table) -> pa.Table:
+        seen = np.zeros(0, np.int64)
+        for b in gathered(map(from_bytes, parts["rows"]), 4_000_000):
+            grams = Grams.of(texts_of(b))
+            seen = np.union1d(seen, grams.gram(grams.distinct()[0]))
+        return pa.table({"shard": np.full(len(seen), key[0].as_py(), np.int32), "m": np.full(len(seen), parts["m"][0].as_py(), np.int32), "g": seen})
+
+    def score(key: tuple, parts: pa.Table, answers: pa.Table) -> pa.Table:
         known = answers["g"].to_numpy()
         order = np.argsort(known)
         known, log_p = known[order], answers["log_p"].to_numpy()[order]
         out = []
-        for b in slices(map(from_bytes, blocks["rows"]), 4_000_000):
+        for b in gathered(map(from_bytes, parts["rows"]), 4_000_000):
             grams = Grams.of(texts_of(b))
             at = grams.distinct()[0]
             each = grams.lookup(at, log_p[np.searchsorted(known, grams.gram(at))])
@@ -208,11 +213,10 @@ def perplexities(docs: DataFrame, model: KneserNey, which: F.Column | None = Non
             out.append(pa.table({"doc_id": b.column(0), "lang": b.column(1), "m": b.column(2), "n_chars": grams.counts, "log_prob": total, "perplexity": np.exp(-total / grams.counts)}))
         return pa.concat_tables(out)
 
-    blocks = written(rows.mapInArrow(pack, "block long, m int, rows binary, grams array<long>"), "text-blocks")
-    asked = blocks.select("block", "m", F.explode("grams").alias("g"))
-    answers = asked.join(model.log_probabilities(asked), ["m", "g"]).select(F.col("block").alias("at_block"), "g", "log_p")
-    tasks = max(1, blocks.count())
-    return blocks.select("block", "rows").repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "at_block").groupBy("at_block")).applyInArrow(score, _SCORED)
+    packed = dealt.mapInArrow(pack, "shard int, m int, rows binary").repartition(tasks, "shard")
+    asked = written(packed.groupBy("shard").applyInArrow(ask, "shard int, m int, g long"), "asked-grams")
+    answers = asked.join(model.log_probabilities(asked), ["m", "g"]).select(F.col("shard").alias("to_shard"), "g", "log_p")
+    return packed.groupBy("shard").cogroup(answers.repartition(tasks, "to_shard").groupBy("to_shard")).applyInArrow(score, _SCORED)
 
 
 def spread(trusted: DataFrame) -> tuple[float, float]:

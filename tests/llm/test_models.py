@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import masked_lm, quality_lm, toxicity
 from tests.llm.helpers import ODD, empty, frame, prose
@@ -48,6 +49,49 @@ def test_perplexity_against_brute_force(spark):
     assert sorted(round(r.log_prob, 3) for r in got) == pytest.approx(sorted(round(w, 3) for w in want), abs=2e-3)
 
 
+def test_models_without_a_fold(spark):
+    """Each document by the model that has not counted its fold."""
+    texts = [prose(i, 30) for i in range(9)]
+    docs = frame(spark, [*enumerate(texts), (100, "something else")])
+    fold = F.when(F.col("doc_id") < 9, (F.col("doc_id") % 3).cast("int"))
+    model = quality_lm.train(docs.where("doc_id < 9"), fold, 3)
+    got = {r.doc_id: r.log_prob for r in quality_lm.perplexities(docs, model, fold).collect()}
+    for f in range(3):
+        mine = [i for i in range(9) if i % 3 == f]
+        want = kneser_ney([t for i, t in enumerate(texts) if i % 3 != f], [texts[i] for i in mine])
+        assert [got[i] for i in mine] == pytest.approx(want, abs=2e-3)
+    assert got[100] == pytest.approx(kneser_ney(texts, ["something else"])[0], abs=2e-3)
+
+
+def test_verdicts_by_brute_force(spark):
+    """Distances, quantiles by language and verdicts from the perplexities, written plainly."""
+    langs = ["aa", "bb", None]
+    texts = {i: prose(i, 5 + 7 * (i % 13)) if i % 3 == 0 else prose(i, 4 + 5 * (i % 11)).upper() for i in range(120)}
+    texts |= {200: "### $$$ %%% " * 30, 201: prose(7, 40), 202: "", 203: "ZZZZ 1111 " * 20}
+    data = [(i, t, "cc" if i == 201 else langs[i % 3]) for i, t in texts.items()]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(90)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_lm.classify(docs, labels, 0.9).collect()}
+    logs = {i: math.log(r.perplexity) for i, r in got.items()}
+    trusted = [i for i in range(90)]
+    group = lambda i: got[i].lang
+    mean = {g: np.mean([logs[i] for i in trusted if group(i) == g]) for g in langs}
+    x, y = np.array([1 / got[i].n_chars for i in trusted]), np.array([(logs[i] - mean[group(i)]) ** 2 for i in trusted])
+    b = max(0.0, np.cov(x, y, bias=True)[0, 1] / np.var(x))
+    a = y.mean() - b * x.mean()
+    if a <= 0.01 * y.mean():
+        a, b = 0.01 * y.mean(), 0.99 * y.mean() / x.mean()
+    means = {g: m for g, m in mean.items() if g} | {None: np.mean([logs[i] for i in trusted])}
+    place = {i: (logs[i] - means.get(group(i), means[None])) / math.sqrt(a + b / got[i].n_chars) for i in logs}
+    quantile = lambda v: sorted(v)[math.ceil(0.9 * len(v)) - 1]
+    limit = {g: quantile([place[i] for i in trusted if group(i) == g]) for g in ("aa", "bb")}
+    over_all = quantile([place[i] for i in trusted])
+    for i, r in got.items():
+        assert r.kept == (place[i] <= limit.get(r.lang, over_all) + 1e-9 or r.n_chars == 1), i
+    assert not got[200].kept
+    assert got[202].kept
+
+
 def test_classifier(spark):
     docs = frame(spark, [*ODD, *((100 + i, prose(i, 60)) for i in range(40)), (200, "### $$$ %%% " * 40)])
     labels = spark.createDataFrame([(100 + i, 1) for i in range(30)] + [(200, 0)], "doc_id long, quality int")
@@ -86,17 +130,38 @@ def test_toxicity_held_out(spark):
     insults = ["moron", "clown", "loser"]
     rows = [(i, prose(i, 50) + (f" {insults[i % 3]} " if i % 4 == 0 else " ") + prose(i + 900, 20)) for i in range(240)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
-    extra = [(900, prose(7, 30) + " mo.ron " + prose(8, 9)), (901, prose(9, 30) + " c l o w n. " + prose(3, 5))]
+    changed = ["mo.ron", "c l o w n.", "m..o..r..o..n", "l. o. s. e. r.", "cl--own", "mor_on", "looser", "mo*r*on!"]
+    extra = [(900 + k, prose(7 + k, 30) + f" {x} " + prose(80 + k, 9)) for k, x in enumerate(changed)]
     docs = frame(spark, [*ODD, *rows, *extra])
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
     wrong = [i for i in range(240) if got[i].predicted != int(i % 4 == 0) and i > 9]
     assert not wrong
-    assert got[900].predicted == got[901].predicted == 1
+    assert [x for k, x in enumerate(changed) if not got[900 + k].predicted] == []
     assert all(got[i].predicted == 0 and 0 <= got[i].score <= 1 for i in (1, 2, 3))
     assert toxicity.toxicity(docs, labels.where("false")).where("predicted = 1").count() == 0
     assert toxicity.toxicity(empty(spark), labels).count() == 0
 
 
+def test_toxicity_of_real_labels(spark):
+    """Documents that were held out, against their labels: ranking, catches and false alarms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    assert np.mean([(x > y) + 0.5 * (x == y) for x in bad.score for y in good.score]) > 0.8
+    assert bad.predicted.mean() > 0.6
+    assert good.predicted.mean() < 0.06
+
+
+def test_changed_units():
+    assert toxicity.units_of_word("..i..d..i..o..t!") == ["^i..d..i..o..t$", "^idiot$"]
+    assert toxicity.units_of_word("word,") == ["^word$"]
+    assert toxicity.units_of_word("") == []
+    import pyarrow as pa
+
+    _, _, units = toxicity.document_units(pa.array(["x i. d, i. o- t. y two", None, "a b"], pa.string()).fill_null(""))
+    assert "^xidioty$" in units
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     net = masked_lm.Network(5, 4)
