@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -92,6 +93,20 @@ def frequencies(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.n
 
 
 _OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+_BLOCKS = "block long, rows binary, names array<struct<bucket: int, names: binary>>"
+
+
+def _packed(names: list[bytes]) -> bytes:
+    """Strings as one compressed value."""
+    sizes = np.fromiter(map(len, names), np.uint32, len(names))
+    return zlib.compress(np.uint32(len(names)).tobytes() + sizes.tobytes() + b"".join(names), 1)
+
+
+def _unpacked(value: bytes) -> list[str]:
+    data = zlib.decompress(value)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)).tolist()
+    return [data[s:e].decode() for s, e in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000) -> DataFrame:
@@ -99,36 +114,48 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
     Null and empty texts have no bytes and no tokens. Null and repeated ids give rows of their own.
     Other columns are not read. Blocks of about `block_chars` bytes of text hold their documents' pre-token
-    frequencies, compressed. A block names each of its pre-tokens once; all blocks' names meet, sorted,
-    so that each distinct pre-token is encoded once in the whole run, and the counts return to the blocks.
+    frequencies. A block names each of its pre-tokens once, in buckets by a hash, as many as there are blocks
+    but between 32 and 20,000. A bucket's task keeps a table of its names and encodes each distinct one once in the whole
+    run; the counts return to the blocks, where they meet the frequencies and are summed.
     """
+    text = text_column(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.spark_partition_id().cast("long").alias("part"))
+    size = rows.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    buckets = int(min(20_000, max(32, size // block_chars)))
 
     def block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, b in enumerate(gathered(batches, block_chars)):
             words, owner, place, n = frequencies(text_array(b))
+            raw = words.cast(pa.binary())
+            bucket = np.fromiter(map(zlib.crc32, raw.to_pylist()), np.int64, len(raw)) % buckets
+            order = pc.sort_indices(pa.table({"bucket": bucket, "name": raw}), [("bucket", "ascending"), ("name", "ascending")]).to_numpy()
+            back = np.empty(len(order), np.int32)
+            back[order] = np.arange(len(order), dtype=np.int32)
             ends = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (place, n)]
-            rows = pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "n_bytes"), *lists], names=["doc_id", "n_bytes", "place", "n"])
-            names = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            number = (column_of(b, "part")[0].as_py() << 32) + k
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([as_bytes(rows)], pa.binary()), names], names=["block", "rows", "names"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (back[place], n.astype(np.int32))]
+            counted = pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "n_bytes"), *lists], names=["doc_id", "n_bytes", "place", "n"])
+            bucket, names = bucket[order], raw.take(pa.array(order)).to_pylist()
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist() if len(bucket) else []
+            parts = [{"bucket": int(bucket[i]), "names": _packed(names[i:j])} for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            kind = pa.list_(pa.struct([("bucket", pa.int32()), ("names", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([pa.array([(column_of(b, "part")[0].as_py() << 32) + k], pa.int64()), pa.array([as_bytes(counted)], pa.binary()), pa.array([parts], kind)], names=["block", "rows", "names"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, last, last_n = piece_counter(model_file), None, 0
+        counter, own, known = piece_counter(model_file), None, {}
         for b in batches:
-            coded = column_of(b, "name").dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            new = [x for x in names if x != last]
-            n = counter.count(new)
-            if len(new) < len(names):  # the last batch's last name goes on; sorted, it is the first here
-                n = np.append(last_n, n)
-            if len(names):
-                last, last_n = names[-1], n[-1]
-            yield pa.RecordBatch.from_arrays([column_of(b, "block"), column_of(b, "place"), pa.array(n[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32))], names=["block", "place", "n"])
+            out = []
+            for bucket, value in zip(column_of(b, "bucket").to_pylist(), column_of(b, "names").to_pylist(), strict=True):
+                if bucket != own:
+                    own, known = bucket, {}
+                names = _unpacked(value)
+                if new := [x for x in names if x not in known]:
+                    known.update(zip(new, counter.count(new).tolist(), strict=True))
+                out.append(zlib.compress(np.fromiter(map(known.__getitem__, names), np.uint32, len(names)).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([column_of(b, "block"), column_of(b, "bucket"), pa.array(out, pa.binary())], names=["of_block", "bucket", "counts"])
 
     def total(key: tuple, blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        pieces = np.zeros(counts.num_rows, np.int64)
-        pieces[counts["place"].to_numpy()] = counts["n"].to_numpy()
+        values = counts.sort_by("bucket")["counts"].to_pylist()
+        pieces = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(zlib.decompress(x), np.uint32) for x in values)]).astype(np.int64)
         out = []
         for value in blocks["rows"]:
             rows = from_bytes(value)
@@ -137,9 +164,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
             out.append(pa.table({"doc_id": column_of(rows, "doc_id"), "n_bytes": column_of(rows, "n_bytes"), "n_tokens": n, "over_limit": n > limit}))
         return pa.concat_tables(out)
 
-    text = text_column(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.spark_partition_id().cast("long").alias("part"))
-    blocks = written(rows.mapInArrow(block, "block long, rows binary, names array<string>"), "token-frequencies")
-    named = blocks.select("block", F.posexplode("names").alias("place", "name"))
-    counts = named.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(count, "block long, place int, n int")
-    return blocks.select("block", "rows").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(total, _OUT)
+    blocks = written(rows.mapInArrow(block, _BLOCKS), "token-frequencies")
+    named = blocks.select("block", F.explode("names").alias("x")).select("block", "x.bucket", "x.names")
+    # rows that a task holds are dealt by their bucket and sorted, so a bucket's rows follow each other
+    counts = named.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "of_block long, bucket int, counts binary")
+    return blocks.select("block", "rows").groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(total, _OUT)
