@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scoring, text
 from scriptorium.operators import annotate, chunking, consensus, dataset, evaluation, matching, ordering, parsing, reports, traces
-from scriptorium.sources import readers, sinks
+from scriptorium.sources import catalogues, readers, sinks
 from scriptorium.streaming import ingest
 
 
@@ -387,6 +387,9 @@ def test_views(spark):
 def test_catalogues(spark):
     a, b = (spark.createDataFrame(x, "id int, author string, title string") for x in ([(1, "A", "T"), (1, "A", "T"), (2, "B", "U")], [(2, "B", "U"), (3, "C", "V")]))
     assert sorted(tuple(r) for r in readers.repeated_books(a, b).collect()) == [(1, 2, 1), (2, 2, 2)]
+    assert {r.id: (r.n, r.n_catalogs) for r in catalogues.repeated(spark).collect()} == {2166: (2, 1), 1400: (2, 1), 2775: (2, 2)}
+    assert catalogues.negatives(spark).count() == len(catalogues.NEGATIVES) - 2
+    assert catalogues.positives(spark).where("id = 2775").first().title == "The Good Soldier"
     there = spark.createDataFrame([("pg00003_c_v.txt",)], "source_file string")
     assert [r.id for r in readers.missing_books(b, there).collect()] == [2]
 
