@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import user_prompt
-from scriptorium.operators.parsing import parse_judgements
+from scriptorium.functions.text import think_block, user_prompt
+from scriptorium.operators.parsing import instances, parse_judgements, required_instances
 
 #: make_client() runs once in each task; the client takes (model_label, prompt) and returns the raw answer.
 Client = Callable[[str, str], str]
@@ -57,6 +57,13 @@ def annotate(work: DataFrame, make_client: Callable[[], Client], attempts: int =
     return asked.mapInPandas(run, schema)
 
 
+def analyse_passage(spark: SparkSession, passage: str, make_client: Callable[[], Client], model: str = "model", **how: float) -> DataFrame:
+    """One row for one passage: think_trace, instances, raw_output and error. An instance without its required fields is an error of the job."""
+    columns = "model_label string, source_file string, chunk_id string, chunk_label string, chunk_text string, chunk_index int, context_before string, context_after string"
+    work = spark.createDataFrame([(model, "passage", "passage_000", "", passage, 0, "", "")], columns)
+    return annotate(work, make_client, **how).select(think_block(F.col("raw")).alias("think_trace"), instances(F.col("raw"), required_instances).alias("instances"), F.col("raw").alias("raw_output"), "error")
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """What run_pending has done: (model_label, chunk_id, raw); empty where there is nothing yet."""
     schema = "model_label string, chunk_id string, raw string"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.schemas import INSTANCE, JUDGE
@@ -79,19 +79,24 @@ def required_instances(raw: str | None) -> list[dict]:
     return out
 
 
+def instances(raw: Column, read: Callable[[str | None], list[dict]] = lenient_instances) -> Column:
+    """The instances of answers, as an array."""
+
+    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in INSTANCE.split(', '))}>>")
+    def parse(answers: pd.Series) -> pd.Series:
+        return answers.map(read)
+
+    return parse(raw)
+
+
 def parse_answers(answers: DataFrame, strict: bool = False, required: bool = False) -> DataFrame:
     """answers with a column `raw`: one row for each instance, its fields beside the other columns and its place `pos`.
 
     `required` ends the job at an instance without its required fields.
     """
-    read = required_instances if required else strict_instances if strict else lenient_instances
-
-    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in INSTANCE.split(', '))}>>")
-    def parse(raw: pd.Series) -> pd.Series:
-        return raw.map(read)
-
     others = [c for c in answers.columns if c != "raw"]
-    return answers.select(*others, F.posexplode(parse("raw")).alias("pos", "instance")).select(*others, "pos", "instance.*")
+    found = instances(F.col("raw"), required_instances if required else strict_instances if strict else lenient_instances)
+    return answers.select(*others, F.posexplode(found).alias("pos", "instance")).select(*others, "pos", "instance.*")
 
 
 def flatten_results(instances: DataFrame) -> DataFrame:

@@ -294,6 +294,13 @@ def test_judge(spark):
     assert got == {"a": (1.0, 0.5, "x"), "b": (0.5, 0.5, "")}
 
 
+def test_one_passage(spark):
+    told = '<think> why </think>{"instances": [{"is_soc": true, "passage": "p", "soc_type": "imagery", "explanation": "e"}]}'
+    got = annotate.analyse_passage(spark, "text", lambda: lambda model, prompt: told if "text" in prompt else "")
+    assert got.select("think_trace", "instances.passage", "raw_output", "error").first() == ("why", ["p"], told, None)
+    assert got.select(reports.markdown(F.col("instances"), F.col("think_trace"))).first()[0].startswith("## Reasoning trace\n\nwhy\n\n## Instance 1 — `imagery` (medium)\n> p\n")
+
+
 def test_required_fields(spark):
     assert parsing.required_instances('t {"instances": [{"is_soc": false, "passage": "p"}]}')[0]["is_soc"] is False
     assert parsing.required_instances("nothing") == []
