@@ -1,11 +1,12 @@
 """Jaccard join of word-shingle sets by parity sketches, and the components of its links.
 
-A set's sketch has as many places as its size band asks for. A shingle's hash picks a place; there it is
-XORed into a 64-bit word, and it flips one of 16 parity bits. So one shingle more or less changes one word
-and one bit, and neither the number of words that differ nor the bits' Hamming distance ever exceeds the
-size of the sets' symmetric difference. That difference is at most d for two sets of a band that
-link. With more than d places, the words of some place must agree (pigeonhole): equal words at equal
-places give the candidates, the Hamming distance thins them, and the shingle sets themselves decide.
+A shingle's hash picks a place of the set's size band, where it is XORed into a 64-bit word, and one parity
+bit of a bit sketch, which it flips. So one shingle more or less changes one word and one bit, and neither
+the number of words that differ nor the bits' Hamming distance ever exceeds the size of the sets' symmetric
+difference. That difference is at most d for two sets of a band that link. With d + 1 + s places, s + 1
+words at least must agree (pigeonhole). So each set may leave out its s most frequent words, in an order
+that is the same for all sets: of the words that agree, the last in that order stays with both. Words that
+stay and are equal give the candidates, the Hamming distance thins them, and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if, column_of, slices, text_array, text_column, written
+from scriptorium.llm.common import broadcast_if, column_of, release, slices, text_array, text_column, written
 
 MOST_BROADCAST = 1_000_000
 _SETS = "doc_id long, text_key long, n_shingles long, set_id long, band int, own binary, above binary"
@@ -53,56 +55,70 @@ class Jaccard:
         return 100 * both >= self.percent * (len(a) + len(b) - both)
 
 
+@dataclass(frozen=True)
+class Band:
+    """Sizes low to high; linked sets have s + 1 equal words of these places, s being `spare`; `bits` of parity."""
+
+    low: int
+    high: int
+    places: int
+    spare: int
+    bits: int
+
+
 @lru_cache
-def bands(rule: Jaccard) -> tuple[tuple[int, int, int, int], ...]:
-    """(least size, most size, places, spare places) of each band.
+def bands(rule: Jaccard) -> tuple[Band, ...]:
+    """The size bands.
 
     Sets below the first band link with equal sets only. A band's sizes differ by 1.3 or 100 / percent
-    at most, so linked sets are in one band or in neighbours. Spare places beyond the d + 1 that the
-    pigeonhole needs let sets with few empty places leave those out: if all places that agree are empty
-    ones, both sets have more empty places than are spare.
+    at most, so linked sets are in one band or in neighbours. Six parity bits for each shingle of the largest
+    difference tell sets that differ by a quarter more.
     """
     out, low = [], -(-rule.percent // (100 - rule.percent))
     while low < 1 << 40:
         high = max(low, int(low * max(1.3, 100 / rule.percent)))
         d = rule.difference(high, high)
-        spare = 1 + (d + 1) // 20
-        out.append((low, high, d + 1 + spare, spare))
+        spare = max(3, (d + 1) // 4)
+        out.append(Band(low, high, d + 1 + spare, spare, 64 * max(4, -(-6 * (d + 1) // 64))))
         low = high + 1
     return tuple(out)
 
 
+@lru_cache
+def _lows(rule: Jaccard) -> np.ndarray:
+    return np.array([b.low for b in bands(rule)])
+
+
 def band_of(rule: Jaccard, n: int) -> int:
     """The band of a size; -1 below the first."""
-    lows = [b[0] for b in bands(rule)]
-    return int(np.searchsorted(lows, n, "right")) - 1
+    return int(np.searchsorted(_lows(rule), n, "right")) - 1
+
 
+def parity(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The parity bits of a set of 64-bit shingle hashes, in 64-bit words; `bits` is a multiple of 64."""
+    at = ((shingles & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.uint64)
 
-def _places(shingles: np.ndarray, places: int) -> np.ndarray:
-    """The place of each shingle; ascending, as the hashes are."""
-    return (((shingles >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
 
+def sketch_keys(shingles: np.ndarray, number: int, band: Band) -> tuple[np.ndarray, int]:
+    """Join keys of a sorted set, and how many of its most frequent keys it may still leave out.
 
-def parity(shingles: np.ndarray, places: int) -> np.ndarray:
-    """The parity bits of a sorted set of 64-bit shingle hashes."""
-    at = _places(shingles, places)
+    A key is a place with its word; the band's number is in the low 8 bits. Empty places come first in the
+    order of frequency: up to `spare` of them are left out here, those of greatest key.
+    """
+    at = (((shingles >> np.uint64(32)) * np.uint64(band.places)) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    out = np.zeros(places, np.uint16)
-    out[at[starts]] = np.bitwise_xor.reduceat(np.uint16(1) << (shingles & np.uint64(15)).astype(np.uint16), starts)
-    return out
+    keys = _keys(at[starts], np.bitwise_xor.reduceat(mix(shingles), starts), number)
+    empty = band.places - len(starts)
+    if empty > band.spare:
+        free = np.setdiff1d(np.arange(band.places), at[starts], assume_unique=True)
+        keys = np.r_[keys, np.sort(_keys(free, np.zeros(len(free), np.uint64), number))[: empty - band.spare]]
+    return keys, max(0, band.spare - empty)
 
 
-def sketch_keys(shingles: np.ndarray, band: int, places: int, spare: int) -> np.ndarray:
-    """Join keys of a set: place and word of each place, with the band in the low 8 bits."""
-    at = _places(shingles, places)
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    use, words = at[starts], np.bitwise_xor.reduceat(mix(shingles), starts)
-    if places - len(use) > spare:  # too many empty places to leave them out
-        full = np.zeros(places, np.uint64)
-        full[use] = words
-        use, words = np.arange(places), full
-    keys = mix(words ^ mix(use.astype(np.uint64) + np.uint64(1 + band * (1 << 40))))
-    return ((keys & ~np.uint64(255)) | np.uint64(band)).view(np.int64)
+def _keys(places: np.ndarray, words: np.ndarray, number: int) -> np.ndarray:
+    keys = mix(words ^ mix(places.astype(np.uint64) + np.uint64(1 + number * (1 << 40))))
+    return ((keys & ~np.uint64(255)) | np.uint64(number)).view(np.int64)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -151,15 +167,15 @@ def sketched(docs: DataFrame, rule: Jaccard) -> DataFrame:
     table = bands(rule)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 8_000_000):
+        for b in slices(batches, 4_000_000):
             n, ids, band, own, above = [], [], [], [], []
             for s in shingle_sets(text_array(b), rule.width):
                 k = band_of(rule, len(s))
                 n.append(len(s))
                 ids.append(_set_id(s) if len(s) else None)
                 band.append(k)
-                own.append(parity(s, table[k][2]).tobytes() if k >= 0 else None)
-                above.append(parity(s, table[k + 1][2]).tobytes() if _reaches(rule, k, len(s)) else None)
+                own.append(parity(s, table[k].bits).tobytes() if k >= 0 else None)
+                above.append(parity(s, table[k + 1].bits).tobytes() if _reaches(rule, k, len(s)) else None)
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "text_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(own, pa.binary()), pa.array(above, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_id", "band", "own", "above"])
 
     text = text_column(docs)
@@ -168,31 +184,33 @@ def sketched(docs: DataFrame, rule: Jaccard) -> DataFrame:
 
 def _reaches(rule: Jaccard, band: int, n: int) -> bool:
     """Whether a set of n shingles can link with one of the next band."""
-    return n > 0 and 100 * n >= rule.percent * bands(rule)[band + 1][0]
+    return n > 0 and 100 * n >= rule.percent * bands(rule)[band + 1].low
 
 
 def _keyed(docs: DataFrame, rule: Jaccard) -> DataFrame:
-    """(key, set_id) for all places of all texts' sketches; a batch's repeated sets count once."""
+    """(key, set_id, spare) for all words of all texts' sketches; a batch's repeated sets count once."""
     table = bands(rule)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 8_000_000):
-            keys, owners, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+        for b in slices(batches, 4_000_000):
+            keys, owners, spares, met = [np.zeros(0, np.int64)], [], [], set()
             for s in shingle_sets(text_array(b), rule.width):
                 if not len(s) or (own := _set_id(s)) in met:
                     continue
                 met.add(own)
                 k = band_of(rule, len(s))
                 for band in ([k] if k >= 0 else []) + ([k + 1] if _reaches(rule, k, len(s)) else []):
-                    got = sketch_keys(s, band, *table[band][2:])
+                    got, spare = sketch_keys(s, band, table[band])
                     keys.append(got)
-                    owners.append(np.full(len(got), own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "set_id"])
+                    owners.append(own)
+                    spares.append(spare)
+            sizes = [len(x) for x in keys[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owners, np.int64), sizes)), pa.array(np.repeat(np.array(spares, np.int32), sizes))], names=["key", "set_id", "spare"])
 
-    return docs.select(text_column(docs).alias("text")).mapInArrow(run, "key long, set_id long")
+    return docs.select(text_column(docs).alias("text")).mapInArrow(run, "key long, set_id long, spare int")
 
 
-def _grouped(df: DataFrame, work: Callable[[pa.Table], pa.Table | None], schema: str, key: str = "key") -> DataFrame:
+def _grouped(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str, key: str = "key") -> DataFrame:
     """Stream over rows dealt and sorted by key; work gets whole groups, many at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,32 +221,80 @@ def _grouped(df: DataFrame, work: Callable[[pa.Table], pa.Table | None], schema:
             keys = column_of(b, key).to_numpy(zero_copy_only=False)
             last = int(np.searchsorted(keys, keys[-1], "left"))  # the last group may go on
             if last or (held and column_of(held[-1], key)[-1].as_py() != keys[0]):
-                out = work(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield from work(pa.Table.from_batches([*held, b.slice(0, last)])).to_batches()
                 held = []
-                if out is not None:
-                    yield from out.to_batches()
             held.append(b.slice(last))
         if held:
-            out = work(pa.Table.from_batches(held))
-            if out is not None:
-                yield from out.to_batches()
+            yield from work(pa.Table.from_batches(held)).to_batches()
 
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def _shared(t: pa.Table) -> pa.Table | None:
-    """Rows of keys that two or more sets have, each once, with the key's least and greatest set."""
-    key, ids = t["key"].to_numpy(), t["set_id"].to_numpy()
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-    key, ids = key[new], ids[new]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    size = np.diff(np.r_[starts, len(key)])
-    keep = np.repeat(size > 1, size)
-    first, last = np.repeat(ids[starts], size), np.repeat(ids[starts + size - 1], size) if len(key) else ids
-    return pa.table({"key": key[keep], "set_id": ids[keep], "low": first[keep], "high": last[keep]})
+#: Keys of 2 ** MOST_COMMON sets or more are equally common; only this many rows of a key are ever held.
+MOST_COMMON = 14
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows of keys that two or more sets have, each once: (key, set_id, spare, common); common is log2 of the key's sets."""
+    most = 1 << MOST_COMMON
+    names = ["key", "set_id", "spare"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        long_key, last_id = None, None  # a key of which `most` rows have gone out already, and its last set
+
+        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            size = np.diff(np.r_[starts, len(rows[0])])
+            is_long = rows[0][starts] == long_key if long_key is not None else np.zeros(len(starts), bool)
+            common = np.where(is_long, MOST_COMMON, np.minimum(np.log2(size), MOST_COMMON)).astype(np.int32)
+            keep = np.repeat((size > 1) | is_long, size)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in rows), pa.array(np.repeat(common, size)[keep])], names=[*names, "common"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [np.concatenate([h, column_of(b, c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
+            new = np.r_[rows[0][0] != long_key or rows[1][0] != last_id, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+            rows = [x[new] for x in rows]
+            if not len(rows[0]):
+                held = rows
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last key's rows may go on
+            if len(rows[0]) - last >= most or rows[0][-1] == long_key:
+                if last:
+                    yield out([x[:last] for x in rows])
+                long_key, last_id = int(rows[0][-1]), int(rows[1][-1])
+                yield out([x[last:] for x in rows])
+                held = [x[:0] for x in rows]
+            else:
+                if last:
+                    yield out([x[:last] for x in rows])
+                held = [x[last:] for x in rows]
+        if len(held[0]):
+            yield out(held)
+
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key", "set_id").mapInArrow(run, "key long, set_id long, spare int, common int")
+
+
+def _meetings(shared: DataFrame) -> DataFrame:
+    """(key, set_id, low, high): the keys that sets keep and share, with each key's least and greatest set.
+
+    A set leaves out its `spare` most frequent keys of a band; ties go by the key, so that all sets agree on the order.
+    """
+    order = W.partitionBy("set_id", F.col("key").bitwiseAND(255)).orderBy(F.desc("common"), F.desc("key"))
+    stay = written(shared.withColumn("rank", F.row_number().over(order)).where("rank > spare").select("key", "set_id"), "kept-keys")
+    ends = stay.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
+    met = written(stay.join(ends, "key").select("key", "set_id", "low", "high"), "meetings")
+    release(stay)
+    return met
+
+
+def _bits(data: pa.Array, words: int) -> np.ndarray:
+    """Equally long bit sketches as rows of 64-bit words."""
+    whole = pa.concat_arrays(data.chunks) if isinstance(data, pa.ChunkedArray) else data
+    ends = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(len(whole), words)
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, rule: Jaccard) -> DataFrame:
@@ -236,11 +302,13 @@ def _near(pairs: DataFrame, sketches: DataFrame, rule: Jaccard) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            most = (100 - rule.percent) * (column_of(b, "n1").to_numpy() + column_of(b, "n2").to_numpy()) // (100 + rule.percent)
+            most = rule.difference(column_of(b, "n1").to_numpy(), column_of(b, "n2").to_numpy())
             x, y, ok = column_of(b, "x"), column_of(b, "y"), np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                p, q = x[i].as_buffer(), y[i].as_buffer()
-                ok[i] = p is not None and q is not None and np.bitwise_count(np.frombuffer(p, np.uint16) ^ np.frombuffer(q, np.uint16)).sum() <= most[i]
+            size = pc.binary_length(x).to_numpy(zero_copy_only=False)
+            for n in np.unique(size).tolist():
+                i = np.flatnonzero(size == n)
+                at = pa.array(i)
+                ok[i] = np.bitwise_count(_bits(x.take(at), n // 8) ^ _bits(y.take(at), n // 8)).sum(axis=1) <= most[i]
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     one = sketches.select(*(F.col(c).alias(d) for c, d in (("set_id", "a"), ("n_shingles", "n1"), ("band", "band1"), ("own", "own1"), ("above", "above1"))))
@@ -255,7 +323,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Jaccard) -
     """The pairs (a, b) whose shingle sets link; the sets are taken again from one text each."""
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 8_000_000):
+        for b in slices(batches, 4_000_000):
             got = shingle_sets(text_array(b), rule.width)
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) if len(s) else None for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["set_id", "shingles"])
 
@@ -269,10 +337,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Jaccard) -
     keys = sets.join(broadcast_if(some, MOST_BROADCAST), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_key").alias("text_key")).select("text_key")
     text = text_column(docs)
     texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(broadcast_if(keys, MOST_BROADCAST), "text_key", "left_semi").dropDuplicates(["text_key"])
-    bodies = written(texts.select("text").mapInArrow(shingled, "set_id long, shingles binary"), "shingles").dropDuplicates(["set_id"])
+    stored = written(texts.select("text").mapInArrow(shingled, "set_id long, shingles binary"), "shingles")
+    bodies = stored.dropDuplicates(["set_id"])
     one = bodies.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     two = bodies.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    release(stored)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,7 +359,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), f"star{k}")
+        before, now = now, written(small.where("u <> v").distinct(), f"star{k}")
+        if k:
+            release(before)
         # done when every node hangs once, and below a node that hangs nowhere
         sides = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("s"))
         ends = sides.groupBy("s.node").agg(F.sum("s.below").alias("below"), F.max("s.above").alias("above"))
@@ -297,6 +370,38 @@ def components(edges: DataFrame) -> DataFrame:
     raise AssertionError
 
 
+def _across(t: pa.Table, rule: Jaccard, best: bool) -> pa.Table:
+    """Pairs of a key's sets that are in different components and near enough by their bits.
+
+    Sets outside the key's largest component are compared with the key's sets, in blocks; of each one only the nearest, if best.
+    """
+    key, ids, roots, sizes = (t[c].to_numpy() for c in ("key", "set_id", "root", "n_shingles"))
+    pairs = [np.zeros((0, 2), np.int64)]
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        kinds, kind, n = np.unique(roots[s:e], return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            continue
+        words = _bits(t["sketch"][s:e], bands(rule)[int(key[s]) & 255].bits // 64)
+        ask = np.flatnonzero(kind != np.argmax(n))
+        step = max(1, 4_000_000 // words.size)
+        for k in range(0, len(ask), step):
+            i = ask[k : k + step]
+            far = np.bitwise_count(words[i][:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = (far <= rule.difference(sizes[s + i][:, None], sizes[s:e][None, :])) & (kind[i][:, None] != kind[None, :])
+            if best:
+                far[~ok] = 1 << 40
+                nearest = far.argmin(axis=1)
+                one = np.flatnonzero(ok[np.arange(len(i)), nearest])
+                x, y = ids[s + i[one]], ids[s + nearest[one]]
+            else:
+                u, v = np.nonzero(ok)
+                x, y = ids[s + i[u]], ids[s + v]
+            pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+    got = np.unique(np.concatenate(pairs), axis=0)
+    return pa.table({"a": got[:, 0], "b": got[:, 1]})
+
+
 def similarity_classes(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:  # noqa: B008  frozen
     """Each document's component: (doc_id, n_shingles, component_id), one row for each row of docs.
 
@@ -309,56 +414,35 @@ def similarity_classes(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     distance allows it: each with its nearest one first, then with all. So a group of n near copies
     costs about n comparisons, and no link between components is lost.
     """
-    table = bands(rule)
     sets = written(sketched(docs, rule), "sketches")
-    shared = written(_grouped(_keyed(docs, rule), _shared, "key long, set_id long, low long, high long"), "shared-keys")
-    some = shared.select("set_id").distinct()
+    shared = written(_shared(_keyed(docs, rule)), "shared-keys")
+    met = _meetings(shared)
+    release(shared)
+    some = met.select("set_id").distinct()
     sketches = written(sets.join(broadcast_if(some, MOST_BROADCAST), "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "n_shingles", "band", "own", "above"), "some-sketches")
 
     def pair(x: str, y: str) -> DataFrame:
-        return shared.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        return met.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     stars = written(_near(pair("low", "set_id").union(pair("high", "set_id")).distinct(), sketches, rule), "star-pairs")
     links = _linked(stars, docs, sets, rule)
     root = components(links)
 
-    def across(t: pa.Table, best: bool) -> pa.Table:
-        """Pairs of a key's sets that are in different components and near enough by their sketches; of each set's only the nearest, if best."""
-        key, ids, roots, sizes = (t[c].to_numpy() for c in ("key", "set_id", "root", "n_shingles"))
-        data = t["sketch"]
-        pairs = [np.zeros((0, 2), np.int64)]
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if len(set(roots[s:e].tolist())) < 2:
-                continue
-            band = table[int(key[s]) & 255]
-            words = np.stack([np.frombuffer(data[i].as_buffer(), np.uint16, band[2]) for i in range(s, e)])
-            for i in range(e - s):
-                j = np.arange(0 if best else i + 1, e - s)
-                far = np.bitwise_count(words[j] ^ words[i]).sum(axis=1)
-                most = (100 - rule.percent) * (sizes[s + j] + sizes[s + i]) // (100 + rule.percent)
-                ok = np.flatnonzero((far <= most) & (roots[s + j] != roots[s + i]))
-                if best and len(ok):
-                    ok = ok[[np.argmin(far[ok])]]
-                other = ids[s + j[ok]]
-                pairs.append(np.stack([np.minimum(other, ids[s + i]), np.maximum(other, ids[s + i])], axis=1))
-        got = np.unique(np.concatenate(pairs), axis=0)
-        return pa.table({"a": got[:, 0], "b": got[:, 1]})
-
     def unsettled(root: DataFrame) -> DataFrame:
-        """Sets beside the pivots of keys that more than one component shares, with their sketches for the key's band."""
-        rest = shared.where("set_id <> low AND set_id <> high").select("key", "set_id").join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        """Sets beside the pivots of keys that more than one component shares, with their bits for the key's band."""
+        rest = met.where("set_id <> low AND set_id <> high").select("key", "set_id").join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         keys = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         return rest.join(keys, "key", "left_semi").join(sketches, "set_id").select("key", "set_id", "root", "n_shingles", F.when(F.col("band") == F.col("key").bitwiseAND(255), F.col("own")).otherwise(F.col("above")).alias("sketch"))
 
     # first each set's nearest neighbour, which settles most; then whatever is left between components
     done = stars
     for step, best in (("nearest", True), ("rest", False)):
-        found = _grouped(unsettled(root), lambda t, best=best: across(t, best), "a long, b long").distinct()
+        found = _grouped(unsettled(root), lambda t, best=best: _across(t, rule, best), "a long, b long").distinct()
         more = written(found.join(done, ["a", "b"], "left_anti"), f"{step}-pairs")
         links = links.union(_linked(more, docs, sets, rule))
         root = components(links)
         done = done.union(more)
+    release(met, sketches)
 
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("low_id")).join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = classes.groupBy("root").agg(F.min("low_id").alias("component_id"))
