@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -81,7 +83,14 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, column: st
             end = max(start + 1, int(np.searchsorted(size, base + chars, "right")))
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: a worker goes on to other tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def gathered(batches: Iterable[pa.RecordBatch], chars: int, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ class WordEncoder:
     encoded is kept in a bounded table: when it holds `most` strings or `most_chars` characters it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 300_000, most_chars: int = 6_000_000) -> None:
+    def __init__(self, path: str, most: int = 150_000, most_chars: int = 3_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
