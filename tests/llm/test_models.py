@@ -202,6 +202,39 @@ def test_words_have_their_shares(spark):
     assert np.exp(net.log_probability(np.arange(len(frequency)), near)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_by_brute_force(spark):
+    """A document's score is the sum of its tokens' conditional log-probabilities, and these are those of a distribution over the words."""
+    texts = [*(f"the cat sat on the {w} and the dog ran to a {w}s end" for w in ("mat", "hat", "rat", "mat", "mill", "hill")), "", "the", "a b c d e f g " * 3]
+    docs = frame(spark, [*enumerate(texts)])
+    classes, frequency, shares = masked_lm.vocabulary(docs, words=5, shared=4, table=12)
+    encoded = masked_lm.encode(docs, classes, shares)
+    flat = masked_lm.train(encoded, frequency)
+    got = {r.doc_id: (r.n_tokens, r.log_prob) for r in masked_lm.scores(encoded, shares, flat).collect()}
+    net, n = masked_lm.Network(len(frequency), 24, flat), Counter(w for t in texts for w in t.split())
+    of = dict(zip(n, classes.of(list(n)).tolist(), strict=True))
+    total = Counter()
+    for w, k in n.items():
+        total[of[w]] += k
+    share = {w: 1.0 if of[w] < 5 else k / (total[of[w]] + 1) for w, k in n.items()}
+
+    def plain(beside: list[int]) -> np.ndarray:
+        """Probabilities of all classes."""
+        h = np.tanh(net.bias + sum(net.side[i][c] for i, c in enumerate(beside)))
+        soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        groups, one = soft(h @ net.group_out + net.group_base), h @ net.out + net.base
+        parts = [range(g, min(g + net.width, net.classes)) for g in range(0, net.classes, net.width)]
+        return np.concatenate([groups[g] * soft(one[list(part)]) for g, part in enumerate(parts)])
+
+    for i, t in enumerate(texts):
+        own = [of[w] for w in t.split()]
+        at = lambda k: own[k] if 0 <= k < len(own) else net.classes
+        p = [plain([at(k + s) for s in masked_lm.SIDES]) for k in range(len(own))]
+        want = sum(math.log(p[k][own[k]] * share[w]) for k, w in enumerate(t.split()))
+        assert got[i] == (len(own), pytest.approx(want, abs=1e-3))
+        for q in p:
+            assert sum(q[of[w]] * share[w] for w in n) + sum(q[c] / (total[c] + 1) for c in range(5, 9)) == pytest.approx(1, abs=1e-4)
+
+
 def test_every_token_is_trained_on(spark, monkeypatch):
     """Words that stand only at the third to eighth place of each eight are targets, too, in each round."""
     docs = frame(spark, [(i, "one two three four five six seven eight " * 20) for i in range(20)])
