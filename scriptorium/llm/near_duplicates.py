@@ -71,15 +71,15 @@ def bands(rule: Jaccard) -> tuple[Band, ...]:
     """The size bands.
 
     Sets below the first band link with equal sets only. A band's sizes differ by 1.3 or 100 / percent
-    at most, so linked sets are in one band or in neighbours. Six parity bits for each shingle of the largest
-    difference tell sets that differ by a quarter more.
+    at most, so linked sets are in one band or in neighbours. Twenty-four parity bits for each shingle of the
+    largest difference tell sets that differ by a tenth more, so few pairs that do not link are verified.
     """
     out, low = [], -(-rule.percent // (100 - rule.percent))
     while low < 1 << 40:
         high = max(low, int(low * max(1.3, 100 / rule.percent)))
         d = rule.difference(high, high)
         spare = max(3, (d + 1) // 4)
-        out.append(Band(low, high, d + 1 + spare, spare, 64 * max(4, -(-6 * (d + 1) // 64))))
+        out.append(Band(low, high, d + 1 + spare, spare, 64 * max(4, -(-24 * (d + 1) // 64))))
         low = high + 1
     return tuple(out)
 
