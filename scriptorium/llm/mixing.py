@@ -17,7 +17,6 @@ from scriptorium.operators.ordering import running_total
 
 PER_BUCKET = 2_000
 MOST_BUCKETS = 65_536
-UP_TO = W.rowsBetween(W.unboundedPreceding, -1)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -115,16 +114,17 @@ def plan(docs: DataFrame, how: Curriculum = Curriculum()) -> DataFrame:
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     of = F.floor(F.conv(F.left("m_digest", F.lit(4)), 16, 10).cast("long") * buckets / 65_536)
     dealt = rows.withColumn("m_digest", digest).withColumn("m_bucket", of).withColumn("m_words", F.col("size") * F.col("copies"))
+    up_to = W.rowsBetween(W.unboundedPreceding, -1)
     base = dealt.groupBy("m_key", "m_bucket").agg(F.sum("m_words").alias("m_sum"))
-    base = base.select("m_key", "m_bucket", F.coalesce(F.sum("m_sum").over(UP_TO.partitionBy("m_key").orderBy("m_bucket")), F.lit(0)).alias("m_base"))
-    inside = F.coalesce(F.sum("m_words").over(UP_TO.partitionBy("m_key", "m_bucket").orderBy("m_digest", "doc_id", "size")), F.lit(0))
+    base = base.select("m_key", "m_bucket", F.coalesce(F.sum("m_sum").over(up_to.partitionBy("m_key").orderBy("m_bucket")), F.lit(0)).alias("m_base"))
+    inside = F.coalesce(F.sum("m_words").over(up_to.partitionBy("m_key", "m_bucket").orderBy("m_digest", "doc_id", "size")), F.lit(0))
     placed = dealt.withColumn("m_before", inside).join(base, ["m_key", "m_bucket"])
     placed = placed.join(broadcast_if(sources.select("m_key", "m_rank", "source_size", "target", "goal"), 100_000), "m_key")
     # copies in blocks, so that no row holds the numbers of all
     each = placed.withColumn("m_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 4096))))
     each = each.withColumn("copy", F.explode(F.sequence(F.col("m_block") * 4096, F.least(F.col("copies"), (F.col("m_block") + 1) * 4096) - 1)))
     each = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(how.most - 1))))
-    start = F.col("pass") * F.col("source_size") + F.col("m_before") + F.col("copy") * F.col("size")
+    start = F.col("pass") * F.col("source_size") + F.col("m_base") + F.col("m_before") + F.col("copy") * F.col("size")
     each = each.withColumn("m_start", start).withColumn("words", F.greatest(F.lit(0), F.least("size", F.col("goal") - F.col("m_start")))).where("words > 0 OR pass = 0")
     share = each.withColumn("m_share", F.when(F.col("words") > 0, F.col("m_start").cast("double") / F.col("target")))
     timed = share.withColumn("position", F.when(F.col("words") > 0, F.expr(_time_sql(how.profiles, "m_rank", "m_share"))))
