@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium import prepare
-from scriptorium.llm import decontamination, licenses, masked_lm, mixing, near_duplicates, periodic_runs, quality_lm, quality_rules, toxicity
+from scriptorium.llm import decontamination, licenses, masked_lm, mixing, near_duplicates, periodic_runs, quality_lm, quality_rules, spelling_variants, toxicity
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.token_counts import token_counts
 from scriptorium.llm.token_output import token_output
@@ -79,14 +79,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all documents' words of seven letters or more, some with a letter left out."""
+    return spelling_variants.variant_groups(spelling_variants.vocabulary(spelling_variants.misspelt_words(table(spark, sf_dir, "documents"))))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a curriculum of one and a half times all words takes of each document."""
     return mixing.taken(mixing.plan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_token_output, op3_toxicity, op4_lm_scoring, op5_best_fit_packing, op6_ngram_jaccard_join, op7_decontamination, op8_license_scans, op9_token_counts, op10_quality_rules, op11_periodic_runs, op13_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_output, op3_toxicity, op4_lm_scoring, op5_best_fit_packing, op6_ngram_jaccard_join, op7_decontamination, op8_license_scans, op9_token_counts, op10_quality_rules, op11_periodic_runs, op12_spelling_variants, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op8_license_scans": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op13_source_mixing": mixing.sql()}
+    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op8_license_scans": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op12_spelling_variants": spelling_variants.sql(), "op13_source_mixing": mixing.sql()}
