@@ -8,13 +8,14 @@ every eighth one a passage that four report.
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium import prepare
 from scriptorium.functions import scoring, text
-from scriptorium.operators import chunking, consensus, dataset, evaluation, matching, parsing, reports, traces
+from scriptorium.operators import chat, chunking, consensus, dataset, evaluation, matching, parsing, reports, semantic, traces
 from scriptorium.schemas import SOC_TYPES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,40 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.token_chunks(d, "recursive", 100, 50)
 
 
+_SEMANTIC = r"""split AS (SELECT printf('doc %d.txt', doc_id) AS source_file, string_split(regexp_replace(text, '([.!?])(\s+[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents WHERE text <> ''),
+s AS (SELECT source_file, i, s[i] AS s, len(s) AS last FROM split, unnest(range(1, len(s) + 1)) AS u(i)),
+terms AS (SELECT source_file, i, ('0x' || left(md5(t), 8))::BIGINT % 262144 AS p, count(*) AS tf FROM (SELECT source_file, i, unnest(regexp_extract_all(lower(s), '[\p{L}\p{N}]+')) AS t FROM s) GROUP BY ALL),
+weights AS (SELECT p, CAST(floor(1000 * ln((1 + (SELECT count(*) FROM s)) / (1 + count(*)))) AS BIGINT) AS w FROM terms GROUP BY p),
+v AS (SELECT source_file, i, p, tf * w AS v FROM terms JOIN weights USING (p) WHERE w <> 0),
+norm AS (SELECT source_file, i, sqrt(CAST(sum(v * v) AS DOUBLE)) AS n FROM v GROUP BY ALL),
+dot AS (SELECT a.source_file, a.i, sum(a.v * b.v) AS d FROM v a JOIN v b ON a.source_file = b.source_file AND a.i + 1 = b.i AND a.p = b.p GROUP BY ALL),
+dist AS (SELECT s.source_file, s.i, CASE WHEN a.n > 0 AND b.n > 0 THEN greatest(0.0, 1.0::DOUBLE - coalesce(CAST(d AS DOUBLE), 0.0) / (a.n * b.n)) ELSE 1.0 END AS distance FROM s LEFT JOIN norm a ON a.source_file = s.source_file AND a.i = s.i
+         LEFT JOIN norm b ON b.source_file = s.source_file AND b.i = s.i + 1 LEFT JOIN dot ON dot.source_file = s.source_file AND dot.i = s.i WHERE s.i < last),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY distance) AS k, count(*) OVER (PARTITION BY source_file) AS n FROM dist),
+cut AS (SELECT source_file, distance AS floor_at FROM ranked WHERE k = greatest(1, ceil(95.0::DOUBLE / 100 * n))),
+brk AS (SELECT source_file, i, distance, distance >= floor_at AND distance > 0 AS is_break FROM dist JOIN cut USING (source_file))"""
+
+
+@query(f"WITH {_SEMANTIC} SELECT source_file, CAST(i - 1 AS INTEGER) AS position, round(distance, 9) AS distance, is_break FROM brk")
+def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between neighbouring sentences of whole texts, and where they reach their text's 95th percentile."""
+    d = table(spark, sf_dir, "documents").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), "text")
+    return semantic.sentence_breaks(d).withColumn("distance", F.round("distance", 9))
+
+
+@query(rf"""WITH RECURSIVE {_SEMANTIC},
+z AS (SELECT s.source_file, s.i, s.s, len(regexp_extract_all(s.s, '[^ \t\n\x0b\x0c\r]+')) AS n, coalesce(is_break, FALSE) AS cut_before FROM s LEFT JOIN brk ON brk.source_file = s.source_file AND brk.i + 1 = s.i),
+walk AS (SELECT source_file, i, 0 AS chunk, n AS used FROM z WHERE i = 1
+  UNION ALL
+  SELECT w.source_file, z.i, chunk + CASE WHEN used + z.n > 200 OR (cut_before AND used >= 50) THEN 1 ELSE 0 END, CASE WHEN used + z.n > 200 OR (cut_before AND used >= 50) THEN 0 ELSE used END + z.n
+  FROM walk w JOIN z ON z.source_file = w.source_file AND z.i = w.i + 1)
+SELECT source_file, printf('%s_%03d', replace(source_file, '.txt', ''), chunk) AS chunk_id, 'Chunk ' || (chunk + 1) AS chunk_label, string_agg(s, '' ORDER BY i) AS chunk_text, chunk AS chunk_index FROM walk JOIN z USING (source_file, i) GROUP BY source_file, chunk""")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of 200 words at most, cut where the subject changes."""
+    d = table(spark, sf_dir, "documents").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), "text")
+    return semantic.semantic_chunks(d, 200, 0).drop("context_before", "context_after")
+
+
 # Matching and consensus
 
 
@@ -331,6 +366,61 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.from_chat(chats.withColumn("n_prompt", F.size(dataset.prompt_messages(F.col("messages")))))
 
 
+_THOUGHTS = r"""chats AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' THEN '<think>' || text || '</think>' || chr(10) || '{"instances": []}' ELSE text END || '<|im_end|>' || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)"""
+
+
+def thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats whose answers hold the texts as think blocks, as messages in the order of turns."""
+    content = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>"), "text", F.lit('</think>\n{"instances": []}'))).otherwise(F.col("text"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+
+
+@query(f"WITH {_THOUGHTS} SELECT conv_id, t AS chat_text FROM chats")
+def chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thoughts(spark, sf_dir).select("conv_id", chat.ChatTemplate().text(F.col("messages")).alias("chat_text"))
+
+
+_MARKED = r"<\|im_start\|>|<\|im_end\|>|</?think>|[^\s<]+|<"
+_WORD_ID = "('0x' || left(md5({}), 7))::INTEGER"
+
+
+@query(rf"""WITH {_THOUGHTS}, w AS (SELECT conv_id, list_transform(regexp_extract_all(t, '{_MARKED}')[1:300], lambda x: {_WORD_ID.format("x")}) AS ids FROM chats),
+m AS (SELECT conv_id, ids, coalesce(list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {_WORD_ID.format("'</think>'")})), 0) AS last FROM w),
+l AS (SELECT *, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN i <= last THEN -100 ELSE ids[i] END) AS labels FROM m)
+SELECT conv_id, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(last AS INTEGER) AS n_ignored, md5(array_to_string(ids, ' ')) AS ids_md5, md5(array_to_string(labels, ' ')) AS labels_md5 FROM l""")
+def chat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of chats whose tokens are words and marks, 300 at most, numbered by their digests."""
+    body = F.slice(F.regexp_extract_all(chat.ChatTemplate().text(F.col("messages")), F.lit(_MARKED), F.lit(0)), 1, 300)
+    number = lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(7)), 16, 10).cast("int")
+    end = int(md5(b"</think>").hexdigest()[:7], 16)
+    ids = thoughts(spark, sf_dir).select("conv_id", F.transform(body, number).alias("ids"))
+    out = ids.withColumn("labels", chat.think_labels(F.col("ids"), [end]))
+    return out.select("conv_id", F.size("ids").alias("n_tokens"), F.size(F.filter("labels", lambda x: x == chat.IGNORED)).alias("n_ignored"), F.md5(F.array_join("ids", " ").cast("binary")).alias("ids_md5"), F.md5(F.array_join("labels", " ").cast("binary")).alias("labels_md5"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoder = chat.file_encoder(public_tokenizers.path("byte_bpe_50k.json"), chat.ChatTemplate().marks)
+    return chat.training_tokens(thoughts(spark, sf_dir), encoder, 1024)
+
+
+@query()
+def chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and labels of chats by a public tokenizer with the template's marks added, 1024 at most."""
+    ignored = F.size(F.filter("labels", lambda x: x == chat.IGNORED))
+    return _tokens(spark, sf_dir).select("conv_id", F.size("input_ids").alias("n_tokens"), ignored.alias("n_ignored"), *(F.crc32(F.array_join(c, " ").cast("binary")).alias(n) for c, n in (("input_ids", "ids_crc32"), ("labels", "labels_crc32"))))
+
+
+@query()
+def chat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chats in batches of 16, padded to each batch's longest."""
+    ignored = F.size(F.filter("labels", lambda x: x == chat.IGNORED))
+    got = chat.padded_batches(_tokens(spark, sf_dir), "conv_id", 16, 50256)
+    return got.select("conv_id", "batch", F.size("input_ids").alias("length"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"), ignored.alias("n_ignored"), F.crc32(F.array_join("input_ids", " ").cast("binary")).alias("ids_crc32"))
+
+
 @query("SELECT doc_id, 'test_' || replace(coalesce(source, 'unk'), '/', '_') || '_' || left(md5(coalesce(text, '')), 10) AS passage_id FROM documents")
 def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", traces.passage_id("test", F.col("source"), F.col("text")).alias("passage_id"))
