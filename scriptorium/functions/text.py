@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +24,20 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+#: White space and marks of all of Unicode, spelled out: the flag that widens \s makes each step of a search slower.
+WHITE = r"[\s\x{85}\p{Z}]+"
+MARKS = r"[^\p{L}\p{N}_\s\x{85}\p{Z}]+"
+
+
+def normalised_words(text: Column) -> Column:
+    """Words in lower case without punctuation; null has none."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, "")
+    return F.filter(F.split(plain, WHITE), lambda w: w != "")
+
+
 def normalise(text: Column) -> Column:
     """Lower case without punctuation, one space between words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}_\s]", "")
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.array_join(normalised_words(text), " ")
 
 
 def token_set(normalised: Column) -> Column:
@@ -64,14 +78,34 @@ def book_name(number: Column, title: Column) -> Column:
     return F.format_string("pg%05d_%s.txt", number, F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s-]+", "_"), "^_+|_+$", ""))
 
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+@lru_cache
+def ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of a character in ASCII, by character: one letter, or several. All others leave nothing."""
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for c in map(chr, (*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1))):
+        if left := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode():
+            (one if len(left) == 1 else several)[c] = left
+    return one, several
+
+
+def ascii_folded(text: Column) -> Column:
+    """The text by compatibility decomposition (NFKD), without what is not ASCII then: accents go, ligatures and wide forms become letters.
+
+    A decomposition depends on its character alone as far as ASCII goes, so tables of characters are enough; texts
+    without a character of several letters, nearly all, need no more than the first.
+    """
+    one, several = ascii_folds()
+    plain = F.translate(text, "".join(one), "".join(one.values()))
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spelled = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    wide = F.when(F.rlike(plain, F.lit(f"[{''.join(several)}]")), spelled).otherwise(plain)
+    return F.regexp_replace(wide, r"[^\x00-\x7F]+", "")
 
 
 def slug(stem: Column) -> Column:
-    """A stem as an identifier: Latin-1 accents folded, other characters beyond ASCII dropped, words joined by hyphens."""
-    folded = F.regexp_replace(F.translate(stem, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(folded, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    """A stem as an identifier: folded to ASCII, words joined by hyphens."""
+    return F.lower(F.regexp_replace(F.regexp_replace(ascii_folded(stem), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
 
 
 def chunk_id(source_file: Column, index: Column) -> Column:

@@ -48,12 +48,12 @@ def qualified(clustered: DataFrame, track: Track) -> DataFrame:
     if track.models:
         rows = rows.where(F.col("model_label").isin(*track.models))
     rows = rows.where(confidence_rank(F.col("confidence")) >= CONFIDENCE_RANK.get(track.min_confidence, 1))
-    stats = rows.groupBy("group_id").agg(F.array_sort(F.collect_set("model_label")).alias("labels"), F.count_distinct("soc_type").alias("types"))
-    stats = stats.select("group_id", F.size("labels").alias("n_models"), F.array_join("labels", ", ").alias("models_agreed"), F.when(F.col("types") == 1, "full").otherwise("partial").alias("agreement"))
-    stats = stats.where(F.col("n_models") >= track.min_models)
-    if track.agreement == "full":
-        stats = stats.where("agreement = 'full'")
-    return rows.join(stats, "group_id")
+    # one shuffle by group serves these windows and those that choose a group's row
+    group = W.partitionBy("group_id")
+    rows = rows.withColumn("c_labels", F.array_sort(F.collect_set("model_label").over(group))).withColumn("c_types", F.size(F.collect_set("soc_type").over(group)))
+    rows = rows.withColumn("n_models", F.size("c_labels")).withColumn("models_agreed", F.array_join("c_labels", ", ")).withColumn("agreement", F.when(F.col("c_types") == 1, "full").otherwise("partial"))
+    rows = rows.where(F.col("n_models") >= track.min_models).drop("c_labels", "c_types")
+    return rows.where("agreement = 'full'") if track.agreement == "full" else rows
 
 
 def majority_rows(rows: DataFrame) -> DataFrame:

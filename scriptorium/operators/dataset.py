@@ -25,7 +25,7 @@ def group_records(clustered: DataFrame, min_models: int, rare_below: int = 0) ->
     """
     rank = confidence_rank(F.col("confidence"))
     rows = clustered.withColumn("d_rank", rank)
-    all_models = rows.agg(F.count_distinct("model_label")).first()[0]
+    several = rows.agg((F.count_distinct("model_label") >= 2).alias("d_several"))
     votes = rows.groupBy("group_id", "soc_type").agg(F.count("*").alias("n"), F.avg("d_rank").alias("mean"), F.min("row_id").alias("first"))
     best_type = votes.withColumn("k", F.row_number().over(W.partitionBy("group_id").orderBy(F.desc("n"), F.desc("mean"), "first"))).where("k = 1").select("group_id", F.col("soc_type").alias("top_type"))
     best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("group_id", "d_rank")]), F.struct("d_rank", F.length("passage"), -F.col("row_id")))
@@ -38,10 +38,10 @@ def group_records(clustered: DataFrame, min_models: int, rare_below: int = 0) ->
     )
     counts = clustered.groupBy(F.col("soc_type").alias("top_type")).agg(F.count("*").alias("type_rows"))
     positive = F.col("n_models") >= min_models
-    hard = (F.col("n_models") == 1) & F.lit(all_models >= 2 and min_models > 1)
+    hard = (F.col("n_models") == 1) & F.col("d_several") & F.lit(min_models > 1)
     kind = F.when(F.col("top_type").isin(*DEPRECATED_TYPES) | (F.coalesce("type_rows", F.lit(0)) < rare_below), "other_soc").otherwise(F.col("top_type"))
-    # types outside the vocabulary are kept, so their number has no bound, and the join is left to the sizes met
-    return groups.where(positive | hard).join(counts, "top_type", "left").select(
+    # one row says whether there are two models at all; types outside the vocabulary are kept, so their number has no bound, and the join is left to the sizes met
+    return groups.crossJoin(F.broadcast(several)).where(positive | hard).join(counts, "top_type", "left").select(
         "group_id", F.col("b.source_file").alias("source_file"), F.col("b.chunk_id").alias("chunk_id"), F.col("longest").alias("passage"),
         positive.alias("is_soc"), (~positive).alias("hard_negative"), kind.alias("soc_type"), F.col("b.confidence").alias("confidence"),
         *[F.col(f"b.{c}").alias(c) for c in ("evidence", "secondary_devices", "affective_register", "narrator_position", "character_pov", "notes") if c in rows.columns],

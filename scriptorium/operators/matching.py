@@ -11,24 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions.text import normalise, token_set
+from scriptorium.functions.text import normalise, normalised_words, token_set
 from scriptorium.operators.ordering import running_total
+from scriptorium.storage import stored
 
 THRESHOLD = 0.35
 MOST_CELLS = 50_000_000
 
 
-def assign_groups(tokens: list[list[str]], threshold: float = THRESHOLD) -> list[int]:
+def assign_groups(tokens: list[list], threshold: float = THRESHOLD) -> list[int]:
     """Group numbers of a chunk's passages in their order.
 
     A passage joins the first group that has a member it overlaps enough, else it opens one. Common tokens are
     counted through a table of passages and tokens, or an index from tokens to passages where that would be large.
     """
-    number: dict[str, int] = {}
-    own = [np.fromiter((number.setdefault(t, len(number)) for t in x), np.int64, len(x)) for x in tokens]
-    sizes = np.array([len(x) for x in own])
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    flat = [t for x in tokens for t in x]
+    known, numbers = np.unique(np.array(flat), return_inverse=True) if flat else ((), np.zeros(0, np.int64))
+    own = np.split(numbers, np.cumsum(sizes)[:-1]) if len(sizes) else []
     groups, made = np.zeros(len(own), np.int64), 0
-    common = _by_table(own, len(number)) if len(own) * len(number) <= MOST_CELLS else _by_index(own)
+    common = _by_table(own, len(known)) if len(own) * len(known) <= MOST_CELLS else _by_index(own)
     for i, n in enumerate(common):
         least = np.minimum(sizes[:i], sizes[i])
         near = (n > 0) & (n >= threshold * least)
@@ -55,29 +57,61 @@ def _by_index(own: list[np.ndarray]) -> Iterator[np.ndarray]:
             where.setdefault(t, []).append(i)
 
 
-def cluster(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Annotations (row_id, chunk_id, passage, ...) with their chunk's group number `chunk_group`.
+def chunk_groups(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(g_chunk, g_row, g_hash, chunk_group): the group number in its chunk of each row (row_id, chunk_id, passage), told by chunk, row_id and the passage's hash.
 
-    Rows of one chunk are compared in the order of row_id; rows without chunk_id are in no group and
-    go. The order decides the groups, so a chunk is one task's work; chunks are bounded by what a text
-    chunk's annotators report. All columns go through the one shuffle, so rows of equal row_id stay apart.
+    Rows of one chunk are compared in the order of row_id; rows without chunk_id are in no group. The order decides the
+    groups, so a chunk is one task's work; chunks are bounded by what a text chunk's annotators report. Only keys and
+    the tokens' 64-bit hashes are shuffled and leave the JVM. Rows that are equal in all three are one row.
     """
-    prepared = annotations.where(F.col("chunk_id").isNotNull()).withColumn("_tokens", token_set(normalise(F.col("passage"))))
+    hashes = F.transform(F.array_distinct(normalised_words(F.col("passage"))), lambda t: F.xxhash64(t))
+    narrow = annotations.where(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").alias("g_chunk"), F.col("row_id").alias("g_row"), F.xxhash64("passage").alias("g_hash"), hashes.alias("g_tokens"))
 
     def scan(chunk: pa.Table) -> pa.Table:
-        chunk = chunk.take(pa.compute.sort_indices(chunk, [("row_id", "ascending")]))
-        groups = assign_groups(chunk["_tokens"].to_pylist(), threshold)
-        return chunk.drop_columns(["_tokens"]).append_column("chunk_group", pa.array(groups, pa.int32()))
+        chunk = chunk.take(pa.compute.sort_indices(chunk, [("g_row", "ascending"), ("g_hash", "ascending")]))
+        keys = list(zip(chunk["g_row"].to_pylist(), chunk["g_hash"].to_pylist(), strict=True))
+        first = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+        chunk = chunk.take(first)
+        groups = assign_groups(chunk["g_tokens"].to_pylist(), threshold)
+        return chunk.drop_columns(["g_tokens"]).append_column("chunk_group", pa.array(groups, pa.int32()))
+
+    schema = T.StructType([*narrow.drop("g_tokens").schema.fields, T.StructField("chunk_group", T.IntegerType())])
+    return narrow.groupBy("g_chunk").applyInArrow(scan, schema)
+
+
+def _joined(annotations: DataFrame, groups: DataFrame) -> DataFrame:
+    """annotations with what chunk_groups says of them."""
+    same = (F.col("chunk_id") == F.col("g_chunk")) & F.col("row_id").eqNullSafe(F.col("g_row")) & (F.xxhash64("passage") == F.col("g_hash"))
+    return annotations.join(groups, same).drop("g_chunk", "g_row", "g_hash")
+
+
+def cluster(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Annotations (row_id, chunk_id, passage, ...) with their chunk's group number `chunk_group`; rows without chunk_id go (see chunk_groups)."""
+    return _joined(annotations, chunk_groups(annotations, threshold))
+
 
-    schema = T.StructType([*annotations.schema.fields, T.StructField("chunk_group", T.IntegerType())])
-    return prepared.groupBy("chunk_id").applyInArrow(scan, schema)
+def _first_numbers(groups: DataFrame, chunk: str) -> DataFrame:
+    """(n_chunk, n_before): how many groups the chunks before each one have."""
+    per_chunk = groups.groupBy(F.col(chunk).alias("n_chunk")).agg((F.max("chunk_group") + 1).alias("n_groups"))
+    return running_total(per_chunk, "n_chunk", "n_groups", "n_before").select("n_chunk", "n_before")
 
 
 def number_groups(clustered: DataFrame) -> DataFrame:
     """A column group_id over all chunks: chunks ascending, groups in the order of their first rows."""
-    per_chunk = clustered.groupBy("chunk_id").agg((F.max("chunk_group") + 1).alias("n"))
-    before = running_total(per_chunk, "chunk_id", "n").select("chunk_id", "before")
-    return clustered.join(before, "chunk_id").withColumn("group_id", (F.col("before") + F.col("chunk_group")).cast("long")).drop("before", "chunk_group")
+    before = _first_numbers(clustered, "chunk_id")
+    return clustered.join(before, F.col("chunk_id") == F.col("n_chunk")).withColumn("group_id", (F.col("n_before") + F.col("chunk_group")).cast("long")).drop("n_chunk", "n_before")
+
+
+def grouped_annotations(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Annotations with chunk_group and group_id, as number_groups(cluster(...)) gives them, clustered once.
+
+    The narrow table of groups is stored, numbered where it lies, and joined to the annotations at the end; whatever
+    is computed from the result reads texts again, but never clusters again.
+    """
+    groups = stored(chunk_groups(annotations, threshold), "groups")
+    before = _first_numbers(groups, "g_chunk")
+    numbered = groups.join(before, F.col("g_chunk") == F.col("n_chunk")).withColumn("group_id", (F.col("n_before") + F.col("chunk_group")).cast("long")).drop("n_chunk", "n_before")
+    return _joined(annotations, stored(numbered, "numbered"))
 
 
 def overlapping_pairs(annotations: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,16 +12,25 @@ MOST_BUCKETS = 1_000
 def order_buckets(rows: DataFrame, key: Column, per_bucket: int = 100_000) -> Column:
     """The number of a row's range of `key`: ascending, each of about `per_bucket` rows; null keys are in the first.
 
-    The bounds come from a sample of some tens of keys a bucket. Rows of one key are never parted.
+    The bounds come from a sample of some tens of keys a bucket. Rows of one key are never parted. The key may be a struct of
+    columns, whose parts are compared one after the other.
     """
     n = rows.count()
     buckets = min(MOST_BUCKETS, n // per_bucket + 1)
     if buckets == 1:
         return F.lit(0)
     sample = rows.select(key.alias("k")).where("k IS NOT NULL").sample(min(1.0, 32 * buckets / n), 11)
-    keys = sorted(r[0] for r in sample.limit(64 * buckets).collect())
-    bounds = sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}) if keys else []
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)), F.lit(0)) if bounds else F.lit(0)
+    kind = sample.schema["k"].dataType
+    found = [r[0] for r in sample.limit(64 * buckets).collect()]
+    if kind.typeName() != "struct":
+        keys = sorted(found)
+        bounds = [F.lit(b) for b in sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)})] if keys else []
+    else:
+        rank = lambda r: tuple((x is not None, x) for x in r)  # noqa: E731  nulls first, as Spark orders them
+        keys = sorted(map(tuple, found), key=rank)
+        chosen = sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}, key=rank) if keys else []
+        bounds = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.fields, strict=True))) for b in chosen]
+    return F.coalesce(F.size(F.filter(F.array(*bounds), lambda b: b <= key)), F.lit(0)) if bounds else F.lit(0)
 
 
 def running_total(rows: DataFrame, key: str, value: str, name: str = "before", per_bucket: int = 100_000) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from scriptorium import prepare
 from scriptorium.functions import scoring, text
 from scriptorium.operators import chat, chunking, consensus, dataset, evaluation, matching, parsing, reports, semantic, traces
 from scriptorium.schemas import SOC_TYPES
+from scriptorium.storage import shared_folder
+from scriptorium.streaming import groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -49,9 +52,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotations(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """The stand-in annotation rows; passages are the whole texts."""
-    d, i, k, w = table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("k"), F.col("w")
+    d, i, k, w = table(spark, sf_dir, "documents") if docs is None else docs, F.col("doc_id"), F.col("k"), F.col("w")
     each = d.withColumn("w", text.words(F.col("text"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.when(i % 8 == 0, 3).otherwise(0))))
     chunk = F.floor(i / PER_CHUNK)
     return each.select(
@@ -92,7 +95,7 @@ clu AS (SELECT ann.*, CAST(group_id AS BIGINT) AS group_id FROM ann JOIN gid USI
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.number_groups(matching.cluster(annotations(spark, sf_dir)))
+    return matching.grouped_annotations(annotations(spark, sf_dir))
 
 
 # Text operators
@@ -100,8 +103,8 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT doc_id, {_NORM.format('text')} AS norm, CAST(len(list_distinct(list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> ''))) AS INTEGER) AS n_tokens FROM documents")
 def normalised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = text.normalise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", norm.alias("norm"), F.size(text.token_set(norm)).alias("n_tokens"))
+    words = table(spark, sf_dir, "documents").select("doc_id", text.normalised_words(F.col("text")).alias("w"))
+    return words.select("doc_id", F.array_join("w", " ").alias("norm"), F.size(F.array_distinct("w")).alias("n_tokens"))
 
 
 @query(r"SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, s[1] AS first_sentence, s[len(s)] AS last_sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)")
@@ -137,6 +140,14 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.chunk_id(F.col("file"), F.col("doc_id")).alias("chunk_id"), text.safe_name(F.col("label")).alias("safe"), text.book_name(F.col("doc_id"), F.col("label")).alias("book"))
 
 
+@query(r"""SELECT doc_id, md5(s) AS slug_md5, printf('%s_%03d', left(s, 40), doc_id) AS chunk_id
+FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(coalesce(text, '')), '[^\x00-\x7F]+', '', 'g'), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM documents)""")
+def unicode_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of whole texts, accents folded, and the numbered ones of their first 40 characters."""
+    s = table(spark, sf_dir, "documents").select("doc_id", text.slug(F.coalesce("text", F.lit(""))).alias("s"))
+    return s.select("doc_id", F.md5(F.col("s").cast("binary")).alias("slug_md5"), F.format_string("%s_%03d", F.left("s", F.lit(40)), "doc_id").alias("chunk_id"))
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.format_string("conv %d.txt", "conv_id").alias("source_file"), F.col("turn").cast("int").alias("chunk_index"), F.col("role").alias("chunk_label"), F.col("text").alias("chunk_text"))
@@ -257,6 +268,16 @@ def group_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.groups_table(clustered(spark, sf_dir)).withColumn("models", F.array_join(F.array_sort("models"), ", "))
 
 
+@query(f"WITH RECURSIVE {_GROUPS} SELECT chunk_id, CAST(group_id - min(group_id) OVER (PARTITION BY chunk_id) AS INTEGER) AS chunk_group, source_file, array_to_string(models, ', ') AS models, representative, CAST(n_models AS INTEGER) AS n_models, agreement FROM grp")
+def streamed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that a stream over the documents' files keeps as state, as its last batch leaves them."""
+    docs = table(spark, sf_dir, "documents")
+    rows = annotations(spark, sf_dir, spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*"))
+    path = f"{shared_folder(spark)}/scriptorium-stream-{uuid4().hex[:12]}"
+    groups.run_groups(rows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return groups.read_groups(spark, f"{path}/out").withColumn("models", F.array_join(F.array_sort("models"), ", "))
+
+
 @query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS n_groups, count(*) FILTER (WHERE n_models > 1) AS n_multi, count(*) FILTER (WHERE agreement = 'full') AS n_full, count(*) FILTER (WHERE agreement = 'partial') AS n_partial FROM grp")
 def group_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.group_figures(matching.groups_table(clustered(spark, sf_dir)))

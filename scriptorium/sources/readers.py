@@ -22,6 +22,7 @@ from scriptorium.operators.chunking import from_markup, is_markup
 from scriptorium.operators.consensus import TRACKS, Track, parse_track
 from scriptorium.operators.ordering import running_total
 from scriptorium.schemas import RESULT
+from scriptorium.sources.arrays import Scan, scan_arrays
 
 EXTENSIONS = ("txt", "doc", "docx", "pdf")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -77,19 +78,23 @@ def read_chunks(spark: SparkSession, folder: str, overlap: int = 1_000) -> DataF
     return from_markup(files.where(is_markup(F.col("text"))), overlap)
 
 
-def read_results(spark: SparkSession, folder: str, schema: str = RESULT) -> DataFrame:
-    """Rows of all models' result files, with row_id in the order of file names and places.
+def scan_results(spark: SparkSession, folder: str, schema: str = RESULT, dashboard: bool = False) -> Scan:
+    """The rows of all models' result arrays, with row_id in the order of file names and places, and the records that cannot be read.
 
-    Combined and consensus files in the same folder are left out. A row without model_label takes its file's name.
+    Combined and consensus files in the same folder are left out; the dashboard's scan leaves out the combined one only. A
+    row without model_label takes its file's name.
     """
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(file_stem(F.input_file_name()).alias("stem"), F.col("value"))
-    raw = raw.where(~F.col("stem").isin("results", "consensus") & ~F.col("stem").startswith("consensus_"))
-    rows = raw.select("stem", F.posexplode(F.from_json("value", f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.split(', '))}>>")).alias("pos", "r")).select("stem", "pos", "r.*")
-    rows = rows.withColumn("model_label", F.coalesce("model_label", "stem"))
-    # places are counted within files, and files' sizes summed, so that no task orders all rows
-    sizes = rows.groupBy("stem").agg((F.max("pos") + 1).alias("n"))
-    before = running_total(sizes, "stem", "n").select("stem", "before")
-    return rows.join(before, "stem").withColumn("row_id", F.col("before") + F.col("pos")).drop("stem", "pos", "before")
+    skip = (lambda s: s == "results") if dashboard else (lambda s: s in ("results", "consensus") or s.startswith("consensus_"))
+    scan = scan_arrays(spark, folder, schema, skip)
+    return Scan(scan.rows.withColumn("model_label", F.coalesce("model_label", "stem")).drop("stem"), scan.bad, scan.stems)
+
+
+def read_results(spark: SparkSession, folder: str, schema: str = RESULT, dashboard: bool = False, bad: str = "raise") -> DataFrame:
+    """The rows of scan_results. Records that cannot be read are an error, or with bad="warn" left out under a warning; a folder without results is an error."""
+    scan = scan_results(spark, folder, schema, dashboard)
+    if not scan.stems:
+        raise ValueError(f"no result files in {folder}")
+    return scan.checked(bad, "result files")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, numbered: bool = False) -> DataFrame:

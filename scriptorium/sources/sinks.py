@@ -5,30 +5,18 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import safe_name
 from scriptorium.operators.chunking import to_markup
 from scriptorium.operators.evaluation import confusion, detection, report, typing
+from scriptorium.sources.arrays import write_arrays
 
 
 def _csv(df: DataFrame, path: str, quote_all: bool, by: list[str]) -> None:
     df.write.mode("overwrite").partitionBy(*by).option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
-def write_arrays(rows: DataFrame, path: str, by: str, order: list[str]) -> None:
-    """Rows as one JSON array for each value of `by`, in folders by that value: a line for each row, brackets around them.
-
-    An array is one file, so its rows are one task's, which streams them; the values of `by` are dealt over tasks.
-    """
-    each = W.partitionBy(by)
-    place, n = F.row_number().over(each.orderBy(*order)), F.count("*").over(each)
-    lines = rows.select(by, place.alias("a_k"), n.alias("a_n"), F.to_json(F.struct(*[c for c in rows.columns if c != by]), {"ignoreNullFields": "false"}).alias("a_row"))
-    value = F.concat(F.when(F.col("a_k") == 1, "[\n").otherwise(""), F.lit("  "), "a_row", F.when(F.col("a_k") == F.col("a_n"), "\n]").otherwise(","))
-    lines.repartition(by).sortWithinPartitions(by, "a_k").select(value.alias("value"), by).write.mode("overwrite").partitionBy(by).text(path)
-
-
 def write_results(rows: DataFrame, path: str, formats: tuple[str, ...] = ("csv", "json")) -> dict[str, str]:
     """Result rows in folders by model, as CSV and as one JSON array each; returns the folders by format."""
     named = rows.withColumn("model", safe_name(F.col("model_label")))

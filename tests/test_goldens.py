@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scoring, text
 from scriptorium.operators import annotate, chunking, consensus, dataset, evaluation, matching, ordering, parsing, reports, traces
+from scriptorium.plans import registry
 from scriptorium.sources import catalogues, readers, sinks
 from scriptorium.streaming import ingest
 
@@ -252,6 +253,36 @@ def test_traces(spark):
     assert {(r.passage, r.think_content, r.is_soc) for r in back} == {("the old man ran home", '"the old man ran home" is imagery', False), ("x", "kept", False)}
 
 
+def test_every_character_folds_as_the_library_has_it(spark):
+    """All code points that are assigned, one a row and many in a row, and names of files."""
+    import sys
+    import unicodedata
+
+    chars = [c for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF and unicodedata.category(c) != "Cn"]
+    joined = ["".join(chars[i : i + 97]) for i in range(0, len(chars), 97)]
+    fold = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+    several = [c for c in chars if ord(c) > 127 and len(fold(c)) > 1]
+    texts = joined + several + ["", "ﬁn ﬀ e\u0301 Å ½"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(df.select("i", text.ascii_folded(F.col("t"))).collect())
+    assert [got[i] for i in range(len(texts))] == [fold(t) for t in texts]
+    names = spark.createDataFrame([("Dvořák.txt",), ("Čapek.txt",), ("Erdős.txt",), ("ﬁn.txt",), (None,)], "f string")
+    assert [r[0] for r in names.select(text.chunk_id(F.col("f"), F.lit(1))).collect()] == ["dvorak_001", "capek_001", "erdos_001", "fin_001", "null_001"]
+
+
+def test_one_clustering_and_clashing_columns(spark, sf_dir):
+    """Plans over grouped annotations cluster no more, and columns with the operators' own names do no harm."""
+    df = golden_rows(spark).withColumns({c: F.lit("x") for c in ("before", "n", "g_row", "n_before", "p_one")})
+    numbered = matching.number_groups(matching.cluster(df.drop("g_row", "n_before")))
+    grouped = matching.grouped_annotations(df.drop("g_row", "n_before"))
+    assert sorted((r.row_id, r.group_id, r.before) for r in numbered.collect()) == sorted((r.row_id, r.group_id, r.before) for r in grouped.collect())
+    for name in ("passage_groups", "consensus_moderate", "dataset_records"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" not in plan
+    plan = registry.queries()["consensus_moderate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(group_id") == 1
+
+
 def test_ledger(spark, tmp_path):
     chunks = spark.createDataFrame([("f", f"c{i}", "", "text", i, "", "") for i in range(6)], "source_file string, chunk_id string, chunk_label string, chunk_text string, chunk_index int, context_before string, context_after string")
     work, path = annotate.work_list(chunks, ["m1", "m2"]), str(tmp_path / "ledger")
