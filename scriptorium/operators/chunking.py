@@ -248,6 +248,61 @@ def token_chunks(docs: DataFrame, strategy: str = "sentence", size: int = 20_000
     return with_contexts(out.withColumn("chunk_id", F.format_string("%s_%03d", file_stem(F.col("source_file")), "chunk_index")), overlap)
 
 
+#: offsets(text) gives the place (start, end) of each of a text's tokens; make_offsets() runs once in each task.
+Offsets = Callable[[str], list[tuple[int, int]]]
+
+
+def word_offsets() -> Offsets:
+    """Words between white space as tokens."""
+    return lambda text: [m.span() for m in re.finditer(r"\S+", text)]
+
+
+def file_offsets(path: str) -> Callable[[], Offsets]:
+    """The tokens of a tokenizers file."""
+
+    def make() -> Offsets:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        return lambda text: [o for o in t.encode(text, add_special_tokens=False).offsets if o[0] < o[1]]
+
+    return make
+
+
+def token_contexts(chunks: DataFrame, size: int, make_offsets: Callable[[], Offsets] = word_offsets) -> DataFrame:
+    """Replace the contexts by the last `size` tokens of the chunk before and the first `size` tokens of the one after, of the same file.
+
+    They are cut where tokens begin and end, so that a context is text of its chunk and never a part of a token. Only the
+    ends of chunks are tokenized side by side with the others' in the window. 0 gives empty contexts.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", t_head string, t_tail string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets = make_offsets()
+        for f in frames:
+            heads, tails = [], []
+            for text in f["chunk_text"]:
+                own = offsets(text or "") if size else []
+                heads.append(text[own[0][0] : own[min(size, len(own)) - 1][1]] if own else "")
+                tails.append(text[own[-min(size, len(own))][0] : own[-1][1]] if own else "")
+            yield f.assign(t_head=heads, t_tail=tails)
+
+    w = W.partitionBy("source_file").orderBy("chunk_index")
+    ends = chunks.mapInPandas(run, schema)
+    before, after = F.coalesce(F.lag("t_tail").over(w), F.lit("")), F.coalesce(F.lead("t_head").over(w), F.lit(""))
+    return ends.withColumn("context_before", before).withColumn("context_after", after).drop("t_head", "t_tail")
+
+
+def refined_chunks(docs: DataFrame, size: int = 20_000, overlap: int = 1_000, make_offsets: Callable[[], Offsets] = word_offsets) -> DataFrame:
+    """Chunks of whole sentences, `size` tokens at most, with contexts of `overlap` tokens: from texts (source_file, text) to what a chunk file has."""
+
+    def make_counter() -> Callable[[str], int]:
+        offsets = make_offsets()
+        return lambda text: len(offsets(text))
+
+    return token_contexts(token_chunks(docs, "sentence", size, 0, make_counter), overlap, make_offsets)
+
+
 def chunk_listing(chunks: DataFrame, models: int = 1) -> DataFrame:
     """What a run would ask for: (chunk_id, chunk_label, n_chars, n_calls), a call for each model."""
     return chunks.select("chunk_id", "chunk_label", F.length("chunk_text").alias("n_chars"), F.lit(models).alias("n_calls"))

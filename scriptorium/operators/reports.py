@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import type_label
 from scriptorium.operators.ordering import order_buckets
 
 LEVELS = ("high", "medium", "low")
@@ -58,6 +59,16 @@ def field_table(rows: DataFrame, fields: list[str], models: list[str]) -> DataFr
     return long.groupBy("group_id", "field").pivot("model_label", models).agg(F.first("value"))
 
 
+def further_rows(rows: DataFrame, models: list[str] | None = None, most: int = 100) -> DataFrame:
+    """What field_table does not show: (group_id, model_label, place, soc_type, confidence, shown) of each model's rows of a group after its first, of the chosen models or all.
+
+    place counts them from 1 in the order of row_id; shown is the passage's first `most` characters.
+    """
+    chosen = rows if models is None else rows.where(F.col("model_label").isin(models))
+    numbered = chosen.withColumn("f_k", F.row_number().over(W.partitionBy("group_id", "model_label").orderBy("row_id")) - 1)
+    return numbered.where("f_k > 0").select("group_id", "model_label", F.col("f_k").alias("place"), type_label(F.col("soc_type")).alias("soc_type"), "confidence", F.left(F.coalesce("passage", F.lit("")), F.lit(most)).alias("shown"))
+
+
 def per_file(rows: DataFrame) -> DataFrame:
     """(source_file, n) by name."""
     return rows.groupBy("source_file").agg(F.count("*").alias("n")).orderBy("source_file")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.scoring import candidate_score
+from scriptorium.functions.text import file_stem
 
 #: make_model() runs once in each task; the model takes a prompt and a number and returns so many candidates.
 Model = Callable[[str, int], list[str]]
@@ -59,12 +59,23 @@ def with_best(records: DataFrame, found: DataFrame) -> DataFrame:
 
     The highest score wins, the first candidate on ties. Without a candidate that is not blank the old trace stays and the score is null.
     """
-    real = found.where(F.trim("trace") != "").select(F.col("passage_id").alias("c_id"), "idx", "trace")
-    scored = records.select("passage_id", "passage", "is_soc").dropDuplicates(["passage_id"]).join(real, F.col("passage_id") == F.col("c_id"))
-    scored = scored.select("c_id", "idx", "trace", candidate_score(F.col("trace"), F.col("passage"), F.col("is_soc")).alias("score"))
-    best = scored.withColumn("k", F.row_number().over(W.partitionBy("c_id").orderBy(F.desc("score"), "idx"))).where("k = 1").select("c_id", "trace", F.col("score").alias("trace_score"))
-    out = records.drop("trace_score").join(best, F.col("passage_id") == F.col("c_id"), "left")
-    return out.withColumn("think_content", F.coalesce("trace", "think_content")).drop("c_id", "trace")
+    real = found.where(F.trim("trace") != "").select(F.col("passage_id").alias("t_id"), F.col("idx").alias("t_idx"), F.col("trace").alias("t_trace"))
+    scored = records.select("passage_id", "passage", "is_soc").dropDuplicates(["passage_id"]).join(real, F.col("passage_id") == F.col("t_id"))
+    scored = scored.select("t_id", "t_idx", "t_trace", candidate_score(F.col("t_trace"), F.col("passage"), F.col("is_soc")).alias("t_score"))
+    best = scored.groupBy("t_id").agg(F.max_by(F.struct("t_trace", "t_score"), F.struct("t_score", -F.col("t_idx"))).alias("t_best"))
+    out = records.drop("trace_score").join(best, F.col("passage_id") == F.col("t_id"), "left")
+    return out.withColumn("think_content", F.coalesce("t_best.t_trace", "think_content")).withColumn("trace_score", F.col("t_best.t_score")).drop("t_id", "t_best")
+
+
+def read_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates (passage_id, idx, trace) from the files of a cache folder: <passage_id>.jsonl, a line with a trace each; idx is the line's place, blank lines aside.
+
+    A line without a trace is an empty candidate, and a line that is no JSON an error of the job.
+    """
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.jsonl").select(file_stem(F.col("_metadata.file_path")).alias("passage_id"), F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "").alias("lines"))
+    each = files.select("passage_id", F.posexplode("lines").alias("idx", "line"))
+    got = F.from_json("line", "trace string", {"mode": "FAILFAST"})
+    return each.select("passage_id", "idx", F.coalesce(got["trace"], F.lit("")).alias("trace"))
 
 
 def to_rebuilt(records: DataFrame, system: str) -> DataFrame:

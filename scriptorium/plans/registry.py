@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from scriptorium import prepare
 from scriptorium.functions import scoring, text
-from scriptorium.operators import chat, chunking, consensus, dataset, evaluation, matching, parsing, reports, semantic, traces
-from scriptorium.schemas import SOC_TYPES
+from scriptorium.operators import chat, chunking, consensus, dataset, evaluation, inference, matching, parsing, reports, semantic, traces
+from scriptorium.schemas import SOC_TYPES, TYPE_LABELS
 from scriptorium.storage import shared_folder
 from scriptorium.streaming import groups
 
@@ -159,6 +159,14 @@ def neighbour_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_contexts(_turns(spark, sf_dir), 100).select("source_file", "chunk_index", "context_before", "context_after")
 
 
+@query(r"""SELECT source_file, chunk_index, coalesce(lag(tail) OVER w, '') AS context_before, coalesce(lead(head) OVER w, '') AS context_after
+FROM (SELECT printf('conv %d.txt', conv_id) AS source_file, CAST(turn AS INTEGER) AS chunk_index, regexp_extract(text, '^\s*(\S+(\s+\S+){0,6})', 1) AS head, regexp_extract(text, '(\S+(\s+\S+){0,6})\s*$', 1) AS tail FROM conversations)
+WINDOW w AS (PARTITION BY source_file ORDER BY chunk_index)""")
+def token_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of turns by seven tokens, which are words here."""
+    return chunking.token_contexts(_turns(spark, sf_dir), 7).select("source_file", "chunk_index", "context_before", "context_after")
+
+
 @query(r"""SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY turn) - 1 AS INTEGER) AS chunk_index, role AS chunk_label, body AS chunk_text
 FROM (SELECT printf('conv %d.txt', conv_id) AS source_file, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM conversations) WHERE body <> ''""")
 def markup_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +469,7 @@ def best_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def model() -> traces.Model:
         return lambda prompt, n: [f"It could appear imagery but falls short: {prompt}", f'"{prompt}" would need a soliloquy', " "][:n]
 
-    found = traces.candidates(d, model, F.array_join(F.slice(text.words(F.col("passage")), 1, 6), " "), 3)
+    found = traces.candidates(d, model, F.col("passage"), 3)
     return traces.with_best(d, found).select("doc_id", "think_content", F.round("trace_score", 9).alias("trace_score"))
 
 
@@ -578,6 +586,15 @@ def field_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.field_table(clustered(spark, sf_dir), ["soc_type", "explanation"], MODELS)
 
 
+_SHOWN = "CASE soc_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_LABELS.items()) + " ELSE soc_type END"
+
+
+@query(f"WITH RECURSIVE {_CLUSTER}, f AS (SELECT *, row_number() OVER (PARTITION BY group_id, model_label ORDER BY row_id) - 1 AS k FROM clu) SELECT group_id, model_label, CAST(k AS INTEGER) AS place, {_SHOWN} AS soc_type, confidence, left(passage, 100) AS shown FROM f WHERE k > 0")
+def further_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model's rows of a group after its first."""
+    return reports.further_rows(clustered(spark, sf_dir), MODELS)
+
+
 _PAIRS = "p AS (SELECT CASE WHEN quality = 1 THEN 'soc' ELSE 'none' END AS y_true, CASE WHEN n_chars > 1000 THEN 'soc' ELSE 'none' END AS y_pred FROM labels JOIN documents USING (doc_id))"
 
 
@@ -614,6 +631,21 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(_pairs(spark, sf_dir)).select("label", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), F.col("support").cast("long").alias("support"))
 
 
+@query("""WITH p AS (SELECT CASE WHEN quality = 1 THEN 'soc' ELSE 'none' END AS y_true, CASE WHEN length(coalesce(text, '')) > 1000 THEN 'soc' ELSE 'none' END AS y_pred FROM labels JOIN documents USING (doc_id))
+SELECT y_true, y_pred, count(*) AS n FROM p GROUP BY 1, 2""")
+def resumed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of a model of one rule over all labelled documents, answered in two runs of which the second takes up the first, counted from what is stored."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", F.col("text").alias("passage"), (F.col("quality") == 1).alias("is_soc"), F.lit('{"instances": []}').alias("assistant_json"))
+    path = f"{shared_folder(spark)}/scriptorium-outputs-{uuid4().hex[:12]}"
+
+    def model() -> inference.Model:
+        return lambda prompts, sampling: ['{"instances": [{"soc_type": "imagery"}]}' if len(p) > 1000 else "none" for p in prompts]
+
+    for part in (rows.where("is_soc"), rows):
+        inference.answer_examples(part, "doc_id", "passage", path, "rule", model, 4)
+    return evaluation.detection(inference.stored_pairs(rows, "doc_id", path)).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT coalesce(text, '') AS passage, quality = 1 AS true_is_soc, n_chars > 1000 AS pred_is_soc, CASE WHEN quality <> 1 THEN 'none' WHEN doc_id % 3 = 0 THEN 'other_soc' ELSE 'hybrid' END AS true_type,
        CASE WHEN n_chars > 1000 THEN 'imagery' ELSE 'none' END AS pred_type, left(coalesce(text, ''), 500) AS raw_output
 FROM labels JOIN documents USING (doc_id)""")

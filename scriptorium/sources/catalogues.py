@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.sources.readers import catalog, repeated_books
 
-# Fixed values: (number, author, title) of the books; 2166 and 1400 are listed twice, and 2775 in both lists.
+# Fixed values: (number, author, title) of the books, and the positive ones' techniques; 2166 and 1400 are listed twice, and 2775 in both lists.
 NEGATIVES = (
     (244, "Arthur Conan Doyle", "A Study in Scarlet"),
     (1661, "Arthur Conan Doyle", "The Adventures of Sherlock Holmes"),
@@ -65,28 +66,28 @@ NEGATIVES = (
     (1726, "Jonathan Swift", "Gulliver's Travels"),
 )
 POSITIVES = (
-    (4300, "James Joyce", "Ulysses"),
-    (4217, "James Joyce", "A Portrait of the Artist as a Young Man"),
-    (2814, "James Joyce", "Dubliners"),
-    (5765, "Virginia Woolf", "Mrs Dalloway"),
-    (690, "Virginia Woolf", "To the Lighthouse"),
-    (43524, "Virginia Woolf", "The Waves"),
-    (5550, "Virginia Woolf", "Jacob's Room"),
-    (4517, "Dorothy Richardson", "Pointed Roofs"),
-    (4518, "Dorothy Richardson", "Backwater"),
-    (4519, "Dorothy Richardson", "Honeycomb"),
-    (34219, "May Sinclair", "Mary Olivier: A Life"),
-    (42984, "Edouard Dujardin", "We'll to the Woods No More"),
-    (2775, "Ford Madox Ford", "The Good Soldier"),
-    (432, "Henry James", "The Ambassadors"),
-    (209, "Henry James", "The Wings of the Dove"),
-    (1149, "Henry James", "The Turn of the Screw"),
-    (32220, "Arthur Schnitzler", "Lieutenant Gustl"),
-    (160, "Kate Chopin", "The Awakening"),
-    (1399, "Leo Tolstoy", "Anna Karenina"),
-    (600, "Fyodor Dostoevsky", "Notes from Underground"),
-    (2413, "Gustave Flaubert", "Madame Bovary"),
-    (15408, "Gertrude Stein", "Three Lives"),
+    (4300, "James Joyce", "Ulysses", "direct_interior_monologue + hybrid"),
+    (4217, "James Joyce", "A Portrait of the Artist as a Young Man", "indirect_interior_monologue"),
+    (2814, "James Joyce", "Dubliners", "indirect_interior_monologue"),
+    (5765, "Virginia Woolf", "Mrs Dalloway", "indirect_interior_monologue + reverie_fantasy"),
+    (690, "Virginia Woolf", "To the Lighthouse", "indirect_interior_monologue"),
+    (43524, "Virginia Woolf", "The Waves", "direct_interior_monologue"),
+    (5550, "Virginia Woolf", "Jacob's Room", "indirect_interior_monologue"),
+    (4517, "Dorothy Richardson", "Pointed Roofs", "indirect_interior_monologue"),
+    (4518, "Dorothy Richardson", "Backwater", "indirect_interior_monologue"),
+    (4519, "Dorothy Richardson", "Honeycomb", "indirect_interior_monologue"),
+    (34219, "May Sinclair", "Mary Olivier: A Life", "indirect_interior_monologue"),
+    (42984, "Edouard Dujardin", "We'll to the Woods No More", "direct_interior_monologue"),
+    (2775, "Ford Madox Ford", "The Good Soldier", "reverie_fantasy + indirect_interior_monologue"),
+    (432, "Henry James", "The Ambassadors", "indirect_interior_monologue"),
+    (209, "Henry James", "The Wings of the Dove", "indirect_interior_monologue"),
+    (1149, "Henry James", "The Turn of the Screw", "indirect_interior_monologue"),
+    (32220, "Arthur Schnitzler", "Lieutenant Gustl", "direct_interior_monologue"),
+    (160, "Kate Chopin", "The Awakening", "indirect_interior_monologue + reverie_fantasy"),
+    (1399, "Leo Tolstoy", "Anna Karenina", "indirect_interior_monologue + reverie_fantasy"),
+    (600, "Fyodor Dostoevsky", "Notes from Underground", "soliloquy"),
+    (2413, "Gustave Flaubert", "Madame Bovary", "indirect_interior_monologue"),
+    (15408, "Gertrude Stein", "Three Lives", "indirect_interior_monologue"),
 )
 
 
@@ -95,10 +96,12 @@ def negatives(spark: SparkSession) -> DataFrame:
 
 
 def positives(spark: SparkSession) -> DataFrame:
-    return catalog(spark, list(POSITIVES))
+    """The positive list, with the techniques that each work is known for (types, joined by plus signs)."""
+    named = spark.createDataFrame([(p[0], p[3]) for p in POSITIVES], "t_id int, technique string").dropDuplicates(["t_id"])
+    return catalog(spark, [p[:3] for p in POSITIVES]).join(named, F.col("id") == F.col("t_id")).drop("t_id")
 
 
 def repeated(spark: SparkSession) -> DataFrame:
     """Numbers that a list has twice or both lists have, which a download would mix up."""
     schema = "id int, author string, title string"
-    return repeated_books(spark.createDataFrame(NEGATIVES, schema), spark.createDataFrame(POSITIVES, schema))
+    return repeated_books(spark.createDataFrame(NEGATIVES, schema), spark.createDataFrame([p[:3] for p in POSITIVES], schema))

@@ -6,14 +6,16 @@ import io
 import json
 import os
 import re
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from functools import reduce
+from importlib.util import find_spec
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,25 +55,55 @@ def pdf_text(data: bytes) -> str | None:
     return "\n\n".join(p for p in pages if p.strip())
 
 
-def read_documents(spark: SparkSession, folder: str, failed: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, failed: bool = False, observation: Observation | None = None) -> DataFrame:
     """(source_file, text) of a folder's documents; with `failed`, those that cannot be read, too: their text is null and `error` says why.
 
-    Plain text is UTF-8, or Latin-1 where it is no valid UTF-8, and stays in the JVM.
+    Plain text is UTF-8, or Latin-1 where it is no valid UTF-8, and stays in the JVM. Files of other types are none of a folder's
+    documents; one that is asked for by its name is an error. An observation gets n_documents and n_failed of the job that reads them.
+    store_documents keeps both kinds from one scan.
     """
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "content")
+    given = spark.read.format("binaryFile").load(folder)
+    names = given.inputFiles()
+    if len(names) == 1 and names[0].rsplit("/", 1)[-1] == folder.rstrip("/").rsplit("/", 1)[-1] and not re.search(rf"\.({'|'.join(EXTENSIONS)})$", folder, re.IGNORECASE):
+        raise ValueError(f"unsupported type: {folder}")
+    files = given.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "content")
     files = files.withColumn("ext", F.lower(F.regexp_extract("source_file", r"\.([^.]*)$", 1))).where(F.col("ext").isin(*EXTENSIONS))
-    plain = files.where("ext = 'txt'").select("source_file", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"), F.lit(None).cast("string").alias("error"))
 
     @F.pandas_udf("string")
     def extract(ext: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series([(pdf_text if e == "pdf" else docx_text)(bytes(c)) for e, c in zip(ext, content, strict=True)])
 
-    why = F.when(F.col("text").isNull(), F.concat(F.lit("not readable as "), "ext"))
+    plain = files.where("ext = 'txt'").select("source_file", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"), F.lit(None).cast("string").alias("error"))
+    missing = "" if find_spec("pypdf") else ": its reader is not installed"
+    why = F.when(F.col("text").isNull(), F.concat(F.lit("not readable as "), "ext", F.when(F.col("ext") == "pdf", missing).otherwise("")))
     office = files.where("ext <> 'txt'").select("source_file", "ext", extract("ext", "content").alias("text")).select("source_file", "text", why.alias("error"))
     out = plain.unionByName(office)
+    if observation is not None:
+        out = out.observe(observation, F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))
     return out if failed else out.where("text IS NOT NULL").drop("error")
 
 
+def store_documents(spark: SparkSession, folder: str, out: str, bad: str = "warn") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Read a folder's documents once into a table at `out`: the good ones (source_file, text), the others (source_file, error), and how many there were.
+
+    A folder without documents is an error; ones that cannot be read are an error (bad="raise"), a warning with some names, or neither
+    (bad="ignore"). They stay in the table, so nothing is lost silently.
+    """
+    seen = Observation()
+    read_documents(spark, folder, failed=True, observation=seen).withColumn("readable", F.col("error").isNull()).write.mode("overwrite").partitionBy("readable").parquet(out)
+    counts = {k: seen.get[k] for k in ("n_documents", "n_failed")}
+    if not counts["n_documents"]:
+        raise ValueError(f"no documents in {folder}")
+    rows = spark.read.schema("source_file string, text string, error string, readable boolean").parquet(out)
+    failed = rows.where("NOT readable").select("source_file", "error")
+    if counts["n_failed"] and bad != "ignore":
+        names = ", ".join(sorted(r.source_file for r in failed.limit(100).collect()))
+        if bad == "raise":
+            raise ValueError(f"documents that cannot be read: {names}")
+        warnings.warn(f"documents that cannot be read are set aside: {names}", stacklevel=2)
+    return rows.where("readable").select("source_file", "text"), failed, counts
+
+
 def read_chunks(spark: SparkSession, folder: str, overlap: int = 1_000) -> DataFrame:
     """Chunks of a folder's marked-up text files."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.col("value").alias("text"))

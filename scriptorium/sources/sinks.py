@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import safe_name
-from scriptorium.operators.chunking import to_markup
+from scriptorium.operators.chunking import Offsets, refined_chunks, to_markup, word_offsets
 from scriptorium.operators.evaluation import confusion, detection, report, typing
 from scriptorium.sources.arrays import write_arrays
 
@@ -90,6 +91,11 @@ def write_chunk_arrays(chunks: DataFrame, path: str) -> None:
     write_arrays(chunks.withColumn("file", safe_name(F.col("source_file"))), path, "file", ["chunk_index"])
 
 
+def write_refined(docs: DataFrame, path: str, size: int = 20_000, overlap: int = 1_000, make_offsets: Callable[[], Offsets] = word_offsets) -> None:
+    """From texts (source_file, text) to JSON arrays of chunks with contexts in tokens, a folder for each file."""
+    write_chunk_arrays(refined_chunks(docs, size, overlap, make_offsets), path)
+
+
 def csv_text(rows: DataFrame, columns: list[str], most: int = 100_000) -> str:
     """A view of the dashboard as CSV text for a download; a view of more than `most` rows is an error and belongs in a file."""
     shown = rows.select(*[c for c in columns if c in rows.columns])
