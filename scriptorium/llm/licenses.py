@@ -30,7 +30,6 @@ KNOWN = (
 _TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD")}
 # Only notices: the word with a sign, a year or a place for one. "copyright notice and ..." starts many a wrapped line.
 _COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t:]*(\(c\)|©|\d{4}|[\[<{](y|d))|\(c\)[ \t]*\d{4}|©)[^\n]*$"
-_SQL_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 # Spellings that count as the same, the second one standing for both.
 _SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("as-is", "as is"), ("&", " and "), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -56,10 +55,14 @@ def digest(text: F.Column) -> F.Column:
     return F.when(c != "", F.sha2(c, 256))
 
 
+def _texts() -> list[tuple[str, str]]:
+    """(license, text) of the known texts, short licences with and without what stands before them in files."""
+    return [*KNOWN, *((name, f"{title}\n{rights}\n{text}") for name, text in KNOWN[:3] for title in ("", *_TITLES[name]) for rights in ("", "All rights reserved."))]
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, license) of the known texts."""
-    rows = [*KNOWN, *((name, f"{title}\n{rights}\n{text}") for name, text in KNOWN[:3] for title in ("", *_TITLES[name]) for rights in ("", "All rights reserved."))]
-    texts = spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
+    texts = spark.createDataFrame(_texts(), "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
     return texts.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string")).dropDuplicates(["digest"])
 
 
@@ -90,21 +93,23 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _sql() -> str:
-    """DuckDB SQL of license_scan with the texts of KNOWN only; canonical texts are compared instead of their digests."""
+    """DuckDB SQL of license_scan with the same patterns, spellings and digests."""
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{_SQL_COPYRIGHT}', '', 'g')"
+        out = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g')"
         for a, b in _SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
         return f"trim(regexp_replace({out}, '{_OTHER}', ' ', 'g'))"
 
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in _texts())
+    published = ", ".join(f"('{name}', '{d}')" for name, d in DIGESTS)
     return f"""
-WITH known AS (SELECT DISTINCT license, {canon("text")} AS c FROM (VALUES {values}) AS t(license, text)),
+WITH known AS (SELECT digest, min(license) AS license FROM (
+  SELECT license, sha256({canon("text")}) AS digest FROM (VALUES {values}) AS t(license, text) UNION ALL SELECT * FROM (VALUES {published}) AS p(license, digest)) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS rk, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (
   SELECT rk, 0 AS line, {canon("text")} AS c FROM d
   UNION ALL SELECT rk, 1, {canon("x")} FROM (SELECT rk, unnest(string_split(text, chr(10))) AS x FROM d)),
-m AS (SELECT rk, line, license FROM u JOIN known USING (c) WHERE c <> ''),
+m AS (SELECT rk, line, license FROM u JOIN known ON sha256(c) = digest WHERE c <> ''),
 a AS (
   SELECT rk, max(CASE WHEN line = 0 THEN license END) AS text_license, count(*) FILTER (WHERE line = 1) AS n_notices,
          string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY rk)

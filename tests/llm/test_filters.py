@@ -216,6 +216,19 @@ def test_licenses(spark):
     assert licenses.license_scan(empty(spark)).count() == 0
 
 
+def test_licenses_against_sql(spark):
+    """One function on both sides: lines that begin like notices, spellings, whole published texts, odd documents."""
+    mit, isc = (next(t for n, t in licenses.KNOWN if n == name) for name in ("MIT", "ISC"))
+    more = ["copyright law\nAll rights reserved.", "Copyright 2020 A\nAll rights reserved.", "copyright (c) x", "© y\n" + mit, "(c) 1999 z\r\n" + isc.lower(), "MIT License\n\nCopyright <year>\n" + mit.replace("software", "SoftWare"), "The ISC License\nAll rights reserved.\n" + isc,
+            "copyright [yyyy] n\nreleased under the MIT licence.", "Licensed  under---CC BY 4.0\nx\nlicensed under cc by-sa 4.0", "copyright\ncopyright holders and all rights reserved", "whilst & per cent", mit + " more", "Copyright notice and this permission"]
+    more += [p.read_text(errors="replace") for p in sorted(Path("/usr/share/common-licenses").glob("*")) if p.is_file()]
+    df = frame(spark, [*ODD, *((50 + i, t) for i, t in enumerate(more))])
+    given = df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})
+    got = rows(licenses.license_scan(df))
+    assert got == oracle("/nonexistent", licenses.SQL, documents=given)
+    assert sum(r[-1] is not None for r in got) >= 4
+
+
 def test_licenses_of_a_folder(spark, tmp_path):
     (tmp_path / "Own-1.0.txt").write_text("Own License\nCopyright (c) 2001 X\nYou may organise it.")
     (tmp_path / "Own-1.0--b.txt").write_text("Another wording")
