@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import type_label
 from scriptorium.operators.ordering import order_buckets
+from scriptorium.schemas import INSTANCE
 
 LEVELS = ("high", "medium", "low")
 
@@ -134,3 +135,22 @@ def markdown(instances: Column, think: Column) -> Column:
     found = F.array_join(F.transform(instances, lines), "\n")
     body = F.when(F.coalesce(F.size(instances), F.lit(0)) > 0, found).otherwise(F.lit("*No stream-of-consciousness instances found.*"))
     return F.concat_ws("\n", F.when(some(think), F.concat(F.lit("## Reasoning trace\n\n"), think, F.lit("\n"))), body)
+
+
+def formatted(instances: Column, think: Column, form: str) -> Column:
+    """An answer as text in one of the forms json (indented), csv (a header, lists joined by bars, lines end with CR LF) and markdown."""
+    if form == "markdown":
+        return markdown(instances, think)
+    if form == "json":
+        return F.to_json(F.struct(F.coalesce(think, F.lit("")).alias("think_trace"), F.coalesce(instances, F.array()).alias("instances")), {"pretty": "true", "ignoreNullFields": "false"})
+    if form != "csv":
+        raise ValueError(f"unknown form: {form}")
+    fields = [f.split(" ", 1) for f in INSTANCE.split(", ")]
+
+    def line(x: Column) -> Column:
+        shown = {"array<string>": lambda c: F.array_join(c, "|"), "boolean": lambda c: F.initcap(c.cast("string"))}
+        cells = F.struct(*(shown.get(kind, lambda c: c)(x[name]).alias(name) for name, kind in fields))
+        return F.to_csv(cells, {"escape": '"', "emptyValue": "", "nullValue": ""})
+
+    lines = F.concat(F.array(F.lit(",".join(name for name, _ in fields))), F.transform(F.coalesce(instances, F.array()), line))
+    return F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))

@@ -76,8 +76,7 @@ def check_trace_rewards(docs, got):
 
 def check_best_traces(docs, got):
     for r, d in zip(sorted(got), sorted(docs), strict=True):
-        prompt = " ".join(re.findall(r"[^ \t\n\x0b\f\r]+", d.text)[:6])
-        found = [f"It could appear imagery but falls short: {prompt}".strip(), f'"{prompt}" would need a soliloquy']
+        found = [f"It could appear imagery but falls short: {d.text}".strip(), f'"{d.text}" would need a soliloquy']
         value = [sum(a * b for a, b in zip((0.4, 0.35, 0.25), scores(t, d.text, d.doc_id % 2 == 0), strict=True)) for t in found]
         assert r.think_content == found[value.index(max(value))], d.doc_id
         assert r.trace_score == pytest.approx(max(value))
@@ -95,7 +94,11 @@ def check_sampled_windows(docs, got):
     assert all(v <= whole[k] for k, v in chosen.items())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+#: Held against the tokenizer's library in test_training_tokens.
+LIBRARY = {"chat_tokens", "chat_batches"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - LIBRARY))
 def test_query(spark, sf_dir, name):
     got = registry.queries()[name](spark, sf_dir)
     if name in registry.oracle_sql():

@@ -8,7 +8,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import prompts
 from scriptorium.operators import chunking, inference, reports, traces
+from scriptorium.schemas import DEPRECATED_TYPES, INSTANCE, JUDGE, SOC_TYPES
 from scriptorium.sources import arrays, catalogues, downloads, readers, sinks
 from scriptorium.storage import stored
 from tests.conftest import rows
@@ -174,3 +176,33 @@ def test_techniques(spark):
     got = {r.id: r.technique for r in catalogues.positives(spark).collect()}
     assert len(got) == 22
     assert (got[4300], got[600], got[2775]) == ("direct_interior_monologue + hybrid", "soliloquy", "reverie_fantasy + indirect_interior_monologue")
+
+
+def test_forms_of_an_answer(spark):
+    import csv
+    import io
+
+    schema = f"t string, i array<struct<{', '.join(f.replace(' ', ': ', 1) for f in INSTANCE.split(', '))}>>"
+    one = ('a "b", c', "imagery", ["x", "y"], "n/a", "minimal", "", True, "why,\nso", [], "high", "")
+    df = spark.createDataFrame([("think", [one, one]), (None, None)], schema)
+    shown = [{f: r[f] for f in ("json", "csv", "markdown")} for r in df.select(*(reports.formatted(F.col("i"), F.col("t"), f).alias(f) for f in ("json", "csv", "markdown"))).collect()]
+    full, none = sorted(shown, key=lambda r: -len(r["json"]))
+    got = list(csv.DictReader(io.StringIO(full["csv"], newline="")))
+    assert [(r["passage"], r["secondary_devices"], r["is_soc"], r["explanation"], r["evidence"]) for r in got] == [('a "b", c', "x|y", "True", "why,\nso", "")] * 2
+    assert json.loads(full["json"])["instances"][0]["secondary_devices"] == ["x", "y"]
+    assert full["markdown"].count("## Instance") == 2
+    assert none["csv"] == ",".join(f.split(" ")[0] for f in INSTANCE.split(", ")) + "\r\n"
+    assert json.loads(none["json"]) == {"think_trace": "", "instances": []}
+    with pytest.raises(ValueError, match="form"):
+        reports.formatted(F.col("i"), F.col("t"), "xml")
+
+
+def test_prompts(spark):
+    assert set(json.loads(prompts.answer_form().replace("true|false", "true").replace(", ...", ""))["instances"][0]) == {f.split(" ")[0] for f in INSTANCE.split(", ")}
+    text = prompts.system_prompt({"imagery": "pictures"})
+    assert all(t in text for t in SOC_TYPES if t not in DEPRECATED_TYPES)
+    assert "- imagery (Imagery): pictures" in text
+    assert not any(f"- {t} " in text for t in DEPRECATED_TYPES)
+    asked = spark.createDataFrame([("trace", None)], "t string, p string").select(prompts.judge_prompt(F.col("t"), F.col("p"), F.lit("is_soc: false"))).first()[0]
+    assert asked.endswith("REASONING:\ntrace")
+    assert all(f'"{f.split(" ")[0]}"' in asked for f in JUDGE.split(", "))
