@@ -248,3 +248,24 @@ def run_digests(found: DataFrame) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def sql(which: Runs = Runs()) -> str:
+    """DuckDB SQL of run_digests(periodic_runs(planted(documents))): runs are stretches of places whose windows of which.shared words come again after a period."""
+    k = which.shared
+    return rf"""WITH crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INTEGER) + 1]))) END AS h FROM documents, crc),
+e AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS g8 FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g8) AS p FROM e),
+w AS (SELECT r, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word FROM p, unnest(range(0, n)) AS u(i)),
+l AS (SELECT r, list(word ORDER BY i) AS w FROM w GROUP BY r),
+win AS (SELECT r, i, array_to_string(w[i + 1:i + {k}], ' ') AS x FROM l, unnest(range(0, len(w) - {k - 1})) AS u(i)),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM win a JOIN win b ON a.r = b.r AND a.x = b.x AND a.i < b.i),
+stretch AS (SELECT r, q, min(i) AS s, max(i) - min(i) + {k} + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+runs AS (SELECT r, s, len, min(q) AS q FROM stretch WHERE len >= greatest({which.words}, {which.periods} * q) GROUP BY r, s, len),
+told AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines, arg_max({{'s': s, 'len': len, 'q': q}}, (len / q, -s, -q)) AS best FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT w.r, w.i FROM w JOIN runs ON w.r = runs.r AND w.i >= runs.s + runs.q AND w.i < runs.s + runs.len),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period, 1000 * best.len // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""

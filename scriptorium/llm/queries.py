@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op8_license_scans": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op12_spelling_variants": spelling_variants.sql(), "op13_source_mixing": mixing.sql()}
+    return {"op6_ngram_jaccard_join": near_duplicates.sql(4, 85), "op7_decontamination": decontamination.SQL, "op8_license_scans": licenses.SQL, "op10_quality_rules": quality_rules.SQL, "op11_periodic_runs": periodic_runs.sql(), "op12_spelling_variants": spelling_variants.sql(), "op13_source_mixing": mixing.sql()}
