@@ -124,10 +124,14 @@ def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), text.preview(F.col("text"), 80).alias("shown")).where("n_words >= 1000")
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents")
+@query(r"""SELECT doc_id, regexp_replace(CASE WHEN doc_id % 4 IN (0, 1) THEN text ELSE 'title ' || doc_id || chr(10) || text END || CASE WHEN doc_id % 4 IN (0, 2) THEN '' ELSE chr(10) || '** END OF THE PROJECT GUTENBERG EBOOK' END, '^\s+|\s+$', '', 'g') AS body
+FROM documents""")
 def boilerplate_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents wrapped in marker lines and unwrapped again."""
-    wrapped = F.concat(F.lit("title\n*** START OF THIS PROJECT GUTENBERG EBOOK X ***\n"), "text", F.lit("\n***END OF THE PROJECT GUTENBERG EBOOK X\nend"))
+    """Documents with both marker lines, in several spellings, with one of them, and with none or a broken one."""
+    i = F.col("doc_id") % 4
+    start = F.when(i == 0, "*** START OF THIS PROJECT GUTENBERG EBOOK X ***\n").when(i == 1, "***start of project gutenberg ebook y\n").otherwise("")
+    end = F.when(i == 0, "\n***END OF THE PROJECT GUTENBERG EBOOK X\nend").when(i == 2, "\n***  End of this Project Gutenberg Ebook").otherwise("\n** END OF THE PROJECT GUTENBERG EBOOK")
+    wrapped = F.concat(F.lit("title "), F.col("doc_id").cast("string"), F.lit("\n"), start, "text", end)
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_boilerplate(wrapped).alias("body"))
 
 
@@ -692,18 +696,31 @@ def trace_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.round(scoring.candidate_score(*args), 9).alias("score"), F.round(scoring.reward(*args, none, none), 9).alias("reward"))
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+@query(f"""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS is_soc, k, CASE k WHEN 0 THEN 'could appear' WHEN 1 THEN CASE WHEN doc_id % 3 = 1 THEN ' ' ELSE {_TYPES}[doc_id % 12 + 1] END ELSE CASE WHEN doc_id % 7 = 0 THEN 'not soc, falls short' ELSE '' END END AS trace
+  FROM documents, unnest([0, 1, 2]) AS u(k) WHERE doc_id % 5 <> 0),
+s AS (SELECT *, {_HITS(scoring.SPECIFIC_WORDS)} AS n, {_HITS(scoring.SCEPTICAL_PHRASES)} AS h FROM c WHERE trim(trace) <> ''),
+v AS (SELECT doc_id, k, trace, 0.35 * CASE WHEN n >= 2 THEN 1.0 WHEN n = 1 THEN 0.5 ELSE 0.0 END + 0.25 * least(1.0, h * CASE WHEN is_soc THEN 0.4 ELSE 0.5 END) AS score FROM s),
+b AS (SELECT doc_id, arg_min(trace, (-score, k)) AS trace, max(score) AS score FROM v GROUP BY doc_id)
+SELECT doc_id, coalesce(trace, 'old') AS think_content, round(CAST(score AS DOUBLE), 6) AS trace_score FROM documents LEFT JOIN b USING (doc_id)""")
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best-scored candidate of each item, the first on ties."""
-    best = F.max_by(F.struct("event_id", "value"), F.struct("value", -F.col("event_id")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.value")
+    """Up to three candidates for each document, some blank, and the best one by its score; a fifth have none and keep what they had."""
+    i, kind = F.col("doc_id"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), (F.col("doc_id") % 12 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("passage_id"), F.coalesce("text", F.lit("")).alias("passage"), (i % 2 == 0).alias("is_soc"), F.lit("old").alias("think_content"))
+    told = F.array(F.lit("could appear"), F.when(i % 3 == 1, " ").otherwise(kind), F.when(i % 7 == 0, "not soc, falls short").otherwise(""))
+    found = d.where(i % 5 != 0).select("passage_id", F.posexplode(told).alias("idx", "trace"))
+    return traces.with_best(d, found).select("doc_id", "think_content", F.round("trace_score", 6).alias("trace_score"))
 
 
-@query(rf"SELECT doc_id, array_to_string({_WORDS}, ' ') AS passage, 'other_soc' AS soc_type, TRUE AS is_soc, 'a, b' AS secondary_devices FROM documents")
+@query(rf"""WITH i AS (SELECT doc_id, k AS pos, array_to_string({_WORDS}, ' ') AS passage FROM documents, unnest(range(0, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END)) AS u(k))
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, passage, CASE WHEN doc_id % 2 = 0 THEN {_TYPES}[doc_id % 12 + 1] ELSE 'other_soc' END AS soc_type, NOT (doc_id % 3 = 0 AND pos = 0) AS is_soc,
+       CASE WHEN doc_id % 5 = 0 THEN 'a, b' WHEN doc_id % 5 = 1 THEN 'c' ELSE '' END AS secondary_devices, CASE WHEN doc_id % 4 = 0 THEN 'low' ELSE 'medium' END AS confidence FROM i""")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with a think block, one instance and text after it, parsed leniently."""
-    words = text.words(F.col("text"))
-    passage = F.array_join(words, " ")
-    body = F.to_json(F.struct(F.array(F.struct(passage.alias("passage"), F.lit("false").alias("is_soc"), F.lit("a, b").alias("secondary_devices"))).alias("soc_instances")))
+    """Answers with a think block and text after the JSON, parsed leniently: no, one or two instances under either name, fields missing or in another form, and JSON that is broken."""
+    i, told = F.col("doc_id"), F.array_join(text.words(F.col("text")), " ")
+    kind = F.when(i % 2 == 0, F.element_at(F.array(*map(F.lit, SOC_TYPES)), (i % 12 + 1).cast("int")))
+    one = lambda soc, devices: F.to_json(F.struct(told.alias("passage"), kind.alias("soc_type"), soc.alias("is_soc"), devices.alias("secondary_devices"), F.when(i % 4 == 0, "low").alias("confidence")))
+    form = lambda soc: F.when(i % 5 == 0, one(soc, F.lit(" a,, b "))).when(i % 5 == 1, one(soc, F.array(F.lit("c")))).otherwise(one(soc, F.lit(None).cast("string")))
+    first, second = form(F.when(i % 3 == 0, False)), form(F.lit(True))
+    body = F.when(i % 11 == 0, F.concat(F.lit('{"instances": ['), first)).when(i % 7 == 0, F.concat(F.lit('{"instances": ['), first, F.lit(", "), second, F.lit(', "no object"]}'))).otherwise(F.concat(F.lit('{"soc_instances": ['), first, F.lit("]}")))
     answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<think>a {b}</think>\n"), body, F.lit(" tail")).alias("raw"))
-    return parsing.parse_answers(answers).select("doc_id", "passage", "soc_type", "is_soc", F.array_join("secondary_devices", ", ").alias("secondary_devices"))
+    return parsing.parse_answers(answers).select("doc_id", "pos", "passage", "soc_type", "is_soc", F.array_join("secondary_devices", ", ").alias("secondary_devices"), "confidence")
