@@ -17,6 +17,10 @@ from scriptorium.llm.simple8b import encode_documents, pack_file, unpack_file
 from scriptorium.llm.tokenization import word_encoder
 
 MOST_BROADCAST = 400_000
+#: Beyond so many files, files grow instead.
+MOST_FILES = 200_000
+MOST_SAMPLED = 1_000_000
+NO_ID = -(1 << 63)
 _ENCODED = "part int, doc_id long, n_tokens long, piece binary"
 _FILES = "part int, file string, n_documents long, n_tokens long, n_bytes long"
 
@@ -32,29 +36,53 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, lengths + 1
 
 
+def id_bounds(rows: DataFrame, parts: int, n: int) -> np.ndarray:
+    """The bounds between `parts` ranges of doc_id with about as many of the n rows each, ascending; nulls are NO_ID, the least.
+
+    They are quantiles of a sample of 64 ids a range, a million at most: 8 MB, however large the table. An id of many rows is
+    a bound several times.
+    """
+    if parts == 1:
+        return np.zeros(0, np.int64)
+    wanted = min(MOST_SAMPLED, 64 * parts)
+    sample = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).sample(min(1.0, wanted / n), 5).limit(2 * wanted).toArrow()["id"]
+    ids = np.sort(sample.to_numpy())
+    return ids[np.arange(1, parts) * len(ids) // parts] if len(ids) else ids
+
+
+def deal(bounds: np.ndarray, ids: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    """The part of each document: how many bounds its id has reached. One whose id is a bound several times goes to one of the parts between them, by its content."""
+    part = np.searchsorted(bounds, ids, "right")
+    wide = part - np.searchsorted(bounds, ids, "left")
+    for i in np.flatnonzero(wide > 1).tolist():
+        part[i] -= zlib.crc32(pieces[i]) % int(wide[i])
+    return part.astype(np.int32)
+
+
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer_file: str, end_id: int = 2, file_chars: int = 24_000_000) -> DataFrame:
     """Encode docs (doc_id, text) and write them as files part-NNNNNN.s8b in out_dir.
 
-    Part k holds the documents whose id lies between the k-th and next of as many quantiles of
-    doc_id as files of about `file_chars` characters are needed; inside a part they ascend by id, and
-    rows without id come first of all. Null texts are empty and have the end id alone. Repeated ids
-    give documents of their own, side by side. Texts are encoded before the one shuffle, which
-    moves coded ids only. Returns the files' manifest (part, file, n_documents, n_tokens, n_bytes).
+    Part k holds the documents whose id lies between the k-th and next of as many bounds as files of about
+    `file_chars` characters are needed (see id_bounds); inside a part they ascend by id, and rows without id come
+    first of all. Null texts are empty and have the end id alone. Repeated ids give documents of their own,
+    side by side; those of an id that fills several files are dealt to them by their content. Texts are
+    encoded before the one shuffle, which moves coded ids only. Returns the files' manifest (part, file, n_documents, n_tokens, n_bytes).
     out_dir must be a folder that all executors reach through a URI that pyarrow.fs can open.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = int(size // file_chars) + 1
-    cuts = rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
-    bounds = np.array(cuts, np.float64)
+    total = rows.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).first()
+    size = total["n"] or 0
+    parts = int(size // max(file_chars, size // MOST_FILES)) + 1 if size else 1
+    bounds = id_bounds(rows, parts, total["rows"])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
         for b in slices(batches, 4_000_000):
             ids, lengths = with_end(*encoder.encode(text_array(b)), end_id)
             doc_id = column_of(b, "doc_id")
-            part = np.searchsorted(bounds, doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.float64), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, pa.array(lengths), pa.array(encode_documents(ids, lengths), pa.binary())], names=["part", "doc_id", "n_tokens", "piece"])
+            pieces = encode_documents(ids, lengths)
+            part = deal(bounds, doc_id.fill_null(NO_ID).to_numpy(zero_copy_only=False), pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, pa.array(lengths), pa.array(pieces, pa.binary())], names=["part", "doc_id", "n_tokens", "piece"])
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
         from pyarrow import fs

@@ -75,6 +75,22 @@ def test_token_output(spark):
     assert token_output(empty(spark), WORDS).count() == 0
 
 
+def test_ids_of_many_rows_fill_several_files(spark, tmp_path):
+    """One id of most rows, nulls, and ids beyond 2^53 that floating point could not tell apart."""
+    big = (1 << 60) + 1
+    data = [(7, f"text {i} " + "word " * 40) for i in range(90)] + [(None, f"none {i}") for i in range(30)] + [(big + i, f"big {i} " * 9) for i in range(30)] + [(i, f"small {i}") for i in range(-5, 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = f"file://{tmp_path}/t"
+    files = write_tokens(docs, out, WORDS, file_chars=1500)
+    got = sorted(read_tokens(spark, out, files, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    ids = [r.doc_id for r in got]
+    assert ids == sorted((i for i, _ in data), key=lambda i: (i is not None, i))
+    assert sum(r.n_documents for r in files.collect()) == len(data)
+    assert files.count() > 6
+    assert max(r.n_documents for r in files.collect()) < 60
+
+
 def test_files_hold_ids(spark, tmp_path):
     out = f"file://{tmp_path}"
     files = write_tokens(frame(spark), out, WORDS, file_chars=1000)
