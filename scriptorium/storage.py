@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
     spark.sparkContext.setCheckpointDir(base)
