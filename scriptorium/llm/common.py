@@ -28,7 +28,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
-        elif not spark.sparkContext.master.startswith("local["):
+        elif spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
@@ -71,6 +71,19 @@ def release(*frames: DataFrame) -> None:
         _made.remove((df.sparkSession, df.stored_at))
 
 
+def made() -> int:
+    """A mark of the tables that were made so far, for release_since."""
+    return len(_made)
+
+
+def release_since(mark: int, *keep: str) -> None:
+    """Remove all tables that were made since a mark, but those at the given paths: for use when what needed them is written."""
+    for spark, path in _made[mark:]:
+        if path not in keep:
+            _delete(spark, path)
+            _made.remove((spark, path))
+
+
 def slices(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `chars` bytes of `column`, and one row at least."""
     for batch in batches:
