@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptorium import prepare
 from scriptorium.llm import decontamination, near_duplicates, quality_lm, quality_rules
 from scriptorium.llm import queries as q
-from scriptorium.llm.common import work_dir
+from scriptorium.llm.common import made, release_since, work_dir
 from scriptorium.llm.packing import pack_documents
 
 
@@ -54,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, one after the other."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents, one after the other. What a stage has stored goes when its result is written, and that result when the next one is."""
+    docs, mark = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), made()
     for k, (_, stage) in enumerate(STAGES):
         path = work_dir(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release_since(mark, path)
     return docs
