@@ -109,8 +109,8 @@ def sorted_groups(groups: DataFrame) -> DataFrame:
     by = W.orderBy(F.desc("n_models"), "g_share")
     sizes = dealt.groupBy("n_models", "g_share").agg(F.count("*").alias("n")).select("n_models", "g_share", (F.sum("n").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("g_base"))
     at = F.row_number().over(W.partitionBy("n_models", "g_share").orderBy("chunk_id", "group_id")) - 1
-    # a row for each number of models and range of chunks
-    return dealt.join(F.broadcast(sizes), ["n_models", "g_share"]).withColumn("place", at + F.col("g_base")).drop("g_share", "g_base")
+    # a row for each number of models and range of chunks: small as a rule, which Spark sees for itself
+    return dealt.join(sizes, ["n_models", "g_share"]).withColumn("place", at + F.col("g_base")).drop("g_share", "g_base")
 
 
 def menu(rows: DataFrame, column: str) -> DataFrame:

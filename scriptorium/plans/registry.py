@@ -465,18 +465,6 @@ def negatives_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.negatives_first(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), (F.col("toxic") == 0).alias("is_soc")), 50)
 
 
-@query()
-def best_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three candidates for each document, the last one blank, and the best by score."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), F.lit("old").alias("think_content"), traces.passage_id("test", F.col("source"), F.col("text")).alias("passage_id"))
-
-    def model() -> traces.Model:
-        return lambda prompt, n: [f"It could appear imagery but falls short: {prompt}", f'"{prompt}" would need a soliloquy', " "][:n]
-
-    found = traces.candidates(d, model, F.col("passage"), 3)
-    return traces.with_best(d, found).select("doc_id", "think_content", F.round("trace_score", 9).alias("trace_score"))
-
-
 @query()
 def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three windows at most of each document; the sample is the operator's."""
@@ -688,7 +676,15 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), trace.alias("trace"))
 
 
-@query()
+_QUOTES = """["‘’“”]([^"'']+)["‘’“”]"""
+# of rows with trace, low (the passage in lower case), is_soc: g, n specific words, h sceptical phrases
+_SCORED = rf"""g AS (SELECT *, {_HITS(scoring.SPECIFIC_WORDS)} AS n, {_HITS(scoring.SCEPTICAL_PHRASES)} AS h, regexp_extract_all(trace, '[^ \t\n\x0b\f\r]+') AS w,
+  len(list_filter(regexp_extract_all(trace, '{_QUOTES}', 1), lambda q: len(regexp_extract_all(q, '[^ \t\n\x0b\f\r]+')) >= 3 AND contains(low, trim(lower(q), ' ')))) AS quoted FROM t),
+v AS (SELECT *, CASE WHEN quoted > 0 THEN 1.0 WHEN len(list_filter(range(1, greatest(1, len(w) - 2)), lambda i: contains(low, regexp_replace(lower(array_to_string(w[i:i + 3], ' ')), '[^\p{{L}}\p{{N}}_\s]', '', 'g')))) > 0 THEN 0.5 ELSE 0.0 END AS g,
+  CASE WHEN n >= 2 THEN 1.0 WHEN n = 1 THEN 0.5 ELSE 0.0 END AS sp, least(1.0, h * CASE WHEN is_soc THEN 0.4 ELSE 0.5 END) AS sk FROM g)"""
+
+
+@query(f"WITH {_TRACE}, t AS (SELECT doc_id, is_soc, trace, lower(passage) AS low FROM d), {_SCORED} SELECT doc_id, round(CAST(0.4 * g + 0.35 * sp + 0.25 * sk AS DOUBLE), 9) AS score, round(CAST(0.2 * g + 0.1 + 0.2 * CASE WHEN is_soc THEN sp ELSE 0.5 END + 0.2 AS DOUBLE), 9) AS reward FROM v")
 def trace_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate scores and rewards of made-up traces, judged values missing."""
     t, none = _traces(spark, sf_dir), F.lit(None).cast("double")
@@ -696,6 +692,21 @@ def trace_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.round(scoring.candidate_score(*args), 9).alias("score"), F.round(scoring.reward(*args, none, none), 9).alias("reward"))
 
 
+@query(rf"""WITH t AS (SELECT doc_id, doc_id % 2 = 0 AS is_soc, lower(coalesce(text, '')) AS low, k,
+  regexp_replace(CASE k WHEN 0 THEN 'It could appear imagery but falls short: ' || coalesce(text, '') ELSE '"' || coalesce(text, '') || '" would need a soliloquy' END, '^\s+|\s+$', '', 'g') AS trace FROM documents, unnest([0, 1]) AS u(k)),
+{_SCORED}, s AS (SELECT doc_id, k, trace, round(CAST(0.4 * g + 0.35 * sp + 0.25 * sk AS DOUBLE), 9) AS score FROM v)
+SELECT doc_id, arg_min(trace, (-score, k)) AS think_content, max(score) AS trace_score FROM s GROUP BY doc_id""")
+def best_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidates for each document, the last one blank, and the best by score."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("passage"), (F.col("doc_id") % 2 == 0).alias("is_soc"), F.lit("old").alias("think_content"), traces.passage_id("test", F.col("source"), F.col("text")).alias("passage_id"))
+
+    def model() -> traces.Model:
+        return lambda prompt, n: [f"It could appear imagery but falls short: {prompt}", f'"{prompt}" would need a soliloquy', " "][:n]
+
+    found = traces.candidates(d, model, F.col("passage"), 3)
+    return traces.with_best(d, found).select("doc_id", "think_content", F.round("trace_score", 9).alias("trace_score"))
+
+
 @query(f"""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS is_soc, k, CASE k WHEN 0 THEN 'could appear' WHEN 1 THEN CASE WHEN doc_id % 3 = 1 THEN ' ' ELSE {_TYPES}[doc_id % 12 + 1] END ELSE CASE WHEN doc_id % 7 = 0 THEN 'not soc, falls short' ELSE '' END END AS trace
   FROM documents, unnest([0, 1, 2]) AS u(k) WHERE doc_id % 5 <> 0),
 s AS (SELECT *, {_HITS(scoring.SPECIFIC_WORDS)} AS n, {_HITS(scoring.SCEPTICAL_PHRASES)} AS h FROM c WHERE trim(trace) <> ''),

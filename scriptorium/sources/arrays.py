@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
@@ -95,7 +96,8 @@ def scan_arrays(spark: SparkSession, folder: str, schema: str, skip: Callable[[s
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).inputFiles()
     stem_of = {f: unquote(re.search(r"=([^/]*)/part-[^/]*$|([^/]+?)(\.[^./]*)?$", f).expand(r"\1\2")) for f in files if f.endswith(".json") or re.search(r"=[^/]*/part-[^/]*$", f)}
     kept = [f for f in sorted(stem_of) if not skip(stem_of[f])]
-    bordered = [f for f in kept if _bordered(spark, f)]
+    with ThreadPoolExecutor(32) as pool:  # first bytes of many files of a slow store
+        bordered = [f for f, split in zip(kept, pool.map(lambda f: _bordered(spark, f), kept), strict=True) if split]
     whole = sorted(set(kept) - set(bordered))
     text, out = F.col("value"), []
     place = ["file", F.concat("file", F.format_string("#%020d", "start")).alias("block"), "at"]

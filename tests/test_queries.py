@@ -103,7 +103,7 @@ def test_query(spark, sf_dir, name):
     got = registry.queries()[name](spark, sf_dir)
     if name in registry.oracle_sql():
         assert rows(got) == oracle(sf_dir, registry.oracle_sql()[name])
-    else:
+    if f"check_{name}" in globals() or name not in registry.oracle_sql():
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").na.fill("").collect()
         globals()[f"check_{name}"](docs, got.collect())
 
