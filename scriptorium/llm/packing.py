@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if, column_of, slices, text_array, text_column, written
+from scriptorium.llm.common import broadcast_if, column_of, give_back, slices, text_array, text_column, written
 from scriptorium.llm.tokenization import word_encoder
 from scriptorium.llm.token_output import with_end
 
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capacity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 2_000_000):
             ids, lengths = with_end(*encoder.encode(text_array(b)), end_id)
             ids = ids.astype("<u4")
             n = -(-lengths // capacity)
@@ -126,6 +126,9 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capacity
                 cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        # the worker goes on to other stages' tasks, which need the memory
+        encoder.forget()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

@@ -146,7 +146,7 @@ def train(trusted: DataFrame, fold: F.Column | None = None, folds: int = 0) -> K
     """Count the n-grams of all trusted texts (column text); null texts count as empty ones. fold is 0 to folds - 1."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 2_000_000):
             for k, part in _split(b, "fold"):
                 grams = Grams.of(texts_of(part))
                 at, n = grams.distinct()
@@ -188,13 +188,13 @@ def perplexities(docs: DataFrame, model: KneserNey, which: F.Column | None = Non
     dealt = rows.withColumn("shard", (_by_model(first.tolist()) + F.pmod(F.xxhash64("doc_id", F.octet_length("text")), _by_model(shards.tolist()))).cast("int"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches, 8_000_000):
+        for b in gathered(batches, 4_000_000):
             for k, part in _split(b, "shard"):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), column_of(part, "m").slice(0, 1), pa.array([as_bytes(part.select(["doc_id", "lang", "m", "text"]))], pa.binary())], names=["shard", "m", "rows"])
 
     def ask(key: tuple, parts: pa.Table) -> pa.Table:
         seen = np.zeros(0, np.int64)
-        for b in gathered(map(from_bytes, parts["rows"]), 2_500_000):
+        for b in gathered(map(from_bytes, parts["rows"]), 1_250_000):
             grams = Grams.of(texts_of(b))
             seen = np.union1d(seen, grams.gram(grams.distinct()[0]))
         return pa.table({"shard": np.full(len(seen), key[0].as_py(), np.int32), "m": np.full(len(seen), parts["m"][0].as_py(), np.int32), "g": seen})
@@ -204,7 +204,7 @@ def perplexities(docs: DataFrame, model: KneserNey, which: F.Column | None = Non
         order = np.argsort(known)
         known, log_p = known[order], answers["log_p"].to_numpy()[order]
         out = []
-        for b in gathered(map(from_bytes, parts["rows"]), 2_500_000):
+        for b in gathered(map(from_bytes, parts["rows"]), 1_250_000):
             grams = Grams.of(texts_of(b))
             at = grams.distinct()[0]
             each = grams.lookup(at, log_p[np.searchsorted(known, grams.gram(at))])

@@ -46,6 +46,10 @@ class WordEncoder:
         self.most, self.most_chars = most, most_chars
         self._reset()
 
+    def forget(self) -> None:
+        """Drop the table; what is encoded next fills it anew."""
+        self._reset()
+
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
         self.chars = 0
