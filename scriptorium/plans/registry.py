@@ -722,7 +722,7 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.with_best(d, found).select("doc_id", "think_content", F.round("trace_score", 6).alias("trace_score"))
 
 
-@query(rf"""WITH i AS (SELECT doc_id, k AS pos, array_to_string({_WORDS}, ' ') AS passage FROM documents, unnest(range(0, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END)) AS u(k))
+@query(rf"""WITH i AS (SELECT doc_id, k AS pos, array_to_string({_WORDS}, ' ') AS passage FROM documents, unnest(range(0, CASE WHEN doc_id % 11 = 10 THEN 0 WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END)) AS u(k))
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, passage, CASE WHEN doc_id % 2 = 0 THEN {_TYPES}[doc_id % 12 + 1] ELSE 'other_soc' END AS soc_type, NOT (doc_id % 3 = 0 AND pos = 0) AS is_soc,
        CASE WHEN doc_id % 5 = 0 THEN 'a, b' WHEN doc_id % 5 = 1 THEN 'c' ELSE '' END AS secondary_devices, CASE WHEN doc_id % 4 = 0 THEN 'low' ELSE 'medium' END AS confidence FROM i""")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -732,6 +732,6 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda soc, devices: F.to_json(F.struct(told.alias("passage"), kind.alias("soc_type"), soc.alias("is_soc"), devices.alias("secondary_devices"), F.when(i % 4 == 0, "low").alias("confidence")))
     form = lambda soc: F.when(i % 5 == 0, one(soc, F.lit(" a,, b "))).when(i % 5 == 1, one(soc, F.array(F.lit("c")))).otherwise(one(soc, F.lit(None).cast("string")))
     first, second = form(F.when(i % 3 == 0, False)), form(F.lit(True))
-    body = F.when(i % 11 == 0, F.concat(F.lit('{"instances": ['), first)).when(i % 7 == 0, F.concat(F.lit('{"instances": ['), first, F.lit(", "), second, F.lit(', "no object"]}'))).otherwise(F.concat(F.lit('{"soc_instances": ['), first, F.lit("]}")))
+    body = F.when(i % 11 == 10, F.concat(F.lit('{"instances": ['), first)).when(i % 7 == 0, F.concat(F.lit('{"instances": ['), first, F.lit(", "), second, F.lit(', "no object"]}'))).otherwise(F.concat(F.lit('{"soc_instances": ['), first, F.lit("]}")))
     answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<think>a {b}</think>\n"), body, F.lit(" tail")).alias("raw"))
     return parsing.parse_answers(answers).select("doc_id", "pos", "passage", "soc_type", "is_soc", F.array_join("secondary_devices", ", ").alias("secondary_devices"), "confidence")
