@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from hashlib import md5
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from scriptorium import prepare
 from scriptorium.functions import scoring, text
 from scriptorium.operators import chat, chunking, consensus, dataset, evaluation, inference, matching, parsing, reports, semantic, traces
 from scriptorium.schemas import SOC_TYPES, TYPE_LABELS
-from scriptorium.storage import shared_folder
+from scriptorium.storage import scratch
 from scriptorium.streaming import groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,7 +284,7 @@ def streamed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups that a stream over the documents' files keeps as state, as its last batch leaves them."""
     docs = table(spark, sf_dir, "documents")
     rows = annotations(spark, sf_dir, spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*"))
-    path = f"{shared_folder(spark)}/scriptorium-stream-{uuid4().hex[:12]}"
+    path = scratch(spark, "stream")
     groups.run_groups(rows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return groups.read_groups(spark, f"{path}/out").withColumn("models", F.array_join(F.array_sort("models"), ", "))
 
@@ -628,7 +627,7 @@ SELECT y_true, y_pred, count(*) AS n FROM p GROUP BY 1, 2""")
 def resumed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of a model of one rule over all labelled documents, answered in two runs of which the second takes up the first, counted from what is stored."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", F.col("text").alias("passage"), (F.col("quality") == 1).alias("is_soc"), F.lit('{"instances": []}').alias("assistant_json"))
-    path = f"{shared_folder(spark)}/scriptorium-outputs-{uuid4().hex[:12]}"
+    path = scratch(spark, "outputs")
 
     def model() -> inference.Model:
         return lambda prompts, sampling: ['{"instances": [{"soc_type": "imagery"}]}' if len(p) > 1000 else "none" for p in prompts]

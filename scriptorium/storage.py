@@ -37,15 +37,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table, which goes when the process ends; lost executors cost nothing that was done before."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, which goes when the process ends."""
     path = f"{shared_folder(spark)}/scriptorium-{name}-{uuid.uuid4().hex[:12]}"
     if not _made:
         atexit.register(_clean_up)
     _made.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, which goes when the process ends; lost executors cost nothing that was done before."""
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clean_up() -> None:
