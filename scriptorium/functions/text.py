@@ -92,20 +92,19 @@ def ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
 def ascii_folded(text: Column) -> Column:
     """The text by compatibility decomposition (NFKD), without what is not ASCII then: accents go, ligatures and wide forms become letters.
 
-    A decomposition depends on its character alone as far as ASCII goes, so tables of characters are enough; texts
-    without a character of several letters, nearly all, need no more than the first.
+    A decomposition depends on its character alone as far as ASCII goes, so tables of characters are enough. Texts in
+    ASCII are left as they are; of others each different character of several letters is spelled out throughout the text.
     """
     one, several = ascii_folds()
-    plain = F.translate(text, "".join(one), "".join(one.values()))
     table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
-    spelled = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    wide = F.when(F.rlike(plain, F.lit(f"[{''.join(several)}]")), spelled).otherwise(plain)
-    return F.regexp_replace(wide, r"[^\x00-\x7F]+", "")
+    met = F.array_intersect(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), F.lit(0)), F.array(*map(F.lit, several)))
+    spelled = F.aggregate(met, F.translate(text, "".join(one), "".join(one.values())), lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(spelled, r"[^\x00-\x7F]+", ""))
 
 
 def slug(stem: Column) -> Column:
     """A stem as an identifier: folded to ASCII, words joined by hyphens."""
-    return F.lower(F.regexp_replace(F.regexp_replace(ascii_folded(stem), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    return F.lower(F.btrim(F.regexp_replace(ascii_folded(stem), r"\P{Alnum}+", "-"), F.lit("-")))
 
 
 def chunk_id(source_file: Column, index: Column) -> Column:

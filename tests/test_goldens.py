@@ -253,6 +253,19 @@ def test_traces(spark):
     assert {(r.passage, r.think_content, r.is_soc) for r in back} == {("the old man ran home", '"the old man ran home" is imagery', False), ("x", "kept", False)}
 
 
+def test_long_texts_fold_in_time_with_their_length(spark):
+    """A million characters, with and without one of several letters: not each compared with all of those."""
+    import time
+
+    frames = [spark.createDataFrame([(t,)], "t string") for t in ("plain text, " * 80_000, "é à text… " * 100_000)]
+    shown = [df.select(text.slug(F.col("t")).alias("s")) for df in frames]
+    wanted = ["-".join(["plain-text"] * 80_000), "-".join(["e-a-text"] * 100_000)]
+    assert [df.first()["s"] for df in shown] == wanted
+    began = time.time()
+    assert [df.first()["s"] for df in shown] == wanted
+    assert time.time() - began < 4
+
+
 def test_every_character_folds_as_the_library_has_it(spark):
     """All code points that are assigned, one a row and many in a row, and names of files."""
     import sys
