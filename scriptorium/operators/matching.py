@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions.text import normalise, normalised_words, token_set
+from scriptorium.functions.text import normalised_words
 from scriptorium.operators.ordering import running_total
 from scriptorium.storage import stored
 
@@ -57,6 +57,11 @@ def _by_index(own: list[np.ndarray]) -> Iterator[np.ndarray]:
             where.setdefault(t, []).append(i)
 
 
+def token_hashes(passage: Column) -> Column:
+    """64-bit hashes of a passage's distinct normalised words."""
+    return F.array_distinct(F.transform(normalised_words(passage), lambda t: F.xxhash64(t)))
+
+
 def chunk_groups(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(g_chunk, g_row, g_hash, chunk_group): the group number in its chunk of each row (row_id, chunk_id, passage), told by chunk, row_id and the passage's hash.
 
@@ -117,13 +122,16 @@ def grouped_annotations(annotations: DataFrame, threshold: float = THRESHOLD) ->
 def overlapping_pairs(annotations: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b, overlap) of rows of one key whose passages overlap enough.
 
-    Pairs come from an equi-join on shared tokens, so rows without a common token never meet.
+    Each row moves once with its tokens' 64-bit hashes, and each pair of a key is compared where it meets; nothing is
+    made or shuffled by common token.
     """
-    t = annotations.select(F.col(key).alias("k"), "row_id", token_set(normalise(F.col("passage"))).alias("tokens"))
-    flat = t.select("k", "row_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    other = flat.select("k", "token", F.col("row_id").alias("b"), F.col("n").alias("m"))
-    pairs = flat.withColumnRenamed("row_id", "a").join(other, ["k", "token"]).where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("common"))
-    return pairs.withColumn("overlap", F.col("common") / F.least("n", "m")).where(F.col("overlap") >= threshold).select("a", "b", "overlap")
+    t = annotations.select(F.col(key).alias("k"), "row_id", token_hashes(F.col("passage")).alias("tokens"))
+    x, y = t.alias("x"), t.alias("y")
+    least = F.least(F.size("x.tokens"), F.size("y.tokens"))
+    # one expression, so that the order of rows is seen before their tokens are compared
+    overlap = F.when((F.col("x.row_id") < F.col("y.row_id")) & (least > 0), F.size(F.array_intersect("x.tokens", "y.tokens")) / least)
+    pairs = x.join(y, F.col("x.k") == F.col("y.k")).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"), overlap.alias("overlap"))
+    return pairs.where(F.col("overlap") >= threshold)
 
 
 def groups_table(clustered: DataFrame) -> DataFrame:

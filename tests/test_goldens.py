@@ -296,6 +296,15 @@ def test_one_clustering_and_clashing_columns(spark, sf_dir):
     assert plan.count("hashpartitioning(group_id") == 1
 
 
+def test_pairs_meet_by_key_and_not_by_token(spark):
+    """Rows move once with their tokens; no rows are made or shuffled for each token that two have in common."""
+    rows = spark.createDataFrame([(1, "k", "a b c d"), (2, "k", "A, b! x y z"), (3, "k", "..."), (4, "k", None), (5, "l", "a b c d"), (6, None, "a b"), (7, None, "a b"), (8, "k", "q")], "row_id long, key string, passage string")
+    got = matching.overlapping_pairs(rows, "key")
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 0.5)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "HashAggregate" not in plan
+
+
 def test_ledger(spark, tmp_path):
     chunks = spark.createDataFrame([("f", f"c{i}", "", "text", i, "", "") for i in range(6)], "source_file string, chunk_id string, chunk_label string, chunk_text string, chunk_index int, context_before string, context_after string")
     work, path = annotate.work_list(chunks, ["m1", "m2"]), str(tmp_path / "ledger")
