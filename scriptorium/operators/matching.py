@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,14 @@ THRESHOLD = 0.35
 MOST_CELLS = 50_000_000
 
 
-def assign_groups(tokens: list[list], threshold: float = THRESHOLD) -> list[int]:
+def assign_groups(tokens: list, threshold: float = THRESHOLD) -> list[int]:
     """Group numbers of a chunk's passages in their order.
 
     A passage joins the first group that has a member it overlaps enough, else it opens one. Common tokens are
     counted through a table of passages and tokens, or an index from tokens to passages where that would be large.
     """
     sizes = np.array([len(x) for x in tokens], np.int64)
-    flat = [t for x in tokens for t in x]
-    known, numbers = np.unique(np.array(flat), return_inverse=True) if flat else ((), np.zeros(0, np.int64))
+    known, numbers = np.unique(np.concatenate([np.asarray(x) for x in tokens if len(x)]), return_inverse=True) if sizes.any() else ((), np.zeros(0, np.int64))
     own = np.split(numbers, np.cumsum(sizes)[:-1]) if len(sizes) else []
     groups, made = np.zeros(len(own), np.int64), 0
     common = _by_table(own, len(known)) if len(own) * len(known) <= MOST_CELLS else _by_index(own)
@@ -62,61 +61,53 @@ def token_hashes(passage: Column) -> Column:
     return F.array_distinct(F.transform(normalised_words(passage), lambda t: F.xxhash64(t)))
 
 
-def chunk_groups(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(g_chunk, g_row, g_hash, chunk_group): the group number in its chunk of each row (row_id, chunk_id, passage), told by chunk, row_id and the passage's hash.
+def cluster(annotations: DataFrame, threshold: float = THRESHOLD, columns: Iterable[str] | None = None) -> DataFrame:
+    """Annotations (row_id, chunk_id, passage, ...) with their chunk's group number `chunk_group`; of their columns all, or row_id, chunk_id and those named.
 
-    Rows of one chunk are compared in the order of row_id; rows without chunk_id are in no group. The order decides the
-    groups, so a chunk is one task's work; chunks are bounded by what a text chunk's annotators report. Only keys and
-    the tokens' 64-bit hashes are shuffled and leave the JVM. Rows that are equal in all three are one row.
+    Rows of one chunk are compared in the order of row_id, then of the passage's hash; rows without chunk_id go. The order decides
+    the groups, so a chunk is one task's work; chunks are bounded by what a text chunk's annotators report. Rows move once, with
+    the tokens' 64-bit hashes, and only with the columns that are kept. Rows that are equal in chunk, row_id and passage are in one group.
     """
-    hashes = F.transform(F.array_distinct(normalised_words(F.col("passage"))), lambda t: F.xxhash64(t))
-    narrow = annotations.where(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").alias("g_chunk"), F.col("row_id").alias("g_row"), F.xxhash64("passage").alias("g_hash"), hashes.alias("g_tokens"))
+    kept = annotations.columns if columns is None else [c for c in annotations.columns if c in {"row_id", "chunk_id", *columns}]
+    narrow = annotations.where(F.col("chunk_id").isNotNull()).select(*kept, F.xxhash64("passage").alias("g_hash"), token_hashes(F.col("passage")).alias("g_tokens"))
 
     def scan(chunk: pa.Table) -> pa.Table:
-        chunk = chunk.take(pa.compute.sort_indices(chunk, [("g_row", "ascending"), ("g_hash", "ascending")]))
-        keys = list(zip(chunk["g_row"].to_pylist(), chunk["g_hash"].to_pylist(), strict=True))
-        first = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
-        chunk = chunk.take(first)
-        groups = assign_groups(chunk["g_tokens"].to_pylist(), threshold)
-        return chunk.drop_columns(["g_tokens"]).append_column("chunk_group", pa.array(groups, pa.int32()))
+        chunk = chunk.take(pa.compute.sort_indices(chunk, [("row_id", "ascending"), ("g_hash", "ascending")]))
+        keys = list(zip(chunk["row_id"].to_pylist(), chunk["g_hash"].to_pylist(), strict=True))
+        first = [not i or k != keys[i - 1] for i, k in enumerate(keys)]
+        tokens = chunk["g_tokens"].filter(pa.array(first)).combine_chunks()
+        groups = assign_groups(np.split(tokens.flatten().to_numpy(), tokens.offsets.to_numpy()[1:-1] - tokens.offsets[0].as_py()), threshold)
+        all_groups = np.array(groups, np.int32)[np.cumsum(first) - 1]
+        return chunk.drop_columns(["g_hash", "g_tokens"]).append_column("chunk_group", pa.array(all_groups))
 
-    schema = T.StructType([*narrow.drop("g_tokens").schema.fields, T.StructField("chunk_group", T.IntegerType())])
-    return narrow.groupBy("g_chunk").applyInArrow(scan, schema)
+    schema = T.StructType([*narrow.drop("g_hash", "g_tokens").schema.fields, T.StructField("chunk_group", T.IntegerType())])
+    return narrow.groupBy("chunk_id").applyInArrow(scan, schema)
 
 
-def _joined(annotations: DataFrame, groups: DataFrame) -> DataFrame:
-    """annotations with what chunk_groups says of them."""
-    same = (F.col("chunk_id") == F.col("g_chunk")) & F.col("row_id").eqNullSafe(F.col("g_row")) & (F.xxhash64("passage") == F.col("g_hash"))
-    return annotations.join(groups, same).drop("g_chunk", "g_row", "g_hash")
+def _first_numbers(groups: DataFrame) -> DataFrame:
+    """(n_chunk, n_first): how many groups the chunks before each one have."""
+    per_chunk = groups.groupBy(F.col("chunk_id").alias("n_chunk")).agg((F.max("chunk_group") + 1).alias("n_groups"))
+    return running_total(per_chunk, "n_chunk", "n_groups", "n_first").select("n_chunk", "n_first")
 
 
-def cluster(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Annotations (row_id, chunk_id, passage, ...) with their chunk's group number `chunk_group`; rows without chunk_id go (see chunk_groups)."""
-    return _joined(annotations, chunk_groups(annotations, threshold))
-
-
-def _first_numbers(groups: DataFrame, chunk: str) -> DataFrame:
-    """(n_chunk, n_before): how many groups the chunks before each one have."""
-    per_chunk = groups.groupBy(F.col(chunk).alias("n_chunk")).agg((F.max("chunk_group") + 1).alias("n_groups"))
-    return running_total(per_chunk, "n_chunk", "n_groups", "n_before").select("n_chunk", "n_before")
+def _numbered(clustered: DataFrame, before: DataFrame) -> DataFrame:
+    return clustered.join(before, F.col("chunk_id") == F.col("n_chunk")).withColumn("group_id", (F.col("n_first") + F.col("chunk_group")).cast("long")).drop("n_chunk", "n_first")
 
 
 def number_groups(clustered: DataFrame) -> DataFrame:
     """A column group_id over all chunks: chunks ascending, groups in the order of their first rows."""
-    before = _first_numbers(clustered, "chunk_id")
-    return clustered.join(before, F.col("chunk_id") == F.col("n_chunk")).withColumn("group_id", (F.col("n_before") + F.col("chunk_group")).cast("long")).drop("n_chunk", "n_before")
+    return _numbered(clustered, _first_numbers(clustered))
 
 
-def grouped_annotations(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Annotations with chunk_group and group_id, as number_groups(cluster(...)) gives them, clustered once.
+def grouped_annotations(annotations: DataFrame, threshold: float = THRESHOLD, columns: Iterable[str] | None = None) -> DataFrame:
+    """Annotations with chunk_group and group_id, as number_groups(cluster(...)) gives them, clustered once; all their columns, or those that cluster keeps.
 
-    The narrow table of groups is stored, numbered where it lies, and joined to the annotations at the end; whatever
-    is computed from the result reads texts again, but never clusters again.
+    What is clustered is stored with all that is kept, and the chunks' first numbers beside it; whatever is computed from the
+    result reads the columns that it needs, and never texts again for their groups.
     """
-    groups = stored(chunk_groups(annotations, threshold), "groups")
-    before = _first_numbers(groups, "g_chunk")
-    numbered = groups.join(before, F.col("g_chunk") == F.col("n_chunk")).withColumn("group_id", (F.col("n_before") + F.col("chunk_group")).cast("long")).drop("n_chunk", "n_before")
-    return _joined(annotations, stored(numbered, "numbered"))
+    rows = stored(cluster(annotations, threshold, columns), "groups")
+    before = stored(_first_numbers(rows), "numbers")
+    return _numbered(rows, before)
 
 
 def overlapping_pairs(annotations: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -135,7 +126,7 @@ def overlapping_pairs(annotations: DataFrame, key: str, threshold: float = THRES
 
 
 def groups_table(clustered: DataFrame) -> DataFrame:
-    """One row for each group_id: models, number of models, representative passage, agreement.
+    """One row for each group_id: models, number of models, representative passage (where passages are kept), agreement.
 
     The representative is the first of the longest passages; models are named in the order of their first rows.
     """
@@ -144,7 +135,7 @@ def groups_table(clustered: DataFrame) -> DataFrame:
         F.min("source_file").alias("source_file"),
         F.array_distinct(F.transform(rows, lambda r: r["model_label"])).alias("models"),
         F.count_distinct("soc_type").alias("n_types"),
-        F.max_by("passage", F.struct(F.length("passage"), -F.col("row_id"))).alias("representative"),
+        *([F.max_by("passage", F.struct(F.length("passage"), -F.col("row_id"))).alias("representative")] if "passage" in clustered.columns else []),
     )
     n = F.size("models")
     return out.withColumn("n_models", n).withColumn("agreement", F.when(n == 1, "single").when(F.col("n_types") == 1, "full").otherwise("partial")).drop("n_types")

@@ -93,8 +93,13 @@ gid AS (SELECT u.m.id AS row_id, before + u.m.g AS group_id FROM base, unnest(st
 clu AS (SELECT ann.*, CAST(group_id AS BIGINT) AS group_id FROM ann JOIN gid USING (row_id))"""
 
 
-def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.grouped_annotations(annotations(spark, sf_dir))
+def clustered(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """All annotations in their groups, with all columns or with those that a query asks for."""
+    return matching.grouped_annotations(annotations(spark, sf_dir), columns=columns)
+
+
+#: What tables of groups need of a row beside its passage.
+_OF_GROUPS = ["source_file", "model_label", "soc_type"]
 
 
 # Text operators
@@ -264,7 +269,7 @@ def overlapping_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH RECURSIVE {_CLUSTER} SELECT row_id, chunk_id, group_id FROM clu")
 def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(spark, sf_dir).select("row_id", "chunk_id", "group_id")
+    return clustered(spark, sf_dir, []).select("row_id", "chunk_id", "group_id")
 
 
 _GROUPS = f"""{_CLUSTER}, grp AS (
@@ -291,23 +296,23 @@ def streamed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS n_groups, count(*) FILTER (WHERE n_models > 1) AS n_multi, count(*) FILTER (WHERE agreement = 'full') AS n_full, count(*) FILTER (WHERE agreement = 'partial') AS n_partial FROM grp")
 def group_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir)))
+    return reports.group_figures(matching.groups_table(clustered(spark, sf_dir, _OF_GROUPS)))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, CAST(n_models AS INTEGER) AS n_models FROM grp WHERE n_models >= 2 AND (list_contains(models, 'm0') OR list_contains(models, 'm2')) AND source_file IN (SELECT source_file FROM ann WHERE confidence = 'high')")
 def visible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = annotations(spark, sf_dir).where("confidence = 'high'")
-    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir)), 2, ["m0", "m2"], view).select("group_id", "n_models")
+    return reports.visible_groups(matching.groups_table(clustered(spark, sf_dir, _OF_GROUPS)), 2, ["m0", "m2"], view).select("group_id", "n_models")
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, CAST(n_models AS INTEGER) AS n_models, row_number() OVER (ORDER BY n_models DESC, chunk_id, group_id) - 1 AS place FROM grp")
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sorted_groups(matching.groups_table(clustered(spark, sf_dir))).select("group_id", "n_models", F.col("place").cast("long").alias("place"))
+    return reports.sorted_groups(matching.groups_table(clustered(spark, sf_dir, _OF_GROUPS))).select("group_id", "n_models", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, chunk_id FROM grp WHERE agreement = 'partial'")
 def partial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.agreeing_groups(matching.groups_table(clustered(spark, sf_dir)), "partial").select("group_id", "chunk_id")
+    return reports.agreeing_groups(matching.groups_table(clustered(spark, sf_dir, _OF_GROUPS)), "partial").select("group_id", "chunk_id")
 
 
 def _track_sql(t: consensus.Track) -> str:
@@ -574,7 +579,7 @@ def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE " + _CLUSTER + ", f AS (SELECT *, row_number() OVER (PARTITION BY group_id, model_label ORDER BY row_id) AS k FROM clu), l AS (SELECT group_id, model_label, 'soc_type' AS field, soc_type AS value FROM f WHERE k = 1 UNION ALL SELECT group_id, model_label, 'explanation', coalesce(nullif(explanation, ''), '—') FROM f WHERE k = 1) SELECT group_id, field, " + ", ".join(f"max(value) FILTER (WHERE model_label = '{m}') AS {m}" for m in MODELS) + " FROM l GROUP BY group_id, field")
 def field_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.field_table(clustered(spark, sf_dir), ["soc_type", "explanation"], MODELS)
+    return reports.field_table(clustered(spark, sf_dir, ["model_label", "soc_type", "explanation"]), ["soc_type", "explanation"], MODELS)
 
 
 _SHOWN = "CASE soc_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_LABELS.items()) + " ELSE soc_type END"

@@ -305,6 +305,24 @@ def test_pairs_meet_by_key_and_not_by_token(spark):
     assert "explode" not in plan and "HashAggregate" not in plan
 
 
+def plan_of(spark, sf_dir, name: str) -> str:
+    return registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_order_reads_no_text_again(spark, sf_dir):
+    """What tables of groups need is stored with the groups; texts are read for the clustering alone."""
+    for name in ("group_order", "group_figures", "partial_groups", "passage_groups"):
+        plan = plan_of(spark, sf_dir, name)
+        assert "documents.parquet" not in plan and "passage" not in plan, name
+
+
+def test_cluster_keeps_copies_and_chosen_columns(spark):
+    rows = spark.createDataFrame([(1, "c", "a b c", "x"), (1, "c", "a b c", "y"), (None, "c", "q r", "z"), (2, "c", None, "x"), (3, None, "a", "x")], "row_id long, chunk_id string, passage string, more string")
+    got = matching.grouped_annotations(rows, columns=["more"])
+    assert sorted(got.columns) == ["chunk_group", "chunk_id", "group_id", "more", "row_id"]
+    assert sorted((r.more, r.row_id or 0, r.group_id) for r in got.collect()) == [("x", 1, 0), ("x", 2, 1), ("y", 1, 0), ("z", 0, 2)]
+
+
 def test_ledger(spark, tmp_path):
     chunks = spark.createDataFrame([("f", f"c{i}", "", "text", i, "", "") for i in range(6)], "source_file string, chunk_id string, chunk_label string, chunk_text string, chunk_index int, context_before string, context_after string")
     work, path = annotate.work_list(chunks, ["m1", "m2"]), str(tmp_path / "ledger")
