@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -38,21 +39,24 @@ def file_encoder(path: str, marks: tuple[str, ...] = ()) -> Callable[[], Encoder
     """A maker of encoders by a tokenizers file, to which marks are added that it lacks, each a token of its own."""
 
     def make() -> Encoder:
+        # a task is one core's work; the library's own threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.add_special_tokens(list(marks))
         t.no_truncation()
         t.no_padding()
-        return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
     return make
 
 
-def encoded(chats: DataFrame, make_encoder: Callable[[], Encoder], max_length: int, text: str = "chat_text", batch_chars: int = 2_000_000) -> DataFrame:
+def encoded(chats: DataFrame, make_encoder: Callable[[], Encoder], max_length: int, text: str = "chat_text", batch_chars: int = 200_000) -> DataFrame:
     """chats with a column input_ids: the ids of `text`, the first max_length of them. A null text has none.
 
-    Texts go to the encoder in batches of about batch_chars characters, so that ids of long chats are not all held at once.
+    Texts go to the encoder in batches of batch_chars characters at most (a longer text is one by itself), and their ids are handed on
+    by batch: what the library keeps of a token is some hundred bytes until its batch is done.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chats.schema) + ", input_ids array<int>"
 

@@ -151,3 +151,18 @@ def test_queries_agree_in_parts(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.format_string("doc %d.txt", "doc_id").alias("source_file"), "text")
     assert (semantic.term_weights(d) == semantic.term_weights(d.repartition(5))).all()
     assert rows(semantic.semantic_chunks(d, 50, 0)) == rows(semantic.semantic_chunks(d.repartition(3), 50, 0))
+
+
+def test_the_encoder_sees_few_characters_at_once(spark):
+    """200,000 characters at most, or one text."""
+    chats = spark.createDataFrame([(i, "x" * 3_000) for i in range(300)] + [(300, "y" * 250_000)], "i long, chat_text string").coalesce(1)
+
+    def make():
+        def encode(texts):
+            size = sum(map(len, texts))
+            return [[size, len(texts)] for _ in texts]
+
+        return encode
+
+    got = [tuple(r.input_ids) for r in chat.encoded(chats, make, 10).collect()]
+    assert len(got) == 301 and all(size <= 200_000 or n == 1 for size, n in got) and (250_000, 1) in got
