@@ -28,7 +28,7 @@ def group_records(clustered: DataFrame, min_models: int, rare_below: int = 0) ->
     several = rows.agg((F.count_distinct("model_label") >= 2).alias("d_several"))
     votes = rows.groupBy("group_id", "soc_type").agg(F.count("*").alias("n"), F.avg("d_rank").alias("mean"), F.min("row_id").alias("first"))
     best_type = votes.withColumn("k", F.row_number().over(W.partitionBy("group_id").orderBy(F.desc("n"), F.desc("mean"), "first"))).where("k = 1").select("group_id", F.col("soc_type").alias("top_type"))
-    best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("group_id", "d_rank")]), F.struct("d_rank", F.length("passage"), -F.col("row_id")))
+    best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("group_id", "d_rank", "passage")]), F.struct("d_rank", F.length("passage"), -F.col("row_id")))
     told = F.array_sort(F.collect_list(F.when((F.col("soc_type") == F.col("top_type")) & (F.coalesce("explanation", F.lit("")) != ""), F.struct("row_id", "explanation"))))
     groups = rows.join(best_type, "group_id").groupBy("group_id", "top_type").agg(
         F.count_distinct("model_label").alias("n_models"),

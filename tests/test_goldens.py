@@ -316,6 +316,23 @@ def test_group_order_reads_no_text_again(spark, sf_dir):
         assert "documents.parquet" not in plan and "passage" not in plan, name
 
 
+def test_dataset_records_read_no_text_again(spark, sf_dir):
+    """Stored rows are all that is read, and the best row's fields move without its passage."""
+    plan = plan_of(spark, sf_dir, "dataset_records")
+    assert "documents.parquet" not in plan
+    best = re.findall(r"max_by\(struct\(.*?\), struct", plan)
+    assert best and not any("passage" in x for x in best)
+
+
+def test_type_distribution_reads_no_text_again(spark, sf_dir):
+    assert "documents.parquet" not in plan_of(spark, sf_dir, "type_distribution")
+
+
+def test_field_comparison_reads_no_text_again(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "field_comparison")
+    assert "documents.parquet" not in plan and "passage" not in plan
+
+
 def test_cluster_keeps_copies_and_chosen_columns(spark):
     rows = spark.createDataFrame([(1, "c", "a b c", "x"), (1, "c", "a b c", "y"), (None, "c", "q r", "z"), (2, "c", None, "x"), (3, None, "a", "x")], "row_id long, chunk_id string, passage string, more string")
     got = matching.grouped_annotations(rows, columns=["more"])
