@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -220,3 +221,16 @@ def test_token_counts_of_the_whole_table(spark, sf_dir):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = sorted((i, len(t.encode()), n := len(model.encode(t)), n > 4096) for i, (t, _) in whole_table(spark, sf_dir).items())
     assert sorted(tuple(r) for r in q.op9_token_counts(spark, sf_dir).collect()) == want
+
+
+def test_a_full_table_keeps_what_comes_again():
+    """Strings of every slice are encoded once, though other strings fill the table again and again."""
+    encoder = WordEncoder(WORDS, most=30)
+    asked, learn = Counter(), encoder._learn
+    encoder._learn = lambda words, *more: (asked.update(words), learn(words, *more))
+    for k in range(8):
+        texts = [f"always été again {chr(97 + k)}{chr(97 + i)}q 1{k}{i}" for i in range(20)]
+        ids, lengths = encoder.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+        assert len(encoder.at) <= 30 // 2 + 2 * 50
+    assert [asked[w] for w in ("always", "été", "again")] == [1, 1, 1]
