@@ -37,23 +37,27 @@ class Classes:
     def size(self) -> int:
         return len(self.words) + self.shared
 
-    def of(self, words: list[str]) -> np.ndarray:
-        get, first = self.words.get, len(self.words)
-        return np.array([c if (c := get(w)) is not None else first + zlib.crc32(w[-2:].encode()) % self.shared for w in words], np.int64)
+    def of(self, words: pa.Array | list[str]) -> np.ndarray:
+        words = pa.array(words, pa.string()) if isinstance(words, list) else words
+        ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+        hashed = np.array([len(self.words) + zlib.crc32(e.encode()) % self.shared for e in ends.dictionary.to_pylist()], np.int64)
+        own = pc.index_in(words, value_set=pa.array(self.words, pa.string()))
+        shared = own.is_null().to_numpy(zero_copy_only=False)
+        return np.where(shared, hashed[ends.indices.to_numpy(zero_copy_only=False)], own.fill_null(0).to_numpy(zero_copy_only=False))
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Lower-case words between white space: places among the distinct ones, those, words per text."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
-    real = pc.utf8_length(flat).to_numpy(zero_copy_only=False) > 0
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     if not real.all():
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts))
         flat = flat.filter(pa.array(real))
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, counts
 
 
 @dataclass(frozen=True)
@@ -71,12 +75,15 @@ class Shares:
 
 
 def beside(own: np.ndarray, counts: np.ndarray, edge: int) -> np.ndarray:
-    """The classes beside each token of texts of `counts` tokens; `edge` stands for a text's edge."""
+    """The classes beside each token of texts of `counts` tokens, of own's type; `edge` stands for a text's edge."""
     gap = 2
-    padded = np.full(len(own) + gap * (len(counts) + 1), edge, np.int64)
+    padded = np.full(len(own) + gap * (len(counts) + 1), edge, own.dtype)
     at = np.arange(len(own)) + gap * (np.repeat(np.arange(len(counts)), counts) + 1)
     padded[at] = own
-    return np.stack([padded[at + s] for s in SIDES], axis=1)
+    out = np.empty((len(own), len(SIDES)), own.dtype)
+    for i, s in enumerate(SIDES):
+        out[:, i] = padded[at + s]
+    return out
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -99,6 +106,9 @@ class Network:
         self.flat = np.zeros(sum(sizes), np.float32) if flat is None else flat.astype(np.float32)
         cuts = np.cumsum([0, *sizes])
         self.side, self.bias, self.out, self.base, self.group_out, self.group_base = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], shapes, strict=True))
+        # both output layers with their bases as a last row, for inputs with a last column of ones
+        self.rooms: dict[str, np.ndarray] = {}
+        self.layer, self.group_layer = self.flat[cuts[2] : cuts[4]].reshape(hidden + 1, classes), self.flat[cuts[4] :].reshape(hidden + 1, groups)
 
     @classmethod
     def fresh(cls, frequency: np.ndarray, hidden: int, seed: int = 7) -> Network:
@@ -112,12 +122,22 @@ class Network:
         net.group_base[:] = np.log(np.add.reduceat(np.exp(net.base), np.arange(0, len(frequency), net.width)))
         return net
 
+    def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Memory for numbers that the next batch takes over: new pages for each batch cost more than what is done there."""
+        if name not in self.rooms or self.rooms[name].size < rows * columns:
+            self.rooms[name] = np.empty(rows * columns, np.float32)
+        return self.rooms[name][: rows * columns].reshape(rows, columns)
+
     def _hidden(self, beside: np.ndarray) -> np.ndarray:
-        x = self.side[0].take(beside[:, 0], axis=0)
+        """The hidden layer, and a last column of ones."""
+        out, x, y = self._room("h", len(beside), self.hidden + 1), self._room("x", len(beside), self.hidden), self._room("y", len(beside), self.hidden)
+        self.side[0].take(beside[:, 0], axis=0, out=x, mode="clip")
         for i in range(1, len(SIDES)):
-            x += self.side[i].take(beside[:, i], axis=0)
+            x += self.side[i].take(beside[:, i], axis=0, out=y, mode="clip")
         x += self.bias
-        return np.tanh(x, out=x)
+        out[:, -1] = 1
+        np.tanh(x, out=out[:, :-1])
+        return out
 
     def _groups(self, group: np.ndarray) -> Iterator[tuple[slice, slice]]:
         """For each group of tokens that are sorted by their group: its classes and its tokens."""
@@ -126,47 +146,54 @@ class Network:
             if end > first:
                 yield slice(g * self.width, min((g + 1) * self.width, self.classes)), slice(first, end)
 
+    def _both(self, h: np.ndarray, by_group: list[tuple[slice, slice]]) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities of the groups, and those of the classes within each token's group: columns of tokens, 0 where a group has fewer classes."""
+        outer, inner = self._room("outer", len(self.group_base), len(h)), self._room("inner", self.width, len(h))
+        inner[:] = -np.inf
+        for classes, i in by_group:
+            np.matmul(self.layer[:, classes].T, h[i].T, out=inner[: classes.stop - classes.start, i])
+        return _softmax(np.matmul(self.group_layer.T, h.T, out=outer)), _softmax(inner)
+
     def log_probability(self, own: np.ndarray, beside: np.ndarray) -> np.ndarray:
         """The log-probability of each token's class given the classes beside it."""
         out = np.empty(len(own), np.float32)
         for s in range(0, len(own), 8192):
             order = np.argsort((own[s : s + 8192] // self.width).astype(np.uint16), kind="stable")
-            y, h = own[s + order], self._hidden(beside[s + order])
-            group, at = y // self.width, np.arange(len(y))
-            p = _softmax(self.group_out.T @ h.T + self.group_base[:, None])[group, at]
-            for classes, i in self._groups(group):
-                p[i] *= _softmax(self.out[:, classes].T @ h[i].T + self.base[classes, None])[y[i] - classes.start, at[: i.stop - i.start]]
-            out[s + order] = np.log(np.maximum(p, np.float32(1e-37)))
+            group, place = np.divmod(own[s + order], self.width)
+            at = np.arange(len(order))
+            outer, inner = self._both(self._hidden(beside[s + order]), list(self._groups(group)))
+            out[s + order] = np.log(np.maximum(outer[group, at] * inner[place, at], np.float32(1e-37)))
         return out
 
-    def gradient(self, own: np.ndarray, beside: np.ndarray) -> np.ndarray:
-        """The gradient of the mean negative log-probability, laid out as the weights."""
-        g, n = Network(self.classes, self.hidden), len(own)
+    def gradient(self, own: np.ndarray, beside: np.ndarray, into: Network | None = None) -> np.ndarray:
+        """The gradient of the mean negative log-probability, laid out as the weights; it may go into a network of the same shape."""
+        g, n = into or Network(self.classes, self.hidden), len(own)
+        g.flat[:] = 0
         order = np.argsort((own // self.width).astype(np.uint16), kind="stable")
-        own, beside = own[order], beside[order]
-        h = self._hidden(beside)
-        group, at = own // self.width, np.arange(n)
-        p = _softmax(self.group_out.T @ h.T + self.group_base[:, None])
-        p[group, at] -= 1
-        p /= n
-        g.group_out[:] = (p @ h).T
-        g.group_base[:] = p.sum(axis=1)
-        back = p.T @ self.group_out.T
-        for classes, i in self._groups(group):
-            near, weights = h[i], self.out[:, classes]
-            p = _softmax(weights.T @ near.T + self.base[classes, None])
-            p[own[i] - classes.start, at[: i.stop - i.start]] -= 1
-            p /= n
-            g.out[:, classes] = (p @ near).T
-            g.base[classes] = p.sum(axis=1)
-            back[i] += p.T @ weights.T
-        back *= 1 - h * h
-        g.bias[:] = back.sum(axis=0)
+        beside = beside.take(order, axis=0)
+        group, place = np.divmod(own.take(order), self.width)
+        by_group, at, h = list(self._groups(group)), np.arange(n), self._hidden(beside)
+        outer, inner = self._both(h, by_group)
+        outer[group, at] -= 1
+        inner[place, at] -= 1
+        outer /= n
+        inner /= n
+        g.group_layer[:] = (outer @ h).T
+        back, more = self._room("x", n, self.hidden), self._room("y", n, self.hidden)
+        np.matmul(outer.T, self.group_out.T, out=back)
+        for classes, i in by_group:
+            p = inner[: classes.stop - classes.start, i]
+            g.layer[:, classes] = (p @ h[i]).T
+            np.matmul(p.T, self.out[:, classes].T, out=more[i])
+        back += more
+        np.multiply(h[:, :-1], h[:, :-1], out=more)
+        back *= np.subtract(1, more, out=more)
+        g.bias[:] = np.ones(n, np.float32) @ back
         for i in range(len(SIDES)):
-            order = np.argsort(beside[:, i].astype(np.uint16), kind="stable")
-            kinds = beside[order, i]
-            starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-            g.side[i][kinds[starts]] = np.add.reduceat(back.take(order, axis=0), starts, axis=0)
+            kinds = beside[:, i].astype(np.uint16)
+            counts = np.bincount(kinds)
+            there = np.flatnonzero(counts)
+            g.side[i][there] = np.add.reduceat(back.take(np.argsort(kinds, kind="stable"), axis=0, out=more, mode="clip"), (np.cumsum(counts) - counts)[there], axis=0)
         return g.flat
 
 
@@ -176,7 +203,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 16_000_000):
             place, words, _ = _split(text_array(b))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(place, minlength=len(words)).astype(np.int64))], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(place, minlength=len(words)).astype(np.int64))], names=["word", "n"])
 
     return docs.select(text_column(docs).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -232,13 +259,13 @@ def encode(docs: DataFrame, classes: Classes, shares: Shares) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8_000_000):
             place, words, counts = _split(text_array(b))
-            own, at = classes.of(words), pc.index_in(pa.array(words, pa.string()), value_set=frequent)
+            own, at = classes.of(words), pc.index_in(words, value_set=frequent)
             outside = at.is_null().to_numpy(zero_copy_only=False)
             log_n = log_frequent[at.fill_null(0).to_numpy(zero_copy_only=False)]
             log_n[outside] = 0
             own, share = own[place], np.where(own < len(classes.words), 0, log_n - log_all[own])[place]
             tail = np.flatnonzero(outside[place])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text(outside[place].astype(np.int64), counts))), pa.int32()), pa.array(words, pa.string()).take(pa.array(place[tail])))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text(outside[place].astype(np.int64), counts))), pa.int32()), words.take(pa.array(place[tail])))
             bounds = pa.py_buffer(np.append(0, np.cumsum(2 * counts)).astype(np.int32))
             blob = pa.Array.from_buffers(pa.binary(), len(counts), [None, bounds, pa.py_buffer(own.astype(np.uint16))])
             yield pa.RecordBatch.from_arrays([column_of(b, "row"), column_of(b, "doc_id"), blob, pa.array(per_text(share, counts), pa.float64()), lists], names=["row", "doc_id", "classes", "share", "tail"])
@@ -253,7 +280,7 @@ def _own(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
     data = blob.buffers()[2]
     own = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint16) if data is not None else np.zeros(0, np.uint16)
-    return own.astype(np.int64), np.diff(ends).astype(np.int64) // 2
+    return own, np.diff(ends).astype(np.int64) // 2
 
 
 def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: int = 2) -> np.ndarray:
@@ -267,7 +294,7 @@ def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: i
     for k in range(rounds):
 
         def learn(batches: Iterable[pa.RecordBatch], k: int = k, flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            net = Network(len(frequency), hidden, flat.copy())
+            net, slope = Network(len(frequency), hidden, flat.copy()), Network(len(frequency), hidden)
             speed = np.full(len(net.flat), 1e-6, np.float32)
             seen, part, rng = 0, 0, np.random.default_rng(k)
             for b in slices(batches, 1_000_000, "classes"):
@@ -277,7 +304,7 @@ def train(encoded: DataFrame, frequency: np.ndarray, hidden: int = 24, rounds: i
                 use = rng.permutation(len(own))
                 for s in range(0, len(use), 4096):
                     i = use[s : s + 4096]
-                    g = net.gradient(own[i], near[i])
+                    g = net.gradient(own.take(i), near.take(i, axis=0), slope)
                     speed += g * g
                     net.flat -= np.float32(0.1) * g / np.sqrt(speed)
                 seen += len(use)

@@ -175,6 +175,26 @@ def test_gradient():
         assert (loss(net.flat + step) - loss(net.flat - step)) / 2e-2 == pytest.approx(gradient[i], abs=1e-3)
 
 
+def test_a_batch_is_two_softmax_layers(monkeypatch):
+    """Classes of all groups go through one softmax, whose work does not grow with their number; a group of fewer classes has no others."""
+    rng, calls, softmax = np.random.default_rng(1), [], masked_lm._softmax
+    monkeypatch.setattr(masked_lm, "_softmax", lambda x: (calls.append(x.shape), softmax(x))[1])
+    net = masked_lm.Network(7, 4)
+    net.flat[:] = rng.normal(0, 0.5, len(net.flat))
+    own, beside = rng.integers(0, 7, 50).astype(np.uint16), rng.integers(0, 8, (50, 4)).astype(np.uint16)
+    got = net.log_probability(own, beside)
+    assert calls == [(3, 50), (3, 50)]
+    for y, b, p in zip(own.tolist(), beside, got, strict=True):
+        h = np.tanh(sum(net.side[i][k] for i, k in enumerate(b)) + net.bias)
+        outer, inner = h @ net.group_out + net.group_base, (h @ net.out + net.base)[y // 3 * 3 : y // 3 * 3 + 3]
+        assert p == pytest.approx(outer[y // 3] - np.log(np.exp(outer).sum()) + inner[y % 3] - np.log(np.exp(inner).sum()), abs=1e-4)
+    calls.clear()
+    first, room = net.gradient(own, beside), masked_lm.Network(7, 4)
+    assert len(calls) == 2
+    net.gradient(own[:20], beside[:20], room)
+    assert (net.gradient(own, beside, room) == first).all()
+
+
 def test_pseudo_likelihood(spark):
     pattern = "red green blue black white "
     docs = frame(spark, [*ODD, *((i, pattern * 20) for i in range(100, 160)), (300, "blue red white green black " * 20)])
