@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from scriptorium.functions.text import normalised_words
-from scriptorium.operators.matching import THRESHOLD
+from scriptorium.operators.matching import THRESHOLD, token_hashes
 from scriptorium.storage import exists
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GROUPS = "chunk_id string, chunk_group int, source_file string, models array<string>, representative string, n_models int, agreement string"
-_MEMBER = "tokens array<long>, chunk_group int"
-_SUMMARY = "source_file string, models array<string>, types array<string>, representative string"
+#: A chunk's passages in their order: the 64-bit hashes of all, how many each has, and its group; then the fields of each group.
+_STATE = "tokens binary, sizes array<int>, groups array<int>, source_files array<string>, models array<array<string>>, types array<array<string>>, representatives array<string>"
 
 
 class Members:
@@ -28,10 +31,7 @@ class Members:
     def add(self, tokens: list[int], group: int | None = None) -> int:
         """Take a passage into a given group, or into its own."""
         if group is None:
-            common: dict[int, int] = {}
-            for t in tokens:
-                for i in self.where.get(t, ()):
-                    common[i] = common.get(i, 0) + 1
+            common = Counter(chain.from_iterable(map(self.where.get, tokens, repeat(()))))
             near = [self.groups[i] for i, n in common.items() if n / min(len(tokens), self.sizes[i]) >= self.threshold]
             group = min(near, default=self.made)
         for t in tokens:
@@ -42,45 +42,35 @@ class Members:
         return group
 
 
-class _ChunkGroups(StatefulProcessor):
-    def __init__(self, threshold: float) -> None:
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.members = handle.getListState("members", _MEMBER)
-        self.summaries = handle.getMapState("summaries", "chunk_group int", _SUMMARY)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  names of the interface
-        chunk = Members(self.threshold)
-        for tokens, group in self.members.get():
-            chunk.add(list(tokens), group)
+def _regroup(threshold: float) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chunk = Members(threshold)
+        tokens, sizes, groups, *fields = state.get if state.exists else (b"", [], [], [], [], [], [])
+        for own, group in zip(np.split(np.frombuffer(tokens, np.int64), np.cumsum(sizes, dtype=np.int64)[:-1]), groups, strict=bool(sizes)):
+            chunk.add(own.tolist(), group)
+        summaries = [[f, list(m), list(t), p] for f, m, t, p in zip(*fields, strict=True)]
         new, changed = [], {}
         # a chunk's rows of one batch; their order decides, as it does for all at once
         for r in pd.concat(rows).sort_values(["row_id", "g_hash"], kind="stable").itertuples(index=False):
-            tokens = [int(t) for t in r.g_tokens]
-            group = chunk.add(tokens)
-            new.append((tokens, group))
-            if group not in changed:
-                kept = self.summaries.getValue((group,)) if self.summaries.containsKey((group,)) else None
-                changed[group] = [kept[0], list(kept[1]), list(kept[2]), kept[3]] if kept else [None, [], [], None]
-            s = changed[group]
+            new.append(np.asarray(r.g_tokens, np.int64))
+            group = chunk.add(new[-1].tolist())
+            if group == len(summaries):
+                summaries.append([None, [], [], None])
+            s = changed[group] = summaries[group]
             s[0] = r.source_file if s[0] is None else s[0] if r.source_file is None else min(s[0], r.source_file)
             for seen, value in ((s[1], r.model_label), (s[2], r.soc_type)):
                 if value is not None and value not in seen:
                     seen.append(value)
             if r.passage is not None and (s[3] is None or len(r.passage) > len(s[3])):
                 s[3] = r.passage
-        self.members.appendList(new)
-        for group, s in changed.items():
-            self.summaries.updateValue((group,), tuple(s))
+        state.update((tokens + b"".join(x.tobytes() for x in new), chunk.sizes, chunk.groups, *map(list, zip(*summaries, strict=True))))
         agreement = ["single" if len(s[1]) == 1 else "full" if len(s[2]) == 1 else "partial" for s in changed.values()]
         yield pd.DataFrame({
             "chunk_id": [key[0]] * len(changed), "chunk_group": list(changed), "source_file": [s[0] for s in changed.values()], "models": [s[1] for s in changed.values()],
             "representative": [s[3] for s in changed.values()], "n_models": [len(s[1]) for s in changed.values()], "agreement": agreement,
         })
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def group_updates(annotations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -88,11 +78,10 @@ def group_updates(annotations: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     The last row of each chunk and group is what matching.groups_table makes of all rows so far, however the rows are cut into
     batches, if rows of a chunk arrive in the order of row_id. Rows without chunk_id are in no group. State is kept by
-    chunk and bounded by what is reported of one; it needs the state store that holds lists and maps (see run_groups).
+    chunk, as one row that comes and goes with the chunk's rows, and bounded by what is reported of one.
     """
-    hashes = F.transform(F.array_distinct(normalised_words(F.col("passage"))), lambda t: F.xxhash64(t))
-    rows = annotations.where("chunk_id IS NOT NULL").select("chunk_id", "row_id", F.xxhash64("passage").alias("g_hash"), hashes.alias("g_tokens"), "model_label", "soc_type", "source_file", "passage")
-    return rows.groupBy("chunk_id").transformWithStateInPandas(_ChunkGroups(threshold), GROUPS, "Update", "none")
+    rows = annotations.where("chunk_id IS NOT NULL").select("chunk_id", "row_id", F.xxhash64("passage").alias("g_hash"), token_hashes(F.col("passage")).alias("g_tokens"), "model_label", "soc_type", "source_file", "passage")
+    return rows.groupBy("chunk_id").applyInPandasWithState(_regroup(threshold), GROUPS, _STATE, "update", "NoTimeout")
 
 
 def run_groups(annotations: DataFrame, out: str, checkpoint: str, threshold: float = THRESHOLD) -> StreamingQuery:

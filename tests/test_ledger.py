@@ -175,3 +175,14 @@ def test_groups_of_a_stream(spark, tmp_path):
         edges = [0, *cuts, 60]
         parts = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         assert rows(streamed(spark, df, [p for p in parts if p], str(tmp_path / str(k)))) == expected
+
+
+def test_a_chunk_is_one_row_of_state(spark, tmp_path):
+    """What a stream keeps of a chunk comes and goes with its rows at once, however many passages and groups it has."""
+    data = [(i, f"c{i % 3}", f"word{i} other{i} third{i}", "m0", "x", "f") for i in range(30)]
+    df = spark.createDataFrame(data, "row_id long, chunk_id string, passage string, model_label string, soc_type string, source_file string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    query = groups.run_groups(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    assert groups.read_groups(spark, f"{tmp_path}/out").count() == 30
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 3
