@@ -62,7 +62,7 @@ def annotations(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
         F.concat(F.array_join(w, " "), F.when(k == 3, " indeed").otherwise("")).alias("passage"), F.element_at(F.array(*map(F.lit, SOC_TYPES)), ((chunk * 7 + F.when(i % 16 == 8, F.floor(k / 3)).otherwise(0)) % 12 + 1).cast("int")).alias("soc_type"),
         F.when(i % 7 == 0, "low").when((i + k) % 5 == 0, "medium").otherwise("high").alias("confidence"),
         F.concat(F.size("w").cast("string"), F.lit(" words: "), F.left(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lit(8))).alias("explanation"),
-        F.concat_ws(", ", "lang", F.size("w").cast("string"), F.element_at("w", -1)).alias("evidence"),
+        F.concat_ws(", ", "lang", F.size("w").cast("string"), F.try_element_at("w", F.lit(-1))).alias("evidence"),
     )
 
 
