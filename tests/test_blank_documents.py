@@ -23,6 +23,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
     "name",
     [
         "consensus_conservative",
+        "consensus_longest",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
