@@ -24,6 +24,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
     [
         "consensus_conservative",
         "consensus_longest",
+        "consensus_moderate",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
