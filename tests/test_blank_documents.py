@@ -25,6 +25,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "consensus_conservative",
         "consensus_longest",
         "consensus_moderate",
+        "consensus_summary",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
