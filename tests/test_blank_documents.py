@@ -26,6 +26,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "consensus_longest",
         "consensus_moderate",
         "consensus_summary",
+        "dataset_figures",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
