@@ -27,6 +27,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "consensus_moderate",
         "consensus_summary",
         "dataset_figures",
+        "dataset_records",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
