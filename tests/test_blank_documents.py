@@ -28,6 +28,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "consensus_summary",
         "dataset_figures",
         "dataset_records",
+        "further_annotations",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
