@@ -29,6 +29,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "dataset_figures",
         "dataset_records",
         "further_annotations",
+        "group_overview",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
