@@ -30,6 +30,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "dataset_records",
         "further_annotations",
         "group_overview",
+        "record_figures",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
