@@ -31,6 +31,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
         "further_annotations",
         "group_overview",
         "record_figures",
+        "type_distribution",
     ],
 )
 def test_blank_documents(spark, blank_dir, name):
