@@ -23,6 +23,7 @@ def blank_dir(sf_dir, tmp_path_factory) -> str:
     "name",
     [
         "consensus_conservative",
+        "consensus_liberal",
         "consensus_longest",
         "consensus_moderate",
         "consensus_summary",
